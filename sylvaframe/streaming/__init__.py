@@ -1,0 +1 @@
+"""streaming of the cluster-tree library."""
