@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, packing, pieces, quality, simhash, token_files
+from . import chat, exact, packing, pieces, quality, repeats, simhash, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_files, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
