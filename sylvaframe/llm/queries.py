@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, packing, pieces, quality, repeats, simhash, token_files
+from . import chat, exact, packing, pieces, quality, repeats, simhash, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
