@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, packing, pieces, quality, repeats, simhash, token_files, toxicity
+from . import chat, exact, html, packing, pieces, quality, repeats, simhash, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -60,7 +64,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_html, op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
