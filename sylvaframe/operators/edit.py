@@ -127,7 +127,7 @@ def merge_node_into(tables: Tables, node_id: int, dest: int) -> Tables:
     return tables.with_(nodes=moved, assignments=tables.assignments.withColumn("node_id", F.when(F.col("node_id") == node_id, F.lit(dest).cast("long")).otherwise(F.col("node_id"))))
 
 
-def update_node(tables: Tables, node_id: int, **columns) -> Tables:
+def update_node(tables: Tables, node_id: int, /, **columns) -> Tables:
     """M7: columns of one node; its ids aren't among them."""
     if bad := {"node_id", "parent_id"} & set(columns) or set(columns) - set(tables.nodes.columns):
         raise EditError(f"can't set {bad}")

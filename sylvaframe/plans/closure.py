@@ -30,16 +30,17 @@ def edges_of(nodes: DataFrame, descend: Descend | None = None, parent: str = "pa
 def closure(nodes: DataFrame, descend: Descend | None = None, parent: str = "parent_id") -> DataFrame:
     """(ancestor_id, node_id, distance) for each node and each of its ancestors, itself included at distance 0."""
     pairs = nodes.select(F.col("node_id").alias("ancestor_id"), "node_id", F.lit(0).alias("distance"))
+    most = nodes.count()
     step = written(edges_of(nodes, descend, parent).select("node_id", F.col("parent_id").alias("up")), "step")
     span = 1
     while not step.isEmpty():
+        if span >= most:
+            raise ValueError("the nodes have a cycle")
         longer = pairs.join(step.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id")
         pairs = pairs.unionByName(longer.select(F.col("up").alias("ancestor_id"), "node_id", (F.col("distance") + span).alias("distance")))
         nearer = step.select("node_id", F.col("up").alias("mid"))
         step = written(nearer.join(step.select(F.col("node_id").alias("mid"), "up"), "mid").select("node_id", "up"), "step")
         span *= 2
-        if span > 1 << 40:
-            raise ValueError("the nodes have a cycle")
         if span >= 4:
             pairs = written(pairs, "closure")
     return pairs
