@@ -41,7 +41,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.write_and_read(rows.unionByName(more))
+    return chat.write_and_read(rows.unionByName(more)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,24 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(role, p, r, 'g')) + length(regexp_replace(text, p, r, 'g')) + length('<|turn|><|text|><|end|>') AS n
+  FROM c, (SELECT '(<)(\\*(?:\|turn\|>|\|text\|>|\|end\|>|\|endoftext\|>|/?s>))|(\[)(\\*(?:/?INST\]))' AS p, '\1\3\\\2\4' AS r)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_html, op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL}
