@@ -1,8 +1,8 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Encoding works as a merge-type (BPE) SentencePiece model does: the agenda holds each
-adjacent pair whose union is a piece, and the best piece, leftmost first, is merged
-until none is left. With dropout, a keyed hash of (seed, variant, word, place) decides
+Encoding works as a merge-type (BPE) SentencePiece model does: the agenda of a word
+holds each adjacent pair whose union is a piece, and the best piece, leftmost first, is
+merged until none is left. The agendas of many words advance together, in numpy. With dropout, a keyed hash of (seed, variant, word, place) decides
 for each candidate that comes up whether it is skipped. The variant of a word
 occurrence is drawn by a hash of the document's id and the word's number in it, so
 one word gets varied segmentations, each of them reproducible in any task.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import as_bytes, id_and_text
-from .words import WordMemory, gather
+from .words import WordMemory, flattened, gather
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -33,12 +33,26 @@ _LITERAL = SPACE + "\0"
 SEED, DROPOUT, VARIANTS = 42, 0.1, 4
 #: Characters of a text that are split into words at once.
 PART = 1 << 20
+#: Words that are looked up at once.
+MANY_WORDS = 1 << 17
 
 _M = (1 << 64) - 1
 # A word with the spaces before it, as the pieces never go on from another character to a space; a new line is in no piece of more than one character.
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 
 
+#: Characters of a word beyond which its agenda is a heap of its own; shorter ones are merged many words at once.
+LONG = 48
+_NEVER = np.int32(2**31 - 1)
+
+
+def skipped_many(key: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: int) -> np.ndarray:
+    """skipped() for arrays."""
+    h = key + (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFF)) < np.uint64(threshold)
+
+
 def skipped(key: int, place: int, size: int, threshold: int) -> bool:
     """Whether the candidate at `place` of `size` characters is skipped; key comes from seed, variant and word."""
     h = (key + (place * 0x9E3779B97F4A7C15 + size * 0xD1B54A32D192ED03)) & _M
@@ -70,6 +84,17 @@ class PieceModel:
         for piece in self.rank:
             if SPACE in piece.lstrip(SPACE) or ("\n" in piece and len(piece) > 1):
                 raise ValueError("a piece goes on over a word's end; this model isn't supported")
+        self.n = n
+        # Symbols of characters: a piece's id, or n and the code point for what is no piece, a literal SPACE too.
+        self.of_char = np.arange(n, n + 0x110000, dtype=np.int64)
+        for piece, (_, k) in self.rank.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = k
+        self.of_char[ord(" ")], self.of_char[ord(SPACE)] = self.of_char[ord(SPACE)], n + ord(SPACE)
+        # The merges: pairs of pieces whose union is a piece, with the union and its place in the order of scores.
+        place = dict(zip(ordered := sorted({r for r, _ in self.rank.values()}), range(len(ordered))))
+        pairs = [(self.rank[p[:j]][1] * n + self.rank[p[j:]][1], k, place[r]) for p, (r, k) in self.rank.items() for j in range(1, len(p)) if p[:j] in self.rank and p[j:] in self.rank]
+        self.pair, self.union, self.place = np.array(sorted(pairs), np.int64).reshape(-1, 3).T.copy()
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.size = np.array([len(x) for x in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -110,6 +135,77 @@ class PieceModel:
                     out += [self.byte[b] for b in (SPACE if s == _LITERAL else s).encode("utf-8", "surrogatepass")]
         return out
 
+    def _merge_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the order, union) of pairs of symbols; _NEVER where their union is no piece."""
+        key = np.where((a < self.n) & (b < self.n), a * self.n + b, -1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        known = self.pair[at] == key
+        return np.where(known, self.place[at], _NEVER).astype(np.int32), self.union[at]
+
+    def encode_words(self, words: list[str], variants: list[int], seed: int = SEED, dropout: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, one after the other, and the number of each; as encode_word gives them.
+
+        The agendas are the rows of a matrix, where a column holds the candidate that begins at that character; each step takes the best of each row."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        found: list[list[int] | None] = [None] * len(words)
+        for k in np.flatnonzero(size > LONG).tolist():
+            found[k] = self.encode_word(words[k], variants[k], seed, dropout)
+        low = 0
+        for high in (6, 10, 16, 24, LONG):
+            chosen = np.flatnonzero((size > low) & (size <= high))
+            low = high
+            for a in range(0, len(chosen), 8192):
+                some = chosen[a : a + 8192].tolist()
+                for k, ids in zip(some, self._encode_rows([words[k] for k in some], [variants[k] for k in some], high, seed, dropout)):
+                    found[k] = ids
+        return flattened([x or [] for x in found])
+
+    def _encode_rows(self, words: list[str], variants: list[int], width: int, seed: int, dropout: float) -> list[list[int]]:
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        inside = np.arange(width) < size[:, None]
+        symbol = np.full((n, width), -1, np.int64)
+        symbol[inside] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
+        threshold = int(dropout * 2**32)
+        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed + v * 0x9E3779B1) for w, v in zip(words, variants)] if threshold else [0] * n, np.uint64)
+        chars = inside.astype(np.int16)
+        after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
+        before = after - 2
+        agenda, union = np.full((n, width), _NEVER), np.zeros((n, width), np.int64)
+        if width > 1:
+            agenda[:, :-1], union[:, :-1] = self._merge_of(symbol[:, :-1], np.where(inside[:, 1:], symbol[:, 1:], self.n))
+        rows = np.arange(n)
+        while len(rows):
+            best = agenda[rows].argmin(1)
+            open_ = agenda[rows, best] != _NEVER
+            rows, k = rows[open_], best[open_]
+            j = after[rows, k]
+            if threshold:
+                no = skipped_many(key[rows], k, chars[rows, k] + chars[rows, j], threshold)
+                agenda[rows[no], k[no]] = _NEVER
+                r, k, j = rows[~no], k[~no], j[~no]
+            else:
+                r = rows
+            symbol[r, k] = new = union[r, k]
+            symbol[r, j] = -1
+            chars[r, k] += chars[r, j]
+            agenda[r, j] = _NEVER
+            m = after[r, k] = after[r, j]
+            ends = m >= size[r]
+            m = np.minimum(m, width - 1)
+            before[r[~ends], m[~ends]] = k[~ends]
+            agenda[r, k], union[r, k] = self._merge_of(new, np.where(ends, self.n, symbol[r, m]))
+            p = before[r, k]
+            r, p, new = r[p >= 0], p[p >= 0], new[p >= 0]
+            agenda[r, p], union[r, p] = self._merge_of(symbol[r, p], new)
+        alive = symbol >= 0
+        ids, counts = symbol[alive].tolist(), alive.sum(1)
+        ends = np.cumsum(counts).tolist()
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for k in np.flatnonzero((symbol >= self.n).any(1)).tolist():
+            out[k] = [y for x in out[k] for y in ([x] if x < self.n else [self.byte[b] for b in chr(x - self.n).encode("utf-8", "surrogatepass")])]
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids that stand for a whole text, as UTF-8; the space that encoding put first is taken off."""
         return gather(self.bytes, self.start[ids], self.size[ids])[0].tobytes()[1:]
@@ -144,20 +240,50 @@ def model_and_memory(path: str, seed: int, dropout: float, variants: int) -> tup
     if (at := (path, seed, dropout, variants)) not in _loaded:
         model = PieceModel(path)
 
-        def encode(todo: list[tuple[str, int]]) -> list[list[int]]:
-            return [model.encode_word(w, v, seed, dropout) for w, v in todo]
-
-        _loaded[at] = model, WordMemory(encode, variants, most_words=500_000)
+        _loaded[at] = model, WordMemory(lambda words, v: model.encode_words(words, v, seed, dropout), variants, most_words=400_000)
     return _loaded[at]
 
 
+def encode_texts(texts: list[str], doc_ids: list[int], memory: WordMemory, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Ids of each whole text. Words of many texts are looked up at once, and of a long text in parts."""
+    ready: list[list[np.ndarray]] = []  # of the texts since the last that was given
+    parts: list[tuple[list[str], np.ndarray]] = []
+    owner: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        words = [w for ws, _ in parts for w in ws]
+        variant = np.concatenate([v for _, v in parts])
+        ids, sizes = memory.gather(memory.look_up(words, variant))
+        cut = np.cumsum(sizes)[np.cumsum([len(ws) for ws, _ in parts]) - 1]
+        for k, own in zip(owner, np.split(ids, cut[:-1])):
+            ready[k].append(own)
+        parts.clear()
+        owner.clear()
+        held = 0
+
+    for text, doc_id in zip(texts, doc_ids):
+        ready.append([])
+        first = 0
+        for words in split_words(text):
+            parts.append((words, variants_of(doc_id, first, len(words), seed, memory.variants)))
+            owner.append(len(ready) - 1)
+            first += len(words)
+            held += len(words)
+            if held >= MANY_WORDS:
+                flush()
+        if not parts:
+            yield from (np.concatenate([np.empty(0, np.int32), *x]) for x in ready)
+            ready.clear()
+    if parts:
+        flush()
+    yield from (np.concatenate([np.empty(0, np.int32), *x]) for x in ready)
+
+
 def encode_text(text: str, doc_id: int, memory: WordMemory, seed: int = SEED) -> np.ndarray:
-    """Ids of a whole text."""
-    found, first = [np.empty(0, np.int32)], 0
-    for words in split_words(text):
-        found.append(memory.gather(memory.look_up(words, variants_of(doc_id, first, len(words), seed, memory.variants)))[0])
-        first += len(words)
-    return np.concatenate(found)
+    """Ids of one whole text."""
+    return next(encode_texts([text], [doc_id], memory, seed))
 
 
 def default_vocabulary() -> str:
@@ -177,7 +303,9 @@ def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, row, setup:
             ids = batch.column(0).to_pylist()
             texts = as_bytes(batch.column(1))
             for k in range(0, len(ids), 256):
-                rows = [(i, *row(model, memory, i, t)) for i, t in zip(ids[k : k + 256], texts[k : k + 256])]
+                own, raw = ids[k : k + 256], texts[k : k + 256]
+                encoded = encode_texts([t.decode() for t in raw], [i or 0 for i in own], memory, setup[1])
+                rows = [(i, *row(model, x, t)) for i, x, t in zip(own, encoded, raw)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
@@ -186,8 +314,8 @@ def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, row, setup:
 def encode(docs: DataFrame, vocabulary: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each text. Null texts count as empty and have none; a null id draws variants as 0 does; repeated rows repeat."""
 
-    def row(model, memory, doc_id, text):
-        return (encode_text(text.decode(), doc_id or 0, memory, seed),)
+    def row(model, ids, text):
+        return (ids,)
 
     return _each(docs, id_col, text_col, "doc_id long, ids array<int>", row, (vocabulary or default_vocabulary(), seed, dropout, variants))
 
@@ -211,8 +339,7 @@ SUMMARY = "doc_id long, n_ids long, ids_crc32 long, n_bytes long, decoded_crc32
 def round_trip(docs: DataFrame, vocabulary: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes each whole text: number of ids, crc32 of the ids (as little-endian 32-bit integers), bytes and crc32 of what decoding gives, and whether that is the text."""
 
-    def row(model, memory, doc_id, text):
-        ids = encode_text(text.decode(), doc_id or 0, memory, seed)
+    def row(model, ids, text):
         back = model.decode(ids)
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), zlib.crc32(back), back == text
 

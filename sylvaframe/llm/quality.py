@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes
+from .words import WordMemory, flattened
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 50
@@ -67,40 +68,22 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(k) for k in range(self.model.get_piece_size())])
-        self.seen: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[int] = []
-        self.bytes_: list[int] = []
-
-    def numbers(self, words: list[bytes]) -> list[int]:
-        """The number of each word in the memory."""
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.flat, self.sizes, self.bytes_ = {}, [], [], []
-        seen = self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if new:
-            for w, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)):
-                own = np.array(ids, np.int32)
-                seen[w] = len(self.sizes)
-                self.flat.append(own)
-                self.sizes.append(len(own))
-                self.bytes_.append(int(self.is_byte[own].sum()))
-        return [seen[w] for w in words]
+        self.memory = WordMemory(lambda words, _: flattened(self.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)), most_words=REMEMBERED)
+
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        """The ids of all words, each encoded on its own."""
+        return self.memory.gather(self.memory.look_up(words))[0]
 
     def measure(self, words: list[bytes], word_chars: int) -> tuple[float, float, float]:
         """Characters per token, share of byte tokens, entropy of the tokens over the most that they could have."""
-        if not words:
-            return 0.0, 0.0, 0.0
-        at = self.numbers(words)
-        sizes, bytes_, flat = self.sizes, self.bytes_, self.flat
-        n = sum([sizes[k] for k in at])
-        n_bytes = sum([bytes_[k] for k in at])
+        ids = self.tokens(words) if words else ()
+        n = len(ids)
         if not n:
             return 0.0, 0.0, 0.0
-        counts = np.bincount(np.concatenate([flat[k] for k in at]))
+        counts = np.bincount(ids)
         p = counts[counts > 0] / n
         most = math.log(min(n, len(self.is_byte)))
-        return word_chars / n, n_bytes / n, float(-(p * np.log(p)).sum()) / most if most else 0.0
+        return word_chars / n, float(self.is_byte[ids].sum()) / n, float(-(p * np.log(p)).sum()) / most if most else 0.0
 
 
 _loaded: dict[str, Fertility] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, id_and_text, partitions_for, scratch, written
-from .words import WordMemory, slices
+from .words import WordMemory, flattened, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -128,11 +128,11 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k] + self.sizes[k]))
 
 
-# The tokenizer's splitting pattern and byte alphabet, for Latin-1 letters. Fixed values that its file states.
+# The tokenizer's splitting pattern and byte alphabet, for Latin-1 letters. Fixed values that its file states. A new line stands between chunks.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+")
-#: Chunks that only the whole tokenizer encodes: beyond Latin-1, with control characters or further white space, or with a special token.
-_ODD = re.compile("[^\x21-\x7e\xa1-\xff]|<\\|")
+_PRETOKEN = re.compile(f"\\n|'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\n{_L}{_N}]+")
+#: What only the whole tokenizer encodes: beyond Latin-1, control characters, further white space, special tokens.
+_ODD = re.compile("[^\n\x21-\x7e\xa1-\xff]|<\\|")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -159,46 +159,47 @@ class ChunkEncoder:
         ends = np.zeros(self.vocabulary_size, bool)
         for piece, k in self.whole.get_vocab().items():
             ends[k] = piece.endswith(suffix)
-        self.ends, self.alphabet = ends, _byte_alphabet()
-        self.pieces: dict[str, list[int]] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces: they are encoded as one text of words, and an id that ends a word ends a piece."""
-        if len(self.pieces) > 500_000:
-            self.pieces.clear()
-        for k in range(0, len(pieces), 256):
-            part = pieces[k : k + 256]
-            text = " ".join(part).encode().decode("latin-1").replace(" ", "\n").translate(self.alphabet | {10: " "})
-            ids = self.model.encode(text, add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        self.ends, self.alphabet = ends, _byte_alphabet() | {10: " "}
+        self.pieces = WordMemory(self._encode_pieces, most_words=250_000)
+
+    def _encode_pieces(self, pieces: list[str], _: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: they are encoded as words of one text, and an id that ends a word ends a piece. A new line has none."""
+        sizes = np.zeros(len(pieces), np.int64)
+        flat = []
+        real = [k for k, p in enumerate(pieces) if p != "\n"]
+        for a in range(0, len(real), 256):
+            part = real[a : a + 256]
+            text = "\n".join([pieces[k] for k in part]).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise AssertionError("the model's words don't match the pieces")
-            for p, a, b in zip(part, [0, *cuts], cuts):
-                self.pieces[p] = ids[a:b]
-
-    def __call__(self, todo: list[tuple[bytes, int]]) -> list[list[int]]:
-        found: list[list[int] | None] = [None] * len(todo)
-        plain: list[tuple[int, list[str]]] = []
-        odd: list[tuple[int, str]] = []
-        for k, (raw, _) in enumerate(todo):
-            text = raw.decode("utf-8", "replace")
-            if _ODD.search(text):
-                odd.append((k, text))
-            else:
-                plain.append((k, _PRETOKEN.findall(text.lower())))
-        known = self.pieces
-        new = [p for p in dict.fromkeys(p for _, parts in plain for p in parts) if p not in known]
-        if new:
-            self._learn(new)
-            known = self.pieces
-            if missing := [p for p in dict.fromkeys(p for _, parts in plain for p in parts) if p not in known]:  # forgotten just now
-                self._learn(missing)
-        for k, parts in plain:
-            found[k] = known[parts[0]] if len(parts) == 1 else [x for p in parts for x in known[p]]
-        if odd:
-            for (k, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
-                found[k] = e.ids
-        return found
+            sizes[part] = np.diff(cuts, prepend=0)
+            flat.append(ids)
+        return np.concatenate(flat) if flat else np.empty(0, np.int32), sizes
+
+    def _plain(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n chunks of Latin-1 that new lines divide."""
+        parts = _PRETOKEN.findall(text.lower() + "\n")
+        ids, sizes = self.pieces.gather(self.pieces.look_up(parts))
+        ends = np.cumsum(sizes)[[k for k, p in enumerate(parts) if p == "\n"]]
+        if len(ends) != n:
+            raise AssertionError("chunks hold new lines")
+        return ids, np.diff(ends, prepend=0)
+
+    def __call__(self, todo: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not todo:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        text = b"\n".join(todo).decode("utf-8", "replace")
+        if not _ODD.search(text):
+            return self._plain(text, len(todo))
+        chunks = text.split("\n")
+        odd = [k for k, x in enumerate(chunks) if _ODD.search(x)]
+        encoded = {k: e.ids for k, e in zip(odd, self.whole.encode_batch_fast([chunks[k] for k in odd], add_special_tokens=False))}
+        plain = [x for k, x in enumerate(chunks) if k not in encoded]
+        ids, sizes = self._plain("\n".join(plain), len(plain)) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
+        found = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else ())
+        return flattened([encoded[k] if k in encoded else next(found).tolist() for k in range(len(chunks))])
 
 
 _END = b" "  # no chunk is white space, so this key stands for the end of a document
@@ -213,11 +214,12 @@ def encoder(path: str) -> tuple[WordMemory, int]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         own = ChunkEncoder(path)
 
-        def encode(todo: list[tuple[bytes, int]]) -> list[list[int]]:
-            at = next((k for k, (w, _) in enumerate(todo) if w == _END), None)
+        def encode(todo: list[bytes], _: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            at = todo.index(_END) if _END in todo else None
             if at is None:
                 return own(todo)
-            return own(todo[:at]) + [[END_ID]] + own(todo[at + 1 :])
+            (x, n), (y, m) = own(todo[:at]), own(todo[at + 1 :])
+            return np.concatenate((x, [END_ID], y)), np.concatenate((n, [1], m))
 
         _loaded[path] = WordMemory(encode), own.vocabulary_size
     return _loaded[path]

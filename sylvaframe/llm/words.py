@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Words and ids that a memory holds before it forgets all and starts again.
-MOST_WORDS, MOST_IDS = 1_000_000, 8_000_000
+MOST_WORDS, MOST_IDS = 600_000, 6_000_000
 
 
 class _Growing:
@@ -24,9 +25,9 @@ class _Growing:
 
 
 class WordMemory:
-    """Ids of words, each in one of `variants` forms; encode([(word, variant), ...]) gives those that are missing."""
+    """Ids of words, each in one of `variants` forms; encode(words, variants) gives those that are missing as (ids of all, one after the other; number of ids of each)."""
 
-    def __init__(self, encode: Callable[[list[tuple]], Sequence[Sequence[int]]], variants: int = 1, most_words: int = MOST_WORDS, most_ids: int = MOST_IDS):
+    def __init__(self, encode: Callable[[list, list[int]], tuple[np.ndarray, np.ndarray]], variants: int = 1, most_words: int = MOST_WORDS, most_ids: int = MOST_IDS):
         self.encode, self.variants, self.most = encode, variants, (most_words, most_ids)
         self.forget()
 
@@ -39,37 +40,41 @@ class WordMemory:
         """The slot of each word in its variant. Slots hold until the next call."""
         if len(self.numbers) > self.most[0] or self.flat.n > self.most[1]:
             self.forget()
-        numbers = self.numbers
+        numbers, names = self.numbers, self.names
         get = numbers.get
         at = np.array([get(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            names = self.names
-            before = len(names)
-            for k in missing.tolist():
-                at[k] = n = numbers.setdefault(words[k], len(names))
-                if n == len(names):
-                    names.append(words[k])
-            self.slot.extend(np.full((len(names) - before) * self.variants, -1, np.int32))
+            lost = [words[k] for k in missing.tolist()]
+            new = [w for w in dict.fromkeys(lost)]
+            numbers.update(zip(new, range(len(names), len(names) + len(new))))
+            names += new
+            at[missing] = [numbers[w] for w in lost]
+            self.slot.extend(np.full(len(new) * self.variants, -1, np.int32))
         if self.variants > 1:
             at = at * self.variants + variant
         slots = self.slot.data[at]
         todo = np.unique(at[slots < 0])
-        if len(todo):
-            found = self.encode([(self.names[k // self.variants], k % self.variants) for k in todo.tolist()])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.slot.data[todo] = self.start.n + np.arange(len(todo))
+        for k in range(0, len(todo), 1 << 16):
+            some = todo[k : k + (1 << 16)]
+            flat, sizes = self.encode([names[j] for j in (some // self.variants).tolist()], (some % self.variants).tolist())
+            self.slot.data[some] = self.start.n + np.arange(len(some))
             self.start.extend(self.flat.n + np.cumsum(sizes) - sizes)
             self.size.extend(sizes)
-            self.flat.extend(np.fromiter((x for f in found for x in f), np.int32, int(sizes.sum())))
-            slots = self.slot.data[at]
-        return slots
+            self.flat.extend(flat)
+        return self.slot.data[at] if len(todo) else slots
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all slots in order, number of ids of each slot)."""
         return gather(self.flat.data, self.start.data[slots], self.size.data[slots])
 
 
+def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What WordMemory expects, from a list of ids for each word."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs start..start+size of flat, one after the other, and their sizes."""
     size = size.astype(np.int64)

@@ -63,6 +63,16 @@ def test_agenda_is_best_first():
             assert model.encode_word(word, k % 4, dropout=dropout) == want
 
 
+def test_many_words_at_once():
+    model = pieces.PieceModel(PATH)
+    rng = random.Random(9)
+    words = ["", " ", "▁", "   ", "\n", "日本", "\0", "é" * 60, "ing" * 15] + [" " * rng.randint(0, 3) + "".join(rng.choice(["th", "er", "ion", "a", "é", "st", "▁", "ü", "!", "日"]) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    for dropout in (0.0, 0.2, 0.9):
+        variants = [k % 3 for k in range(len(words))]
+        flat, sizes = model.encode_words(words, variants, 5, dropout)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [model.encode_word(w, v, 5, dropout) for w, v in zip(words, variants)]
+
+
 def test_whole_table(spark):
     rng = random.Random(2)
     texts = [None, "", " ", "\n\n", "▁ a▁b", "tab\tend ", "x" * 20_000, "many words " * 60_000] + ["".join(rng.choice("abcdeé \n▁") for _ in range(rng.randint(0, 300))) for _ in range(50)]

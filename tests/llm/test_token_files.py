@@ -7,7 +7,7 @@ from pyarrow import fs
 
 from sylvaframe.llm import token_files as tf
 from sylvaframe.llm.common import scratch
-from sylvaframe.llm.words import WordMemory, slices
+from sylvaframe.llm.words import WordMemory, flattened, slices
 
 
 def texts():
@@ -69,7 +69,7 @@ def test_bit_widths(bits, tmp_path):
 
 
 def test_memory_forgets():
-    m = WordMemory(lambda todo: [[len(w), v] for w, v in todo], 3, most_words=4)
+    m = WordMemory(lambda words, variants: flattened([[len(w), v] for w, v in zip(words, variants)]), 3, most_words=4)
     for k in range(20):
         words = ["a" * (k % 7), "b", "a" * (k % 7)]
         ids, sizes = m.gather(m.look_up(words, np.array([0, 1, 2])))
