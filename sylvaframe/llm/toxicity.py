@@ -251,12 +251,14 @@ def train(windows: list[list[bytes]], labels: list[int], steps: int = STEPS, see
     numbers: dict[bytes, int] = {b"": 0}
     docs = []
     for k in kept:
-        rows, mask = np.zeros((WINDOW, len(windows[k])), np.int64), np.zeros((WINDOW, len(windows[k])), bool)
+        rows, mask = np.zeros((WINDOW, len(windows[k])), np.int32), np.zeros((WINDOW, len(windows[k])), bool)
         for j, words in enumerate(x.split() for x in windows[k]):
             rows[: len(words), j] = [numbers.setdefault(x, len(numbers)) for x in words]
             mask[: len(words), j] = True
         docs.append((rows, mask))
-    vocabulary = Vocabulary(*word_features(list(numbers)))
+    words = list(numbers)
+    parts = [word_features(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]  # bounds what the features need meanwhile
+    vocabulary = Vocabulary(*(np.concatenate([p[k] for p in parts]).astype(kind) for k, kind in enumerate((np.int64, np.int32, np.int64))))
     w, rng = new_weights(seed), np.random.default_rng(seed)
     evidence = _evidence(vocabulary, [rows[mask] for rows, mask in docs], label)
     frequent = {k: x for k, (x, _) in evidence.items()}
