@@ -93,8 +93,8 @@ def test_duplicate_ids(spark, tmp_path):
 
 
 def test_export_index(spark, tmp_path):
-    (tmp_path / "ecotaxa_a.tsv").write_text("object_id\timg_file_name\tx\n[t]\t[t]\t[f]\no1\ti1.png\t1.5\n")
-    row = io.fix_export_index(spark, str(tmp_path / "ecotaxa_*.tsv")).collect()
+    (tmp_path / "export_a.tsv").write_text("object_id\timg_file_name\tx\n[t]\t[t]\t[f]\no1\ti1.png\t1.5\n")
+    row = io.fix_export_index(spark, str(tmp_path / "export_*.tsv")).collect()
     assert [tuple(r) for r in row] == [("o1", f"{tmp_path}/i1.png")]
 
 
