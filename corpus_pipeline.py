@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import exact, packing, quality, repeats, simhash
+from sylvaframe.llm import exact, near, packing, quality, repeats
 from sylvaframe.llm.common import table, written
 
 
@@ -20,8 +20,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, similarity of at least 0.8), the document with the smallest id."""
+    return near.drop_near_copies(docs)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
