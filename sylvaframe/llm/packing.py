@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from . import token_files
+from .common import SPACE, as_bytes, id_and_text, written
 
 #: Permitted sequence lengths.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -37,6 +38,19 @@ def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (n + 1).cast("long").alias("n_tokens"))
 
 
+def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens): the ids that op3's encoder gives the text and one that ends the document; null texts count as empty."""
+    path = tokenizer_path or token_files.default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, _ = token_files.encoder(path)
+        for batch in batches:
+            sizes = [n for _, _, each in token_files.encode_texts(as_bytes(batch.column(1)), memory) for n in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def cheapest(size: int, rest: np.ndarray, rest_sum: int, lengths: Sequence[int], overhead: int) -> int:
     """The length to open for a piece of `size` tokens, with the smaller pieces `rest` (ascending, with their sum) still to be placed."""
     best, least = lengths[-1], math.inf

@@ -53,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.best_fit(packing.token_lengths(table(spark, sf_dir, "documents")))
 
 
 OP8_SQL = r"""

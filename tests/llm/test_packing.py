@@ -69,3 +69,23 @@ def test_whole_table(spark):
 def test_no_tokens(spark):
     rows = packing.best_fit(spark.createDataFrame([(1, 0), (2, None), (3, 5)], "doc_id long, n_tokens long")).collect()
     assert {(r.doc_id, r.n_tokens, r.bin) for r in rows} == {(1, 0, None), (2, 0, None), (3, 5, 0)}
+
+
+def test_query_packs_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from sylvaframe.llm import queries, token_files
+
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = [None, "", "unbelievably tokenised words", "漢字" * 6000, "QUJD" * 9000, "a b " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in queries.op10_packing(spark, str(tmp_path)).collect()]
+    check(rows, packing.LENGTHS)
+    got = defaultdict(int)
+    for r in rows:
+        got[r[0]] += r[3]
+    alone = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    manifest = token_files.write_and_read(alone)
+    assert got == {r.doc_id: r.n_tokens for r in manifest.collect()}
+    assert got[2] == len(tokenizer.encode("unbelievably tokenised words", add_special_tokens=False).ids) + 1
+    assert got[3] > 8192
