@@ -61,13 +61,21 @@ def _as_rows(vectors: np.ndarray, support: np.ndarray) -> list[dict]:
     return [{"vector": v.tolist(), "support": float(s)} for v, s in zip(vectors, support)]
 
 
-def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init: int = 2, sample: int = 1000) -> DataFrame:
+def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init: int = 2, sample: int | None = None) -> DataFrame:
     """(group, prototypes) of rows (group, object_id, vector, and rand if there is one).
 
-    A group's fit is bounded as in the definition of the node statistics: on at most `sample` rows, those with the least rand."""
+    All of a group's points are fitted. With `sample`, as in the definition of the node statistics, at most so many rows: those with the least rand.
+    For k = 1 the mean is a plain aggregation; a fit of more prototypes holds its group in one task."""
     kind = df.schema[group].dataType.simpleString()
+    points = df.filter("vector is not null")
+    if k == 1 and sample is None:
+        at = points.select(group, F.posexplode("vector").alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
+        found = at.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"), F.max("n").alias("n"))
+        return found.select(group, F.array(F.struct(F.col("v").alias("vector"), F.col("n").alias("support"))).cast(PROTOTYPES).alias("prototypes"))
     order = ["rand", "object_id"] if "rand" in df.columns else [F.xxhash64("object_id", F.lit(seed)), "object_id"]
-    ranked = df.filter("vector is not null").withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("r") <= sample)
+    ranked = points.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if sample is not None:
+        ranked = ranked.filter(F.col("r") <= sample)
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("r")
