@@ -2,10 +2,14 @@
 
 Encoding works as a merge-type (BPE) SentencePiece model does: the agenda of a word
 holds each adjacent pair whose union is a piece, and the best piece, leftmost first, is
-merged until none is left. The agendas of many words advance together, in numpy. With dropout, a keyed hash of (seed, variant, word, place) decides
-for each candidate that comes up whether it is skipped. The variant of a word
-occurrence is drawn by a hash of the document's id and the word's number in it, so
-one word gets varied segmentations, each of them reproducible in any task.
+merged until none is left. With dropout, a keyed hash of (seed, document, number of the
+word in it, place, size) decides for each candidate that comes up whether it is skipped,
+so each occurrence of a word has draws of its own, and they are the same in any task.
+
+What the agenda of a word comes to depends on its draws alone. A worker remembers, for
+each word, the tree of the draws that it has met, with the ids at its leaves; an
+occurrence walks down by its own draws, and only a turn that no occurrence has taken
+before runs an agenda. The agendas of many words advance together, in numpy.
 
 What the vocabulary lacks becomes byte pieces, a literal lower-one-eighth block (the
 model's own mark for a space) too, so decoding gives back every text.
@@ -20,21 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from .common import as_bytes, id_and_text
-from .words import WordMemory, flattened, gather
+from .words import Growing, flattened, gather
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: The symbol of a literal SPACE; no piece holds NUL, so it never merges.
 _LITERAL = SPACE + "\0"
-SEED, DROPOUT, VARIANTS = 42, 0.1, 4
+SEED, DROPOUT = 42, 0.1
 #: Characters of a text that are split into words at once.
 PART = 1 << 20
 #: Words that are looked up at once.
 MANY_WORDS = 1 << 17
+#: Turns and ids that a worker remembers before it forgets all and starts again.
+MOST_TURNS, MOST_IDS = 3_000_000, 8_000_000
 
 _M = (1 << 64) - 1
 # A word with the spaces before it, as the pieces never go on from another character to a space; a new line is in no piece of more than one character.
@@ -54,7 +59,7 @@ def skipped_many(key: np.ndarray, place: np.ndarray, size: np.ndarray, threshold
 
 
 def skipped(key: int, place: int, size: int, threshold: int) -> bool:
-    """Whether the candidate at `place` of `size` characters is skipped; key comes from seed, variant and word."""
+    """Whether the candidate at `place` of `size` characters is skipped; key comes from the seed, the document and the word's number."""
     h = (key + (place * 0x9E3779B97F4A7C15 + size * 0xD1B54A32D192ED03)) & _M
     h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & _M
     return (h ^ (h >> 29)) & 0xFFFFFFFF < threshold
@@ -99,14 +104,12 @@ class PieceModel:
         self.size = np.array([len(x) for x in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
 
-    def encode_word(self, word: str, variant: int = 0, seed: int = SEED, dropout: float = 0.0) -> list[int]:
-        """Ids of a word with the spaces before it."""
+    def encode_word(self, word: str, key: int = 0, threshold: int = 0) -> list[int]:
+        """Ids of a word with the spaces before it; a candidate is skipped if its hash lies under the threshold."""
         get = self.rank.get
         symbols = [SPACE if c == " " else _LITERAL if c == SPACE else c for c in word]
         n = len(symbols)
         if n > 1:
-            threshold = int(dropout * 2**32)
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed + variant * 0x9E3779B1) if threshold else 0
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             agenda = [(r[0], k, a + b) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := get(a + b)) is not None]
             heapq.heapify(agenda)
@@ -142,32 +145,17 @@ class PieceModel:
         known = self.pair[at] == key
         return np.where(known, self.place[at], _NEVER).astype(np.int32), self.union[at]
 
-    def encode_words(self, words: list[str], variants: list[int], seed: int = SEED, dropout: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words, one after the other, and the number of each; as encode_word gives them.
+    def encode_rows(self, words: list[str], key: np.ndarray, threshold: int) -> tuple[list[list[int]], list[tuple[np.ndarray, ...]]]:
+        """(ids of each word, as encode_word gives them; draws as (row, place, size, skipped), step by step).
 
         The agendas are the rows of a matrix, where a column holds the candidate that begins at that character; each step takes the best of each row."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        found: list[list[int] | None] = [None] * len(words)
-        for k in np.flatnonzero(size > LONG).tolist():
-            found[k] = self.encode_word(words[k], variants[k], seed, dropout)
-        low = 0
-        for high in (6, 10, 16, 24, LONG):
-            chosen = np.flatnonzero((size > low) & (size <= high))
-            low = high
-            for a in range(0, len(chosen), 8192):
-                some = chosen[a : a + 8192].tolist()
-                for k, ids in zip(some, self._encode_rows([words[k] for k in some], [variants[k] for k in some], high, seed, dropout)):
-                    found[k] = ids
-        return flattened([x or [] for x in found])
-
-    def _encode_rows(self, words: list[str], variants: list[int], width: int, seed: int, dropout: float) -> list[list[int]]:
+        width = max(1, max(map(len, words)))
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         inside = np.arange(width) < size[:, None]
         symbol = np.full((n, width), -1, np.int64)
         symbol[inside] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
-        threshold = int(dropout * 2**32)
-        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed + v * 0x9E3779B1) for w, v in zip(words, variants)] if threshold else [0] * n, np.uint64)
+        draws = []
         chars = inside.astype(np.int16)
         after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
         before = after - 2
@@ -180,12 +168,11 @@ class PieceModel:
             open_ = agenda[rows, best] != _NEVER
             rows, k = rows[open_], best[open_]
             j = after[rows, k]
-            if threshold:
-                no = skipped_many(key[rows], k, chars[rows, k] + chars[rows, j], threshold)
-                agenda[rows[no], k[no]] = _NEVER
-                r, k, j = rows[~no], k[~no], j[~no]
-            else:
-                r = rows
+            both = chars[rows, k] + chars[rows, j]
+            no = skipped_many(key[rows], k, both, threshold)
+            draws.append((rows, k, both, no))
+            agenda[rows[no], k[no]] = _NEVER
+            r, k, j = rows[~no], k[~no], j[~no]
             symbol[r, k] = new = union[r, k]
             symbol[r, j] = -1
             chars[r, k] += chars[r, j]
@@ -204,7 +191,7 @@ class PieceModel:
         out = [ids[a:b] for a, b in zip([0, *ends], ends)]
         for k in np.flatnonzero((symbol >= self.n).any(1)).tolist():
             out[k] = [y for x in out[k] for y in ([x] if x < self.n else [self.byte[b] for b in chr(x - self.n).encode("utf-8", "surrogatepass")])]
-        return out
+        return out, draws
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids that stand for a whole text, as UTF-8; the space that encoding put first is taken off."""
@@ -225,26 +212,124 @@ def split_words(text: str) -> Iterator[list[str]]:
     yield _WORD.findall(text, at)
 
 
-def variants_of(doc_id: int, first: int, n: int, seed: int, variants: int) -> np.ndarray:
-    """The variants of the words first..first+n of a document."""
+def word_keys(doc_id: int, first: int, n: int, seed: int) -> np.ndarray:
+    """The keys of the words first..first+n of a document."""
     h = np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((doc_id * 0xC2B2AE3D27D4EB4F + seed) & _M)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(variants)).astype(np.int64)
-
-
-_loaded: dict[tuple, tuple[PieceModel, WordMemory]] = {}
-
-
-def model_and_memory(path: str, seed: int, dropout: float, variants: int) -> tuple[PieceModel, WordMemory]:
-    """The model at path and the memory of its words, once per Python worker."""
-    if (at := (path, seed, dropout, variants)) not in _loaded:
+    return h ^ (h >> np.uint64(32))
+
+
+class Turns:
+    """For each word, the tree of draws that were met: a node is a candidate, with a child for merging (0) and one for skipping it (1); a leaf has ids."""
+
+    def __init__(self, model: PieceModel, dropout: float, most_turns: int = MOST_TURNS, most_ids: int = MOST_IDS):
+        self.model, self.threshold, self.most = model, int(dropout * 2**32), (most_turns, most_ids)
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        # A leaf has place -1, and its number instead of a child.
+        self.place, self.size, self.child = Growing(np.int16), Growing(np.int16), Growing(np.int32)
+        self.start, self.count, self.flat = Growing(np.int64), Growing(np.int32), Growing(np.int32)
+
+    def _add(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        nodes = self.place.n + np.arange(len(place))
+        self.place.extend(place)
+        self.size.extend(size)
+        self.child.extend(np.full(2 * len(place), -1, np.int32))
+        return nodes
+
+    def _leaves(self, found: list[list[int]]) -> np.ndarray:
+        nodes = self._add(np.full(len(found), -1), np.zeros(len(found)))
+        flat, sizes = flattened(found)
+        self.child.data[2 * nodes] = self.start.n + np.arange(len(found))
+        self.start.extend(self.flat.n + np.cumsum(sizes) - sizes)
+        self.count.extend(sizes)
+        self.flat.extend(flat)
+        return nodes
+
+    def _grow(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """Adds the turns that the words take with these keys; gives their roots. Of turns that aren't known yet, no two words take the same."""
+        root = np.array([self.roots.get(w, -1) for w in words], np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        low = -1
+        for high in (6, 10, 16, 24, LONG):
+            chosen = np.flatnonzero((length > low) & (length <= high))
+            low = high
+            for a in range(0, len(chosen), 8192):
+                some = chosen[a : a + 8192]
+                found, draws = self.model.encode_rows([words[k] for k in some.tolist()], keys[some], self.threshold)
+                edge = np.full(len(some), -1, np.int64)
+
+                def step(rows: np.ndarray, new) -> np.ndarray:
+                    """The nodes that the edges of the rows lead to; new(rows) makes those that aren't there."""
+                    e = edge[rows]
+                    node = np.where(e < 0, root[some[rows]], self.child.data[e])
+                    lost = node < 0
+                    if lost.any():
+                        node[lost] = made = new(lost)
+                        at = e[lost]
+                        self.child.data[at[at >= 0]] = made[at >= 0]
+                        root[some[rows[lost]][at < 0]] = made[at < 0]
+                    return node
+
+                for rows, place, size, no in draws:
+                    node = step(rows, lambda lost: self._add(place[lost], size[lost]))  # noqa: B023
+                    edge[rows] = 2 * node + no
+                step(np.arange(len(some)), lambda lost: self._leaves([found[k] for k in np.flatnonzero(lost).tolist()]))  # noqa: B023
+        self.roots.update((w, k) for w, k in zip(words, root.tolist()))
+        return root
+
+    def encode(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, each with its key, one after the other; number of ids of each)."""
+        if self.place.n > self.most[0] or self.flat.n > self.most[1]:
+            self.forget()
+        get = self.roots.get
+        node = np.array([get(w, -1) for w in words], np.int64)
+        lost = np.flatnonzero(node < 0).tolist()
+        if lost:
+            long = [k for k in lost if len(words[k]) > LONG]
+            node[long] = self._leaves([self.model.encode_word(words[k], int(keys[k]), self.threshold) for k in long])
+            new = {words[k]: k for k in lost if len(words[k]) <= LONG}
+            if new:
+                self._grow(list(new), keys[list(new.values())])
+                short = [k for k in lost if len(words[k]) <= LONG]
+                node[short] = [get(words[k]) for k in short]
+        todo = np.arange(len(words))
+        while len(todo):
+            stuck, edges = [], []
+            while len(todo):
+                place = self.place.data[node[todo]]
+                todo, place = todo[place >= 0], place[place >= 0]
+                at = node[todo]
+                edge = 2 * at + skipped_many(keys[todo], place, self.size.data[at], self.threshold)
+                after = self.child.data[edge]
+                known = after >= 0
+                stuck.append(todo[~known])
+                edges.append(edge[~known])
+                todo = todo[known]
+                node[todo] = after[known]
+            todo, edge = np.concatenate(stuck), np.concatenate(edges)
+            if len(todo):
+                some = todo[np.unique(edge, return_index=True)[1]]
+                self._grow([words[k] for k in some.tolist()], keys[some])
+                node[todo] = self.child.data[edge]
+        leaf = self.child.data[2 * node]
+        return gather(self.flat.data, self.start.data[leaf], self.count.data[leaf])
+
+
+_loaded: dict[tuple, tuple[PieceModel, Turns]] = {}
+
+
+def model_and_turns(path: str, dropout: float) -> tuple[PieceModel, Turns]:
+    """The model at path and what is remembered of its words, once per Python worker."""
+    if (at := (path, dropout)) not in _loaded:
         model = PieceModel(path)
-
-        _loaded[at] = model, WordMemory(lambda words, v: model.encode_words(words, v, seed, dropout), variants, most_words=400_000)
+        _loaded[at] = model, Turns(model, dropout)
     return _loaded[at]
 
 
-def encode_texts(texts: list[str], doc_ids: list[int], memory: WordMemory, seed: int = SEED) -> Iterator[np.ndarray]:
+def encode_texts(texts: list[str], doc_ids: list[int], turns: Turns, seed: int = SEED) -> Iterator[np.ndarray]:
     """Ids of each whole text. Words of many texts are looked up at once, and of a long text in parts."""
     ready: list[list[np.ndarray]] = []  # of the texts since the last that was given
     parts: list[tuple[list[str], np.ndarray]] = []
@@ -253,9 +338,7 @@ def encode_texts(texts: list[str], doc_ids: list[int], memory: WordMemory, seed:
 
     def flush() -> None:
         nonlocal held
-        words = [w for ws, _ in parts for w in ws]
-        variant = np.concatenate([v for _, v in parts])
-        ids, sizes = memory.gather(memory.look_up(words, variant))
+        ids, sizes = turns.encode([w for ws, _ in parts for w in ws], np.concatenate([k for _, k in parts]))
         cut = np.cumsum(sizes)[np.cumsum([len(ws) for ws, _ in parts]) - 1]
         for k, own in zip(owner, np.split(ids, cut[:-1])):
             ready[k].append(own)
@@ -267,7 +350,7 @@ def encode_texts(texts: list[str], doc_ids: list[int], memory: WordMemory, seed:
         ready.append([])
         first = 0
         for words in split_words(text):
-            parts.append((words, variants_of(doc_id, first, len(words), seed, memory.variants)))
+            parts.append((words, word_keys(doc_id, first, len(words), seed)))
             owner.append(len(ready) - 1)
             first += len(words)
             held += len(words)
@@ -281,9 +364,9 @@ def encode_texts(texts: list[str], doc_ids: list[int], memory: WordMemory, seed:
     yield from (np.concatenate([np.empty(0, np.int32), *x]) for x in ready)
 
 
-def encode_text(text: str, doc_id: int, memory: WordMemory, seed: int = SEED) -> np.ndarray:
+def encode_text(text: str, doc_id: int, turns: Turns, seed: int = SEED) -> np.ndarray:
     """Ids of one whole text."""
-    return next(encode_texts([text], [doc_id], memory, seed))
+    return next(encode_texts([text], [doc_id], turns, seed))
 
 
 def default_vocabulary() -> str:
@@ -292,32 +375,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, row, setup: tuple) -> DataFrame:
+def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, row, vocabulary: str | None, seed: int, dropout: float) -> DataFrame:
+    path = vocabulary or default_vocabulary()
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory = model_and_memory(*setup)
+        model, turns = model_and_turns(path, dropout)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = as_bytes(batch.column(1))
             for k in range(0, len(ids), 256):
                 own, raw = ids[k : k + 256], texts[k : k + 256]
-                encoded = encode_texts([t.decode() for t in raw], [i or 0 for i in own], memory, setup[1])
+                encoded = encode_texts([t.decode() for t in raw], [i or 0 for i in own], turns, seed)
                 rows = [(i, *row(model, x, t)) for i, x, t in zip(own, encoded, raw)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each text. Null texts count as empty and have none; a null id draws variants as 0 does; repeated rows repeat."""
+def encode(docs: DataFrame, vocabulary: str | None = None, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): the ids of each text. Null texts count as empty and have none; a null id draws as 0 does; repeated rows repeat and draw alike."""
 
     def row(model, ids, text):
         return (ids,)
 
-    return _each(docs, id_col, text_col, "doc_id long, ids array<int>", row, (vocabulary or default_vocabulary(), seed, dropout, variants))
+    return _each(docs, id_col, text_col, "doc_id long, ids array<int>", row, vocabulary, seed, dropout)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -325,7 +409,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _ = model_and_memory(path, SEED, 0.0, 1)
+        model, _ = model_and_turns(path, 0.0)
         for batch in batches:
             texts = [model.decode(np.array(x or [], np.int64)).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -336,11 +420,11 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 SUMMARY = "doc_id long, n_ids long, ids_crc32 long, n_bytes long, decoded_crc32 long, lossless boolean"
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes each whole text: number of ids, crc32 of the ids (as little-endian 32-bit integers), bytes and crc32 of what decoding gives, and whether that is the text."""
 
     def row(model, ids, text):
         back = model.decode(ids)
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), zlib.crc32(back), back == text
 
-    return _each(docs, id_col, text_col, SUMMARY, row, (vocabulary or default_vocabulary(), seed, dropout, variants))
+    return _each(docs, id_col, text_col, SUMMARY, row, vocabulary, seed, dropout)

@@ -11,7 +11,7 @@ import numpy as np
 MOST_WORDS, MOST_IDS = 600_000, 6_000_000
 
 
-class _Growing:
+class Growing:
     """An array to which rows are appended."""
 
     def __init__(self, kind: type):
@@ -34,7 +34,7 @@ class WordMemory:
     def forget(self) -> None:
         self.numbers: dict = {}
         self.names: list = []
-        self.slot, self.start, self.size, self.flat = _Growing(np.int32), _Growing(np.int64), _Growing(np.int32), _Growing(np.int32)
+        self.slot, self.start, self.size, self.flat = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.int32)
 
     def look_up(self, words: list, variant: np.ndarray | None = None) -> np.ndarray:
         """The slot of each word in its variant. Slots hold until the next call."""

@@ -15,12 +15,9 @@ def library(text):
     return sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text)
 
 
-def slow_word(model, word, variant, dropout):
+def slow_word(model, word, key, dropout):
     """Merges by scanning all pairs for the best one, without an agenda."""
-    import xxhash
-
     symbols = [(k, c) for k, c in enumerate(word.replace(" ", "▁"))]
-    key = xxhash.xxh64_intdigest(word.encode(), pieces.SEED + variant * 0x9E3779B1)
     dead = set()
     while True:
         pairs = [(model.rank[a + b][0], i, n) for n, ((i, a), (_, b)) in enumerate(zip(symbols, symbols[1:])) if a + b in model.rank and (i, a + b) not in dead]
@@ -38,7 +35,7 @@ def slow_word(model, word, variant, dropout):
 @given(st.text(max_size=40) | st.lists(st.sampled_from(["the", " ", "  ", "\n", "tion", "é", "▁", "日", "\t", "ing"]), max_size=20).map("".join))
 def test_no_dropout_is_the_library(text):
     text = text.encode("utf-8", "ignore").decode()
-    model, memory = pieces.model_and_memory(PATH, 1, 0.0, 1)
+    model, memory = pieces.model_and_turns(PATH, 0.0)
     ids = pieces.encode_text(text, 3, memory, 1)
     if "▁" not in text:
         assert ids.tolist() == library(text)
@@ -49,7 +46,7 @@ def test_no_dropout_is_the_library(text):
 @given(st.text(max_size=60), st.integers(0, 9))
 def test_dropout_is_lossless(text, doc_id):
     text = text.encode("utf-8", "ignore").decode()
-    model, memory = pieces.model_and_memory(PATH, 42, 0.4, 3)
+    model, memory = pieces.model_and_turns(PATH, 0.4)
     assert model.decode(pieces.encode_text(text, doc_id, memory)) == text.encode()
 
 
@@ -59,18 +56,23 @@ def test_agenda_is_best_first():
     for k in range(200):
         word = " " + "".join(rng.choice(["th", "er", "ion", "a", "e", "st", "n"]) for _ in range(rng.randint(1, 8)))
         for dropout in (0.0, 0.3):
-            want = [model.rank[s][1] for _, s in slow_word(model, word, k % 4, dropout)]
-            assert model.encode_word(word, k % 4, dropout=dropout) == want
+            key = rng.getrandbits(64)
+            want = [model.rank[s][1] for _, s in slow_word(model, word, key, dropout)]
+            assert model.encode_word(word, key, int(dropout * 2**32)) == want
 
 
 def test_many_words_at_once():
     model = pieces.PieceModel(PATH)
     rng = random.Random(9)
     words = ["", " ", "▁", "   ", "\n", "日本", "\0", "é" * 60, "ing" * 15] + [" " * rng.randint(0, 3) + "".join(rng.choice(["th", "er", "ion", "a", "é", "st", "▁", "ü", "!", "日"]) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    words = words * 3
+    keys = np.random.default_rng(9).integers(0, 2**64, len(words), dtype=np.uint64)
     for dropout in (0.0, 0.2, 0.9):
-        variants = [k % 3 for k in range(len(words))]
-        flat, sizes = model.encode_words(words, variants, 5, dropout)
-        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [model.encode_word(w, v, 5, dropout) for w, v in zip(words, variants)]
+        turns = pieces.Turns(model, dropout, most_turns=5000)
+        for part in (slice(0, 500), slice(500, None), slice(None)):
+            flat, sizes = turns.encode(words[part], keys[part])
+            want = [model.encode_word(w, k, int(dropout * 2**32)) for w, k in zip(words[part], keys[part].tolist())]
+            assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
 
 
 def test_whole_table(spark):
@@ -84,8 +86,8 @@ def test_whole_table(spark):
         assert rows[k].lossless and rows[k].n_bytes == len(raw) and rows[k].decoded_crc32 == zlib.crc32(raw)
         words = [w for part in pieces.split_words(t or "") for w in part]
         if len(words) < 500:
-            v = pieces.variants_of(k, 0, len(words), pieces.SEED, pieces.VARIANTS)
-            want = [i for w, x in zip(words, v.tolist()) for i in model.encode_word(w, x, dropout=pieces.DROPOUT)]
+            keys = pieces.word_keys(k, 0, len(words), pieces.SEED)
+            want = [i for w, x in zip(words, keys.tolist()) for i in model.encode_word(w, x, int(pieces.DROPOUT * 2**32))]
             assert rows[k].n_ids == len(want) and rows[k].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
     assert rows[None].lossless
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()}
@@ -94,6 +96,11 @@ def test_whole_table(spark):
 
 
 def test_dropout_varies():
-    _, memory = pieces.model_and_memory(PATH, 42, 0.1, 4)
-    same = [tuple(pieces.encode_text("international considerations " * 3, k, memory)) for k in range(8)]
-    assert len(set(same)) > 1 and same[0] == tuple(pieces.encode_text("international considerations " * 3, 0, memory))
+    """Each occurrence has draws of its own: a frequent word gets many segmentations."""
+    model, turns = pieces.model_and_turns(PATH, 0.1)
+    same = [tuple(pieces.encode_text("international considerations " * 3, k, turns)) for k in range(8)]
+    assert len(set(same)) > 1 and same[0] == tuple(pieces.encode_text("international considerations " * 3, 0, turns))
+    keys = pieces.word_keys(1, 0, 20_000, 42)
+    flat, sizes = turns.encode([" considerations"] * len(keys), keys)
+    forms = {tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1])}
+    assert len(forms) > 20 and {model.decode(np.array([0, *f])) for f in forms} == {model.decode(np.array([0, *model.encode_word(" considerations")]))}
