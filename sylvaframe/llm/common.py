@@ -41,17 +41,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def one_row_batches(spark: SparkSession):
-    """Arrow batches of one row, for plans run inside: where a row holds megabytes, a batch of many would fill a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def one_row_batches(spark: SparkSession):
+    """Arrow batches of one row, for plans run inside: where a row holds megabytes, a batch of many would fill a worker's memory."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+
+def small_batches(spark: SparkSession, n_bytes: int = 4 << 20):
+    """Arrow batches of at most so many bytes (or of one row), for plans run inside."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+
+
 def partitions_for(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,28 +1,33 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies: SimHash candidates, verified by the Jaccard similarity of word shingles.
 
-Candidates share a band of their MinHash signatures. All of them are held against their
-bucket's smallest member by exact similarity; in a bucket that this leaves in several
-components, all members are, in blocks. A link therefore never rests on an estimate, and
-the only pairs missed are those that share no band: at the threshold of 0.8 with 32 bands
-of 5 rows, 3 in a million.
+A text has two fingerprints over its n-word shingles, of independent hashes. Two texts
+are linked if one of their fingerprints differs in few bits and the sets of their
+shingles are similar enough. The trie self-join gives groups in which all such pairs
+meet. All members of a group are held against its smallest one; in a group that this
+leaves in several components, all members are, in blocks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
-from .simhash import _merge, components, shingle_hashes
+from ..plans.shared import small
+from .common import as_bytes, small_batches, written
+from .simhash import Budget, _merge, components, majority, shingle_hashes, trie_groups
 
 WORDS_PER_SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 32, 5
-SEED = 42
+#: Fingerprints of a text, the bits that one of them may differ in, and the tries that are walked for it. Of texts with a similarity of 0.8, a fingerprint
+#: differs in 10 bits of 64 on average; with two of them, 0.94 of such pairs are found, and 0.99 with a similarity of 0.85.
+SIGNATURES = 2
+BUDGET = Budget(11, 8, leaf=32)
 #: Members of a bucket that are held against each other at once.
 BLOCK = 128
 #: Shingles that are counted at once.
@@ -40,21 +45,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A key for each band of the MinHash signature of a set that isn't empty."""
-    rng = np.random.default_rng(SEED)
-    times, plus = rng.integers(0, 2**63, (2, bands * rows), dtype=np.uint64)
-    times = times * np.uint64(2) + np.uint64(1)
-    least = np.full(bands * rows, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 256):
-        least = np.minimum(least, ((hashes[k : k + 256, None] ^ plus) * times).min(axis=0))
-    key = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
 def similar_pairs(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
     """Whether each pair of the sets is similar enough, as a symmetric matrix."""
     sizes = np.array([len(s) for s in sets])
@@ -73,13 +63,27 @@ def similar_pairs(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarra
     return (both > 0) & (both >= similar * (sizes[:, None] + sizes - both) - 1e-9)
 
 
-def _bands(n: int):
+def fingerprints_of(hashes: np.ndarray) -> list[int]:
+    """The fingerprints of a set of hashes, each of them mixed anew."""
+    out = []
+    for _ in range(SIGNATURES):
+        out.append(majority(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(31)
+    return out
+
+
+_FPS = [f"fp{k}" for k in range(SIGNATURES)]
+PRINTS = "node binary, " + ", ".join(f"{c} long" for c in _FPS)
+
+
+def _prints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, band_keys(s)) for k, t in enumerate(as_bytes(batch.column(1))) if len(s := shingle_set(t, n))]
-            if found:
-                at = np.repeat([k for k, _ in found], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys for _, keys in found])), batch.column(0).take(pa.array(at))], ["key", "node"])
+            found = [(k, *fingerprints_of(s)) for k, t in enumerate(as_bytes(batch.column(1))) if len(s := shingle_set(t, n))]
+            at, *prints = zip(*found) if found else [()] * (1 + SIGNATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints)], ["node", *_FPS])
 
     return run
 
@@ -94,12 +98,16 @@ def _verified(n: int, similar: float):
     return run
 
 
-def _block(n: int, similar: float):
+def _block(n: int, similar: float, bits: int):
     def run(t: pa.Table) -> pa.Table:
         labels = t.column("label").to_pylist()
         node, links = t.column("node"), np.empty((0, 2), np.int64)
         if len(set(labels)) > 1:
-            i, j = np.nonzero(np.triu(similar_pairs([shingle_set(x, n) for x in as_bytes(t.column("text"))], similar), 1))
+            close = np.zeros((len(labels), len(labels)), bool)
+            for c in _FPS:
+                fp = t.column(c).to_numpy()
+                close |= np.bitwise_count((fp[:, None] ^ fp).view(np.uint64)) <= bits
+            i, j = np.nonzero(np.triu(similar_pairs([shingle_set(x, n) for x in as_bytes(t.column("text"))], similar) & close, 1))
             tree = np.arange(len(labels))
             _merge(tree, i, j)
             moved = np.flatnonzero(tree != np.arange(len(tree)))
@@ -109,16 +117,33 @@ def _block(n: int, similar: float):
     return run
 
 
-def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): links that join the texts of rows (node, text; equal texts have equal nodes) whose sets of n-word shingles are similar enough, directly or by other links. Texts without a word have none."""
-    bands = written(rows.mapInArrow(_bands(n), "key long, node binary"), "bands")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
-    members = written(bands.join(hubs, "key").distinct(), "members")
+def _groups(prints: DataFrame, budget: Budget) -> DataFrame:
+    """(key, node): groups such that two nodes with a fingerprint within the budget share one."""
+    found = []
+    for k, c in enumerate(_FPS):
+        kinds = written(prints.groupBy(F.col(c).alias("fp")).agg(F.count(F.lit(1)).alias("n")), "print-kinds")
+        equal = kinds.filter("n > 1").select(F.xxhash64("fp", F.lit("equal")).alias("key"), "fp")
+        groups = trie_groups(kinds.select("fp"), budget).unionByName(equal)
+        found.append(groups.join(prints.select("node", F.col(c).alias("fp")), "fp").select(F.xxhash64("key", F.lit(k)).alias("key"), "node"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIMILAR, budget: Budget = BUDGET) -> DataFrame:
+    """(a, b): links that join the texts of rows (node, text; equal texts have equal nodes) that are near enough, directly or by other links. Texts without a word have none."""
+    spark = rows.sparkSession
+    with small_batches(spark):
+        prints = written(rows.mapInArrow(_prints(n), PRINTS).distinct(), "prints")
+    held = written(_groups(prints, budget), "groups")
+    hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
+    members = written(held.join(hubs, "key").distinct(), "members")
     texts = written(rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    of = lambda df, c: df.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "node"))
+    close = reduce(Column.__or__, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) <= budget.bits for c in _FPS))
     stars = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    links = written(stars.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(n, similar), "a binary, b binary"), "stars")
-    # A bucket of three or more in several components may hold links beside its star; buckets of the same members are one.
+    stars = stars.join(of(prints, "a"), "a").join(of(prints, "b"), "b").filter(close).select("a", "b")
+    with small_batches(spark):
+        links = written(stars.join(of(texts, "a"), "a").join(of(texts, "b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(n, similar), "a binary, b binary"), "stars")
+    # A group of three or more in several components may hold links beside its star; groups of the same members are one.
     named = members.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
     named = written(named, "labels")
     buckets = named.groupBy("key").agg(
@@ -129,22 +154,25 @@ def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIM
         named.join(parted, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "label")
     )
-    more = dealt.join(texts, "node").groupBy("key", "lo", "hi").applyInArrow(_block(n, similar), "a binary, b binary")
+    more = dealt.join(texts, "node").join(prints, "node").groupBy("key", "lo", "hi").applyInArrow(_block(n, similar, budget.bits), "a binary, b binary")
     return links.unionByName(written(more.distinct(), "more-links"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS_PER_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS_PER_SHINGLE, similar: float = SIMILAR, budget: Budget = BUDGET) -> DataFrame:
     """Rows of docs without those of a group of near copies that don't have its smallest id; all columns of docs.
 
-    A group is connected by links of texts whose sets of n-word shingles have a Jaccard similarity of at least `similar`. Equal texts are one group. Null texts
-    count as empty, and a row with a null id stays unless its group has an id, or another text of the group without ids is first by digest."""
+    A group is connected by links of texts whose sets of n-word shingles have a Jaccard similarity of at least `similar` and one of whose fingerprints lies
+    within the budget. Equal texts are one group. Null texts count as empty, and a row with a null id stays unless its group has an id, or another text of the
+    group without ids is first by digest. The rows that go are sent to the texts by broadcast as long as they are few, so that texts don't move."""
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    node = F.unhex(F.md5(text))
+    node, own_node, own_id = F.unhex(F.md5(text)), *(f"{x}_{uuid.uuid4().hex}" for x in ("node", "id"))
     ids = written(docs.select(node.alias("node"), id_.alias("id")).distinct(), "ids")
-    comps = components(near_links(docs.select(node.alias("node"), text.alias("text")), n, similar))
+    comps = components(near_links(docs.select(node.alias("node"), text.alias("text")), n, similar, budget))
     rooted = written(ids.join(comps, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
     kept = (F.col("node") == F.col("first.node")) & F.col("id").eqNullSafe(F.col("first.id"))
-    gone = rooted.join(first, "root").filter(~kept).select(F.col("node").alias("__node"), F.col("id").alias("__id"))
-    gone = written(gone, "gone")
-    return docs.join(gone, (node == F.col("__node")) & id_.eqNullSafe(F.col("__id")), "left_anti")
+    gone = written(rooted.join(first, "root").filter(~kept).select(F.col("node").alias(own_node), F.col("id").alias(own_id)), "gone")
+    # Not an equality, so that only texts whose ids meet are hashed again.
+    same = (node >= F.col(own_node)) & (node <= F.col(own_node))
+    named = docs.filter(id_.isNotNull()).join(small(gone.filter(F.col(own_id).isNotNull())), (id_ == F.col(own_id)) & same, "left_anti")
+    return named.unionByName(docs.filter(id_.isNull()).join(small(gone.filter(F.col(own_id).isNull())), node == F.col(own_node), "left_anti"))

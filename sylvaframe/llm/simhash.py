@@ -1,27 +1,29 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 A fingerprint is the bitwise majority over the XXH64 hashes of all word shingles
-of a text. Distinct fingerprints are joined with themselves: the trie's bits are
-rotated three times so that one third of the bits leads. Two fingerprints that
-differ in two bits or fewer agree in at least one third, so every link lies in a
-subtrie below one leading third of some rotation. Spark deals these subtries out;
-in a task, pairs of nodes are walked together, level by level, differing bits add
-up, and pairs beyond the error budget are pruned. A subtrie with too many
-fingerprints is dealt out again as pairs of its own child nodes, so no task holds
-an unbounded group.
-
-A task emits a spanning forest of each subtrie, not its pairs; the forests are
+of a text. The trie of the distinct fingerprints is joined with itself: pairs of nodes
+are walked together from the root, level by level, differing bits add up, and pairs
+beyond the error budget are pruned, until both nodes are single fingerprints.
+
+The top of the trie is walked on DataFrames: nodes with too many fingerprints are
+split, again and again, and the pairs of top nodes within the budget are dealt out with
+their fingerprints. So a task holds two bounded nodes, whatever the data; it walks on in
+numpy.
+
+A task emits a spanning forest of its links, not its pairs; the forests are
 merged by alternating large-star and small-star rounds on DataFrames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, id_and_text, partitions_for, written
@@ -29,12 +31,10 @@ from .common import as_bytes, id_and_text, partitions_for, written
 WORDS_PER_SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-#: Distinct fingerprints of one subtrie beyond which it is dealt out as pairs of child nodes.
-HOT_SUBTRIE = 200_000
-#: Bits by which such a subtrie is split.
-SPLIT_BITS = 8
-#: Node pairs that a task expands at once.
-FRONTIER = 1 << 19
+#: Fingerprints that a top node of the trie has at most, and the bits by which a larger one is split.
+NODE_KEYS, SPLIT_BITS = 1 << 16, 4
+#: Node pairs that a task expands at once, and fingerprints that it holds at once if they are of several pairs of top nodes.
+FRONTIER, AT_ONCE = 1 << 18, 1 << 17
 
 
 def shingle_hashes(text: bytes, n: int = WORDS_PER_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -91,129 +91,229 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             a, b = lo, hi
 
 
-def _first_one(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
-    """For each sorted range lo..hi, where the keys whose bit at `depth` is 1 begin."""
-    lo, hi, shift = lo.copy(), hi.copy(), np.uint64(63 - depth)
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        one = ((keys[np.minimum(mid, len(keys) - 1)] >> shift) & np.uint64(1)).astype(bool)
-        hi = np.where(open_ & one, mid, hi)
-        lo = np.where(open_ & ~one, mid + 1, lo)
-    return lo
-
+def _flatten(label: np.ndarray) -> np.ndarray:
+    while not (label[label] == label).all():
+        label = label[label]
+    return label
 
-def trie_forest(keys: np.ndarray, first: np.ndarray, depth: int, budget: int = MAX_BITS) -> np.ndarray:
-    """For each key, the index of the root of its tree, over links of at most `budget` differing bits.
 
-    first: pairs of trie nodes at `depth`, as rows (a0, a1, b0, b1, bits that differ so far); a node is a range of sorted keys,
-    and a node's pair with itself stands for the links within it."""
-    label = np.arange(len(keys))
-    stack = [(depth, first)]
+@dataclass(frozen=True)
+class Budget:
+    """At most `bits` differing bits, looked for in `turns` tries, each of which begins with another part of the bits.
+
+    Of two keys that differ in `bits` bits or fewer, some rotation by whole parts has at most its share of the differing bits in every beginning
+    made of whole parts: no more than bits * j / turns in the first j. So a trie that is walked under this tightening budget in each rotation finds
+    every pair, and one rotation is the plain budget."""
+
+    bits: int
+    turns: int = 1
+    #: Pairs of keys up to which a pair of nodes is not walked further, but its keys are compared.
+    leaf: int = 1
+
+    def upto(self) -> list[int]:
+        """The bits that may differ among the first 0, 1, ..., 64."""
+        return [self.bits * -(-d * self.turns // 64) // self.turns for d in range(65)]
+
+    def turned(self) -> list[int]:
+        """The bits by which each trie's keys are rotated left."""
+        return [64 * t // self.turns for t in range(self.turns)]
+
+
+#: Calls of the step that goes from node pairs to pairs of their children, for tests.
+steps_taken = 0
+
+
+def trie_forest(keys: np.ndarray, first: np.ndarray, depths: np.ndarray, budget: Budget) -> np.ndarray:
+    """For each key, the index of the root of its tree, over links of at most budget.bits differing bits.
+
+    first: pairs of trie nodes, as rows (a0, a1, b0, b1, bits that differ so far), each at its depth; a node is a range of sorted keys, and a
+    node's pair with itself stands for the links within it. Pairs are expanded together, bit by bit, until both nodes are single keys (or have
+    budget.leaf pairs of keys at most); a pair beyond the budget is dropped, and so is one whose keys are all in one tree already."""
+    global steps_taken
+    label, limit = np.arange(len(keys)), budget.upto()
+    # Where two neighbours first differ: a node at depth d is split at its only neighbours that differ first at bit d.
+    apart = keys[1:] ^ keys[:-1]
+    high = 31 - np.floor(np.log2(np.maximum(apart >> np.uint64(32), 1).astype(np.float64))).astype(np.int64)
+    low = 63 - np.floor(np.log2(np.maximum(apart & np.uint64(0xFFFFFFFF), 1).astype(np.float64))).astype(np.int64)
+    differ = np.where(apart >> np.uint64(32) > 0, high, low)
+    order = np.argsort(differ, kind="stable").astype(np.int32)
+    ends = np.searchsorted(differ[order], np.arange(65))
+    cuts = [np.append(order[ends[d] : ends[d + 1]] + np.int32(1), np.int32(len(keys) + 1)) for d in range(64)]
+
+    def split(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+        at = cuts[depth][np.minimum(np.searchsorted(cuts[depth], lo, "right"), len(cuts[depth]) - 1)]
+        zero = (keys[lo] >> np.uint64(63 - depth)) & np.uint64(1) == 0
+        return np.where(at < hi, at, np.where(zero, hi, lo))
+
+    def compare(a0, a1, b0, b1) -> None:
+        """Links the keys of the pairs, each with each."""
+        size = (a1 - a0).astype(np.int64) * (b1 - b0)
+        if (size == 1).all():
+            i, j = a0, b0
+        else:
+            k = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
+            wide = (b1 - b0)[k]
+            i, j = a0[k] + at // wide, b0[k] + at % wide
+        near = np.bitwise_count(keys[i] ^ keys[j]) <= budget.bits
+        near &= i != j
+        _merge(label, i[near], j[near])
+
+    first = first.astype(np.int32)
+    stack = [(int(d), tuple(np.ascontiguousarray(c) for c in first[depths == d].T)) for d in np.unique(depths)[::-1]]
     while stack:
         depth, pairs = stack.pop()
-        if len(pairs) > FRONTIER:
-            stack += [(depth, pairs[k : k + FRONTIER]) for k in range(0, len(pairs), FRONTIER)]
+        n = len(pairs[0])
+        if n > FRONTIER:
+            nearest_last = np.argsort(-pairs[4].astype(np.int16), kind="stable")
+            stack += [(depth, tuple(x[nearest_last[k : k + FRONTIER]] for x in pairs)) for k in range(0, n, FRONTIER)]
             continue
-        size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
-        small = (size <= 64) | (depth >= 64)
-        if small.any():
-            p, each = pairs[small], size[small]
-            k = np.repeat(np.arange(len(p)), each)
-            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            wide = (p[:, 3] - p[:, 2])[k]
-            i, j = p[k, 0] + at // wide, p[k, 2] + at % wide
-            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            _merge(label, i[near], j[near])
-            pairs = pairs[~small]
-        if not len(pairs):
+        steps_taken += 1
+        a0, a1, b0, b1, err = pairs
+        if n > 1024:
+            label = _flatten(label)
+            changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+            apart = (label[a0] != label[b0]) | (changes[a1 - 1] != changes[a0]) | (changes[b1 - 1] != changes[b0])
+            a0, a1, b0, b1, err = (x[apart] for x in pairs)
+        done = (a1 - a0).astype(np.int64) * (b1 - b0) <= budget.leaf
+        if done.any():
+            compare(a0[done], a1[done], b0[done], b1[done])
+            a0, a1, b0, b1, err = (x[~done] for x in (a0, a1, b0, b1, err))
+        if not len(a0):
             continue
-        a0, a1, b0, b1, err = pairs.T
-        am, bm = _first_one(keys, a0, a1, depth), _first_one(keys, b0, b1, depth)
-        both_ways = a0 != b0
-        out = np.concatenate((
-            np.stack((a0, am, b0, bm, err), 1), np.stack((am, a1, bm, b1, err), 1),
-            np.stack((a0, am, bm, b1, err + 1), 1), np.stack((am, a1, b0, bm, err + 1), 1)[both_ways],
-        ))
-        out = out[(out[:, 0] < out[:, 1]) & (out[:, 2] < out[:, 3]) & (out[:, 4] <= budget)]
-        if len(out):
+        am, bm = split(a0, a1, depth), split(b0, b1, depth)
+        zero_a, one_a, zero_b, one_b = a0 < am, am < a1, b0 < bm, bm < b1
+        more = err < limit[depth + 1]
+        even = err <= limit[depth + 1]
+        # Of a node with itself, zeros with ones is the same as ones with zeros.
+        chosen = [(np.flatnonzero(x), *y) for x, y in (
+            (zero_a & one_b & more, (a0, am, bm, b1, 1)), (one_a & zero_b & more & (a0 != b0), (am, a1, b0, bm, 1)),
+            (zero_a & zero_b & even, (a0, am, b0, bm, 0)), (one_a & one_b & even, (am, a1, bm, b1, 0)),
+        )]
+        out = tuple(np.concatenate([c[k + 1][c[0]] for c in chosen]) for k in range(4)) + (np.concatenate([err[c[0]] + np.int32(c[5]) for c in chosen]),)
+        if len(out[0]):
             stack.append((depth + 1, out))
-    while not (label[label] == label).all():
-        label = label[label]
-    return label
+    return _flatten(label)
+
+
+# --- the trie on Spark -----------------------------------------------------------------------------------------------
+
+PAIR = ["turn", "da", "a", "db", "b"]
+
 
+def _prefix(key: str, depth: int) -> Column:
+    """The first `depth` bits of a key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
-def _forest(turn: int, split: bool, lo: np.ndarray, hi: np.ndarray, head: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """(a, b) for whole groups of one rotation, sorted by head, lo, hi and key."""
-    width = BLOCKS[turn][1]
-    cut = np.flatnonzero((head[1:] != head[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-    start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-    first, depth = np.stack((start, end, start, end, np.zeros_like(start)), 1), width
-    if split:
-        depth = width + SPLIT_BITS
-        sub = ((keys >> np.uint64(64 - depth)) & np.uint64((1 << SPLIT_BITS) - 1)).astype(np.int64)
-        lows = np.concatenate(([0], np.cumsum(sub == lo)))
-        mid, cross = start + lows[end] - lows[start], lo[start] != hi[start]
-        spent = np.bitwise_count(lo[start] ^ hi[start])
-        first[cross] = np.stack((start, mid, mid, end, spent), 1)[cross]
-    first = first[(first[:, 0] < first[:, 1]) & (first[:, 2] < first[:, 3]) & (first[:, 1] + first[:, 3] - first[:, 0] - first[:, 2] > 2 - (first[:, 0] != first[:, 2]))]
-    label = trie_forest(keys, first, depth)
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    back = np.uint64(BLOCKS[turn][0])
-    whole = (keys >> back) | (keys << (np.uint64(64) - back)) if back else keys
-    return pa.RecordBatch.from_arrays([pa.array(whole[moved].view(np.int64)), pa.array(whole[label[moved]].view(np.int64))], ["a", "b"])
-
-
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (turn, lo, hi, head, key) sorted by all; emits (a, b): a fingerprint and the root of its tree. Many small groups are walked at once."""
-    held: np.ndarray | None = None
+
+def trie_pairs(keys: DataFrame, budget: Budget) -> tuple[DataFrame, DataFrame]:
+    """(nodes, pairs) for keys (turn, key).
+
+    nodes: (turn, depth, node, key): each key with its top node, the nodes being split, SPLIT_BITS at a time, until they have at most NODE_KEYS keys.
+    pairs: (turn, da, a, db, b, err): the pairs of top nodes whose first bits are within the budget, a node with itself included."""
+    limit = budget.upto()
+    kind = "turn int, da int, a long, a_open boolean, db int, b long, b_open boolean, err int"
+    open_keys, depth, nodes, done, pairs = keys, 0, [], [], None
+    while True:
+        named = open_keys.withColumn("node", _prefix("key", depth))
+        counted = named.groupBy("turn", "node").agg((F.count(F.lit(1)) > NODE_KEYS).alias("open")).select("turn", "node", F.when(F.lit(depth < 64), F.col("open")).otherwise(False).alias("open"))
+        counted = written(counted, "trie-nodes")  # a row for every NODE_KEYS / 2^SPLIT_BITS keys or so
+        nodes.append(named.join(counted.filter("not open"), ["turn", "node"]).select("turn", F.lit(depth).alias("depth"), "node", "key"))
+        if pairs is None:
+            pairs = counted.select("turn", F.lit(0).alias("da"), F.col("node").alias("a"), F.col("open").alias("a_open"), F.lit(0).alias("db"), F.col("node").alias("b"), F.col("open").alias("b_open"), F.lit(0).alias("err"))
+        else:
+            children = counted.select("turn", F.shiftrightunsigned("node", SPLIT_BITS).alias("parent"), "node", "open")
+            side = lambda c: children.select("turn", F.col("parent").alias(c), F.col("node").alias(f"{c}_node"), F.col("open").alias(f"{c}_now"))
+            open_pairs = pairs.filter("a_open or b_open")
+            pick = lambda p, c: p.filter(f"{c}_open").join(side(c), ["turn", c]).unionByName(p.filter(f"not {c}_open").withColumn(f"{c}_node", F.col(c)).withColumn(f"{c}_now", F.lit(False)))
+            grown = pick(pick(open_pairs, "a"), "b").filter("da <> db or a <> b or a_node <= b_node")
+            deeper = F.when(F.col("a_open") & F.col("b_open"), F.bit_count(F.col("a_node").bitwiseXOR(F.col("b_node")).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)))).otherwise(0)
+            grown = grown.select(
+                "turn", F.when(F.col("a_open"), depth).otherwise(F.col("da")).alias("da"), F.col("a_node").alias("a"), F.col("a_now").alias("a_open"),
+                F.when(F.col("b_open"), depth).otherwise(F.col("db")).alias("db"), F.col("b_node").alias("b"), F.col("b_now").alias("b_open"), (F.col("err") + deeper).cast("int").alias("err"),
+            )
+            done.append(pairs.filter("not a_open and not b_open"))
+            pairs = written(grown.filter(F.col("err") <= limit[depth]), "trie-pairs")
+        if counted.filter("open").isEmpty():
+            closed = reduce(DataFrame.unionByName, [*done, pairs.filter("not a_open and not b_open")])
+            return reduce(DataFrame.unionByName, nodes), closed.select(*PAIR, "err")
+        open_keys = written(named.join(counted.filter("open"), ["turn", "node"]).select("turn", "key"), "open-keys")
+        depth += SPLIT_BITS
+
+
+def _walked(budget: Budget, grouped: bool):
+    """Rows (turn, da, a, db, b, err, side, key) in whole pairs, sorted by all but err; emits what trie_links or trie_groups gives."""
+    back = budget.turned()
 
     def walk(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for turn in range(len(BLOCKS)):
-            for split in (False, True):
-                r = rows[(rows[:, 0] == turn) & ((rows[:, 1] >= 0) == split)]
-                if len(r) > 1:
-                    order = np.lexsort((r[:, 4].view(np.uint64), r[:, 3], r[:, 2], r[:, 1]))
-                    r = r[order]
-                    yield _forest(turn, split, r[:, 1], r[:, 2], r[:, 3], np.ascontiguousarray(r[:, 4]).view(np.uint64))
-
-    for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], 1)
-        held = rows if held is None else np.concatenate((held, rows))
-        if len(held) >= HOT_SUBTRIE:
-            change = np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(axis=1))
-            if len(change):
-                at = change[-1] + 1
-                yield from walk(held[:at])
-                held = held[at:]
-    if held is not None and len(held):
-        yield from walk(held)
-
-
-#: For each rotation: bits by which a fingerprint is rotated left, and the width of the leading block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-
-
-def trie_links(fps: DataFrame) -> DataFrame:
-    """(a, b): links that join exactly the fingerprints (column fp, distinct) that differ in MAX_BITS bits or fewer, directly or by other links."""
+        keys = np.ascontiguousarray(rows[:, 7]).view(np.uint64)
+        cut = np.concatenate(([0], np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1)) + 1, [len(rows)]))
+        start, end = cut[:-1], cut[1:]
+        head = rows[start]
+        own = (head[:, 1] == head[:, 3]) & (head[:, 2] == head[:, 4])
+        second = np.concatenate(([0], np.cumsum(rows[:, 6])))
+        mid = end - (second[end] - second[start])  # where side 1 begins
+        first = np.stack((start, np.where(own, end, mid), np.where(own, start, mid), end, head[:, 5]), 1)
+        ok = (first[:, 0] < first[:, 1]) & (first[:, 2] < first[:, 3]) & ((end - start) > 1)
+        label = trie_forest(keys, first[ok], np.minimum(head[:, 1], head[:, 3])[ok], budget)
+        by = np.array(back, np.uint64)[rows[:, 0]]
+        whole = np.where(by > 0, (keys >> by) | (keys << ((np.uint64(64) - by) & np.uint64(63))), keys).view(np.int64)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        if not grouped:
+            yield pa.RecordBatch.from_arrays([pa.array(whole[moved]), pa.array(whole[label[moved]])], ["a", "b"])
+            return
+        roots = np.unique(label[moved])
+        members = np.concatenate((roots, moved))
+        of = label[members]
+        name = keys[of].copy()
+        for k in range(5):
+            name = (name ^ rows[of, k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            name ^= name >> np.uint64(29)
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole[members])], ["key", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(8)], 1)
+            if n + len(rows) >= AT_ONCE and held:
+                # All pairs but the last, which may go on, are whole.
+                every = np.concatenate([*held, rows])
+                change = np.flatnonzero((every[1:, :5] != every[:-1, :5]).any(axis=1))
+                at = change[-1] + 1 if len(change) else 0
+                if at:
+                    yield from walk(every[:at])
+                held, n = [every[at:]], len(every) - at
+            else:
+                held.append(rows)
+                n += len(rows)
+        if n:
+            yield from walk(np.concatenate(held))
+
+    return run
+
+
+def _joined(fps: DataFrame, budget: Budget, grouped: bool, schema: str) -> DataFrame:
+    """The walk over all pairs of top nodes of fps (column fp, distinct)."""
     spark = fps.sparkSession
-    turned = [
-        F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned(key := (F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")), 64 - width).alias("head"), key.alias("key"))
-        for t, (by, width) in enumerate(BLOCKS)
-    ]
-    rows = fps.select(F.explode(F.array(*turned)).alias("r")).select("r.*")
-    hot = rows.groupBy("turn", "head").count().filter(F.col("count") > HOT_SUBTRIE).select("turn", "head", F.lit(True).alias("hot"))
-    hot = written(hot, "hot-subtries")  # at most 3 N / HOT_SUBTRIE rows
-    plain = rows.join(hot, ["turn", "head"], "left_anti").select("turn", "head", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "key")
-    masks = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= MAX_BITS]
-    sub = F.expr(f"cast(shiftrightunsigned(key, {{}} - {SPLIT_BITS}) & {(1 << SPLIT_BITS) - 1} as int)".format(f"case when turn = 2 then {64 - BLOCKS[2][1]} else {64 - BLOCKS[0][1]} end"))
-    split = (
-        rows.join(hot, ["turn", "head"], "left_semi").withColumn("sub", sub)
-        .withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn("other", F.col("sub").bitwiseXOR(F.col("mask")))
-        .select("turn", "head", F.least("sub", "other").alias("lo"), F.greatest("sub", "other").alias("hi"), "key")
-    )
-    group = ["turn", "lo", "hi", "head"]
-    dealt = plain.unionByName(split).repartition(partitions_for(spark), *group).sortWithinPartitions(*group)
-    return dealt.select(*group, "key").mapInArrow(_forests, "a long, b long").filter("a <> b").distinct()
+    turned = [F.struct(F.lit(t).alias("turn"), (F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")).alias("key")) for t, by in enumerate(budget.turned())]
+    nodes, pairs = trie_pairs(written(fps.select(F.explode(F.array(*turned)).alias("r")).select("r.*"), "turned"), budget)
+    ends = pairs.withColumn("ends", F.array(F.struct(F.lit(0).alias("side"), F.col("da").alias("depth"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("db").alias("depth"), F.col("b").alias("node"))))
+    ends = ends.select(*PAIR, "err", F.explode("ends").alias("e")).select(*PAIR, "err", "e.*").filter("side = 0 or da <> db or a <> b")
+    dealt = nodes.join(ends, ["turn", "depth", "node"]).select(*PAIR, "err", "side", "key")
+    # Signed keys with the first bit turned over sort as unsigned ones.
+    dealt = dealt.repartition(partitions_for(spark), *PAIR).sortWithinPartitions(*PAIR, "side", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    return dealt.mapInArrow(_walked(budget, grouped), schema)
+
+
+def trie_links(fps: DataFrame, budget: Budget = Budget(MAX_BITS)) -> DataFrame:
+    """(a, b): links that join exactly the fingerprints (column fp, distinct) that differ in budget.bits bits or fewer, directly or by other links."""
+    return _joined(fps, budget, False, "a long, b long").filter("a <> b").distinct()
+
+
+def trie_groups(fps: DataFrame, budget: Budget) -> DataFrame:
+    """(key, fp): groups of fingerprints (column fp, distinct), such that any two that differ in budget.bits bits or fewer share a group."""
+    return _joined(fps, budget, True, "key long, fp long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,8 +328,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
-        # Stars with no node that is a root and a leaf at once can't change any more.
-        if after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0 and after.groupBy("u").count().filter("count > 1").limit(1).count() == 0:
+        # Stars can't change any more: no node has two roots, or is a root and a leaf at once.
+        ends = after.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("e")).select("e.*")
+        if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).filter("leaf > 1 or leaf = 1 and root = 1").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         edges = after
 
@@ -248,9 +349,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("is_kept")
     )
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs whose id is the smallest of its near-duplicate group; all columns of docs."""
-    kept = near_duplicates(docs, id_col, text_col).filter("is_kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi")

@@ -1,14 +1,31 @@
 import random
 
+import xxhash
+
 import corpus_pipeline
 from sylvaframe.llm import near
 
 
-def slow_kept(rows, n=5, similar=0.8):
+def mixed(h):
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> shift)) * times % 2**64
+    return h ^ (h >> 31)
+
+
+def slow_prints(shingles):
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    majority = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return majority(hashes), majority([mixed(h) for h in hashes])
+
+
+def slow_kept(rows, n=5, similar=0.8, bits=11):
+    """The smallest id of each group of texts that are similar and have a fingerprint within the bits; without bits: that are similar."""
     sets = []
     for _, t in rows:
         words = (t or "").split()
         sets.append({tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set())
+    prints = [slow_prints(s) for s in sets] if bits is not None else None
+    close = lambda a, b: bits is None or any((x ^ y).bit_count() <= bits for x, y in zip(prints[a], prints[b]))
     root = list(range(len(rows)))
 
     def find(k):
@@ -18,7 +35,7 @@ def slow_kept(rows, n=5, similar=0.8):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]) or rows[a][1] == rows[b][1]:
+            if sets[a] and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]) and close(a, b) or rows[a][1] == rows[b][1]:
                 root[find(a)] = find(b)
     groups = {}
     for k in range(len(rows)):
@@ -45,6 +62,8 @@ def test_stage_against_brute_force(spark, monkeypatch):
     rows = corpus()
     want = slow_kept(rows)
     assert 30 < len(want) < len(rows) - 100
+    every = slow_kept(rows, bits=None)
+    assert len(rows) - len(want) >= 0.97 * (len(rows) - len(every))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __y string")
     for block in (128, 16):
         monkeypatch.setattr(near, "BLOCK", block)

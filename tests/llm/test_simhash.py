@@ -2,9 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
-from pyspark.sql import functions as F
-
 from sylvaframe.llm import simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,8 +55,48 @@ def test_against_brute_force(spark):
     assert got == {i: (f"{fp:016x}", c) for (i, _), fp, c in zip(rows, fps, want)}
 
 
-def test_dense_ball_and_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_SUBTRIE", 50)
+def test_pairs_are_walked():
+    """Links come from the walk over node pairs: the root pair is expanded down to single keys."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    keys = np.unique(np.concatenate((keys, keys[:500] ^ np.uint64(5), keys[100:300] ^ np.uint64(1 << 63))))
+    before = simhash.steps_taken
+    n = len(keys)
+    label = simhash.trie_forest(keys, np.array([[0, n, 0, n, 0]]), np.zeros(1, np.int64), simhash.Budget(2))
+    assert simhash.steps_taken - before >= 11
+    near = np.bitwise_count(keys[:, None] ^ keys) <= 2
+    want = np.arange(n)
+    simhash._merge(want, *np.nonzero(np.triu(near, 1)))
+    assert (label == simhash._flatten(want)).all()
+
+
+@pytest.mark.parametrize("bits,turns", [(3, 1), (7, 4), (11, 8), (6, 3)])
+def test_budgets(bits, turns):
+    """Each pair within the bits is in a group of one of the tries, and joined by the forests of all tries."""
+    rng = np.random.default_rng(bits)
+    centre = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    keys = [int(c) for c in centre]
+    for c in centre.tolist():
+        for _ in range(6):
+            flips = rng.choice(64, rng.integers(1, 15), replace=False).tolist()
+            keys.append(c ^ sum(1 << f for f in flips))
+    keys = np.unique(np.array(keys, np.uint64))
+    budget = simhash.Budget(bits, turns)
+    found = np.arange(len(keys))
+    for by in budget.turned():
+        turned = ((keys << np.uint64(by)) | (keys >> np.uint64(64 - by))) if by else keys
+        order = np.argsort(turned)
+        label = simhash.trie_forest(turned[order], np.array([[0, len(keys), 0, len(keys), 0]]), np.zeros(1, np.int64), budget)
+        simhash._merge(found, order, order[label])
+    want = np.arange(len(keys))
+    simhash._merge(want, *np.nonzero(np.triu(np.bitwise_count(keys[:, None] ^ keys) <= bits, 1)))
+    assert (simhash._flatten(found) == simhash._flatten(want)).all()
+
+
+@pytest.mark.parametrize("node_keys,at_once", [(50, 40), (5, 10_000), (1 << 16, 100)])
+def test_dense_ball_and_split(spark, monkeypatch, node_keys, at_once):
+    monkeypatch.setattr(simhash, "NODE_KEYS", node_keys)
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
     rng = random.Random(3)
     centre = rng.getrandbits(64)
     fps = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(300)}
@@ -80,4 +119,3 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "zz")], "doc_id long, text string")
     got = sorted(map(tuple, simhash.near_duplicates(docs).select("doc_id", "component_id", "is_kept").collect()), key=str)
     assert got == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, False)], key=str)
-    assert simhash.drop_near_duplicates(docs.withColumn("x", F.lit(1))).count() == 2
