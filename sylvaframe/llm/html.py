@@ -2,10 +2,12 @@
 
 A page is cut into blocks of text. A linear classifier gives each block what it costs
 to call it content and what it costs to call it boilerplate; these are the capacities
-to the two terminals. Blocks that follow each other are joined by a smoothness edge,
-the stronger the nearer their elements lie in the document's tree, and so are
-neighbouring children of one element. The minimum cut, found by maximum flow, is the
-labelling of least cost; content blocks in page order are the page's text.
+to the two terminals. Its features are bounded: length, sentences, links, the block's
+own element, and what the elements around it are and are called. Blocks that follow
+each other are joined by a smoothness edge, the stronger the nearer their elements lie
+in the document's tree, and so are neighbouring children of one element. The minimum
+cut, found by maximum flow over the whole page, is the labelling of least cost; content
+blocks in page order are the page's text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BLOCK = frozenset(
     "li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "xmp", "noembed", "noframes", "canvas", "audio", "video")
+RAW = ("script", "style", "template", "textarea", "iframe", "noembed", "noframes")
 #: An element that an opening tag ends.
 ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
@@ -48,129 +50,180 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # --- classifier ------------------------------------------------------------------------------------------------------
 
-#: Evidence of elements and of the words of their classes, ids and roles, for all text below them.
-AGAINST_TAGS = {"head": -14.0, "title": -14.0, "nav": -14.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "button": -10.0, "select": -12.0, "label": -6.0, "dialog": -10.0, "header": -8.0}
-FOR_TAGS = {"article": 4.0, "main": 2.5}
-AGAINST_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer header masthead "
-    "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social related recommended "
-    "popup modal overlay copyright legal disclaimer pagination pager toolbar search form complementary contentinfo hidden tags paywall skip".split()
+#: What an element says against the text in it, by its tag. What is never shown as text counts most.
+AGAINST_TAGS = {
+    "head": -8.0, "title": -8.0, "nav": -4.5, "footer": -4.5, "aside": -4.5, "form": -4.5, "menu": -4.5, "select": -4.5, "dialog": -4.0, "button": -4.0, "header": -3.0, "label": -2.0, "noscript": -1.5,
+}
+NOT_SHOWN = -8.0
+#: What an article or main element says for it.
+WITHIN = 2.5
+#: Words of classes, ids and roles: names of what stands beside an article, words that also occur in the names of articles, and names of articles.
+BESIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer masthead "
+    "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social related recommended "
+    "popup modal overlay pagination pager toolbar complementary contentinfo paywall".split()
 )
-AGAINST_WORD = -12.0
-FOR_WORDS = frozenset("article content main post entry story body text".split())
-FOR_WORD = 1.0
+UNSURE_WORDS = frozenset("banner header notice notices alert copyright legal disclaimer search form hidden tags skip".split())
+ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
+BESIDE, UNSURE, NAMED = -4.0, -2.0, 1.0
+#: How much an element keeps of what the elements around it say against it, where it is an article, and where it is named one.
+IN_ARTICLE, IN_NAMED = 0.3, 0.75
 #: Evidence of a block itself.
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED = -1.6, 0.06, 50, 0.6, -4.0
-OWN = {"p": 1.5, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 0.8, "h5": 0.6, "h6": 0.6, "blockquote": 1.2, "pre": 1.2, "figcaption": 0.8, "td": 0.2, "dd": 0.4}
+BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED = -1.0, 0.05, 40, 0.6, -3.0
+OWN = {"p": 0.8, "h1": 0.8, "h2": 0.8, "h3": 0.8, "h4": 0.6, "h5": 0.5, "h6": 0.5, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.5, "td": 0.2, "dd": 0.4, "math": 0.6}
 #: Smoothness of neighbours, divided by one more than their distance in the tree.
-NEXT, SIBLING = 1.2, 0.6
+NEXT, SIBLING = 2.4, 1.2
 
 
 class Block:
-    __slots__ = ("tag", "text", "words", "linked", "evidence", "path")
+    __slots__ = ("tag", "text", "words", "linked", "evidence", "element")
 
-    def __init__(self, tag, text, words, linked, evidence, path):
-        self.tag, self.text, self.words, self.linked, self.evidence, self.path = tag, text, words, linked, evidence, path
+    def __init__(self, tag, text, words, linked, evidence, element):
+        self.tag, self.text, self.words, self.linked, self.evidence, self.element = tag, text, words, linked, evidence, element
 
 
-def _evidence(tag: str, attributes: str, within: tuple[bool, ...]) -> float:
-    """What an element says for (over 0) or against (below 0) the text in it being content."""
-    value = AGAINST_TAGS.get(tag, 0.0) + FOR_TAGS.get(tag, 0.0)
-    if tag == "header" and within[0]:
-        value = 0.0  # the head of an article
+def _evidence(tag: str, attributes: str, around: float, within: bool) -> float:
+    """What an element and those around it say for (over 0) or against (below 0) the text in it being content."""
+    own = AGAINST_TAGS.get(tag, 0.0)
+    if tag == "header" and within:
+        own = 0.0  # the head of an article
+    beside = unsure = named = False
     if attributes:
         for name, given in _NAMED.findall(attributes):
             name, given = name.lower(), given.strip("\"'")
             if name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given, re.I):
-                    value += AGAINST_WORD
+                    own = NOT_SHOWN
             elif name == "hidden" or name == "aria-hidden" and given.lower() == "true":
-                value += AGAINST_WORD
-            elif name in ("class", "id", "role"):
+                own = NOT_SHOWN
+            elif tag not in ("body", "html"):
                 words = {x.lower() for x in _PARTS.findall(given)}
-                if not words.isdisjoint(AGAINST_WORDS) and tag not in ("body", "html", "article", "main"):
-                    value += AGAINST_WORD
-                elif not words.isdisjoint(FOR_WORDS):
-                    value += FOR_WORD
-    return value
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of text of a page, in page order."""
-    out: list[Block] = []
-    # Open elements: (tag, sum of evidence, number, within an article).
-    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]
-    number = 0
-    parts: list[str] = []
-    link_parts: list[str] = []
-    links = 0
-
-    def flush() -> None:
-        if parts:
-            words = entities.unescape("".join(parts)).split()
-            if words:
-                shown = " ".join(words)
-                n_linked = len("".join(entities.unescape("".join(link_parts)).split())) if link_parts else 0
-                own = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
-                out.append(Block(own, shown, len(words), min(1.0, n_linked / max(1, len(shown) - len(words) + 1)), stack[-1][1], tuple(x[2] for x in stack)))
-            parts.clear()
-            link_parts.clear()
-
-    def close_to(k: int) -> None:
-        nonlocal links
-        for tag, *_ in stack[k:]:
-            links -= tag == "a"
-        del stack[k:]
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if links > 0:
-                link_parts.append(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[2]:
-            k = next((j for j in range(len(stack) - 1, 0, -1) if stack[j][0] == tag), 0)
-            if k:
-                if tag in BLOCK:
-                    flush()
-                elif any(x[0] in BLOCK for x in stack[k:]):
-                    continue  # an inline end tag doesn't end blocks
-                close_to(k)
-            elif tag in ("p", "br"):
+                beside |= not words.isdisjoint(BESIDE_WORDS)
+                unsure |= not words.isdisjoint(UNSURE_WORDS)
+                named |= not words.isdisjoint(ARTICLE_WORDS)
+    is_article = tag in ("article", "main")
+    if (beside or unsure) and named:
+        named = beside = unsure = False  # such as "content with-sidebar": the name decides nothing
+    if beside and not is_article or beside and tag == "article" and within:
+        own = min(own, BESIDE)
+    elif unsure and not is_article:
+        own = min(own, UNSURE)
+    if own < 0:
+        # What stands beside an article does so inside of one too.
+        return max(NOT_SHOWN, own + IN_ARTICLE * min(around, 0.0))
+    if is_article:
+        return WITHIN + IN_ARTICLE * min(around, 0.0)
+    if named:
+        return around + NAMED if around >= 0 else around * IN_NAMED
+    return around
+
+
+class Page:
+    """The blocks of text of a page, in page order, and the tree of its elements: the parent and depth of each."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [0], [0]
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        # Open elements: (tag, evidence, number, within an article, elements of BLOCK up to it), and for each tag where it is open.
+        stack: list[tuple[str, float, int, bool, int]] = [("", 0.0, 0, False, 0)]
+        open_at: dict[str, list[int]] = {}
+        parts: list[str] = []
+        link_parts: list[str] = []
+        links = 0
+
+        def flush() -> None:
+            if parts:
+                words = entities.unescape("".join(parts)).split()
+                if words:
+                    shown = " ".join(words)
+                    n_linked = len("".join(entities.unescape("".join(link_parts)).split())) if link_parts else 0
+                    own = stack[max((open_at[t][-1] for t in open_at if t in BLOCK and open_at[t]), default=0)][0]
+                    self.blocks.append(Block(own, shown, len(words), min(1.0, n_linked / max(1, len(shown) - len(words) + 1)), stack[-1][1], stack[-1][2]))
+                parts.clear()
+                link_parts.clear()
+
+        def close_to(k: int) -> None:
+            nonlocal links
+            for tag, *_ in stack[k:]:
+                links -= tag == "a"
+                open_at[tag].pop()
+            del stack[k:]
+
+        def last(tags) -> int:
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+        at = 0
+        for m in _TAG.finditer(page):
+            if m.start() > at:
+                piece = page[at : m.start()]
+                parts.append(piece)
+                if links > 0:
+                    link_parts.append(piece)
+            at = m.end()
+            tag = m[3]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[2]:
+                k = last((tag,))
+                if k:
+                    if tag in BLOCK:
+                        flush()
+                    elif stack[-1][4] > stack[k - 1][4]:
+                        continue  # an inline end tag doesn't end blocks
+                    close_to(k)
+                elif tag in ("p", "br"):
+                    parts.append(" ")
+                continue
+            if tag == "br":
                 parts.append(" ")
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            if tag == "p" or tag in ENDED_BY or tag in BLOCK:
+                continue
+            if tag in BLOCK:
+                flush()
                 ends = ENDED_BY.get(tag, ())
-                for j in range(len(stack) - 1, 0, -1):
-                    own = stack[j][0]
-                    if own == "p" or own in ends:
-                        close_to(j)
-                        break
-                    if own in SCOPE and not (ends and own in ("td", "th") and tag in ("tr", "tbody", "tfoot")):
-                        break
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
-            continue
-        number += 1
-        within = stack[-1][3]
-        stack.append((tag, stack[-1][1] + _evidence(tag, m[4], (within,)), number, within or tag in ("article", "main")))
-        links += tag == "a"
-    if at < len(page):
-        parts.append(page[at:])
-        if links > 0:
-            link_parts.append(page[at:])
-    flush()
-    return out
+                scope = SCOPE - {"td", "th"} if ends and tag in ("tr", "tbody", "tfoot") else SCOPE
+                j = last(("p", *ends))
+                if j and j >= last(scope):
+                    close_to(j)
+            if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
+                continue
+            _, around, up, within, n_blocks = stack[-1]
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, _evidence(tag, m[4], around, within), len(self.parent), within or tag in ("article", "main"), n_blocks + (tag in BLOCK)))
+            self.parent.append(up)
+            self.depth.append(len(stack) - 1)
+            links += tag == "a"
+        if at < len(page):
+            parts.append(page[at:])
+            if links > 0:
+                link_parts.append(page[at:])
+        flush()
+
+    def distance(self, a: int, b: int) -> int:
+        """Edges of the tree between two elements."""
+        n = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            n += 1
+        return n
+
+    def edges(self) -> list[tuple[int, int, float]]:
+        """Smoothness edges: between successive blocks, and between successive blocks among those of one parent."""
+        blocks, edges = self.blocks, []
+        last: dict[int, int] = {}
+        for k, b in enumerate(blocks):
+            if k:
+                edges.append((k - 1, k, NEXT / (1 + self.distance(blocks[k - 1].element, b.element))))
+            up = self.parent[b.element] if b.element else -1
+            if (j := last.get(up)) is not None and j < k - 1:
+                edges.append((j, k, SIBLING / (1 + self.distance(blocks[j].element, b.element))))
+            last[up] = k
+        return edges
 
 
 def costs(block: Block) -> float:
@@ -179,66 +232,18 @@ def costs(block: Block) -> float:
     return value + SENTENCE * block.text.endswith((".", "!", "?", "…", "。"))
 
 
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Edges of the tree between two elements, given by their paths."""
-    k = 0
-    while k < len(a) and k < len(b) and a[k] == b[k]:
-        k += 1
-    return len(a) + len(b) - 2 * k
-
-
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: between successive blocks, and between successive blocks among those of one parent."""
-    edges = [(k, k + 1, NEXT / (1 + distance(a.path, b.path))) for k, (a, b) in enumerate(zip(blocks, blocks[1:]))]
-    last: dict[int, int] = {}
-    for k, b in enumerate(blocks):
-        parent = b.path[-2] if len(b.path) > 1 else -1
-        if (j := last.get(parent)) is not None and j < k - 1:
-            edges.append((j, k, SIBLING / (1 + distance(blocks[j].path, b.path))))
-        last[parent] = k
-    return edges
-
-
 # --- minimum cut -----------------------------------------------------------------------------------------------------
 
 
 def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each node, whether it lies on the source's side of a minimum cut.
+    """For each node, whether it lies on the source's side of a minimum cut, by augmenting shortest paths in layers.
 
-    terminal[k] over 0 is the capacity from the source to k, below 0 that from k to the sink; edges have a capacity both ways. Nodes whose
-    terminal outweighs all their edges are on its side in every minimum cut; they are settled first and pull their neighbours along."""
+    terminal[k] over 0 is the capacity from the source to k, below 0 that from k to the sink; edges have a capacity both ways."""
     n = len(terminal)
-    net, near = list(terminal), [[] for _ in range(n)]
-    weight = [0.0] * n
-    for a, b, c in edges:
-        near[a].append((b, c))
-        near[b].append((a, c))
-        weight[a] += c
-        weight[b] += c
-    side: list[bool | None] = [None] * n
-    todo = deque(range(n))
-    while todo:
-        k = todo.popleft()
-        if side[k] is None and abs(net[k]) > weight[k] + 1e-9:
-            side[k] = net[k] > 0
-            for j, c in near[k]:
-                if side[j] is None:
-                    net[j] += c if side[k] else -c
-                    weight[j] -= c
-                    todo.append(j)
-    rest = [k for k in range(n) if side[k] is None]
-    if rest:
-        _max_flow(rest, net, near, side)
-    return [bool(x) for x in side]
-
-
-def _max_flow(rest: list[int], net: list[float], near: list, side: list) -> None:
-    """Settles the nodes of rest by augmenting shortest paths in layers."""
-    number = {k: i for i, k in enumerate(rest)}
-    source, sink = len(rest), len(rest) + 1
+    source, sink = n, n + 1
     to: list[int] = []
     room: list[float] = []
-    out: list[list[int]] = [[] for _ in range(len(rest) + 2)]
+    out: list[list[int]] = [[] for _ in range(n + 2)]
 
     def join(a: int, b: int, forth: float, back: float) -> None:
         out[a].append(len(to))
@@ -248,14 +253,13 @@ def _max_flow(rest: list[int], net: list[float], near: list, side: list) -> None
         to.append(a)
         room.append(back)
 
-    for k, i in number.items():
-        if net[k] > 0:
-            join(source, i, net[k], 0.0)
-        elif net[k] < 0:
-            join(i, sink, -net[k], 0.0)
-        for j, c in near[k]:
-            if j in number and number[j] > i:
-                join(i, number[j], c, c)
+    for k, c in enumerate(terminal):
+        if c > 0:
+            join(source, k, c, 0.0)
+        elif c < 0:
+            join(k, sink, -c, 0.0)
+    for a, b, c in edges:
+        join(a, b, c, c)
     while True:
         level = [-1] * len(out)
         level[source] = 0
@@ -292,17 +296,19 @@ def _max_flow(rest: list[int], net: list[float], near: list, side: list) -> None
                 continue
             path.append(e)
             a = to[e]
-    for k, i in number.items():
-        side[k] = level[i] >= 0
+    return [x >= 0 for x in level[:n]]
+
+
+def labelled(page: str) -> list[tuple[Block, float, bool]]:
+    """(block, what its own costs say, whether the cut calls it content) of a page."""
+    read = Page(page)
+    terminal = [costs(b) for b in read.blocks]
+    return list(zip(read.blocks, terminal, minimum_cut(terminal, read.edges())))
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for null and for pages without any."""
-    if not page:
-        return ""
-    blocks = blocks_of(page)
-    content = minimum_cut([costs(b) for b in blocks], edges_of(blocks))
-    return "\n\n".join(b.text for b, good in zip(blocks, content) if good)
+    return "\n\n".join(b.text for b, _, good in labelled(page) if good) if page else ""
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
