@@ -141,11 +141,16 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Mismatch(Exception):
+    """The tokenizer divides pieces otherwise than expected."""
+
+
 class ChunkEncoder:
     """Encodes white-space-delimited chunks with a tokenizer file as whole texts are encoded.
 
     The tokenizer's normaliser and splitter work chunk by chunk, so plain Latin chunks are normalised and split here, many at a time, and
-    the library's BPE model encodes the distinct pieces; every other chunk goes through the whole tokenizer."""
+    the library's BPE model encodes the distinct pieces; every other chunk, and all chunks of a call that the model divides otherwise, go through
+    the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -173,7 +178,7 @@ class ChunkEncoder:
             ids = np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
-                raise AssertionError("the model's words don't match the pieces")
+                raise _Mismatch
             sizes[part] = np.diff(cuts, prepend=0)
             flat.append(ids)
         return np.concatenate(flat) if flat else np.empty(0, np.int32), sizes
@@ -184,15 +189,21 @@ class ChunkEncoder:
         ids, sizes = self.pieces.gather(self.pieces.look_up(parts))
         ends = np.cumsum(sizes)[[k for k, p in enumerate(parts) if p == "\n"]]
         if len(ends) != n:
-            raise AssertionError("chunks hold new lines")
+            raise _Mismatch
         return ids, np.diff(ends, prepend=0)
 
     def __call__(self, todo: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not todo:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         text = b"\n".join(todo).decode("utf-8", "replace")
+        try:
+            return self._encode(text, len(todo))
+        except _Mismatch:
+            return flattened([e.ids for e in self.whole.encode_batch_fast([x.decode("utf-8", "replace") for x in todo], add_special_tokens=False)])
+
+    def _encode(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
         if not _ODD.search(text):
-            return self._plain(text, len(todo))
+            return self._plain(text, n)
         chunks = text.split("\n")
         odd = [k for k, x in enumerate(chunks) if _ODD.search(x)]
         encoded = {k: e.ids for k, e in zip(odd, self.whole.encode_batch_fast([chunks[k] for k in odd], add_special_tokens=False))}

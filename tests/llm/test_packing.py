@@ -22,6 +22,15 @@ def check(rows, lengths):
     return bins
 
 
+def slow_cheapest(size, rest, lengths, overhead):
+    """The least cost of a token in a bin that gets what is left and can fit, once it is downsized; of equal costs the shortest length."""
+    def cost(length):
+        filled = size + min(length - size, sum(x for x in rest if x <= length - size))
+        return (min(x for x in lengths if x >= filled) + overhead) / filled
+
+    return min((x for x in lengths if x >= size), key=lambda x: (round(cost(x), 10), x))
+
+
 def test_pack_is_best_fit():
     rng = random.Random(1)
     for _ in range(30):
@@ -36,8 +45,7 @@ def test_pack_is_best_fit():
                 assert room[bins[k]] == min(fit)[0]
             else:
                 assert bins[k] not in room
-                rest = np.sort([sizes[j] for j in range(len(sizes)) if (-sizes[j], j) > (-sizes[k], k)])
-                room[bins[k]] = packing.cheapest(sizes[k], rest, int(rest.sum()), lengths, 2)
+                room[bins[k]] = slow_cheapest(sizes[k], [sizes[j] for j in range(len(sizes)) if (-sizes[j], j) > (-sizes[k], k)], lengths, 2)
             room[bins[k]] -= sizes[k]
         check([(0, 0, 0, s, 0, b, o, f) for s, b, o, f in zip(sizes, bins, offsets, final)], lengths)
 
@@ -89,3 +97,30 @@ def test_query_packs_tokens(spark, tmp_path):
     assert got == {r.doc_id: r.n_tokens for r in manifest.collect()}
     assert got[2] == len(tokenizer.encode("unbelievably tokenised words", add_special_tokens=False).ids) + 1
     assert got[3] > 8192
+
+
+def test_sequences(spark):
+    from tokenizers import Tokenizer
+
+    from sylvaframe.llm import token_files
+
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
+    rng = random.Random(6)
+    texts = {k: " ".join(rng.choice(["alpha", "beta", "gammas", "delta-force"]) for _ in range(rng.randint(0, 300))) for k in range(60)} | {99: "long words here " * 5000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    placed = packing.best_fit(packing.token_lengths(docs), per_shard=20)
+    want = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, token_files.END_ID] for k, t in texts.items()}
+    pieces = {(r.shard, r.bin, r.doc_id): r for r in placed.collect()}
+    seen = defaultdict(list)
+    for r in packing.sequences(docs, placed, padding=-1).collect():
+        assert len(r.ids) == r.length in packing.LENGTHS
+        end = 0
+        for d, at in zip(r.doc_ids, r.starts):
+            p = pieces[r.shard, r.bin, d] if len([x for x in r.doc_ids if x == d]) == 1 else None
+            assert at == end
+            n = p.n_tokens
+            assert r.ids[at : at + n] == want[d][p.start : p.start + n]
+            seen[d].append((p.start, n))
+            end = at + n
+        assert set(r.ids[end:]) <= {-1}
+    assert {d: sum(n for _, n in x) for d, x in seen.items()} == {d: len(x) for d, x in want.items()}

@@ -1,11 +1,13 @@
 import random
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from sylvaframe.llm import packing, quality
+from sylvaframe.llm import packing, quality, token_files
 
+from .test_near import slow_kept
 from .test_packing import check
 from .test_quality import slow as slow_quality
-from .test_simhash import slow_components, slow_fingerprint
 
 
 def slow_cut(rows, length=50):
@@ -34,8 +36,8 @@ def slow_run(rows):
         first.setdefault(" ".join(t.replace("\n", " ").split(" ")) if "  " not in t else t, i)
     rows = [(i, t) for i, t in sorted(rows) if i in set(first.values())]
     after_exact = len(rows)
-    comps = slow_components([i for i, _ in rows], [slow_fingerprint(t) for _, t in rows])
-    rows = [(i, t) for (i, t), c in zip(rows, comps) if i == c]
+    kept = set(slow_kept(rows))
+    rows = [(i, t) for i, t in rows if i in kept]
     assert after_quality > after_exact > len(rows) > 20
     return slow_cut(rows)
 
@@ -57,10 +59,23 @@ def test_against_brute_force(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     check(got, packing.LENGTHS)
-    want = {i: len(t.split()) + 1 for i, t in slow_run(rows)}
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in slow_run(rows)}
     assert {r[0]: r[3] for r in got} == want
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert kept.columns == docs.columns
         kept = stage(spark, kept, str(tmp_path))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(slow_run(rows))
+
+
+def test_empty_null_ids_and_clashing_names(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, shard int, __id long"
+    prose = "In the morning the two engineers walked along the river and talked about the plan for a new bridge that the town had wanted for years because the old one was closed since the flood and nobody could reach the market on the other side without a long detour through hills and forest"
+    other = " ".join(prose.split()[::-1])
+    rows = [(None, prose, "en"), (None, prose, "en"), (1, other, "en"), (1, None, None), (None, "", None)]
+    for name, data in (("empty", []), ("rows", [(*r, "s", 1, "k", "n", 0, 5) for r in rows])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()]
+        assert sorted(str(r[0]) for r in got) == (["1", "None"] if data else [])
