@@ -51,16 +51,15 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def cheapest(size: int, rest: np.ndarray, rest_sum: int, lengths: Sequence[int], overhead: int) -> int:
-    """The length to open for a piece of `size` tokens, with the smaller pieces `rest` (ascending, with their sum) still to be placed."""
+def cheapest(size: int, ascending: np.ndarray, left: int, sums: np.ndarray, lengths: Sequence[int], overhead: int) -> int:
+    """The length to open for a piece of `size` tokens, with the smaller pieces ascending[:left] still to be placed; sums[n] is the sum of the n smallest."""
     best, least = lengths[-1], math.inf
     for length in lengths:
         if length < size:
             continue
         room = length - size
-        fitting = int(np.searchsorted(rest, room, "right"))
-        # Room that pieces small enough could fill at most; the sum over all of them is a bound.
-        filled = min(room, int(rest[:fitting].sum()) if fitting < 64 else rest_sum)
+        # Room that pieces small enough could fill at most.
+        filled = min(room, int(sums[min(left, int(np.searchsorted(ascending, room, "right")))]))
         # A bin that stays short is downsized at the end, so it costs the smallest length that holds what it can get.
         final = next(x for x in lengths if x >= size + filled)
         cost = (final + overhead) / (size + filled)
@@ -74,19 +73,19 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int =
     lengths = sorted(lengths)
     order = np.lexsort((np.arange(len(sizes)), -np.asarray(sizes, np.int64)))
     ascending = np.sort(np.asarray(sizes, np.int64))
-    left_sum, left = int(ascending.sum()), len(ascending)
+    sums, left = np.concatenate(([0], np.cumsum(ascending))), len(ascending)
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     rooms: list[tuple[int, int]] = []  # (room, bin), ascending
     capacity: list[int] = []
     for k in order:
         size = int(sizes[k])
-        left, left_sum = left - 1, left_sum - size
+        left -= 1
         at = bisect.bisect_left(rooms, (size, -1))
         if at < len(rooms):
             room, number = rooms.pop(at)
         else:
             number = len(capacity)
-            room = cheapest(size, ascending[:left], left_sum, lengths, overhead)
+            room = cheapest(size, ascending, left, sums, lengths, overhead)
             capacity.append(room)
         bins[k], offsets[k] = number, capacity[number] - room
         if room > size:
@@ -133,5 +132,31 @@ def best_fit(lengths_of: DataFrame, lengths: Sequence[int] = LENGTHS, overhead:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, per_shard: int = PER_SHARD) -> DataFrame:
-    """best_fit over the word lengths of docs."""
+    """best_fit over the word lengths of docs, for consumers that count words; token_lengths is what sequences of ids need."""
     return best_fit(word_lengths(docs, id_col, text_col), lengths, overhead, per_shard)
+
+
+def sequences(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, padding: int = 0) -> DataFrame:
+    """(shard, bin, length, ids, doc_ids, starts): the packed sequences themselves, from docs and what best_fit gave for them; ids has `length` entries, the last ones padding.
+
+    doc_ids and starts name the documents of a sequence and where they begin in it. Ids of docs must not be null or repeat."""
+    path = tokenizer_path or token_files.default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, _ = token_files.encoder(path)
+        for batch in batches:
+            flat, sizes = [np.empty(0, np.int32)], []
+            for _, ids, each in token_files.encode_texts(as_bytes(batch.column(1)), memory):
+                flat.append(ids)
+                sizes += each
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))], ["doc_id", "ids"])
+
+    tokens = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    pieces = placed.filter("bin is not null").join(tokens, "doc_id").withColumn("ids", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")))
+    row = F.struct("bin_offset", "doc_id", "ids")
+    bins = pieces.groupBy("shard", "bin", F.col("bin_length").alias("length")).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # a bin holds at most the largest length
+    ids = F.flatten("rows.ids")
+    return bins.select(
+        "shard", "bin", "length", F.concat(ids, F.array_repeat(F.lit(padding), (F.col("length") - F.size(ids)).cast("int"))).alias("ids"), F.col("rows.doc_id").alias("doc_ids"), F.col("rows.bin_offset").alias("starts")
+    )
