@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.closure import ancestors, closure
+from ..plans.closure import ancestors, subtree_sums
 from ..schema import Tables
 from .query import children
 
@@ -75,7 +75,7 @@ def create_node(tables: Tables, parent_id: int | None = None, project_id: int |
 def invalidate_path(nodes: DataFrame, node_ids: Iterable | DataFrame, unapprove: bool = False) -> DataFrame:
     """Nodes with cache_valid false on the paths of the given nodes; `unapprove` clears approved as well."""
     ids = ids_frame(nodes, node_ids, "node_id")
-    stale = closure(nodes).join(ids, "node_id", "left_semi").select(F.col("ancestor_id").alias("node_id")).distinct()
+    stale = subtree_sums(nodes, ids.select("node_id", F.lit(1).alias("n"))).select("node_id")
     return invalidate(nodes, stale, unapprove)
 
 

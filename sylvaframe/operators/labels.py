@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.closure import closure
+from ..plans.closure import path_fold
 from ..schema import Tree
 
 
 def node_labels(nodes: DataFrame, clean_name: bool = True, compat: bool = False) -> DataFrame:
     """(node_id, label) of nodes below the root. The label joins the names from below the root down to the first unnamed node, which has its parent's label, as has all below it.
 
-    With clean_name a component (between slashes) that the label holds already, as a part of it, is left out. Nodes without any name on their
-    way have no label; with `compat` they have an empty one."""
-    named = nodes.select(F.col("node_id").alias("ancestor_id"), "name", F.col("parent_id").isNull().alias("is_root"))
-    way = closure(nodes).join(named, "ancestor_id").filter("not is_root")
-    listed = way.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "name")), asc=False), lambda x: x["name"]).alias("names"))
+    With clean_name the first name stands whole, and of each further name the components (between slashes) that the label before it holds already, as
+    a part of it, are left out. Nodes without any name on their way have no label; with `compat` they have an empty one."""
+    # The names of a node and those above it, without the root's, root first.
+    below = nodes.withColumn("way", F.when(F.col("parent_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("name")))
+    listed = path_fold(below, {"names": F.col("way")}, lambda near, far: {"names": F.concat(far("names"), near("names"))})
+    listed = listed.join(nodes.filter("parent_id is not null").select("node_id"), "node_id", "left_semi")
     # What stands before the first null.
     stop = F.expr("array_position(transform(names, x -> x is null), true)")
     used = F.when(stop > 0, F.expr("slice(names, 1, cast(array_position(transform(names, x -> x is null), true) - 1 as int))")).otherwise(F.col("names"))
     if clean_name:
-        parts = F.flatten(F.transform(used, lambda x: F.split(x, "/")))
-        label = F.aggregate(parts, F.lit(""), lambda acc, c: F.when(F.instr(acc, c) > 0, acc).when(acc == "", c).otherwise(F.concat(acc, F.lit("/"), c)))
+        further = lambda acc, name: F.concat_ws("/", F.array(acc), F.filter(F.split(name, "/"), lambda c: F.instr(acc, c) == 0))
+        label = F.aggregate(used, F.lit(""), lambda acc, name: F.when(acc == "", name).otherwise(further(acc, name)))
     else:
         label = F.concat_ws("/", used)
     found = listed.select("node_id", label.alias("label"))

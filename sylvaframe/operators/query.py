@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.closure import Descend, ancestors, closure, paths, subtree
+from ..plans.closure import Descend, ancestors, edges_of, nearest, path_fold, paths, subtree, subtree_sums
+from ..plans.shared import written
 from ..schema import Tables
 
 
@@ -20,7 +21,7 @@ def flag(name: str, include: str | None) -> Column:
 
 def n_descendants(nodes: DataFrame) -> DataFrame:
     """T4: (node_id, n): the size of each node's subtree, the node included."""
-    return closure(nodes).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    return subtree_sums(nodes, nodes.select("node_id", F.lit(1).cast("long").alias("n")))
 
 
 def objects_recursive(tables: Tables, node_id: int) -> DataFrame:
@@ -30,9 +31,9 @@ def objects_recursive(tables: Tables, node_id: int) -> DataFrame:
 
 
 def n_objects_deep(nodes: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(node_id, n_objects_deep) for every node: the objects assigned in its subtree. Objects are counted per node before the join."""
+    """(node_id, n_objects_deep) for every node: the objects assigned in its subtree. Objects are counted per node first."""
     own = assignments.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
-    deep = closure(nodes).join(own, "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.sum("n").alias("n"))
+    deep = subtree_sums(nodes, own)
     return nodes.select("node_id").join(deep, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_objects_deep"))
 
 
@@ -77,7 +78,7 @@ def n_objects(assignments: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame) -> DataFrame:
     """(node_id, level): each node's distance from its root."""
-    return closure(nodes).groupBy("node_id").agg(F.max("distance").alias("level"))
+    return path_fold(nodes, {"level": F.lit(0)}, lambda near, far: {"level": (near("level") + far("level") + 1).cast("int")})
 
 
 def topological(nodes: DataFrame, order_by_name: bool = False) -> DataFrame:
@@ -124,10 +125,10 @@ def next_node(tables: Tables, node_id: int, where: Column, descend: Descend | No
     """The best candidate below a node, else below its nearest ancestor that has one.
 
     Candidates are ranked by preferred (if asked), depth below the ancestor, then their objects ('largest', 'smallest'), then id. All ancestors
-    are tried in one plan: each is a start of the closure, and the nearest with a candidate wins."""
+    are tried in one plan: a candidate counts for the nearest of them that it can be reached from, and the nearest with a candidate wins."""
     nodes = tables.nodes
-    starts = ancestors(nodes, node_id).select(F.col("node_id").alias("ancestor_id"), F.col("level").alias("up"))
-    reach = closure(nodes, descend).join(starts, "ancestor_id").select("node_id", "up", F.col("distance").alias("depth"))
+    starts = ancestors(nodes, node_id).select("node_id", F.col("level").alias("up"))
+    reach = nearest(nodes, starts, descend).join(starts.withColumnRenamed("node_id", "mark"), "mark").select("node_id", "up", F.col("distance").alias("depth"))
     found = nodes.filter(where)
     if leaf:
         found = found.join(nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
@@ -156,16 +157,15 @@ def next_unfilled(tables: Tables, node_id: int, with_prototypes: DataFrame, leaf
 
 def connect_supertree(nodes: DataFrame) -> DataFrame:
     """Nodes with superparent_id: the nearest starred proper ancestor, else the root; null for roots."""
-    up = closure(nodes).filter("distance > 0").join(nodes.select(F.col("node_id").alias("ancestor_id"), F.coalesce("starred", F.lit(False)).alias("s"), F.col("parent_id").isNull().alias("r")), "ancestor_id")
-    found = up.filter("s or r").groupBy("node_id").agg(F.min_by("ancestor_id", "distance").alias("superparent_id"))
-    return nodes.drop("superparent_id").join(found, "node_id", "left")
+    found = nearest(nodes, nodes.filter("coalesce(starred, false) or parent_id is null")).select(F.col("node_id").alias("parent_id"), F.col("mark").alias("superparent_id"))
+    kept = nodes.drop("superparent_id")
+    return kept.join(found, "parent_id", "left").select(*kept.columns, "superparent_id")
 
 
 def unconnected(nodes: DataFrame, objects: DataFrame) -> DataFrame:
-    """(kind, id) of nodes that reach no root and objects whose node doesn't exist."""
-    roots = nodes.filter("parent_id is null").select(F.col("node_id").alias("ancestor_id"))
-    good = closure(nodes).join(roots, "ancestor_id", "left_semi").select("node_id")
-    lost = nodes.join(good, "node_id", "left_anti").select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"))
+    """(kind, id) of nodes that reach no root, those on cycles too, and objects whose node doesn't exist."""
+    top = path_fold(nodes, {"rooted": F.col("parent_id").isNull()}, lambda near, far: {"rooted": far("rooted")}, cycles=True)
+    lost = top.filter("not coalesce(rooted, false)").select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"))
     return lost.unionByName(objects.join(nodes, "node_id", "left_anti").select(F.lit("object").alias("kind"), F.col("object_id").alias("id")))
 
 
@@ -192,28 +192,29 @@ def progress(tables: Tables, descend_approved: bool = True, starts: DataFrame |
     approved ancestor in the subtree; named nodes likewise. Without descend_approved the subtree ends below approved nodes."""
     nodes = tables.nodes
     descend = None if descend_approved else (lambda up, down: ~F.coalesce(up("approved"), F.lit(False)))
-    pairs = closure(nodes, descend)
     if starts is None:
         starts = nodes.filter("parent_id is null").select("node_id")
-    is_named = F.col("name").isNotNull()
-    own = nodes.select("node_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("approved", "filled")), is_named.alias("named")).join(n_objects_deep(nodes, tables.assignments), "node_id")
-    leaf = nodes.join(nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True)), "node_id", "left").select("node_id", F.col("inner").isNull().alias("leaf"))
-    own = own.join(leaf, "node_id")
-    # How far above each node its nearest and farthest approved and named ancestors lie.
-    marks = own.select(F.col("node_id").alias("ancestor_id"), "approved", "named")
-    above = pairs.filter("distance > 0").join(marks, "ancestor_id").groupBy("node_id").agg(F.min(F.when(F.col("approved"), F.col("distance"))).alias("up_approved"), F.min(F.when(F.col("named"), F.col("distance"))).alias("up_named"))
-    rows = pairs.join(starts.select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").join(own, "node_id").join(above, "node_id", "left")
-    n = F.col("n_objects_deep")
-    top = lambda c: F.col(c) & (F.col(f"up_{c}").isNull() | (F.col(f"up_{c}") > F.col("distance")))
-    total = lambda cond, value=n: F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("long")
-    one = F.lit(1)
-    deep = [
-        total(top("approved")).alias("n_approved_objects"), total(top("named")).alias("n_named_objects"), total(F.col("filled") & (F.col("distance") == 0)).alias("n_filled_objects"),
-        total(F.col("approved"), one).alias("n_approved_nodes"), total(F.col("filled"), one).alias("n_filled_nodes"), total(F.col("named"), one).alias("n_named_nodes"), F.count(one).alias("n_nodes"), F.max(F.when(F.col("distance") == 0, n)).alias("n_objects"),
-    ]
-    leaves = [total(F.col("leaf") & F.col(c)).alias(f"leaves_n_{c}_objects") for c in ("approved", "filled", "named")]
-    leaves += [total(F.col("leaf") & F.col(c), one).alias(f"leaves_n_{c}_nodes") for c in ("approved", "filled", "named")] + [total(F.col("leaf"), one).alias("leaves_n_nodes"), total(F.col("leaf")).alias("leaves_n_objects")]
-    return rows.groupBy(F.col("ancestor_id").alias("node_id")).agg(*deep, *leaves)
+    inner = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    own = nodes.select("node_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("approved", "filled")), F.col("name").isNotNull().alias("named"))
+    own = written(own.join(n_objects_deep(nodes, tables.assignments), "node_id").join(inner, "node_id", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"), "progress")
+    # What counts for a marked node: its objects without those of the next marked ones below it, so that sums over a subtree hold each top one once.
+    edges = edges_of(nodes, descend)
+    parts = own
+    for c in ("approved", "named"):
+        above = nearest(nodes, own.filter(c), descend).select(F.col("node_id").alias("parent_id"), "mark")
+        nested = edges.join(own.filter(c).select("node_id", "n_objects_deep"), "node_id").join(above, "parent_id").groupBy(F.col("mark").alias("node_id")).agg(F.sum("n_objects_deep").alias(f"below_{c}"))
+        parts = parts.join(nested, "node_id", "left").withColumn(f"net_{c}", F.when(F.col(c), F.col("n_objects_deep") - F.coalesce(f"below_{c}", F.lit(0))).otherwise(0))
+    n, one = F.col("n_objects_deep"), F.lit(1).cast("long")
+    when = lambda cond, value: F.when(cond, value).otherwise(0).cast("long")
+    summed = {"n_approved_objects": F.col("net_approved"), "n_named_objects": F.col("net_named"), "n_nodes": one, "leaves_n_nodes": when(F.col("leaf"), one), "leaves_n_objects": when(F.col("leaf"), n)}
+    for c in ("approved", "filled", "named"):
+        summed |= {f"n_{c}_nodes": when(F.col(c), one), f"leaves_n_{c}_objects": when(F.col("leaf") & F.col(c), n), f"leaves_n_{c}_nodes": when(F.col("leaf") & F.col(c), one)}
+    total = subtree_sums(nodes, parts.select("node_id", *(v.cast("long").alias(k) for k, v in summed.items())), descend=descend)
+    at = own.select("node_id", when(F.col("filled"), n).alias("n_filled_objects"), n.alias("n_objects"))
+    kinds = ("approved", "filled", "named")
+    order = [f"n_{c}_objects" for c in ("approved", "named", "filled")] + [f"n_{c}_nodes" for c in kinds] + ["n_nodes", "n_objects"]
+    order += [f"leaves_n_{c}_objects" for c in kinds] + [f"leaves_n_{c}_nodes" for c in kinds] + ["leaves_n_nodes", "leaves_n_objects"]
+    return starts.select("node_id").distinct().join(total, "node_id").join(at, "node_id").select("node_id", *order)
 
 
 def node_view(tables: Tables) -> DataFrame:
@@ -230,6 +231,14 @@ def export_log(log: DataFrame, nodes: DataFrame) -> DataFrame:
     return log.join(nodes.select("node_id", "project_id"), "node_id", "left")
 
 
-def next_candidates(tables: Tables, with_prototypes: DataFrame) -> DataFrame:
-    """All approved nodes that aren't filled and have prototypes, as a table."""
-    return tables.nodes.filter("approved and not coalesce(filled, false)").join(with_prototypes.select("node_id").distinct(), "node_id", "left_semi")
+
+def node(tables: Tables, node_id: int, refresh: bool = False) -> DataFrame:
+    """The row of a node, with `refresh` after its statistics were brought up to date; an error if there is none."""
+    if refresh:
+        from .stats import consolidate
+
+        tables = tables.with_(nodes=consolidate(tables, node_id, 0))
+    found = tables.nodes.filter(F.col("node_id") == node_id)
+    if found.isEmpty():
+        raise LookupError(f"node {node_id} is unknown")
+    return found

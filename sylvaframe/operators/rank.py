@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import euclidean, zero_fill
-from ..plans.closure import ancestors, closure
+from ..plans.closure import ancestors, subtree_sums
 from ..plans.shared import small
 from ..schema import Tables
 from .vector import prototype_distance
@@ -87,7 +87,7 @@ def hashed(column: Column) -> Column:
 def n_leaves(nodes: DataFrame) -> DataFrame:
     """(node_id, n_leaves): leaves in each node's subtree; a leaf has itself."""
     leaves = nodes.join(nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id")
-    found = closure(nodes).join(leaves, "node_id", "left_semi").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_leaves"))
+    found = subtree_sums(nodes, leaves.select("node_id", F.lit(1).cast("long").alias("n_leaves")))
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"))
 
 

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.closure import closure
 from ..plans.shared import written
 from ..schema import Tables, Tree
 from ..sources.io import merge_trees, tree_from_labels
@@ -42,7 +41,9 @@ def availability(features: DataFrame, trees: list[Tree]) -> DataFrame:
 
 
 def keep_unexplored(features: DataFrame, trees: list[Tree], candidates: DataFrame, keep_frac: float) -> DataFrame:
-    """Candidates (object_id, features) that lie farthest from the centroids of approved nodes: at or beyond the (1 - keep_frac) quantile of the distance."""
+    """Candidates (object_id, features) that lie farthest from the centroids of approved nodes: at or beyond the (1 - keep_frac) quantile of the distance. Without trees, all of them."""
+    if not trees:
+        return candidates
     merged = trees[0]
     for t in trees[1:]:
         merged = merge_trees(merged, t)
@@ -232,7 +233,7 @@ def cluster(features: DataFrame, trees: list[Tree], ignore_approved: bool = True
         rows = subsample(rows, sample_size, seed)
     rows = written(rows, "rows")
     if n_pca:
-        rows = pca(rows, n_pca, "features", "__p")[0].select("object_id", F.col("__p").alias("features"))
+        rows = pca(rows, n_pca, "features", "features")[0].select("object_id", "features")
     labels = density_cluster(rows, **density)
     offset = max([t.nodes.agg(F.max("node_id")).first()[0] + 1 for t in trees], default=0)
     shifted = labels.select("object_id", F.when(F.col("label") == -1, F.lit(-1)).otherwise(F.col("label") + offset).alias("label"))
@@ -247,8 +248,3 @@ def recluster_project(tables: Tables, project_id: int, features: DataFrame, min_
 
     tree = with_approved(dump_tree(tables, root_id(tables.nodes, project_id)))
     return merge_trees(tree, cluster(features, [tree], sample_size=sample_size, min_cluster_size=min_cluster_size))
-
-
-def depth_of(nodes: DataFrame) -> DataFrame:
-    """One row (depth) of a forest."""
-    return closure(nodes).agg(F.max("distance").alias("depth"))

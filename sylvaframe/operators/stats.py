@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean, mean_vectors
-from ..plans.closure import closure, subtree
+from ..functions.vectors import euclidean
+from ..plans.closure import subtree, subtree_sums
 from ..plans.shared import written
 from ..schema import Tables
 from .query import levels, n_objects_deep
@@ -30,10 +32,12 @@ def sample_objects(tables: Tables, n: int = SAMPLE) -> DataFrame:
 
 
 def centroids(tables: Tables) -> DataFrame:
-    """(node_id, vector, n): the mean of all vectors in each node's subtree. Each node's own sum is made first, so the join holds one row per node and ancestor."""
-    own = mean_vectors(tables.assignments.select("node_id", "object_id").join(tables.objects.select("object_id", "vector"), "object_id"), "node_id")
-    deep = closure(tables.nodes).join(own, "node_id").select("ancestor_id", "vector", "n")
-    return mean_vectors(deep, "ancestor_id", weight=F.col("n")).select(F.col("ancestor_id").alias("node_id"), "vector", "n")
+    """(node_id, vector, n): the mean of all vectors in each node's subtree. Each node's own sum is made first; subtrees add up sums, one row per node and dimension."""
+    rows = tables.assignments.select("node_id", "object_id").join(tables.objects.select("object_id", "vector"), "object_id").filter("vector is not null")
+    own = rows.select("node_id", F.posexplode("vector").alias("pos", "x")).groupBy("node_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
+    deep = subtree_sums(tables.nodes, own, ["pos"])
+    listed = deep.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"), F.max("n").alias("n"))  # one entry per dimension
+    return listed.select("node_id", F.transform("v", lambda p: p["x"] / F.col("n")).alias("vector"), F.col("n").cast("double").alias("n"))
 
 
 def own_type_objects(tables: Tables, k: int = TYPES, n: int = SAMPLE) -> DataFrame:
@@ -75,20 +79,35 @@ def prototypes(tables: Tables, k: int = PROTOTYPES_PER_NODE, n_init: int = 2, se
     return found
 
 
-def consolidate(tables: Tables, node_id: int, depth: int | None = None, with_prototypes: bool = False) -> DataFrame:
-    """Nodes with their statistics as _n_objects, _n_children, _n_objects_deep and _centroid (and _prototypes), refreshed where cache_valid is false, in the subtree of node_id down to `depth`, all others as they are."""
+def consolidate(tables: Tables, node_id: int, depth: int | str | None = None, with_prototypes: bool = False, descend_approved: bool = True, return_: str | None = None) -> DataFrame:
+    """Nodes with their statistics as _n_objects, _n_children, _n_objects_deep and _centroid (and _prototypes), refreshed where cache_valid is false in the subtree of node_id, all others as they are.
+
+    depth: how far below the node, a number, 'children' (1) or 'full' (None). Without descend_approved, nothing below an approved node with a valid cache is
+    refreshed. return_: None for all nodes, 'node' for the node's row, 'children' for those of its children, 'raw' for the rows of the subtree."""
     nodes = tables.nodes
+    depth = {"children": 1, "full": None}.get(depth, depth) if isinstance(depth, str) else depth
     if "cache_valid" not in nodes.columns:
         nodes = nodes.withColumn("cache_valid", F.lit(False))
-    below = subtree(nodes, node_id).select("node_id", "level")
-    stale = nodes.filter("not coalesce(cache_valid, false)").join(below if depth is None else below.filter(F.col("level") <= depth), "node_id", "left_semi").select("node_id", F.lit(True).alias("__stale"))
+    open_ = None if descend_approved else (lambda up, down: ~(F.coalesce(up("approved"), F.lit(False)) & F.coalesce(up("cache_valid"), F.lit(False))))
+    below = written(subtree(nodes, node_id, open_).select("node_id", "level"), "below")
+    mark = f"stale_{uuid.uuid4().hex}"
+    stale = nodes.filter("not coalesce(cache_valid, false)").join(below if depth is None else below.filter(F.col("level") <= depth), "node_id", "left_semi").select("node_id", F.lit(True).alias(mark))
     fresh = counts(tables).join(centroids(tables).select("node_id", F.col("vector").alias("centroid")), "node_id", "left")
     if with_prototypes:
         fresh = fresh.join(prototypes(tables), "node_id", "left")
     fresh = fresh.join(stale, "node_id")
     columns = {"_n_objects": "n_objects", "_n_children": "n_children", "_n_objects_deep": "n_objects_deep", "_centroid": "centroid"} | ({"_prototypes": "prototypes"} if with_prototypes else {})
     held = nodes.join(fresh, "node_id", "left")
-    isnew = F.coalesce(F.col("__stale"), F.lit(False))
+    isnew = F.coalesce(F.col(mark), F.lit(False))
     out = [F.when(isnew, F.lit(True)).otherwise(F.col("cache_valid")).alias("cache_valid") if c == "cache_valid" else F.col(c) for c in nodes.columns if c not in columns]
     out += [F.when(isnew, F.col(new)).otherwise(F.col(old)).alias(old) if old in nodes.columns else F.when(isnew, F.col(new)).alias(old) for old, new in columns.items()]
-    return held.select(*out)
+    found = held.select(*out)
+    if return_ == "node":
+        return found.filter(F.col("node_id") == node_id)
+    if return_ == "children":
+        return found.filter(F.col("parent_id") == node_id)
+    if return_ == "raw":
+        return found.join(below, "node_id")
+    if return_ is not None:
+        raise ValueError(return_)
+    return found

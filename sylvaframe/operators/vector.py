@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import METRICS, euclidean, mean_vectors, sq_euclidean
+from ..functions.vectors import METRICS, euclidean, mean_vectors
 from ..plans.shared import small
 
 PROTOTYPES = "array<struct<vector: array<double>, support: double>>"
@@ -181,10 +181,11 @@ def pca(df: DataFrame, k: int, vector: str = "vector", out: str = "projected") -
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    held = df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(held).transform(held)
-    model = PCA(k=k, inputCol="__c", outputCol="__p").fit(centred)
-    return model.transform(centred).withColumn(out, vector_to_array("__p")).drop("__v", "__c", "__p"), float(model.explainedVariance.toArray().sum())
+    raw, centred, found = (f"{x}_{uuid.uuid4().hex}" for x in ("raw", "centred", "found"))
+    held = df.withColumn(raw, array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    moved = StandardScaler(withMean=True, withStd=False, inputCol=raw, outputCol=centred).fit(held).transform(held)
+    model = PCA(k=k, inputCol=centred, outputCol=found).fit(moved)
+    return model.transform(moved).withColumn(out, vector_to_array(found)).drop(raw, centred, found), float(model.explainedVariance.toArray().sum())
 
 
 def combine_covariances(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
@@ -204,8 +205,3 @@ def rf_rank(candidates: DataFrame, valid: DataFrame, rejected: DataFrame, seed:
     known = valid.select("vector", F.lit(1.0).alias("label")).unionByName(rejected.select("vector", F.lit(0.0).alias("label")))
     model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **forest).fit(known.select("label", array_to_vector("vector").alias("f")))
     return model.transform(candidates.withColumn("f", array_to_vector("vector"))).select("object_id", vector_to_array("probability")[1].alias("score"))
-
-
-def pairwise(points: DataFrame, to: DataFrame, metric: Callable[[Column, Column], Column] = sq_euclidean) -> DataFrame:
-    """(object_id, other_id, d) of points against a checked, small set (other_id, vector)."""
-    return points.select("object_id", F.col("vector").alias("v")).join(small(to.select("other_id", F.col("vector").alias("w")))).select("object_id", "other_id", metric(F.col("v"), F.col("w")).alias("d"))

@@ -1,21 +1,30 @@
-"""Ancestors and descendants by pointer doubling.
-
-The pairs of all distances below 2^k, joined with the pairs of distance 2^k, give all
-below 2^(k+1). A tree of depth d takes log2(d) joins, so a chain of a million nodes
-takes twenty. Rounds are written to the shared folder.
+"""Paths and subtrees of a forest by pointer doubling.
+
+A round joins each node's pointer to its 2^k-th ancestor with itself, so a forest of
+depth d takes log2(d) rounds, and a chain of a million nodes twenty. What is asked for
+travels along: path_fold carries a value for the part of the path that the pointer has
+passed, subtree_sums a sum for the part of the subtree below. Both hold one row a node,
+not one for each node and ancestor; only closure() makes those pairs. Rounds are
+written to the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import written
 
 #: A predicate over (column of the parent's row, column of the child's row), as functions from a column's name.
 Descend = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+#: From (column of the nearer part of a path, column of the farther part), the columns of both together.
+Combine = Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]]
+
+
+class CycleError(ValueError):
+    """The nodes have a cycle."""
 
 
 def edges_of(nodes: DataFrame, descend: Descend | None = None, parent: str = "parent_id") -> DataFrame:
@@ -27,41 +36,106 @@ def edges_of(nodes: DataFrame, descend: Descend | None = None, parent: str = "pa
     return joined.filter(descend(lambda c: F.col(f"up_{c}"), F.col)).select("node_id", F.col(parent).alias("parent_id"))
 
 
+def _counted(df: DataFrame, label: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """df as it is written, and for how many of its rows the condition holds."""
+    seen = Observation()
+    held = written(df.observe(seen, F.count(F.lit(1) if condition is None else F.when(condition, 1)).alias("n")), label)
+    return held, seen.get["n"]
+
+
+def path_fold(nodes: DataFrame, values: dict[str, Column], combine: Combine, descend: Descend | None = None, cycles: bool = False) -> DataFrame:
+    """(node_id, *values): for each node, its values combined with those of all nodes on the way up to its root, nearest first; combine must be associative.
+
+    With `descend`, a way ends where an edge may not be followed. A cycle is an error, or with `cycles` its nodes come without values."""
+    own = nodes.select("node_id", *(v.alias(k) for k, v in values.items()))
+    held, most = _counted(own.join(edges_of(nodes, descend).withColumnRenamed("parent_id", "up"), "node_id", "left").select("node_id", "up", *values), "fold")
+    more, passed = most, 1
+    while more:
+        if passed > 2 * most:
+            if cycles:
+                return held.select("node_id", *(F.when(F.col("up").isNull(), F.col(k)).alias(k) for k in values))
+            raise CycleError("the nodes have a cycle")
+        far = held.select(F.col("node_id").alias("up"), F.col("up").alias("far_up"), F.lit(True).alias("far"), *(F.col(k).alias(f"far_{k}") for k in values))
+        both = combine(F.col, lambda k: F.col(f"far_{k}"))
+        step = held.join(far, "up", "left").select("node_id", F.col("far_up").alias("up"), *(F.when(F.col("far"), both[k]).otherwise(F.col(k)).alias(k) for k in values))
+        held, more = _counted(step, "fold", F.col("up").isNotNull())
+        passed *= 2
+    return held.select("node_id", *values)
+
+
+def subtree_sums(nodes: DataFrame, own: DataFrame, by: Sequence[str] = (), descend: Descend | None = None) -> DataFrame:
+    """own (node_id, *by, numbers) summed over each node's subtree, the node included; nodes without any below them have no row."""
+    keys, numbers = ["node_id", *by], [c for c in own.columns if c not in ("node_id", *by)]
+    total = own.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in numbers))
+    jump, more = _counted(edges_of(nodes, descend).withColumnRenamed("parent_id", "up"), "jumps")
+    limit, passed = 2 * more + 2, 1
+    while more:
+        if passed > limit:
+            raise CycleError("the nodes have a cycle")
+        moved = total.join(jump, "node_id").select(F.col("up").alias("node_id"), *by, *numbers)
+        total = written(total.unionByName(moved).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in numbers)), "sums")
+        jump, more = _counted(jump.join(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far")), "up").select("node_id", F.col("far").alias("up")), "jumps")
+        passed *= 2
+    return total
+
+
 def closure(nodes: DataFrame, descend: Descend | None = None, parent: str = "parent_id") -> DataFrame:
-    """(ancestor_id, node_id, distance) for each node and each of its ancestors, itself included at distance 0."""
+    """(ancestor_id, node_id, distance) for each node and each of its ancestors, itself included at distance 0: a row for every pair, so for shallow forests, or where the pairs are what is asked for."""
     pairs = nodes.select(F.col("node_id").alias("ancestor_id"), "node_id", F.lit(0).alias("distance"))
-    most = nodes.count()
-    step = written(edges_of(nodes, descend, parent).select("node_id", F.col("parent_id").alias("up")), "step")
-    span = 1
-    while not step.isEmpty():
-        if span >= most:
-            raise ValueError("the nodes have a cycle")
+    step, more = _counted(edges_of(nodes, descend, parent).select("node_id", F.col("parent_id").alias("up")), "step")
+    span, most = 1, more + 1
+    while more:
+        if span > most:
+            raise CycleError("the nodes have a cycle")
         longer = pairs.join(step.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id")
         pairs = pairs.unionByName(longer.select(F.col("up").alias("ancestor_id"), "node_id", (F.col("distance") + span).alias("distance")))
         nearer = step.select("node_id", F.col("up").alias("mid"))
-        step = written(nearer.join(step.select(F.col("node_id").alias("mid"), "up"), "mid").select("node_id", "up"), "step")
+        step, more = _counted(nearer.join(step.select(F.col("node_id").alias("mid"), "up"), "mid").select("node_id", "up"), "step")
         span *= 2
         if span >= 4:
             pairs = written(pairs, "closure")
     return pairs
 
 
+def _way_up(nodes: DataFrame, node_id: int) -> DataFrame:
+    """(node_id, distance) of a node and its ancestors: those that are near, and of all of them the pointers to those twice as far."""
+    found = nodes.filter(F.col("node_id") == node_id).select("node_id", F.lit(0).alias("distance"))
+    jump, more = _counted(edges_of(nodes).withColumnRenamed("parent_id", "up"), "jumps")
+    span, most = 1, more + 1
+    while more:
+        if span > most:
+            raise CycleError("the nodes have a cycle")
+        farther, n = _counted(found.join(jump, "node_id").select(F.col("up").alias("node_id"), (F.col("distance") + span).cast("int").alias("distance")), "way")
+        if not n:
+            break
+        found = written(found.unionByName(farther), "way")
+        jump, more = _counted(jump.join(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far")), "up").select("node_id", F.col("far").alias("up")), "jumps")
+        span *= 2
+    return found
+
+
 def ancestors(nodes: DataFrame, node_id: int) -> DataFrame:
     """The node at level 0 and its ancestors at levels -1, -2, ..., with all columns of nodes."""
-    up = closure(nodes).filter(F.col("node_id") == node_id).select(F.col("ancestor_id").alias("node_id"), (-F.col("distance")).alias("level"))
-    return nodes.join(up, "node_id")
+    return nodes.join(_way_up(nodes, node_id).select("node_id", (-F.col("distance")).alias("level")), "node_id")
 
 
 def paths(nodes: DataFrame, node_id: int | None = None) -> DataFrame:
     """(node_id, path): the ids from the root to each node, or to one."""
-    pairs = closure(nodes)
     if node_id is not None:
-        pairs = pairs.filter(F.col("node_id") == node_id)
-    listed = pairs.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor_id")), asc=False).alias("p"))
-    return listed.select("node_id", F.col("p.ancestor_id").alias("path"))
+        rows = _way_up(nodes, node_id).groupBy(F.lit(node_id).cast("long").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("distance", "node_id")), asc=False).alias("p"))
+        return rows.select("node_id", F.col("p.node_id").alias("path"))
+    return path_fold(nodes, {"path": F.array("node_id")}, lambda near, far: {"path": F.concat(far("path"), near("path"))})
+
+
+def nearest(nodes: DataFrame, marks: DataFrame, descend: Descend | None = None) -> DataFrame:
+    """(node_id, mark, distance): the nearest of marks (node_id) on each node's way up, itself included, and how far it is; only nodes that have one."""
+    marked = nodes.join(marks.select("node_id", F.lit(True).alias("is_mark")).distinct(), "node_id", "left")
+    values = {"mark": F.when(F.col("is_mark"), F.col("node_id")), "distance": F.when(F.col("is_mark"), F.lit(0)), "n": F.lit(1)}
+    both = lambda near, far: {"mark": F.coalesce(near("mark"), far("mark")), "distance": F.coalesce(near("distance"), (near("n") + far("distance")).cast("int")), "n": (near("n") + far("n")).cast("int")}
+    return path_fold(marked, values, both, descend).filter("mark is not null").select("node_id", "mark", "distance")
 
 
 def subtree(nodes: DataFrame, node_id: int, descend: Descend | None = None) -> DataFrame:
     """The node and its descendants with their level below it; `descend` decides which edges are followed."""
-    down = closure(nodes, descend).filter(F.col("ancestor_id") == node_id).select("node_id", F.col("distance").alias("level"))
-    return nodes.join(down, "node_id")
+    below = nearest(nodes, nodes.filter(F.col("node_id") == node_id), descend).select("node_id", F.col("distance").alias("level"))
+    return nodes.join(below, "node_id")

@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
-#: Rows of a table up to which it is broadcast.
+#: Rows of a table up to which it is broadcast, if its bytes allow it as well.
 BROADCAST_ROWS = 200_000
+#: Bytes of its values up to which it is.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -19,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -33,6 +38,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most `rows` rows; as it is otherwise, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most `rows` rows and its values at most n_bytes; as it is otherwise, for a shuffled join."""
+    width = F.lit(0)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(kind, T.ArrayType):
+            size = F.size(c) * (8 if isinstance(kind.elementType, T.NumericType) else 64)
+        else:
+            size = F.lit(8)
+        width = width + F.greatest(F.coalesce(size, F.lit(0)), F.lit(8))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= n_bytes else df

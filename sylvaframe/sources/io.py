@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import truncate as first_dims
 from ..operators.labels import flat_labels
-from ..plans.closure import closure, subtree
+from ..plans.closure import subtree
 from ..plans.shared import written
 from ..schema import Tables, Tree, check_columns, check_tree
 
@@ -56,7 +56,7 @@ def set_features(objects: DataFrame, *features: DataFrame, truncate: int | None
     if pca:
         from ..operators.vector import pca as project
 
-        rows = project(rows, pca, "features", "__p")[0].select("object_id", F.col("__p").alias("features"))
+        rows = project(rows, pca, "features", "features")[0].select("object_id", "features")
     if max_dim is not None and (n := rows.agg(F.max(F.size("features"))).first()[0] or 0) > max_dim:
         raise ValueError(f"vectors have {n} dimensions; {max_dim} are allowed")
     new = rows.select("object_id", F.transform("features", lambda x: x.cast("double")).alias("__v"))
@@ -240,8 +240,3 @@ def merge_trees(a: Tree, b: Tree) -> Tree:
     rejected = [t.rejected for t in (a, moved) if t.rejected is not None]
     both = rejected[0].unionByName(rejected[1].withColumn("node_id", swap("node_id"))) if len(rejected) == 2 else rejected[0] if rejected else None
     return Tree(nodes, objects, both, a.meta | b.meta)
-
-
-def n_reachable(tree: Tree) -> DataFrame:
-    """One row (n) of node and ancestor pairs; a cheap check of a tree's shape."""
-    return closure(tree.nodes).agg(F.count(F.lit(1)).alias("n"))
