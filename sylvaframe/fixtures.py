@@ -85,3 +85,29 @@ def geo_tree(spark: SparkSession, sf_dir: str) -> Tree:
 def vector_tree(spark: SparkSession, sf_dir: str) -> Tree:
     t = vectors(spark, sf_dir)
     return Tree(t.nodes, t.assignments, t.rejected)
+
+
+#: Chains of 25 customers, the first of each hanging on the first of the chain before: n / 25 + 24 levels.
+DEEP_NODES = """
+SELECT c_custkey AS node_id, CASE WHEN c_custkey = 0 THEN NULL WHEN c_custkey % 25 = 0 THEN c_custkey - 25 ELSE c_custkey - 1 END AS parent_id,
+CASE WHEN c_custkey % 25 = 20 THEN NULL ELSE concat(c_mktsegment, '/', CAST(c_custkey % 10 AS STRING)) END AS name, c_custkey % 7 = 0 AS starred, c_custkey % 11 = 0 AS approved, c_custkey % 3 = 0 AS filled, false AS preferred FROM customer
+"""
+DEEP_ASSIGNMENTS = "SELECT CAST(o_orderkey AS STRING) AS object_id, o_custkey AS node_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"
+
+
+def deep(spark: SparkSession, sf_dir: str) -> Tables:
+    """A deep tree of customers, with orders as objects."""
+    nodes = _select(spark, sf_dir, DEEP_NODES, ("customer",)).withColumns({"node_id": F.col("node_id").cast("long"), "parent_id": F.col("parent_id").cast("long"), "project_id": F.lit(1)})
+    return Tables(nodes, _select(spark, sf_dir, DEEP_ASSIGNMENTS, ("orders", "customer")).withColumn("node_id", F.col("node_id").cast("long")))
+
+
+def many_projects(spark: SparkSession, sf_dir: str) -> Tables:
+    """Each region a project with nations below it and customers as objects."""
+    region, nation = load(spark, sf_dir, "region"), load(spark, sf_dir, "nation")
+    flags = lambda key: [(key % 5 == 0).alias("starred"), (key % 7 == 0).alias("approved"), (key % 2 == 0).alias("filled"), F.lit(False).alias("preferred")]
+    r, n = F.col("r_regionkey"), F.col("n_nationkey")
+    tops = region.select((1 + r).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), (1 + r).cast("int").alias("project_id"), F.lit(None).cast("string").alias("name"), *flags(F.lit(1)))
+    rest = nation.select((100 + n).cast("long").alias("node_id"), (1 + F.col("n_regionkey")).cast("long").alias("parent_id"), (1 + F.col("n_regionkey")).cast("int").alias("project_id"), F.when(n % 4 != 3, F.col("n_name")).alias("name"), *flags(n))
+    objects = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("object_id"), (100 + F.col("c_nationkey")).cast("long").alias("node_id"))
+    projects = region.select((1 + r).cast("int").alias("project_id"), F.col("r_name").alias("name"), (r % 2 == 0).alias("visible"))
+    return Tables(tops.unionByName(rest), objects, projects=projects)

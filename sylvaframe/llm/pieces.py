@@ -21,6 +21,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -162,29 +163,33 @@ class PieceModel:
         agenda, union = np.full((n, width), _NEVER), np.zeros((n, width), np.int64)
         if width > 1:
             agenda[:, :-1], union[:, :-1] = self._merge_of(symbol[:, :-1], np.where(inside[:, 1:], symbol[:, 1:], self.n))
+        # The same arrays by one index, row * width + column.
+        a, u, s, c, nxt, prev = (x.reshape(-1) for x in (agenda, union, symbol, chars, after, before))
         rows = np.arange(n)
         while len(rows):
-            best = agenda[rows].argmin(1)
-            open_ = agenda[rows, best] != _NEVER
-            rows, k = rows[open_], best[open_]
-            j = after[rows, k]
-            both = chars[rows, k] + chars[rows, j]
+            k = agenda[rows].argmin(1)
+            i = rows * width + k
+            open_ = a[i] != _NEVER
+            rows, k, i = rows[open_], k[open_], i[open_]
+            j = i - k + nxt[i]
+            both = c[i] + c[j]
             no = skipped_many(key[rows], k, both, threshold)
             draws.append((rows, k, both, no))
-            agenda[rows[no], k[no]] = _NEVER
-            r, k, j = rows[~no], k[~no], j[~no]
-            symbol[r, k] = new = union[r, k]
-            symbol[r, j] = -1
-            chars[r, k] += chars[r, j]
-            agenda[r, j] = _NEVER
-            m = after[r, k] = after[r, j]
+            a[i[no]] = _NEVER
+            yes = ~no
+            k, i, j, r = k[yes], i[yes], j[yes], rows[yes]
+            s[i] = new = u[i]
+            s[j] = -1
+            c[i] = both[yes]
+            a[j] = _NEVER
+            m = nxt[i] = nxt[j]
             ends = m >= size[r]
-            m = np.minimum(m, width - 1)
-            before[r[~ends], m[~ends]] = k[~ends]
-            agenda[r, k], union[r, k] = self._merge_of(new, np.where(ends, self.n, symbol[r, m]))
-            p = before[r, k]
-            r, p, new = r[p >= 0], p[p >= 0], new[p >= 0]
-            agenda[r, p], union[r, p] = self._merge_of(symbol[r, p], new)
+            at = i - k + np.minimum(m, width - 1)
+            prev[at[~ends]] = k[~ends]
+            has = prev[i] >= 0
+            p = (i - k + prev[i])[has]
+            where = np.concatenate((i, p))
+            a[where], u[where] = self._merge_of(np.concatenate((new, s[p])), np.concatenate((np.where(ends, self.n, s[at]), new[has])))
         alive = symbol >= 0
         ids, counts = symbol[alive].tolist(), alive.sum(1)
         ends = np.cumsum(counts).tolist()
@@ -248,9 +253,10 @@ class Turns:
         self.flat.extend(flat)
         return nodes
 
-    def _grow(self, words: list[str], keys: np.ndarray) -> np.ndarray:
-        """Adds the turns that the words take with these keys; gives their roots. Of turns that aren't known yet, no two words take the same."""
-        root = np.array([self.roots.get(w, -1) for w in words], np.int64)
+    def _grow(self, words: list[str], keys: np.ndarray) -> None:
+        """Adds the turns that the words take with these keys. Of turns that aren't known yet, no two words take the same."""
+        root = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(root < 0).tolist()
         length = np.fromiter(map(len, words), np.int64, len(words))
         low = -1
         for high in (6, 10, 16, 24, LONG):
@@ -277,15 +283,14 @@ class Turns:
                     node = step(rows, lambda lost: self._add(place[lost], size[lost]))  # noqa: B023
                     edge[rows] = 2 * node + no
                 step(np.arange(len(some)), lambda lost: self._leaves([found[k] for k in np.flatnonzero(lost).tolist()]))  # noqa: B023
-        self.roots.update((w, k) for w, k in zip(words, root.tolist()))
-        return root
+        self.roots.update((words[k], int(root[k])) for k in fresh)
 
     def encode(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, each with its key, one after the other; number of ids of each)."""
         if self.place.n > self.most[0] or self.flat.n > self.most[1]:
             self.forget()
         get = self.roots.get
-        node = np.array([get(w, -1) for w in words], np.int64)
+        node = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         lost = np.flatnonzero(node < 0).tolist()
         if lost:
             long = [k for k in lost if len(words[k]) > LONG]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -171,9 +172,10 @@ def adopt(tables: Tables, parent_id: int, node_ids: Iterable | DataFrame | None
     return relocate_objects(out, object_ids, parent_id) if object_ids is not None else out
 
 
-def append_log(tables: Tables, action: str, node_id: int | None = None, data: str | None = None, username: str | None = None, reverse_action: str | None = None) -> Tables:
-    """One more row of the log."""
+def append_log(tables: Tables, action: str, node_id: int | None = None, data: str | dict | list | None = None, username: str | None = None, reverse_action: str | None = None) -> Tables:
+    """One more row of the log; data that isn't a string is written as JSON."""
     log = tables.log
+    data = data if data is None or isinstance(data, str) else json.dumps(data)
     row = {"action": action, "node_id": node_id, "data": data, "username": username, "reverse_action": reverse_action}
     new = log.agg((F.coalesce(F.max("log_id"), F.lit(-1)) + 1).alias("log_id"))
     for f in log.schema.fields:
@@ -182,6 +184,11 @@ def append_log(tables: Tables, action: str, node_id: int | None = None, data: st
     return tables.with_(log=log.unionByName(new.withColumn("log_id", F.col("log_id").cast(log.schema["log_id"].dataType))))
 
 
+def log_data(log: DataFrame, schema: str) -> DataFrame:
+    """the log with its data read as JSON of the given schema; null where it isn't."""
+    return log.withColumn("data", F.from_json("data", schema))
+
+
 def drop_project(tables: Tables, project_id: int) -> Tables:
     """A project, its nodes and what hangs on them go; the log keeps its rows without a node."""
     gone = tables.nodes.filter(F.col("project_id") == project_id).select("node_id")

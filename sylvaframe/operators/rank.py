@@ -91,6 +91,79 @@ def n_leaves(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"))
 
 
+def member_keys(keys: Column) -> Column:
+    """(kind, member_id) of member keys such as n12 and o-abc: 'node' or 'object' by the first letter, and the rest."""
+    kind = F.when(keys.startswith("n"), "node").when(keys.startswith("o"), "object")
+    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), F.substring(keys, 2, 2**31 - 1)).alias("member_id"))
+
+
+ARRANGEMENTS = ("", "sim", "nleaves", "starred_sim", "interleaved", "random")
+
+
+def node_members(
+    tables: Tables, node_id: int, nodes: bool = True, objects: bool = True, arrange_by: str = "", starred_first: bool = True, descending: bool = False, centroids: DataFrame | None = None, dim: int | None = None, seed: int = 0
+) -> DataFrame:
+    """(rank, kind, member_id) of a node's children and direct objects.
+
+    Without an arrangement, nodes come before objects, by id. 'sim' goes by by_similarity, 'interleaved' folds that order, 'nleaves' by the leaves below
+    (objects have none), 'starred_sim' by the largest distance to the starred children, or to all children if none is starred, or as 'sim' if there
+    are none; 'random' by a hash. Ties go by kind and id. `descending` turns an arrangement round. With starred_first the starred children stand
+    before all, by id, and only the others are arranged. centroids (node_id, vector) and dim are needed for vectors; none counts as zero."""
+    if arrange_by not in ARRANGEMENTS:
+        raise ValueError(f"arrange_by is one of {ARRANGEMENTS}")
+    kids = tables.nodes.filter(F.col("parent_id") == node_id).select("node_id", F.coalesce("starred", F.lit(False)).alias("starred"))
+    shown = [kids.filter("not starred") if starred_first else kids] if nodes else []
+    rows = [k.select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("member_id")) for k in shown]
+    if objects:
+        rows.append(tables.assignments.filter(F.col("node_id") == node_id).select(F.lit("object").alias("kind"), F.col("object_id").alias("member_id")))
+    if not rows and not starred_first:
+        raise ValueError("neither nodes nor objects are asked for")
+    found = rows[0] if rows else kids.filter("false").select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("member_id"))
+    for r in rows[1:]:
+        found = found.unionByName(r)
+    by_id = [F.col("kind"), F.when(F.col("kind") == "node", F.col("member_id").cast("long")), F.col("member_id")]
+    arranged = found.withColumn("key", F.lit(0.0))
+    if arrange_by in ("sim", "interleaved", "starred_sim"):
+        if centroids is None or dim is None:
+            raise ValueError("vectors are needed")
+        at = centroids.select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("member_id"), "vector").unionByName(tables.objects.select(F.lit("object").alias("kind"), F.col("object_id").alias("member_id"), "vector"))
+        held = found.join(at, ["kind", "member_id"], "left").select(F.struct("kind", "member_id").alias("m"), zero_fill(F.col("vector"), dim).alias("vector"))
+        named = held.select(F.to_json("m").alias("member_id"), "m", "vector")
+        anchors = kids.filter("starred") if not kids.filter("starred").isEmpty() else kids
+        anchors = centroids.join(anchors.select("node_id"), "node_id", "left_semi").filter("vector is not null").select("vector")
+        if arrange_by == "starred_sim" and not anchors.isEmpty():
+            keyed = by_anchor_distance(named, anchors).select("member_id", (-F.col("key")).alias("key"))
+        else:
+            keyed = by_similarity(named.select("member_id", "vector"), seed=seed)
+        arranged = named.join(keyed, "member_id").select("m.*", "key")
+    elif arrange_by == "nleaves":
+        leaves = n_leaves(tables.nodes).select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("member_id"), (-F.col("n_leaves")).cast("double").alias("key"))
+        arranged = found.join(leaves, ["kind", "member_id"], "left").select("kind", "member_id", F.coalesce("key", F.lit(0.0)).alias("key"))
+    elif arrange_by == "random":
+        arranged = found.withColumn("key", F.xxhash64("kind", "member_id", F.lit(seed)).cast("double"))
+    ranked = numbered(arranged, "key", *by_id)
+    total = F.lit(ranked.count())
+    if arrange_by == "interleaved":
+        ranked = interleave(ranked, ranked.count()).drop("rank").withColumnRenamed("place", "rank")
+    if descending and arrange_by:
+        ranked = ranked.withColumn("rank", total - 1 - F.col("rank"))
+    ranked = ranked.select(F.col("rank").cast("long").alias("rank"), "kind", "member_id")
+    if starred_first:
+        first = numbered(kids.filter("starred"), "node_id").select(F.col("rank").cast("long").alias("rank"), F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("member_id"))
+        n_first = first.count()
+        ranked = first.unionByName(ranked.withColumn("rank", F.col("rank") + n_first))
+    return ranked
+
+
+def project_members(tables: Tables, members: DataFrame) -> DataFrame:
+    """Members (rank, kind, member_id) as a service shows them: objects by object_id, nodes by what node_view says of them."""
+    from .query import node_view
+
+    view = node_view(tables).withColumn("member_id", F.col("node_id").cast("string"))
+    shown = members.filter("kind = 'node'").join(view, "member_id").drop("member_id")
+    return shown.unionByName(members.filter("kind = 'object'").select("rank", "kind", F.col("member_id").alias("object_id")), allowMissingColumns=True)
+
+
 def round_robin(lists: DataFrame, k: int) -> DataFrame:
     """(item): lists (list_no, items) merged one item at a time; the first k."""
     return lists.select("list_no", F.posexplode("items").alias("pos", "item")).orderBy("pos", "list_no").limit(k).select("pos", "list_no", "item")
@@ -100,8 +173,6 @@ def by_similarity(members: DataFrame, n_landmarks: int = 1000, n_neighbors: int
     """O3: members (member_id, vector) with `key`: their place on a one-dimensional Isomap of at most n_landmarks members.
 
     The fit is bounded by its definition. Up to five members keep the order of their ids. All other members are projected in tasks."""
-    import heapq
-
     import numpy as np
     import pandas as pd
 
@@ -130,16 +201,11 @@ def by_similarity(members: DataFrame, n_landmarks: int = 1000, n_neighbors: int
         a, b = np.unravel_index(d[np.ix_(inside, outside)].argmin(), (len(inside), len(outside)))
         near[inside[a]][int(outside[b])] = near[outside[b]][int(inside[a])] = float(d[inside[a], outside[b]])
     geo = np.full((n, n), np.inf)
-    for s in range(n):
-        geo[s, s], queue = 0.0, [(0.0, s)]
-        while queue:
-            g, i = heapq.heappop(queue)
-            if g > geo[s, i]:
-                continue
-            for j, w in near[i].items():
-                if g + w < geo[s, j]:
-                    geo[s, j] = g + w
-                    heapq.heappush(queue, (g + w, j))
+    for i, row in enumerate(near):
+        geo[i, i] = 0.0
+        geo[i, list(row)] = list(row.values())
+    for k in range(n):  # shortest ways over the first k landmarks
+        np.minimum(geo, geo[:, k, None] + geo[k], out=geo)
     sq = geo**2
     b = -0.5 * (sq - sq.mean(0) - sq.mean(1)[:, None] + sq.mean())
     values, vectors = np.linalg.eigh(b)

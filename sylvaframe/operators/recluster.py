@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import written
 from ..schema import Tables, Tree
-from ..sources.io import merge_trees, tree_from_labels
+from ..sources.io import dump_tree, load_project, merge_trees, tree_from_labels, write_tree
+from .edit import create_project
+from .query import root_id
+from .stats import consolidate
 from .vector import nearest_centroids, nearest_distance, pca
 
 #: Points of a block of the all-pairs search.
@@ -241,10 +244,40 @@ def cluster(features: DataFrame, trees: list[Tree], ignore_approved: bool = True
     return Tree(tree.nodes.withColumn("approved", F.lit(False)), tree.objects, None, {"density": {k: str(v) for k, v in density.items()}})
 
 
-def recluster_project(tables: Tables, project_id: int, features: DataFrame, min_cluster_size: int, sample_size: int = 1000) -> Tree:
-    """A project's tree merged with the clusters of what isn't approved in it."""
-    from ..sources.io import dump_tree
-    from .query import root_id
+def save_merged(trees: list[Tree], path: str, log: list[dict] | None = None) -> Tree:
+    """All trees merged and saved with the log of the run; the merged tree."""
+    if not trees:
+        raise ValueError("no trees")
+    tree = merge_all(None, trees)
+    write_tree(tree, path, {"log": log or []})
+    return tree
+
 
+def save_all(trees: list[Tree], prefix: str) -> list[str]:
+    """Each tree saved on its own, as prefix-0, prefix-1, ...; the paths."""
+    paths = [f"{prefix}-{k}" for k in range(len(trees))]
+    for tree, path in zip(trees, paths):
+        write_tree(tree, path)
+    return paths
+
+
+def recluster_tree(tables: Tables, project_id: int, features: DataFrame, min_cluster_size: int, sample_size: int | None = 1000, **density) -> Tree:
+    """A project's tree merged with the clusters of what isn't approved in it."""
     tree = with_approved(dump_tree(tables, root_id(tables.nodes, project_id)))
-    return merge_trees(tree, cluster(features, [tree], sample_size=sample_size, min_cluster_size=min_cluster_size))
+    return merge_all(None, [tree, cluster(features, [tree], sample_size=sample_size, min_cluster_size=min_cluster_size, **density)])
+
+
+def recluster_project(tables: Tables, project_id: int, features: DataFrame, min_cluster_size: int, sample_size: int | None = 1000, **density) -> tuple[Tables, int]:
+    """recluster_tree as a new project named <name>-<min_cluster_size>, with its nodes' statistics; the tables and the project's id."""
+    name = tables.projects.filter(F.col("project_id") == project_id).select("name").first()
+    if name is None:
+        raise LookupError(f"project {project_id} is unknown")
+    tree = recluster_tree(tables, project_id, features, min_cluster_size, sample_size, **density)
+    held = create_project(tables, f"{name[0]}-{min_cluster_size}")
+    new = held.projects.agg(F.max("project_id")).first()[0]
+    # The new nodes, in tables of their own so that only they are refreshed.
+    fresh = load_project(held, tree, new)
+    own = fresh.nodes.filter(F.col("project_id") == new)
+    assigned = written(fresh.assignments.join(own.select("node_id"), "node_id", "left_semi"), "assigned")
+    refreshed = consolidate(Tables(written(own, "nodes"), assigned, tables.objects), root_id(own, new))
+    return held.with_(nodes=tables.nodes.unionByName(refreshed, allowMissingColumns=True), assignments=tables.assignments.unionByName(assigned, allowMissingColumns=True)), new

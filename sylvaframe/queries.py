@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,8 @@ from . import fixtures as fx
 from .functions.vectors import euclidean, l2_normalize, mean_vectors
 from .operators import edit, labels, query, rank, recluster, stats, vector
 from .plans import closure as cl
-from .schema import Tables, Tree
+from .plans.shared import shared_root
+from .schema import Tables, Tree, check_tree
 from .sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +48,17 @@ CENTROIDS = CLOSURE + MEANS + ", dims AS (SELECT cl.ancestor_id AS node_id, pos,
 TYPES = ", types AS (SELECT c.node_id AS type_id, c.vector FROM centroids c JOIN nodes n USING (node_id) WHERE n.starred)"
 _text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
 
+def _exploded(df: DataFrame, key: str, vector: str = "vector", digits: int = 6) -> DataFrame:
+    """(key, pos, x): one row for each dimension, from 1, rounded; zero has no sign."""
+    return df.select(key, F.posexplode(vector).alias("pos", "x")).select(key, (F.col("pos") + 1).cast("long").alias("pos"), (F.round("x", digits) + F.lit(0.0)).alias("x"))
+
+
+def _mean_of(prototypes: DataFrame, key: str) -> DataFrame:
+    """(key, vector): the mean that prototypes stand for, weighted by their support."""
+    rows = prototypes.select(key, F.explode("prototypes").alias("p")).select(key, "p.vector", "p.support")
+    return mean_vectors(rows, key, weight=F.col("support"))
+
+
 # --- traversal -------------------------------------------------------------------------------------------------------
 
 
@@ -146,10 +161,10 @@ def _(s, d):
     return query.next_unapproved(fx.geo(s, d), 104, leaf=True, preferred_first=True, order_by="largest").select("node_id")
 
 
-@query_of("t17b_next_unfilled", GEO + DEEP + " SELECT n.node_id FROM nodes n JOIN cl ON cl.node_id = n.node_id AND cl.ancestor_id = 2 JOIN deep ON deep.node_id = n.node_id WHERE approved AND NOT filled AND n.node_id % 2 = 1 ORDER BY distance DESC, n_objects_deep DESC, n.node_id LIMIT 1")
+@query_of("t17b_next_unfilled", GEO + DEEP + " SELECT n.node_id FROM nodes n JOIN cl ON cl.node_id = n.node_id AND cl.ancestor_id = 2 JOIN deep ON deep.node_id = n.node_id WHERE approved AND NOT filled AND n.node_id IN (SELECT node_id FROM assignments) ORDER BY distance DESC, n_objects_deep DESC, n.node_id LIMIT 1")
 def _(s, d):
     t = fx.geo(s, d)
-    return query.next_unfilled(t, 2, t.nodes.filter("node_id % 2 = 1")).select("node_id")
+    return query.next_unfilled(t, 2, t.assignments).select("node_id")  # nodes with objects have prototypes
 
 
 @query_of("t18_supertree", GEO + CLOSURE + ", up AS (SELECT cl.node_id, cl.ancestor_id, row_number() OVER (PARTITION BY cl.node_id ORDER BY distance) AS r FROM cl JOIN nodes a ON a.node_id = cl.ancestor_id WHERE distance > 0 AND (a.starred OR a.parent_id IS NULL)) SELECT n.node_id, up.ancestor_id AS superparent_id FROM nodes n LEFT JOIN up ON up.node_id = n.node_id AND r = 1")
@@ -185,26 +200,86 @@ def _(s, d):
     return query.trim_common(cl.paths(nodes).join(nodes.filter("parent_id = 102").select("node_id"), "node_id", "left_semi")).select("node_id", _text("path").alias("path"))
 
 
-@query_of("t22_bottom_up", GEO + CLOSURE + " SELECT ancestor_id AS node_id, CAST(max(depth - distance) AS INT) AS depth FROM cl JOIN (SELECT node_id, max(distance) AS depth FROM cl GROUP BY node_id) USING (node_id) WHERE node_id % 5 = 0 GROUP BY ancestor_id")
+@query_of("t22_bottom_up", GEO + CLOSURE + " SELECT ancestor_id AS node_id, CAST(max(depth - distance) AS INT) AS depth FROM cl JOIN (SELECT node_id, max(distance) AS depth FROM cl GROUP BY node_id) USING (node_id) GROUP BY ancestor_id")
 def _(s, d):
-    return query.bottom_up(cl.paths(fx.geo(s, d).nodes).filter("node_id % 5 = 0"))
+    return query.bottom_up(cl.paths(fx.geo(s, d).nodes))
 
 
-_PROGRESS = """, kids AS (SELECT DISTINCT parent_id AS node_id FROM nodes), own AS (SELECT n.node_id, approved, filled, name IS NOT NULL AS named, n_objects_deep AS n, n.node_id NOT IN (SELECT node_id FROM kids WHERE node_id IS NOT NULL) AS leaf FROM nodes n JOIN deep USING (node_id)),
-above AS (SELECT cl.node_id, bool_or(a.approved) AS ua, bool_or(a.named) AS un FROM cl JOIN own a ON a.node_id = cl.ancestor_id WHERE distance > 0 GROUP BY cl.node_id)
-SELECT CAST(0 AS BIGINT) AS node_id, CAST(sum(CASE WHEN approved AND NOT coalesce(ua, false) THEN n ELSE 0 END) AS BIGINT) AS n_approved_objects, CAST(sum(CASE WHEN named AND NOT coalesce(un, false) THEN n ELSE 0 END) AS BIGINT) AS n_named_objects,
-CAST(sum(CASE WHEN approved THEN 1 ELSE 0 END) AS BIGINT) AS n_approved_nodes, CAST(sum(CASE WHEN filled THEN 1 ELSE 0 END) AS BIGINT) AS n_filled_nodes, count(*) AS n_nodes,
-CAST(sum(CASE WHEN leaf AND approved THEN n ELSE 0 END) AS BIGINT) AS leaves_n_approved_objects, CAST(sum(CASE WHEN leaf AND named THEN 1 ELSE 0 END) AS BIGINT) AS leaves_n_named_nodes, CAST(sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS BIGINT) AS leaves_n_nodes FROM own LEFT JOIN above USING (node_id)"""
+_COUNTS = ", ".join(
+    ["{top}"]
+    + [f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS n_{c}_nodes" for c in ("approved", "filled", "named")]
+    + [f"CAST(sum(CASE WHEN leaf AND {c} THEN n ELSE 0 END) AS BIGINT) AS leaves_n_{c}_objects, CAST(sum(CASE WHEN leaf AND {c} THEN 1 ELSE 0 END) AS BIGINT) AS leaves_n_{c}_nodes" for c in ("approved", "filled", "named")]
+    + ["count(*) AS n_nodes, CAST(sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS BIGINT) AS leaves_n_nodes, CAST(sum(CASE WHEN leaf THEN n ELSE 0 END) AS BIGINT) AS leaves_n_objects"]
+    + ["CAST(sum(CASE WHEN root AND filled THEN n ELSE 0 END) AS BIGINT) AS n_filled_objects, CAST(sum(CASE WHEN root THEN n ELSE 0 END) AS BIGINT) AS n_objects"]
+)
+_PROGRESS = (
+    """, kids AS (SELECT DISTINCT parent_id AS node_id FROM nodes), own AS (SELECT n.node_id, parent_id IS NULL AS root, approved, filled, name IS NOT NULL AS named, n_objects_deep AS n, n.node_id NOT IN (SELECT node_id FROM kids WHERE node_id IS NOT NULL) AS leaf FROM nodes n JOIN deep USING (node_id)),
+above AS (SELECT cl.node_id, bool_or(a.approved) AS ua, bool_or(a.named) AS un FROM cl JOIN own a ON a.node_id = cl.ancestor_id WHERE distance > 0 GROUP BY cl.node_id),
+tops AS (SELECT cl.node_id, cl.ancestor_id AS top FROM cl JOIN nodes t ON t.node_id = cl.ancestor_id WHERE t.parent_id IS NULL) SELECT top AS node_id, """
+    + _COUNTS.format(top="CAST(sum(CASE WHEN approved AND NOT coalesce(ua, false) THEN n ELSE 0 END) AS BIGINT) AS n_approved_objects, CAST(sum(CASE WHEN named AND NOT coalesce(un, false) THEN n ELSE 0 END) AS BIGINT) AS n_named_objects")
+    + " FROM own JOIN tops USING (node_id) LEFT JOIN above USING (node_id) GROUP BY top"
+)
+DEEPTREE = f"WITH RECURSIVE nodes AS ({_duck(fx.DEEP_NODES)}), assignments AS ({_duck(fx.DEEP_ASSIGNMENTS)})"
+PROJECTS = "WITH RECURSIVE nodes AS (SELECT 1 + r_regionkey AS node_id, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS VARCHAR) AS name, false AS starred, false AS approved, false AS filled FROM region UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, CASE WHEN n_nationkey % 4 <> 3 THEN n_name END, n_nationkey % 5 = 0, n_nationkey % 7 = 0, n_nationkey % 2 = 0 FROM nation), assignments AS (SELECT CAST(c_custkey AS VARCHAR) AS object_id, 100 + c_nationkey AS node_id FROM customer)"
 
 
 @query_of("t23_progress", GEO + DEEP + _PROGRESS)
 def _(s, d):
-    return query.progress(fx.geo(s, d)).select("node_id", "n_approved_objects", "n_named_objects", "n_approved_nodes", "n_filled_nodes", "n_nodes", "leaves_n_approved_objects", "leaves_n_named_nodes", "leaves_n_nodes")
+    return query.progress(fx.geo(s, d))
+
+
+@query_of("t23_deep_progress", DEEPTREE + DEEP + _PROGRESS)
+def _(s, d):
+    return query.progress(fx.deep(s, d))
 
 
-@query_of("p06_node_view", GEO + DEEP + ", k AS (SELECT parent_id, count(*) AS n FROM nodes GROUP BY 1), o AS (SELECT node_id, count(*) AS n FROM assignments GROUP BY 1) SELECT n.node_id, coalesce(n.name, CAST(n.node_id AS VARCHAR)) AS name, coalesce(k.n, 0) AS n_children, coalesce(o.n, 0) AS n_objects, n_objects_deep, CASE WHEN starred THEN 'starred' WHEN approved THEN 'approved' ELSE 'other' END AS status FROM nodes n JOIN deep USING (node_id) LEFT JOIN k ON k.parent_id = n.node_id LEFT JOIN o ON o.node_id = n.node_id")
+@query_of("g12_all_projects", PROJECTS + DEEP + _PROGRESS)
 def _(s, d):
-    return query.node_view(fx.geo(s, d)).drop("path")
+    return query.progress(fx.many_projects(s, d)).withColumn("node_id", F.col("node_id"))
+
+
+@query_of("t03_deep_subtree", DEEPTREE + CLOSURE + " SELECT node_id, distance AS level FROM cl WHERE ancestor_id = 25")
+def _(s, d):
+    return cl.subtree(fx.deep(s, d).nodes, 25).select("node_id", "level")
+
+
+@query_of("t01_deep_ancestors", DEEPTREE + CLOSURE + " SELECT ancestor_id AS node_id, CAST(-distance AS INT) AS level FROM cl WHERE node_id = 149")
+def _(s, d):
+    return cl.ancestors(fx.deep(s, d).nodes, 149).select("node_id", "level")
+
+
+@query_of("t06_deep_counts_of_chains", DEEPTREE + DEEP + " SELECT node_id, n_objects_deep FROM deep")
+def _(s, d):
+    t = fx.deep(s, d)
+    return query.n_objects_deep(t.nodes, t.assignments)
+
+
+@query_of("t12_deep_levels", DEEPTREE + CLOSURE + " SELECT node_id, max(distance) AS level FROM cl GROUP BY node_id")
+def _(s, d):
+    return query.levels(fx.deep(s, d).nodes)
+
+
+@query_of("t18_deep_supertree", DEEPTREE + CLOSURE + ", up AS (SELECT cl.node_id, cl.ancestor_id, row_number() OVER (PARTITION BY cl.node_id ORDER BY distance) AS r FROM cl JOIN nodes a ON a.node_id = cl.ancestor_id WHERE distance > 0 AND (a.starred OR a.parent_id IS NULL)) SELECT n.node_id, up.ancestor_id AS superparent_id FROM nodes n LEFT JOIN up ON up.node_id = n.node_id AND r = 1")
+def _(s, d):
+    return query.connect_supertree(fx.deep(s, d).nodes).select("node_id", "superparent_id")
+
+
+@query_of("t20_deep_labels", DEEPTREE + _LABELS.format(step=_CLEAN) + " SELECT object_id, label FROM assignments JOIN lab USING (node_id) WHERE label IS NOT NULL")
+def _(s, d):
+    t = fx.deep(s, d)
+    return labels.flat_labels(Tree(t.nodes, t.assignments))
+
+
+@query_of("t25_node", GEO + DEEP + " SELECT node_id, name, n_objects_deep AS n FROM nodes JOIN deep USING (node_id) WHERE node_id = 102")
+def _(s, d):
+    t = fx.geo(s, d)
+    t = t.with_(objects=t.objects.withColumn("vector", F.lit(None).cast("array<double>")))
+    return query.node(t, 102, refresh=True).select("node_id", "name", F.col("_n_objects_deep").alias("n"))
+
+
+@query_of("p06_node_view", GEO + DEEP + ", k AS (SELECT parent_id, count(*) AS n FROM nodes GROUP BY 1), o AS (SELECT node_id, count(*) AS n FROM assignments GROUP BY 1), p AS (SELECT node_id, string_agg(CAST(ancestor_id AS VARCHAR), ',' ORDER BY distance DESC) AS path FROM cl GROUP BY node_id) SELECT n.node_id, p.path, coalesce(n.name, CAST(n.node_id AS VARCHAR)) AS name, coalesce(k.n, 0) AS n_children, coalesce(o.n, 0) AS n_objects, n_objects_deep, CASE WHEN starred THEN 'starred' WHEN approved THEN 'approved' ELSE 'other' END AS status FROM nodes n JOIN deep USING (node_id) JOIN p ON p.node_id = n.node_id LEFT JOIN k ON k.parent_id = n.node_id LEFT JOIN o ON o.node_id = n.node_id")
+def _(s, d):
+    return query.node_view(fx.geo(s, d)).withColumn("path", _text("path"))
 
 
 @query_of("s18_export_log", VEC + " SELECT event_id AS log_id, event_type AS action, CASE WHEN node_id IS NOT NULL THEN 1 END AS project_id FROM events LEFT JOIN nodes ON node_id = 10 + event_id % 12")
@@ -228,9 +303,9 @@ def _(s, d):
     return stats.sample_objects(fx.vectors(s, d), 20).select("node_id", "object_id", F.col("r").cast("long").alias("r"))
 
 
-@query_of("a04_own_type_objects", VEC + CENTROIDS + _SAMPLE + ", far AS (SELECT s.node_id, s.object_id, round(max(list_distance(o.vector, c.vector)), 6) AS key FROM sampled s JOIN objects o USING (object_id) JOIN nodes k ON k.parent_id = s.node_id JOIN centroids c ON c.node_id = k.node_id WHERE r <= 1000 GROUP BY 1, 2) SELECT node_id, key FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY key DESC, object_id) AS r FROM far) WHERE r <= 9")
+@query_of("a04_own_type_objects", VEC + CENTROIDS + _SAMPLE + ", far AS (SELECT s.node_id, s.object_id, round(max(list_distance(o.vector, c.vector)), 6) AS key FROM sampled s JOIN objects o USING (object_id) JOIN nodes k ON k.parent_id = s.node_id JOIN centroids c ON c.node_id = k.node_id WHERE r <= 1000 GROUP BY 1, 2) SELECT node_id, object_id, key FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY key DESC, object_id) AS r FROM far) WHERE r <= 9")
 def _(s, d):
-    return stats.own_type_objects(fx.vectors(s, d)).select("node_id", F.round("key", 6).alias("key"))
+    return stats.own_type_objects(fx.vectors(s, d)).select("node_id", "object_id", F.round("key", 6).alias("key"))
 
 
 @query_of("a05_type_objects", VEC + _SAMPLE + """, leaf AS (SELECT node_id, r - 1 AS pos, object_id FROM sampled WHERE r <= 9 AND node_id >= 10),
@@ -241,21 +316,30 @@ def _(s, d):
     return stats.type_objects(fx.vectors(s, d)).select("node_id", F.col("pos").cast("long").alias("pos"), "object_id")
 
 
-@query_of("a06_centroids", VEC + CENTROIDS + " SELECT node_id, round(list_sum(vector), 6) AS total, round(vector[1], 6) AS first FROM centroids")
+@query_of("a06_centroids", VEC + CENTROIDS + " SELECT node_id, pos, round(x, 6) + 0.0 AS x FROM dims")
 def _(s, d):
-    return stats.centroids(fx.vectors(s, d)).select("node_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.col("vector")[0], 6).alias("first"))
+    return _exploded(stats.centroids(fx.vectors(s, d)), "node_id")
 
 
-@query_of("a07_prototypes", VEC + CLOSURE + " SELECT cl.ancestor_id AS node_id, CAST(count(*) AS DOUBLE) AS support FROM cl JOIN assignments USING (node_id) GROUP BY 1")
+@query_of("a07_prototypes", VEC + CENTROIDS + " SELECT node_id, pos, round(x, 5) + 0.0 AS x FROM dims")
 def _(s, d):
-    return stats.prototypes(fx.vectors(s, d)).select("node_id", F.aggregate("prototypes", F.lit(0.0), lambda a, p: a + p["support"]).alias("support"))
+    # Nodes have fewer objects than a sample, so the mean that their prototypes stand for is that of all objects below them.
+    return _exploded(_mean_of(stats.prototypes(fx.vectors(s, d)), "node_id"), "node_id", digits=5)
+
+
+_REFRESHED = "CASE WHEN n.node_id IN (SELECT node_id FROM cl WHERE ancestor_id = 1) AND n.node_id % 2 = 0 THEN {} END"
 
 
-@query_of("a08_consolidate", VEC + DEEP + " SELECT node_id, CASE WHEN node_id IN (SELECT node_id FROM cl WHERE ancestor_id = 1) AND node_id % 2 = 0 THEN n_objects_deep END AS n FROM deep")
+@query_of("a08_consolidate", VEC + DEEP + MEANS + ", k AS (SELECT parent_id, count(*) AS k FROM nodes GROUP BY 1), o AS (SELECT node_id, count(*) AS o FROM assignments GROUP BY 1), first AS (SELECT ancestor_id AS node_id, avg(x) AS x FROM cl JOIN flat USING (node_id) WHERE pos = 1 GROUP BY 1) SELECT n.node_id, " + _REFRESHED.format("coalesce(k, 0)") + " AS n_children, " + _REFRESHED.format("coalesce(o, 0)") + " AS n_objects, " + _REFRESHED.format("n_objects_deep") + " AS n, round(" + _REFRESHED.format("x") + ", 6) AS first, n.node_id % 2 = 1 OR n.node_id IN (SELECT node_id FROM cl WHERE ancestor_id = 1) AS cache_valid FROM nodes n JOIN deep ON deep.node_id = n.node_id LEFT JOIN k ON k.parent_id = n.node_id LEFT JOIN o ON o.node_id = n.node_id LEFT JOIN first ON first.node_id = n.node_id")
 def _(s, d):
     t = fx.vectors(s, d)
     t = t.with_(nodes=t.nodes.withColumn("cache_valid", F.col("node_id") % 2 == 1))
-    return stats.consolidate(t, 1).select("node_id", F.col("_n_objects_deep").alias("n"))
+    return stats.consolidate(t, 1, "full").select("node_id", F.col("_n_children").alias("n_children"), F.col("_n_objects").alias("n_objects"), F.col("_n_objects_deep").alias("n"), F.round(F.col("_centroid")[0], 6).alias("first"), "cache_valid")
+
+
+@query_of("a09_returned_children", VEC + DEEP + " SELECT n.node_id, n_objects_deep AS n FROM nodes n JOIN deep USING (node_id) WHERE parent_id = 1")
+def _(s, d):
+    return stats.consolidate(fx.vectors(s, d), 1, "children", return_="children").select("node_id", F.col("_n_objects_deep").alias("n"))
 
 
 @query_of("a11_combine_covariances", "SELECT count(*) AS n, round(avg(l_quantity), 4) AS x, round(avg(l_discount), 4) AS y, round(covar_pop(l_quantity, l_discount), 4) AS cov FROM lineitem")
@@ -281,26 +365,45 @@ def _(s, d):
     return vector.prototype_distance(o, o.filter("object_id in ('3', '5', '8')")).select("object_id", F.round("distance", 6).alias("distance"))
 
 
-@query_of("v03_fit_prototypes", VEC + ", f AS (SELECT node_id, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM assignments JOIN objects USING (object_id)), m AS (SELECT node_id, pos, avg(x) AS x FROM f GROUP BY 1, 2), n AS (SELECT node_id, count(*) AS n FROM assignments GROUP BY 1) SELECT node_id, round(sum(x), 6) AS total, CAST(max(n) AS DOUBLE) AS support FROM m JOIN n USING (node_id) GROUP BY 1")
-def _(s, d):
+_OWN = ", own AS (SELECT node_id, pos, avg(x) AS x, count(*) AS n FROM flat GROUP BY 1, 2)"
+
+
+def _assigned(s, d) -> DataFrame:
     t = fx.vectors(s, d)
-    rows = t.assignments.join(t.objects, "object_id").select("node_id", "object_id", "vector", "rand")
-    p = F.col("prototypes")[0]
-    return vector.fit_prototypes(rows, "node_id", 1).select("node_id", F.round(F.aggregate(p["vector"], F.lit(0.0), lambda a, x: a + x), 6).alias("total"), p["support"].alias("support"))
+    return t.assignments.join(t.objects, "object_id").select("node_id", "object_id", "vector", "rand")
+
+
+@query_of("v03_fit_prototypes", VEC + MEANS + _OWN + " SELECT node_id, pos, round(x, 6) + 0.0 AS x, CAST(n AS DOUBLE) AS support FROM own")
+def _(s, d):
+    fitted = vector.fit_prototypes(_assigned(s, d), "node_id", 1).select("node_id", F.col("prototypes")[0].alias("p"))
+    return _exploded(fitted.select("node_id", "p.vector"), "node_id").join(fitted.select("node_id", "p.support"), "node_id")
+
+
+@query_of("v03_fit_four_prototypes", VEC + MEANS + _OWN + " SELECT node_id, pos, round(x, 5) + 0.0 AS x FROM own")
+def _(s, d):
+    # Centres and supports of k-means keep the mean of all points.
+    return _exploded(_mean_of(vector.fit_prototypes(_assigned(s, d), "node_id", 4), "node_id"), "node_id", digits=5)
 
 
-@query_of("v04_merge_prototypes", VEC + " SELECT parent_id AS node_id, CAST(count(*) AS DOUBLE) AS support FROM assignments JOIN nodes USING (node_id) WHERE node_id >= 10 GROUP BY 1")
+@query_of("v04_merge_prototypes", VEC + MEANS + ", up AS (SELECT parent_id AS node_id, pos, avg(x) AS x FROM flat JOIN nodes USING (node_id) WHERE node_id >= 10 GROUP BY 1, 2) SELECT node_id, pos, round(x, 5) + 0.0 AS x FROM up")
 def _(s, d):
     t = fx.vectors(s, d)
-    rows = t.assignments.filter("node_id >= 10").join(t.objects, "object_id").select("node_id", "object_id", "vector", "rand")
-    fitted = vector.fit_prototypes(rows, "node_id", 8).join(t.nodes.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "prototypes")
-    return vector.merge_prototypes(fitted, "node_id", 16).select("node_id", F.aggregate("prototypes", F.lit(0.0), lambda a, p: a + p["support"]).alias("support"))
+    fitted = vector.fit_prototypes(_assigned(s, d).filter("node_id >= 10"), "node_id", 8).join(t.nodes.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "prototypes")
+    return _exploded(_mean_of(vector.merge_prototypes(fitted, "node_id", 16), "node_id"), "node_id", digits=5)
 
 
-@query_of("v05_prototype_set_distance", "WITH a AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS u FROM embeddings WHERE vec_id % 10 = 1), b AS (SELECT vec_id AS j, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 2), p AS (SELECT i, j, list_distance(u, v) AS d FROM a, b) SELECT round(greatest((SELECT avg(d) FROM (SELECT min(d) AS d FROM p GROUP BY i)), (SELECT avg(d) FROM (SELECT min(d) AS d FROM p GROUP BY j))), 6) AS distance")
+@query_of("v06_prototype_classifier", VEC + MEANS + ", lab AS (SELECT CAST(vec_id AS VARCHAR) AS object_id, label FROM embeddings), f AS (SELECT object_id, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM objects) SELECT label, pos, round(avg(x), 5) + 0.0 AS x FROM f JOIN lab USING (object_id) GROUP BY 1, 2")
 def _(s, d):
-    e = fx.load(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector.prototype_set_distance(e.filter("id % 10 = 1"), e.filter("id % 10 = 2")).select(F.round("distance", 6).alias("distance"))
+    rows = fx.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("object_id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return _exploded(_mean_of(vector.fit_prototypes(rows, "label", 3), "label"), "label", digits=5)
+
+
+@query_of("v05_prototype_set_distance", VEC + ", side AS (SELECT object_id, vector, coalesce(approved, false) AS a FROM objects JOIN assignments USING (object_id) JOIN nodes USING (node_id)), p AS (SELECT a.object_id AS i, b.object_id AS j, list_distance(a.vector, b.vector) AS d FROM side a, side b WHERE a.a AND NOT b.a) SELECT round(greatest((SELECT avg(d) FROM (SELECT min(d) AS d FROM p GROUP BY i)), (SELECT avg(d) FROM (SELECT min(d) AS d FROM p GROUP BY j))), 6) AS distance")
+def _(s, d):
+    # All vectors: those of approved nodes against the others.
+    t = fx.vectors(s, d)
+    side = t.objects.join(t.assignments, "object_id").join(t.nodes.select("node_id", "approved"), "node_id").select(F.col("object_id").alias("id"), "vector", "approved")
+    return vector.prototype_set_distance(side.filter("approved"), side.filter("not approved")).select(F.round("distance", 6).alias("distance"))
 
 
 _CLASSES = ", cls AS (SELECT object_id, CAST(object_id AS BIGINT) % 4 AS label, vector FROM objects WHERE CAST(object_id AS BIGINT) % 25 = 1 AND CAST(object_id AS BIGINT) % 4 < 3), sc AS (SELECT o.object_id, CAST(l.label AS INT) AS label, -min(list_distance(o.vector, c.vector)) AS score FROM objects o CROSS JOIN (SELECT range AS label FROM range(3)) l JOIN cls c ON c.label = l.label GROUP BY 1, 2)"
@@ -360,16 +463,18 @@ def _(s, d):
     return e.select("vec_id", F.round(F.aggregate(l2_normalize(F.col("v")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query_of("v14_pca")
+@query_of("v14_pca", VEC + ", f AS (SELECT object_id, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM objects), m AS (SELECT pos, avg(x) AS m FROM f GROUP BY 1) SELECT object_id, round(sum((x - m) * (x - m)), 5) AS length FROM f JOIN m USING (pos) GROUP BY 1")
 def _(s, d):
-    return vector.pca(fx.vectors(s, d).objects.select("object_id", "vector"), 4)[0].select("object_id", F.round(F.abs(F.col("projected")[0]), 4).alias("first"))
+    # All components together keep the distance to the mean.
+    found = vector.pca(fx.vectors(s, d).objects.select("object_id", "vector"), 64)[0]
+    return found.select("object_id", F.round(F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x), 5).alias("length"))
 
 
-@query_of("v16_nearest_centroids", VEC + MEANS + ", m AS (SELECT node_id AS type_id, pos, avg(x) AS x FROM flat JOIN nodes USING (node_id) WHERE approved GROUP BY 1, 2) SELECT type_id, round(sum(x), 6) AS total FROM m GROUP BY 1")
+@query_of("v16_nearest_centroids", VEC + MEANS + ", m AS (SELECT node_id AS type_id, pos, avg(x) AS x FROM flat JOIN nodes USING (node_id) WHERE approved GROUP BY 1, 2) SELECT type_id, pos, round(x, 6) + 0.0 AS x FROM m")
 def _(s, d):
     t = fx.vectors(s, d)
     train = t.assignments.join(t.nodes.filter("approved").select("node_id"), "node_id", "left_semi").join(t.objects, "object_id").select(F.col("node_id").alias("type_id"), "vector")
-    return vector.nearest_centroids(train).select("type_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return _exploded(vector.nearest_centroids(train), "type_id")
 
 
 @query_of("v17_nearest_distance", VEC + CENTROIDS + TYPES + _NEAREST + " SELECT object_id, type_id, round(distance, 6) AS distance FROM near")
@@ -395,8 +500,12 @@ def _(s, d):
 
 @query_of("v20_rf_rank")
 def _(s, d):
-    o = fx.vectors(s, d).objects.select("object_id", "vector", F.col("object_id").cast("long").alias("n"))
-    return vector.rf_rank(o.filter("n % 3 = 0").drop("n"), o.filter("n % 3 = 1 and vector[0] > 0"), o.filter("n % 3 = 1 and vector[0] <= 0"), seed=1, numTrees=10)
+    # All objects are ranked: what approved nodes hold against what any node rejected.
+    t = fx.vectors(s, d)
+    known = t.assignments.join(t.nodes.filter("approved").select("node_id"), "node_id", "left_semi").select("object_id")
+    refused = t.rejected.select("object_id").distinct().join(known, "object_id", "left_anti")
+    o = t.objects.select("object_id", "vector")
+    return vector.rf_rank(o, o.join(known, "object_id", "left_semi"), o.join(refused, "object_id", "left_semi"), seed=1, numTrees=10)
 
 
 # --- order -----------------------------------------------------------------------------------------------------------
@@ -404,7 +513,7 @@ def _(s, d):
 
 @query_of("o03_by_similarity")
 def _(s, d):
-    return rank.by_similarity(fx.vectors(s, d).objects.select(F.col("object_id").alias("member_id"), "vector"), 100)
+    return rank.by_similarity(fx.vectors(s, d).objects.select(F.col("object_id").alias("member_id"), "vector"))
 
 
 @query_of("o04_leaves", GEO + CLOSURE + " SELECT n.node_id, count(l.node_id) AS n_leaves FROM nodes n LEFT JOIN cl ON cl.ancestor_id = n.node_id LEFT JOIN (SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL)) l ON l.node_id = cl.node_id GROUP BY 1")
@@ -432,6 +541,39 @@ def _(s, d):
     return fx.load(s, d, "orders").select("o_orderkey", rank.hashed(F.col("o_orderkey")).alias("key"))
 
 
+_KIDS = ", kids AS (SELECT node_id, starred FROM nodes WHERE parent_id = 1), own AS (SELECT object_id FROM assignments WHERE node_id = 1)"
+_STARRED_FIRST = " UNION ALL SELECT row_number() OVER (ORDER BY node_id) - 1 AS rank, 'node' AS kind, CAST(node_id AS VARCHAR) AS member_id FROM kids WHERE starred"
+
+
+@query_of("o10_members_by_id", VEC + _KIDS + ", m AS (SELECT 'node' AS kind, CAST(node_id AS VARCHAR) AS member_id, node_id AS n FROM kids WHERE NOT starred UNION ALL SELECT 'object', object_id, NULL FROM own) SELECT row_number() OVER (ORDER BY kind, n, member_id) - 1 + (SELECT count(*) FROM kids WHERE starred) AS rank, kind, member_id FROM m" + _STARRED_FIRST)
+def _(s, d):
+    return rank.node_members(fx.vectors(s, d), 1)
+
+
+@query_of("o10_members_by_starred", VEC + CENTROIDS + _KIDS + ", a AS (SELECT vector FROM centroids JOIN kids USING (node_id) WHERE starred), m AS (SELECT 'node' AS kind, CAST(node_id AS VARCHAR) AS member_id, node_id AS n, vector FROM kids JOIN centroids USING (node_id) WHERE NOT starred UNION ALL SELECT 'object', object_id, NULL, vector FROM own JOIN objects USING (object_id)), k AS (SELECT kind, member_id, n, max(list_distance(m.vector, a.vector)) AS key FROM m, a GROUP BY 1, 2, 3) SELECT row_number() OVER (ORDER BY key, kind DESC, n DESC, member_id DESC) - 1 + (SELECT count(*) FROM kids WHERE starred) AS rank, kind, member_id FROM k" + _STARRED_FIRST)
+def _(s, d):
+    t = fx.vectors(s, d)
+    return rank.node_members(t, 1, arrange_by="starred_sim", descending=True, centroids=stats.centroids(t), dim=64)
+
+
+@query_of("o10_members_by_leaves", GEO + CLOSURE + ", l AS (SELECT ancestor_id AS node_id, count(*) AS n FROM cl WHERE node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) GROUP BY 1) SELECT row_number() OVER (ORDER BY l.n DESC, node_id) - 1 AS rank, 'node' AS kind, CAST(node_id AS VARCHAR) AS member_id FROM nodes JOIN l USING (node_id) WHERE parent_id = 3")
+def _(s, d):
+    return rank.node_members(fx.geo(s, d), 3, objects=False, arrange_by="nleaves", starred_first=False)
+
+
+@query_of("p07_member_projection", VEC + DEEP + _KIDS + " SELECT 'node' AS kind, node_id, n.name, n_objects_deep, CAST(NULL AS VARCHAR) AS object_id FROM nodes n JOIN deep USING (node_id) WHERE parent_id = 1 UNION ALL SELECT 'object', NULL, NULL, NULL, object_id FROM own")
+def _(s, d):
+    t = fx.vectors(s, d)
+    return rank.project_members(t, rank.node_members(t, 1)).select("kind", "node_id", "name", "n_objects_deep", "object_id")
+
+
+@query_of("f11_member_keys", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'node' ELSE 'object' END AS kind, CAST(c_custkey AS VARCHAR) AS member_id FROM customer")
+def _(s, d):
+    c = fx.load(s, d, "customer")
+    key = F.concat(F.when(F.col("c_custkey") % 2 == 0, "n").otherwise("o"), F.col("c_custkey").cast("string"))
+    return c.select("c_custkey", rank.member_keys(key).alias("m")).select("c_custkey", "m.kind", "m.member_id")
+
+
 @query_of("o11_paginate", _RANKED + " SELECT o_orderkey, rank, CAST(rank // 100 AS INT) AS page FROM r")
 def _(s, d):
     return rank.paginate(fx.load(s, d, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), F.col("o_orderkey"), page_size=100).select("o_orderkey", "rank", "page")
@@ -446,9 +588,14 @@ def _(s, d):
 # --- edits -----------------------------------------------------------------------------------------------------------
 
 
-@query_of("m02_create_node", GEO + " SELECT node_id, parent_id FROM nodes UNION ALL SELECT max(node_id) + 1, 2 FROM nodes")
+@query_of("m01_create_project", "SELECT CAST(1 + r_regionkey AS INT) AS project_id, r_name AS name, r_regionkey % 2 = 0 AS visible FROM region UNION ALL SELECT CAST(max(r_regionkey) + 2 AS INT), 'new', true FROM region")
 def _(s, d):
-    return edit.create_node(fx.geo(s, d), 2, name="new")[0].nodes.select("node_id", "parent_id")
+    return edit.create_project(fx.many_projects(s, d), "new").projects.select("project_id", "name", "visible")
+
+
+@query_of("m02_create_node", GEO + " SELECT node_id, parent_id, name, starred, approved, 1 AS project_id FROM nodes UNION ALL SELECT max(node_id) + 1, 2, 'new', true, false, 1 FROM nodes")
+def _(s, d):
+    return edit.create_node(fx.geo(s, d), 2, name="new", starred=True)[0].nodes.select("node_id", "parent_id", "name", "starred", "approved", "project_id")
 
 
 @query_of("m03_relocate_nodes", GEO + " SELECT node_id, CASE WHEN node_id IN (100, 105, 110) THEN 3 ELSE parent_id END AS parent_id FROM nodes")
@@ -494,6 +641,13 @@ def _(s, d):
     return edit.invalidate(fx.geo(s, d).nodes, [100, 101], True).select("node_id", "cache_valid", "approved")
 
 
+@query_of("m11_clear_cache", GEO + " SELECT node_id, false AS cache_valid, true AS emptied FROM nodes")
+def _(s, d):
+    t = fx.geo(s, d)
+    nodes = edit.clear_cache(stats.consolidate(t.with_(objects=t.objects.withColumn("vector", F.lit(None).cast("array<double>"))), 0).drop("superparent_id"))
+    return nodes.select("node_id", "cache_valid", (F.col("_n_objects").isNull() & F.col("_centroid").isNull()).alias("emptied"))
+
+
 @query_of("m12_accept_recommended", GEO + ", r AS (SELECT object_id, row_number() OVER (ORDER BY CAST(object_id AS BIGINT)) - 1 AS rank FROM assignments WHERE node_id = 0) SELECT a.object_id, CASE WHEN rank < 20 AND rank % 3 <> 0 THEN 102 ELSE node_id END AS node_id FROM assignments a LEFT JOIN r USING (object_id)")
 def _(s, d):
     t = fx.geo(s, d)
@@ -508,6 +662,13 @@ def _(s, d):
     return edit.accept_reject_stats(paged.filter("page <= 1"), paged.filter("rank % 3 = 0").select("object_id"))
 
 
+@query_of("g11_accept_reject_counts", GEO + ", r AS (SELECT object_id, row_number() OVER (ORDER BY CAST(object_id AS BIGINT)) - 1 AS rank FROM assignments WHERE node_id = 0) SELECT count(CASE WHEN rank % 3 <> 0 THEN 1 END) AS n_accepted, count(CASE WHEN rank % 3 = 0 THEN 1 END) AS n_rejected FROM r WHERE rank < 20")
+def _(s, d):
+    t = fx.geo(s, d)
+    paged = rank.paginate(t.assignments.filter("node_id = 0").select("object_id", F.col("object_id").cast("long").alias("n")), "n", page_size=10)
+    return edit.accept_recommended(t, 102, paged, 1, paged.filter("rank % 3 = 0").select("object_id"))[1].agg(F.count(F.when(~F.col("rejected"), 1)).alias("n_accepted"), F.count(F.when(F.col("rejected"), 1)).alias("n_rejected"))
+
+
 @query_of("m13_adopt", GEO + " SELECT CAST('n' AS VARCHAR) AS kind, CAST(node_id AS VARCHAR) AS id, CASE WHEN node_id = 107 THEN 5 ELSE parent_id END AS at FROM nodes UNION ALL SELECT 'o', object_id, CASE WHEN node_id = 0 THEN 5 ELSE node_id END FROM assignments")
 def _(s, d):
     t = fx.geo(s, d)
@@ -539,6 +700,12 @@ def _(s, d):
     return edit.drop_project(fx.vectors(s, d), 1).log.select("log_id", "node_id")
 
 
+@query_of("f09_log_data", "SELECT event_id AS log_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events UNION ALL SELECT max(event_id) + 1, 7 FROM events")
+def _(s, d):
+    log = edit.append_log(fx.vectors(s, d), "approve", 12, {"k": 7}).log
+    return edit.log_data(log, "k long").select("log_id", F.col("data.k").alias("k"))
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
@@ -559,14 +726,85 @@ def _(s, d):
     return io.set_features(objects, fx.features(s, d), truncate=3, max_dim=100).select("object_id", F.round(F.col("vector")[2], 6).alias("third"))
 
 
-@query_of("s05_saved_tree", GEO + " SELECT object_id, node_id FROM assignments")
+def _folder(s, label: str) -> str:
+    return f"{shared_root(s)}/{label}-{uuid.uuid4().hex}"
+
+
+def _members(tree: Tree) -> DataFrame:
+    """(kind, id, at): all members of a tree, and its metadata but for where it was read from."""
+    meta = {k: v for k, v in tree.meta.items() if k != "base"}
+    rows = [
+        tree.nodes.select(F.lit("node").alias("kind"), F.concat_ws(" ", F.col("node_id").cast("string"), F.coalesce("name", F.lit("-"))).alias("id"), F.col("parent_id").alias("at")),
+        tree.objects.select(F.lit("object").alias("kind"), F.col("object_id").alias("id"), F.col("node_id").alias("at")),
+        tree.nodes.limit(1).select(F.lit("meta").alias("kind"), F.lit(json.dumps(meta, sort_keys=True)).alias("id"), F.lit(None).cast("long").alias("at")),
+    ]
+    if tree.rejected is not None:
+        rows.append(tree.rejected.select(F.lit("rejected").alias("kind"), F.col("object_id").alias("id"), F.col("node_id").alias("at")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+_MEMBERS = " SELECT 'node' AS kind, node_id || ' ' || coalesce(name, '-') AS id, parent_id AS at FROM nodes UNION ALL SELECT 'object', object_id, node_id FROM assignments UNION ALL SELECT 'rejected', object_id, node_id FROM rejected UNION ALL SELECT 'meta', '{\"made\": \"here\"}', NULL"
+
+
+@query_of("s05_saved_tree", VEC + _MEMBERS)
 def _(s, d):
-    from .plans.shared import shared_root
-    import uuid
+    path = _folder(s, "tree")
+    io.write_tree(fx.vector_tree(s, d), path, {"made": "here"})
+    return _members(io.read_tree(s, path))
 
-    path = f"{shared_root(s)}/tree-{uuid.uuid4().hex}"
-    io.write_tree(fx.geo_tree(s, d), path, {"made": "here"})
-    return io.read_tree(s, path).objects.select("object_id", "node_id")
+
+@query_of("s04_feature_dataset", "SELECT CASE WHEN vec_id % 17 = 0 THEN 'x' || vec_id ELSE CAST(vec_id AS VARCHAR) END AS object_id, round(embedding[2], 6) AS second FROM embeddings UNION ALL SELECT 'again' || vec_id, round(embedding[2], 6) FROM embeddings")
+def _(s, d):
+    paths = [_folder(s, "features") for _ in range(2)]
+    fx.features(s, d).write.parquet(paths[0])
+    fx.load(s, d, "embeddings").select(F.concat(F.lit("again"), F.col("vec_id").cast("string")).alias("object_id"), F.col("embedding").alias("features")).write.parquet(paths[1])
+    return io.read_features(s, paths).select("object_id", F.round(F.col("features")[1], 6).alias("second"))
+
+
+@query_of("s03_pca_features", VEC + ", f AS (SELECT object_id, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM objects), m AS (SELECT pos, avg(x) AS m FROM f GROUP BY 1) SELECT object_id, round(sum((x - m) * (x - m)), 5) AS length FROM f JOIN m USING (pos) GROUP BY 1")
+def _(s, d):
+    o = fx.vectors(s, d).objects
+    found = io.set_features(o, o.select("object_id", F.col("vector").alias("features")), pca=64)
+    return found.select("object_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 5).alias("length"))
+
+
+@query_of("s11_export_index", "SELECT 'o' || s_suppkey AS object_id, 'export/' || s_name || '.png' AS path FROM supplier")
+def _(s, d):
+    path = _folder(s, "export")
+    rows = fx.load(s, d, "supplier").select(F.concat(F.lit("o"), F.col("s_suppkey").cast("string")).alias("object_id"), F.concat("s_name", F.lit(".png")).alias("img_file_name"))
+    types = s.range(1).select(F.lit("[t]").alias("object_id"), F.lit("[t]").alias("img_file_name"))
+    types.unionByName(rows).coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
+    return io.fix_export_index(s, f"{path}/*.csv").select("object_id", F.concat(F.lit("export/"), F.regexp_extract("path", "[^/]*$", 0)).alias("path"))
+
+
+@query_of("s14_id_offset", GEO + " SELECT max(node_id) + 1 - (SELECT min(label) FROM embeddings WHERE vec_id % 7 <> 0) AS n FROM nodes")
+def _(s, d):
+    return s.range(1).select(F.lit(io.id_offset(fx.geo(s, d).nodes, io.tree_from_labels(fx.labels(s, d)), 1)).cast("long").alias("n"))
+
+
+@query_of("s16_export_labels", GEO + _LABELS.format(step=_CLEAN) + " SELECT object_id, label FROM assignments JOIN lab USING (node_id) WHERE label IS NOT NULL")
+def _(s, d):
+    path = _folder(s, "labels")
+    io.export_labels(fx.geo_tree(s, d), path)
+    return s.read.option("header", True).csv(path)
+
+
+@query_of("s17_export_objects", GEO + " SELECT object_id FROM assignments WHERE node_id = 101")
+def _(s, d):
+    path = _folder(s, "objects")
+    io.export_direct_objects(fx.geo(s, d), 101, path)
+    return s.read.text(path).select(F.col("value").alias("object_id"))
+
+
+@query_of("s20_checked_tree", VEC + " SELECT object_id, node_id FROM assignments")
+def _(s, d):
+    return check_tree(fx.vector_tree(s, d)).objects.select("object_id", "node_id")
+
+
+@query_of("f10_stored_random", "SELECT CAST(vec_id AS VARCHAR) AS object_id, true AS inside FROM embeddings")
+def _(s, d):
+    found = io.with_rand(fx.vectors(s, d).objects.drop("rand"), 3)
+    return found.select("object_id", ((F.col("rand") >= 0) & (F.col("rand") < 1)).alias("inside"))
 
 
 @query_of("s07_tree_from_collection", "WITH l AS (SELECT DISTINCT c_mktsegment FROM customer), n AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS node_id FROM l) SELECT CAST(c_custkey AS VARCHAR) AS object_id, node_id FROM customer JOIN n USING (c_mktsegment) UNION ALL SELECT 's' || s_suppkey, (SELECT count(*) FROM l) FROM supplier")
@@ -629,9 +867,9 @@ def _(s, d):
     return recluster.unapproved(fx.features(s, d), [fx.vector_tree(s, d)]).select("object_id")
 
 
-@query_of("g10_availability", VEC + _FEATURES + " SELECT count(CASE WHEN f.object_id IS NOT NULL AND a.object_id IS NULL THEN 1 END) AS n_dataset_only, count(CASE WHEN f.object_id IS NOT NULL AND a.object_id IS NOT NULL THEN 1 END) AS n_both, count(CASE WHEN f.object_id IS NULL THEN 1 END) AS n_tree_only, count(CASE WHEN f.object_id IN (SELECT object_id FROM appr) THEN 1 END) AS n_approved, count(CASE WHEN f.object_id NOT IN (SELECT object_id FROM appr) THEN 1 END) AS n_unapproved FROM f FULL JOIN assignments a ON a.object_id = f.object_id")
+@query_of("g10_availability", VEC + _FEATURES + " SELECT count(CASE WHEN f.object_id IS NOT NULL AND a.object_id IS NULL THEN 1 END) AS n_dataset_only, count(CASE WHEN f.object_id IS NOT NULL AND a.object_id IS NOT NULL THEN 1 END) AS n_both, count(CASE WHEN f.object_id IS NULL THEN 1 END) AS n_tree_only, count(CASE WHEN f.object_id IN (SELECT object_id FROM appr) THEN 1 END) AS n_approved, count(CASE WHEN f.object_id NOT IN (SELECT object_id FROM appr) THEN 1 END) AS n_unapproved, round(count(CASE WHEN f.object_id IN (SELECT object_id FROM appr) THEN 1 END) / count(f.object_id), 6) AS approved_share FROM f FULL JOIN assignments a ON a.object_id = f.object_id")
 def _(s, d):
-    return recluster.availability(fx.features(s, d), [fx.vector_tree(s, d)]).drop("approved_share")
+    return recluster.availability(fx.features(s, d), [fx.vector_tree(s, d)]).withColumn("approved_share", F.round("approved_share", 6))
 
 
 @query_of("r02_keep_unexplored", VEC + MEANS + _FEATURES + ", m AS (SELECT node_id, pos, avg(x) AS x FROM (SELECT node_id, unnest(f.vector) AS x, unnest(range(1, 65)) AS pos FROM f JOIN assignments USING (object_id) JOIN nodes USING (node_id) WHERE approved) GROUP BY 1, 2), c AS (SELECT node_id, list(x ORDER BY pos) AS vector FROM m GROUP BY 1), near AS (SELECT object_id, min(list_distance(f.vector, c.vector)) AS d FROM f, c WHERE object_id NOT IN (SELECT object_id FROM appr) GROUP BY 1) SELECT object_id FROM near WHERE d >= (SELECT quantile_cont(d, 0.7) FROM near)")
@@ -640,9 +878,10 @@ def _(s, d):
     return recluster.keep_unexplored(f, [t], recluster.unapproved(f, [t]), 0.3).select("object_id")
 
 
-@query_of("r03_subsample")
+@query_of("r03_subsample", VEC + _FEATURES + " SELECT count(*) AS n, count(*) AS n_distinct FROM (SELECT object_id FROM f LIMIT 100)")
 def _(s, d):
-    return recluster.subsample(fx.features(s, d), 100).select("object_id")
+    f = fx.features(s, d)
+    return recluster.subsample(f, 100).select("object_id").join(f.select("object_id"), "object_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object_id").alias("n_distinct"))
 
 
 @query_of("r04_neighbours", VEC + " SELECT object_id, round(d, 6) AS d, rank FROM (SELECT a.object_id, list_distance(a.vector, b.vector) AS d, row_number() OVER (PARTITION BY a.object_id ORDER BY list_distance(a.vector, b.vector), b.object_id) AS rank FROM objects a JOIN objects b ON a.object_id <> b.object_id) WHERE rank <= 3")
@@ -655,6 +894,27 @@ def _(s, d):
     return recluster.density_cluster(fx.features(s, d), 8, levels=4)
 
 
+@query_of("r05_cluster_tree", VEC + _FEATURES + " SELECT object_id FROM f WHERE object_id NOT IN (SELECT object_id FROM appr)")
+def _(s, d):
+    return recluster.cluster(fx.features(s, d), [fx.vector_tree(s, d)], n_pca=8, min_cluster_size=8, levels=4).objects.select("object_id")
+
+
+@query_of("r09_saved_merge", VEC + _FEATURES + " SELECT object_id, node_id FROM assignments WHERE object_id NOT IN (SELECT object_id FROM f) UNION ALL SELECT object_id, CAST(0 AS BIGINT) FROM f")
+def _(s, d):
+    path = _folder(s, "merged")
+    t = fx.vector_tree(s, d)
+    recluster.save_merged([Tree(t.nodes.select("node_id", "parent_id", "name", "approved"), t.objects), recluster.init_tree(fx.features(s, d))], path, [{"start": 0}])
+    return io.read_tree(s, path).objects.select("object_id", "node_id")
+
+
+@query_of("r10_recluster_project", VEC + _FEATURES + " SELECT 'vectors-8' AS project, object_id FROM (SELECT object_id FROM assignments UNION SELECT object_id FROM f WHERE object_id NOT IN (SELECT object_id FROM appr))")
+def _(s, d):
+    t = fx.vectors(s, d).with_(projects=s.range(1).select(F.lit(1).alias("project_id"), F.lit("vectors").alias("name"), F.lit(True).alias("visible")))
+    out, new = recluster.recluster_project(t, 1, fx.features(s, d), 8, sample_size=None, levels=4)
+    own = out.nodes.filter(F.col("project_id") == new).filter("cache_valid").select("node_id", "project_id")
+    return out.assignments.join(own, "node_id").join(out.projects, "project_id").select(F.col("name").alias("project"), "object_id")
+
+
 @query_of("r06_init_tree", VEC + _FEATURES + " SELECT object_id, CAST(0 AS BIGINT) AS node_id FROM f")
 def _(s, d):
     return recluster.init_tree(fx.features(s, d)).objects

@@ -64,6 +64,12 @@ def set_features(objects: DataFrame, *features: DataFrame, truncate: int | None
     return found.withColumn("vector", F.col("__v") if clear else F.coalesce("__v", "vector")).select(*objects.columns)
 
 
+def with_rand(objects: DataFrame, seed: int = 0) -> DataFrame:
+    """objects with the stored random number `rand` in 0..1, made of their ids so that it can be made again; numbers that are there stay."""
+    made = F.pmod(F.xxhash64("object_id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return objects.withColumn("rand", F.coalesce("rand", made) if "rand" in objects.columns else made)
+
+
 def vector_counts(objects: DataFrame) -> DataFrame:
     """S3: one row (n_set, n_total)."""
     return objects.agg(F.count("vector").alias("n_set"), F.count(F.lit(1)).alias("n_total"))
@@ -239,4 +245,4 @@ def merge_trees(a: Tree, b: Tree) -> Tree:
     objects = a.objects.join(b.objects.select("object_id"), "object_id", "left_anti").select("object_id", "node_id").unionByName(moved.objects.withColumn("node_id", swap("node_id")).select("object_id", "node_id"))
     rejected = [t.rejected for t in (a, moved) if t.rejected is not None]
     both = rejected[0].unionByName(rejected[1].withColumn("node_id", swap("node_id"))) if len(rejected) == 2 else rejected[0] if rejected else None
-    return Tree(nodes, objects, both, a.meta | b.meta)
+    return Tree(nodes, objects, both, a.meta | {"merged": [*a.meta.get("merged", []), b.meta]})
