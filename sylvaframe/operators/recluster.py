@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..plans.shared import written
 from ..schema import Tables, Tree
 from ..sources.io import dump_tree, load_project, merge_trees, tree_from_labels, write_tree
@@ -87,21 +88,6 @@ def neighbours(points: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of (a, b) links: root is the smallest node of each component; alternating star rounds, each written."""
-    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
-        if after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0 and after.groupBy("u").count().filter("count > 1").limit(1).count() == 0:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        links = after
-
-
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """(a, b, w): a minimum spanning forest of edges (a, b, w), by Boruvka rounds: each component takes its least edge out, and components merge. O(log n) rounds, each written."""
     left = written(edges.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "w"), "edges")
