@@ -7,8 +7,9 @@ states, and a logistic unit scores the pool. Windows overlap and cover a
 whole text; the text's score is that of its worst window.
 
 The network is fitted on a bounded sample of labelled documents: at most PER_CLASS of
-the labels, and WINDOWS windows of each, drawn over the whole text. Only documents'
-labels are known, so in training, too, a document's logit is the largest over windows.
+the labels, from those of at most LONGEST windows, each with all its windows. Only
+documents' labels are known, so in training, too, a document's logit is the largest
+over windows.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_and_text
+from .common import as_bytes, id_and_text, memory_of
 
 #: Words of a window, and words from one window's begin to the next.
 WINDOW, STRIDE = 32, 24
-#: Documents of label 0 and of label 1, and windows of each document, of the sample that is fitted.
-PER_CLASS, WINDOWS = (3600, 1200), 24
+#: Documents of label 0 and of label 1 of the sample that is fitted, and windows that a document of it has at most.
+PER_CLASS, LONGEST = (2400, 1200), 60
 #: Sizes: embedding, state of each direction, attention, buckets of words and of n-grams.
 D, H, A, WORD_BUCKETS, GRAM_BITS = 16, 16, 8, 1 << 16, 16
 #: Documents of the sample that must have a word or n-gram, else its embedding stays zero: what few documents have only helps to tell those apart.
@@ -401,32 +402,29 @@ def remainder(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % 3
 
 
-def sample_windows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, windows: int = WINDOWS) -> tuple[list[list[bytes]], list[int]]:
-    """The windows and labels of at most per_class documents of label 0 and 1; labels: rows (doc_id, label) that may be learned from."""
+def sample_windows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST) -> tuple[list[list[bytes]], list[int]]:
+    """All windows, and the labels, of at most per_class documents of label 0 and 1 that have 1 to `longest` windows; labels: rows (doc_id, label) that may be learned from."""
     clean = labels.select("doc_id", "label").filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    chosen = [r for x in (0, 1) for r in clean.filter(F.col("label") == x).orderBy(order, "doc_id").limit(per_class[x]).collect()]
-    if not chosen:
-        return [], []
-    small = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, label int")  # at most sum(per_class) rows
+    n_words = F.size(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
+    # Of longer texts it is enough to know that they are longer.
+    long = F.length("text") > 100 * STRIDE * longest
+    known = docs.join(clean, "doc_id").filter(~F.coalesce(long, F.lit(True))).withColumn("n", n_words).filter((F.col("n") > 0) & (F.col("n") <= WINDOW + STRIDE * (longest - 1)))
+    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.xxhash64("text")]
+    chosen = [known.filter(F.col("label") == x).select("doc_id", "text", "label").orderBy(*order).limit(per_class[x]) for x in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for text in as_bytes(batch.column(1)):
                 words = text.split()
-                starts = window_starts(len(words))
-                if len(starts) > windows:
-                    starts = np.sort(np.random.default_rng(doc_id & (2**63 - 1)).choice(starts, windows, replace=False))
-                out.append([b" ".join(words[s : s + WINDOW]) for s in starts.tolist()])
+                out.append([b" ".join(words[s : s + WINDOW]) for s in window_starts(len(words)).tolist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "label", "windows"])
 
-    rows = docs.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, windows array<binary>").collect()
+    rows = chosen[0].unionByName(chosen[1]).mapInArrow(run, "doc_id long, label int, windows array<binary>").collect()  # at most sum(per_class) * longest windows
     rows = sorted(rows, key=lambda r: (r.doc_id, r.windows))
     return [[bytes(x) for x in r.windows] for r in rows], [r.label for r in rows]
 
 
-_scorers: dict[str, Scorer] = {}
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -438,10 +436,11 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray] | None, id_col: str =
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(sent.value) if sent.value is not None else None
-        scorer = _scorers[name]
+        held = memory_of("toxicity")
+        if name not in held:
+            held.clear()
+            held[name] = Scorer(sent.value) if sent.value is not None else None
+        scorer = held[name]
         for batch in batches:
             texts = as_bytes(batch.column(1))
             found = scorer.scores(texts) if scorer else [0.0] * len(texts)
