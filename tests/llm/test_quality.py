@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from sylvaframe.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,5 +55,34 @@ def test_words_encode_as_whole_texts():
     assert model.tokens(words).tolist() == model.model.encode(text)
 
 
+def test_second_vocabulary():
+    """Tokens a word under the byte-level vocabulary are those of the words with a space before them."""
+    model = quality.fertility(quality.default_vocabulary())
+    text = "The quick brown fox jumps naïve дом 12345 " * 3
+    words = [w.encode() for w in text.split()]
+    slots = model.memory.look_up(words)
+    want = len(model.memory.second.encode_ordinary("".join(" " + w for w in text.split())))
+    assert model.memory.seconds.data[slots].sum() == want
+    long = ("x1" * 100_000).encode()
+    assert quality.measure_text(long, "en", model)[0] == 1
+
+
+def test_repeats_of_many_kinds():
+    rng = random.Random(4)
+    for _ in range(200):
+        words = [rng.randrange(rng.choice([2, 5, 50])) * rng.choice([1, 2**30 // 60]) for _ in range(rng.randint(0, 60))]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        often = Counter(windows)
+        assert quality.repeat_words(np.array(words, np.int64)) == len({k + d for k, w in enumerate(windows) if often[w] > 1 for d in range(3)})
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "In the morning the two engineers walked along the river. " * 8
+    docs = spark.createDataFrame([(None, text, "en", 1), (None, text, "en", 1), (3, text, "en", 1), (3, text, None, 1)], "doc_id long, text string, lang string, n_words int")
+    rows = quality.assess(docs).collect()
+    assert len(rows) == 4 and {(r.n_words, r.n_repeat_words) for r in rows} == {slow(text)[0:1] + slow(text)[4:5]}
+    assert quality.keep_good(docs).columns == docs.columns
+
+
 def test_scripts():
     assert [quality.script_of(t) for t in ("abcd дом", "дом", "12 !", "λόγος a")] == ["LATIN", "CYRILLIC", "", "GREEK"]
