@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, id_and_text
+from .common import as_bytes, id_and_text, memory_of
 from .words import Growing, flattened, gather
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -323,15 +323,13 @@ class Turns:
         return gather(self.flat.data, self.start.data[leaf], self.count.data[leaf])
 
 
-_loaded: dict[tuple, tuple[PieceModel, Turns]] = {}
-
-
 def model_and_turns(path: str, dropout: float) -> tuple[PieceModel, Turns]:
     """The model at path and what is remembered of its words, once per Python worker."""
-    if (at := (path, dropout)) not in _loaded:
+    loaded = memory_of("pieces")
+    if (at := (path, dropout)) not in loaded:
         model = PieceModel(path)
-        _loaded[at] = model, Turns(model, dropout)
-    return _loaded[at]
+        loaded[at] = model, Turns(model, dropout)
+    return loaded[at]
 
 
 def encode_texts(texts: list[str], doc_ids: list[int], turns: Turns, seed: int = SEED) -> Iterator[np.ndarray]:
