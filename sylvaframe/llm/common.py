@@ -1,45 +1,26 @@
-"""Helpers that the corpus operators share: the shared folder, written tables, Arrow rows."""
+"""Helpers that the corpus operators share: paths, Arrow batches, columns."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import shared_root, written  # noqa: F401
+
 #: ASCII white space, as the contracts of the text operators define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(_own_roots[app])
-    return _own_roots[app]
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends here and survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def _set(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name)
@@ -60,6 +41,22 @@ def small_batches(spark: SparkSession, n_bytes: int = 4 << 20):
     return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
+#: What workers remember between tasks, by operator. A worker serves the tasks of all stages, one after the other.
+_memories: dict[str, dict] = {}
+
+
+def memory_of(operator: str) -> dict:
+    """What this worker remembers for an operator. What it remembered for others is given up, so that stages don't add up in its memory; '' has none."""
+    if any(held for name, held in _memories.items() if name != operator):
+        for name in [x for x in _memories if x != operator]:
+            _memories[name].clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return _memories.setdefault(operator, {})
+
+
 def partitions_for(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,12 +15,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..plans.shared import small
-from .common import as_bytes, small_batches, written
-from .simhash import Budget, _merge, components, majority, shingle_hashes, trie_groups
+from .common import as_bytes, memory_of, small_batches, written
+from .simhash import Budget, _merge, majority, trie_groups
 
 WORDS_PER_SHINGLE = 5
 SIMILAR = 0.8
@@ -34,9 +36,33 @@ BLOCK = 128
 COLUMNS = 1 << 13
 
 
+#: Words whose hashes a worker remembers before it forgets all and starts again.
+REMEMBERED = 500_000
+
+
+class _Hashes(dict):
+    """The XXH64 of each word that was asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def shingle_set(text: bytes, n: int = WORDS_PER_SHINGLE) -> np.ndarray:
-    """Distinct hashes of the n-word shingles, ascending."""
-    return np.unique(shingle_hashes(text, n))
+    """Distinct hashes of the n-word shingles of an A-Z lower-cased text, ascending; fewer than n words: of the whole sequence. A shingle's hash is made of its words' hashes."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = memory_of("near").setdefault("words", _Hashes())
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    m = max(1, len(w) - n + 1)
+    h = np.zeros(m, np.uint64)
+    for k in range(min(n, len(w))):
+        h = (h ^ w[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -136,7 +162,7 @@ def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIM
     held = written(_groups(prints, budget), "groups")
     hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
     members = written(held.join(hubs, "key").distinct(), "members")
-    texts = written(rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = written(rows.join(small(members.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "texts")
     of = lambda df, c: df.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "node"))
     close = reduce(Column.__or__, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) <= budget.bits for c in _FPS))
     stars = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from .common import as_bytes, id_and_text, partitions_for, written
 
 WORDS_PER_SHINGLE = 3
@@ -147,12 +148,16 @@ def trie_forest(keys: np.ndarray, first: np.ndarray, depths: np.ndarray, budget:
 
     def compare(a0, a1, b0, b1) -> None:
         """Links the keys of the pairs, each with each."""
-        size = (a1 - a0).astype(np.int64) * (b1 - b0)
+        size = (a1 - a0) * (b1 - b0)
         if (size == 1).all():
             i, j = a0, b0
+        elif len(size) > FRONTIER // budget.leaf:  # a bounded number of key pairs at once
+            for x in range(0, len(size), FRONTIER // budget.leaf):
+                compare(*(c[x : x + FRONTIER // budget.leaf] for c in (a0, a1, b0, b1)))
+            return
         else:
-            k = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
+            k = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            at = np.arange(len(k), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
             wide = (b1 - b0)[k]
             i, j = a0[k] + at // wide, b0[k] + at % wide
         near = np.bitwise_count(keys[i] ^ keys[j]) <= budget.bits
@@ -316,25 +321,6 @@ def trie_groups(fps: DataFrame, budget: Budget) -> DataFrame:
     return _joined(fps, budget, True, "key long, fp long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node of the connected component, for every node that has a link. Columns of links: a, b.
-
-    Alternating large-star and small-star rounds; each is written, so that a lost executor costs one round at most."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
-        # Stars can't change any more: no node has two roots, or is a root and a leaf at once.
-        ends = after.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("e")).select("e.*")
-        if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).filter("leaf > 1 or leaf = 1 and root = 1").isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        edges = after
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id, is_kept): one row per row of docs.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_and_text, partitions_for, scratch, written
+from .common import as_bytes, id_and_text, memory_of, partitions_for, scratch, written
 from .words import WordMemory, flattened, slices
 
 TOKENIZER = "word_bpe_49k.json"
@@ -214,12 +214,12 @@ class ChunkEncoder:
 
 
 _END = b" "  # no chunk is white space, so this key stands for the end of a document
-_loaded: dict[str, tuple[WordMemory, int]] = {}
 
 
 def encoder(path: str) -> tuple[WordMemory, int]:
     """The chunk memory over the tokenizer at path and its vocabulary's size, once per Python worker."""
-    if path not in _loaded:
+    loaded = memory_of("token_files")
+    if path not in loaded:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -232,8 +232,8 @@ def encoder(path: str) -> tuple[WordMemory, int]:
             (x, n), (y, m) = own(todo[:at]), own(todo[at + 1 :])
             return np.concatenate((x, [END_ID], y)), np.concatenate((n, [1], m))
 
-        _loaded[path] = WordMemory(encode), own.vocabulary_size
-    return _loaded[path]
+        loaded[path] = WordMemory(encode), own.vocabulary_size
+    return loaded[path]
 
 
 def default_tokenizer() -> str:

@@ -12,8 +12,16 @@ def mixed(h):
     return h ^ (h >> 31)
 
 
+def slow_hash(shingle):
+    h = 0
+    for word in shingle:
+        h = (h ^ xxhash.xxh64_intdigest(word.encode())) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 32
+    return h
+
+
 def slow_prints(shingles):
-    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    hashes = [slow_hash(s) for s in shingles]
     majority = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     return majority(hashes), majority([mixed(h) for h in hashes])
 
