@@ -190,3 +190,86 @@ def test_similarity_order(spark):
     got = [r.member_id for r in rank.by_similarity(members, 40).orderBy("key").collect()]
     assert got in (list(range(60)), list(range(59, -1, -1)))
     assert rank.by_similarity(members.limit(4)).count() == 4
+
+
+def test_labels_keep_the_first_name_whole(spark):
+    """A component is held against the label before its name, not against components of the same name."""
+    nodes = nodes_of(spark, [(0, None), (1, 0, "x/x"), (2, 1, "ab/a"), (3, 1, "q/q"), (4, 0, "ab/a"), (5, 4, "b")])
+    tree = Tree(nodes, assigned(spark, [(str(k), k) for k in range(1, 6)]))
+    assert {r.object_id: r.label for r in labels.flat_labels(tree).collect()} == {"1": "x/x", "2": "x/x/ab/a", "3": "x/x/q/q", "4": "ab/a", "5": "ab/a"}
+
+
+def test_connectivity_reports_cycles(spark):
+    nodes = nodes_of(spark, [(0, None), (1, 0), (2, 3), (3, 2), (4, 3), (5, 99), (6, 6)])
+    got = {(r.kind, r.id) for r in query.unconnected(nodes, assigned(spark, [("a", 1), ("b", 50)])).collect()}
+    assert got == {("node", k) for k in "23456"} | {("object", "b")}
+    with pytest.raises(ValueError, match="cycle"):
+        query.levels(nodes.filter("node_id <> 6"))
+
+
+def test_chain_of_100000(spark):
+    n = 100_000
+    nodes = spark.range(n).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit(1).alias("project_id"), F.lit("a").alias("name"), *((F.col("id") % 1000 == 7).alias(c) for c in ("starred", "approved", "filled", "preferred")))
+    assert tuple(query.levels(nodes).agg(F.count(F.lit(1)), F.sum((F.col("level") == F.col("node_id")).cast("int"))).first()) == (n, n)
+    assert tuple(query.n_descendants(nodes).agg(F.count(F.lit(1)), F.sum((F.col("n") == n - F.col("node_id")).cast("int"))).first()) == (n, n)
+    assert cl.ancestors(nodes, 70_000).count() == 70_001
+    assert cl.subtree(nodes, 70_000).count() == 30_000
+    assert query.connect_supertree(nodes).filter("node_id = 99999").first().superparent_id == 99_007
+    assert edit.invalidate_path(nodes, [5, 9]).filter("not cache_valid").count() == 10
+
+
+def test_projections_and_missing_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((30, 5))
+    objects = spark.createDataFrame([(str(k), None, None, 0.5) for k in range(30)], "object_id string, path string, vector array<double>, rand double")
+    f = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "object_id string, features array<double>")
+    got = np.array([r.vector for r in io.set_features(objects, f, pca=2).orderBy(F.col("object_id").cast("int")).collect()])
+    c = x - x.mean(0)
+    want = np.linalg.svd(c, full_matrices=False)[1][:2] ** 2
+    assert got.shape == (30, 2) and np.allclose((got**2).sum(0), want)
+    assert recluster.keep_unexplored(f, [], f, 0.1).count() == 30
+    found, share = vector.pca(f.withColumnRenamed("features", "__p").withColumn("__v", F.lit(1)), 2, "__p")
+    assert found.columns == ["object_id", "__p", "__v", "projected"] and 0 < share <= 1
+
+
+def test_node_members(spark):
+    rng = np.random.default_rng(3)
+    nodes = nodes_of(spark, [(0, None), (1, 0, "a", True), (2, 0, "b"), (3, 0, None), (4, 2), (5, 2)])
+    vectors = {f"o{k}": rng.random(3).tolist() for k in range(9)}
+    objects = spark.createDataFrame(list(vectors.items()), "object_id string, vector array<double>")
+    t = Tables(nodes, assigned(spark, [(o, 0) for o in vectors]), objects)
+    centroids = spark.createDataFrame([(k, rng.random(3).tolist()) for k in range(1, 6)], "node_id long, vector array<double>")
+    order = lambda **kw: [(r.kind, r.member_id) for r in rank.node_members(t, 0, centroids=centroids, dim=3, **kw).orderBy("rank").collect()]
+    plain = order(starred_first=False)
+    assert plain == [("node", "1"), ("node", "2"), ("node", "3"), *(("object", o) for o in sorted(vectors))]
+    assert order() == plain
+    for by in ("sim", "interleaved", "random", "starred_sim", "nleaves"):
+        one, other = order(arrange_by=by, starred_first=False), order(arrange_by=by, starred_first=False, descending=True)
+        assert sorted(one) == sorted(plain) and other == one[::-1]
+        assert order(arrange_by=by)[0] == ("node", "1")
+    assert order(arrange_by="nleaves", starred_first=False)[:3] == [("node", "2"), ("node", "1"), ("node", "3")]
+    sim = order(arrange_by="sim", starred_first=False)
+    folded = order(arrange_by="interleaved", starred_first=False)
+    assert folded[::2] == sim[:6] and folded[1::2] == sim[6:][::-1]
+    with pytest.raises(ValueError):
+        rank.node_members(t, 0, arrange_by="other")
+    with pytest.raises(LookupError):
+        query.node(t, 77)
+    shown = rank.project_members(t, rank.node_members(t, 0)).collect()
+    assert {r.name for r in shown if r.kind == "node"} == {"a", "b", "3"} and {r.object_id for r in shown if r.kind == "object"} == set(vectors)
+
+
+def test_consolidate_forms(spark):
+    nodes = nodes_of(spark, [(0, None), (1, 0, None, False, True), (2, 1), (3, 0)]).withColumn("cache_valid", F.col("node_id") == 1)
+    t = Tables(nodes, assigned(spark, [("a", 2), ("b", 3)]), spark.createDataFrame([("a", [1.0]), ("b", [3.0])], "object_id string, vector array<double>"))
+    valid = lambda **kw: {r.node_id for r in stats.consolidate(t, 0, **kw).filter("cache_valid").collect()}
+    assert valid() == {0, 1, 2, 3} and valid(depth=0) == {0, 1} and valid(depth="children") == {0, 1, 3}
+    assert valid(descend_approved=False) == {0, 1, 3}
+    row = stats.consolidate(t, 0, return_="node").first()
+    assert row._n_objects_deep == 2 and row._centroid == [2.0]
+    assert ids(stats.consolidate(t, 0, return_="children")) == [1, 3] and ids(stats.consolidate(t, 1, return_="raw")) == [1, 2]
+
+
+def test_merged_metadata(spark):
+    tree = lambda k: Tree(nodes_of(spark, [(0, None)]).select("node_id", "parent_id", "name"), assigned(spark, []), None, {"k": k})
+    assert io.merge_trees(io.merge_trees(tree(1), tree(2)), tree(3)).meta == {"k": 1, "merged": [{"k": 2}, {"k": 3}]}
