@@ -110,15 +110,51 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         own = components(forest)
 
 
-def density_forest(points: DataFrame, min_samples: int = 1, k: int = 16) -> DataFrame:
-    """(a, b, w): the spanning forest of mutual reachability over the k nearest neighbours of points (object_id, vector)."""
-    near = written(neighbours(points, max(k, min_samples)), "near")
+def links_out(points: DataFrame) -> DataFrame:
+    """(a, b, w): for each component of points (object_id, vector, core, root) its least link to a point of another one, by mutual reachability: the largest of the distance and both cores. Blocks of points are held against each other, as in neighbours."""
+    from .rank import numbered
+
+    blocks = numbered(points.select("object_id", "vector", "core", "root"), "object_id").withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int"))
+    packed = written(blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("object_id", "vector", "core", "root"))).alias("rows")), "blocks")  # BLOCK rows each
+    pairs = packed.select("rows").crossJoin(packed.select(F.col("rows").alias("others")))
+
+    def run(frames):
+        for f in frames:
+            for rows, others in zip(f["rows"], f["others"]):
+                a, b = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
+                ids, jds = np.array([r["object_id"] for r in rows], object), np.array([r["object_id"] for r in others], object)
+                d = np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0))
+                d = np.maximum(d, np.maximum(np.array([r["core"] for r in rows])[:, None], [r["core"] for r in others]))
+                root = np.array([r["root"] for r in rows], object)
+                d[root[:, None] == np.array([r["root"] for r in others], object)] = np.inf
+                # Of equal links the first by the names of both ends, the smaller one first, so that all components choose alike.
+                low, high = np.minimum(ids[:, None], jds), np.maximum(ids[:, None], jds)
+                at = np.flatnonzero(np.isfinite(d.min(1)))
+                if not len(at):
+                    continue
+                best = [min((low[k, j], high[k, j]) for j in np.flatnonzero(d[k] == d[k].min()).tolist()) for k in at.tolist()]
+                yield pd.DataFrame({"root": root[at], "w": d[at].min(1), "a": [x for x, _ in best], "b": [y for _, y in best]})
+
+    found = pairs.mapInPandas(run, "root string, w double, a string, b string")
+    return found.groupBy("root").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w").distinct()
+
+
+def density_forest(points: DataFrame, min_samples: int = 1) -> DataFrame:
+    """(a, b, w): the spanning tree of mutual reachability of points (object_id, vector): Boruvka rounds over all pairs of components, until one is left; each is written."""
+    near = neighbours(points, min_samples)
     core = near.filter(F.col("rank") == min_samples).select("object_id", F.col("d").alias("core"))
-    w = near.join(core, "object_id").join(core.select(F.col("object_id").alias("other_id"), F.col("core").alias("other_core")), "other_id")
-    return spanning_forest(w.select(F.col("object_id").alias("a"), F.col("other_id").alias("b"), F.greatest("d", "core", "other_core").alias("w")))
+    held = written(points.join(core, "object_id", "left").select("object_id", "vector", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
+    forest, roots = None, held.select("object_id", F.col("object_id").alias("root"))
+    while True:
+        found = written(links_out(held.join(roots, "object_id")), "links-out")
+        if found.isEmpty():
+            return found if forest is None else forest
+        forest = written(found if forest is None else forest.unionByName(found), "forest")
+        own = components(forest.select("a", "b"))
+        roots = written(held.select("object_id").join(own.withColumnRenamed("node", "object_id"), "object_id", "left").select("object_id", F.coalesce("root", "object_id").alias("root")), "roots")
 
 
-def density_cluster(features: DataFrame, min_cluster_size: int, min_samples: int = 1, method: str = "leaf", levels: int = 24, k: int = 16) -> DataFrame:
+def density_cluster(features: DataFrame, min_cluster_size: int, min_samples: int = 1, method: str = "leaf", levels: int = 24) -> DataFrame:
     """(object_id, label) of rows (object_id, features): clusters of the density hierarchy, -1 for noise.
 
     The hierarchy is read at `levels` quantiles of the forest's weights: at each, components of min_cluster_size points or more are kept, and a
@@ -127,7 +163,7 @@ def density_cluster(features: DataFrame, min_cluster_size: int, min_samples: int
     if method not in ("leaf", "eom"):
         raise ValueError(method)
     points = features.select("object_id", F.transform("features", lambda x: x.cast("double")).alias("vector"))
-    forest = density_forest(points, min_samples, k)
+    forest = density_forest(points, min_samples)
     cuts = forest.agg(F.percentile("w", F.array(*(F.lit(q / levels) for q in range(1, levels + 1)))).alias("q")).first()[0] or []
     cuts = sorted(set(cuts))
     kept = None  # (level, root, object_id)

@@ -156,6 +156,23 @@ def test_spanning_forest(spark):
     assert got == pytest.approx(total, abs=1e-6)
 
 
+def test_density_tree_with_many_equal_points(spark):
+    """The tree spans all points, also groups of more equal ones than any number of neighbours holds."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.zeros((40, 2)), np.full((40, 2), 0.5), rng.random((20, 2)) * 3])
+    points = spark.createDataFrame([(f"{k:03d}", v.tolist()) for k, v in enumerate(x)], "object_id string, vector array<double>")
+    got = recluster.density_forest(points, 2).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d + np.diag(np.full(100, np.inf)), axis=1)[:, 1]
+    d = np.maximum(d, np.maximum(core[:, None], core))
+    inside, total = {0}, 0.0
+    while len(inside) < 100:
+        w, j = min((d[i, j], j) for i in inside for j in range(100) if j not in inside)
+        inside.add(j)
+        total += w
+    assert len(got) == 99 and sum(r.w for r in got) == pytest.approx(total, abs=1e-6)
+
+
 @pytest.mark.parametrize("method", ["leaf", "eom"])
 def test_density_clusters(spark, method):
     rng = np.random.default_rng(5)
