@@ -49,3 +49,15 @@ def test_empty_and_nulls(spark):
     assert chat.write_and_read(spark.createDataFrame([], schema)).count() == 0
     got = chat.write_and_read(spark.createDataFrame([(None, None, None, None), (1, 0, "assistant", None)], schema)).collect()
     assert sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in got) == [("1", 1, 0), ("None", 1, 0)]
+
+
+def test_parts_encode_as_the_whole(spark):
+    """Parts end between turns, at special tokens: their ids and masks, one after the other, are those of one encoding. Equal turns and repeated rows stay."""
+    rows = [(1, t // 2, "assistant" if t % 3 else "user", f"  Some words {t}, é日 and </s> more. ") for t in range(60)] + [(1, 5, "user", "same")] * 3
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = []
+    for chars in (200, 10**9):
+        parts = sorted(chat.format_conversations(docs, part_chars=chars).collect(), key=lambda r: r.part)
+        got.append(([i for p in parts for i in p.ids], [m for p in parts for m in p.mask], "".join(p.formatted for p in parts), len(parts)))
+    assert got[0][:3] == got[1][:3] and got[0][3] > 10 and got[1][3] == 1
+    assert chat.summarise(chat.format_conversations(docs)).first().n_turns == 63
