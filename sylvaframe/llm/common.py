@@ -45,15 +45,20 @@ def small_batches(spark: SparkSession, n_bytes: int = 4 << 20):
 _memories: dict[str, dict] = {}
 
 
+def trim() -> None:
+    """Gives memory that this worker doesn't use back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def memory_of(operator: str) -> dict:
     """What this worker remembers for an operator. What it remembered for others is given up, so that stages don't add up in its memory; '' has none."""
     if any(held for name, held in _memories.items() if name != operator):
         for name in [x for x in _memories if x != operator]:
             _memories[name].clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
     return _memories.setdefault(operator, {})
 
 
