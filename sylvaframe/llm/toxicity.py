@@ -409,8 +409,14 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
     # Of longer texts it is enough to know that they are longer.
     long = F.length("text") > 100 * STRIDE * longest
     known = docs.join(clean, "doc_id").filter(~F.coalesce(long, F.lit(True))).withColumn("n", n_words).filter((F.col("n") > 0) & (F.col("n") <= WINDOW + STRIDE * (longest - 1)))
-    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.xxhash64("text")]
-    chosen = [known.filter(F.col("label") == x).select("doc_id", "text", "label").orderBy(*order).limit(per_class[x]) for x in (0, 1)]
+    # Ids are chosen first, so that no task gets more than ids; texts come by a broadcast of at most sum(per_class) rows.
+    ids = known.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h")).distinct()
+    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("h")]
+    chosen = [tuple(r) for x in (0, 1) for r in ids.filter(F.col("label") == x).orderBy(*order).limit(per_class[x]).collect()]
+    if not chosen:
+        return [], []
+    small = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int, h long")
+    texts = docs.join(F.broadcast(small), (docs["doc_id"] == small["doc_id"]) & (F.xxhash64("text") == F.col("h"))).select(docs["doc_id"], "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,12 +426,11 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
                 out.append([b" ".join(words[s : s + WINDOW]) for s in window_starts(len(words)).tolist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "label", "windows"])
 
-    rows = chosen[0].unionByName(chosen[1]).mapInArrow(run, "doc_id long, label int, windows array<binary>").collect()  # at most sum(per_class) * longest windows
+    rows = texts.mapInArrow(run, "doc_id long, label int, windows array<binary>").collect()  # at most sum(per_class) * longest windows
     rows = sorted(rows, key=lambda r: (r.doc_id, r.windows))
     return [[bytes(x) for x in r.windows] for r in rows], [r.label for r in rows]
 
 
-
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
