@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import token_files
-from .common import SPACE, as_bytes, id_and_text, written
+from .common import SPACE, as_bytes, id_and_text, small_batches, written
 
 #: Permitted sequence lengths.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -110,7 +110,8 @@ def best_fit(lengths_of: DataFrame, lengths: Sequence[int] = LENGTHS, overhead:
     Documents of null or no tokens get one piece of 0 tokens without a bin (bin, bin_offset and bin_length null). Rows that repeat an id are
     packed each. A shard holds a random part of the documents, so no key can fill one, and its result depends only on its rows."""
     top = max(lengths)
-    rows = written(lengths_of.select("doc_id", "n_tokens"), "lengths")
+    with small_batches(lengths_of.sparkSession):
+        rows = written(lengths_of.select("doc_id", "n_tokens"), "lengths")
     shards = max(1, math.ceil(rows.count() / per_shard))
 
     def run(t: pa.Table) -> pa.Table:

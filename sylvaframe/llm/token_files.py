@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_and_text, memory_of, partitions_for, scratch, written
+from .common import as_bytes, id_and_text, memory_of, partitions_for, scratch, trim, written
 from .words import WordMemory, flattened, slices
 
 TOKENIZER = "word_bpe_49k.json"
@@ -159,8 +159,9 @@ class ChunkEncoder:
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.vocabulary_size = self.whole.get_vocab_size()
+        # Only the one field is read: all of the file as Python objects would take some 100 MB.
         with open(path) as f:
-            suffix = json.load(f)["model"]["end_of_word_suffix"]
+            suffix = json.loads(re.search(r'"end_of_word_suffix"\s*:\s*("(?:[^"\\]|\\.)*")', f.read())[1])
         ends = np.zeros(self.vocabulary_size, bool)
         for piece, k in self.whole.get_vocab().items():
             ends[k] = piece.endswith(suffix)
@@ -233,6 +234,7 @@ def encoder(path: str) -> tuple[WordMemory, int]:
             return np.concatenate((x, [END_ID], y)), np.concatenate((n, [1], m))
 
         loaded[path] = WordMemory(encode), own.vocabulary_size
+        trim()
     return loaded[path]
 
 
