@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, html, packing, pieces, quality, repeats, simhash, token_files, toxicity
+from . import chat, exact, filter_audit, html, language, packing, pieces, quality, repeats, resample, simhash, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.fit_and_identify(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -79,8 +91,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_html, op2_simhash, op3_token_files, op4_repeats, op5_quality, op6_chat, op7_pieces, op8_exact_dedup, op9_toxicity, op10_packing, op11_language, op12_filter_audit, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_filter_audit": filter_audit.AUDIT_SQL, "op13_resample": resample.RESAMPLE_SQL}
