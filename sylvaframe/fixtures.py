@@ -111,3 +111,12 @@ def many_projects(spark: SparkSession, sf_dir: str) -> Tables:
     objects = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("object_id"), (100 + F.col("c_nationkey")).cast("long").alias("node_id"))
     projects = region.select((1 + r).cast("int").alias("project_id"), F.col("r_name").alias("name"), (r % 2 == 0).alias("visible"))
     return Tables(tops.unionByName(rest), objects, projects=projects)
+
+
+def shared_projects(spark: SparkSession, sf_dir: str) -> Tables:
+    """many_projects, and every third customer in the root of the next region's project as well; all nodes are approved and have valid caches."""
+    t = many_projects(spark, sf_dir)
+    nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    twice = load(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").join(nation, "c_nationkey").select(F.col("c_custkey").cast("string").alias("object_id"), (1 + (F.col("n_regionkey") + 1) % 5).cast("long").alias("node_id"))
+    rejected = t.assignments.filter("false").select("node_id", "object_id")
+    return t.with_(nodes=t.nodes.withColumns({"approved": F.lit(True), "cache_valid": F.lit(True)}), assignments=t.assignments.unionByName(twice), rejected=rejected)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.closure import ancestors, subtree_sums
+from ..plans.shared import written
 from ..schema import Tables
 from .query import children
 
@@ -88,29 +89,52 @@ def invalidate(nodes: DataFrame, node_ids: Iterable | DataFrame, unapprove: bool
     return _where_in(nodes, ids_frame(nodes, node_ids, "node_id"), "node_id", changes)
 
 
+def stale_of_move(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node_id) of what a move between the nodes `ends` (node_id) changes: their paths from the deepest node on that all of them share, that node included. Ends without a common root have their whole paths."""
+    ids = ends.distinct().join(nodes.select("node_id"), "node_id", "left_semi")
+    through = written(subtree_sums(nodes, ids.select("node_id", F.lit(1).alias("n"))), "through")
+    common = through.join(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n"))), "n").select("node_id")  # one row; the nodes that all ends are below
+    above = nodes.join(common, "node_id", "left_semi").select(F.col("parent_id").alias("node_id"))
+    return through.select("node_id").join(above, "node_id", "left_anti")
+
+
+def _same_project(nodes: DataFrame, node_id: int) -> DataFrame:
+    """(node_id) of the nodes in the project of a node; all, where nodes have no projects."""
+    if "project_id" not in nodes.columns:
+        return nodes.select("node_id")
+    own = nodes.filter(F.col("node_id") == node_id).select(F.col("project_id").alias("__own")).limit(1)
+    return nodes.join(F.broadcast(own), F.col("project_id").eqNullSafe(F.col("__own")), "left_semi").select("node_id")
+
+
 def relocate_nodes(tables: Tables, node_ids: Iterable | DataFrame, parent_id: int, unapprove: bool = False) -> Tables:
-    """M3: nodes under another parent; an error if one of them lies on the new parent's path. Both old and new paths are made stale."""
+    """M3: nodes under another parent; an error if one of them lies on the new parent's path. What the move changes, from the deepest node on that the old and new parents share, becomes stale, and unapproved with `unapprove`."""
     nodes = tables.nodes
     ids = ids_frame(nodes, node_ids, "node_id")
     if ancestors(nodes, parent_id).join(ids, "node_id", "left_semi").limit(1).count():
         raise EditError("a node can't move below itself")
-    old = nodes.join(ids, "node_id", "left_semi").filter("parent_id is not null").select(F.col("parent_id").alias("node_id"))
-    stale = old.unionByName(nodes.filter(F.col("node_id") == parent_id).select("node_id"))
-    marked = invalidate_path(nodes, stale, unapprove) if "cache_valid" in nodes.columns or unapprove else nodes
+    marked = nodes
+    if "cache_valid" in nodes.columns or unapprove:
+        moved = nodes.join(ids, "node_id", "left_semi")
+        new = nodes.filter(F.col("node_id") == parent_id).select("node_id").join(F.broadcast(moved.limit(1).select(F.lit(True).alias("__any"))), F.col("__any")).select("node_id")  # one row
+        marked = invalidate(nodes, stale_of_move(nodes, new.unionByName(moved.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")))), unapprove)
     return tables.with_(nodes=_where_in(marked, ids, "node_id", {"parent_id": F.lit(parent_id).cast("long")}))
 
 
 def relocate_objects(tables: Tables, object_ids: Iterable | DataFrame, node_id: int, src_node_id: int | None = None, unapprove: bool = False) -> Tables:
-    """M4: objects to another node, optionally only those that are in src_node_id; stale as M3."""
-    assigned = tables.assignments
-    ids = ids_frame(assigned, object_ids, "object_id")
+    """M4: objects to another node, optionally only those that are in src_node_id. Rows of other projects than the node's stay as they are; stale as M3."""
+    assigned, nodes = tables.assignments, tables.nodes
+    ids = ids_frame(assigned, object_ids, "object_id").select("object_id", F.lit(True).alias("__asked"))
+    inside = _same_project(nodes, node_id).select("node_id", F.lit(True).alias("__inside"))
+    here = F.col("__inside") & F.col("__asked")
     if src_node_id is not None:
-        ids = assigned.filter(F.col("node_id") == src_node_id).join(ids, "object_id", "left_semi").select("object_id")
-    nodes = tables.nodes
+        here = here & (F.col("node_id") == src_node_id)
+    marked = assigned.join(ids, "object_id", "left").join(inside, "node_id", "left").withColumn("__moves", F.coalesce(here, F.lit(False)))
     if "cache_valid" in nodes.columns or unapprove:
-        stale = assigned.join(ids, "object_id", "left_semi").select("node_id").unionByName(nodes.filter(F.col("node_id") == node_id).select("node_id"))
-        nodes = invalidate_path(nodes, stale, unapprove)
-    return tables.with_(nodes=nodes, assignments=_where_in(assigned, ids, "object_id", {"node_id": F.lit(node_id).cast("long")}))
+        old = marked.filter("__moves").select("node_id").distinct()
+        new = nodes.filter(F.col("node_id") == node_id).select("node_id").join(F.broadcast(ids.limit(1)), F.col("__asked")).select("node_id")  # one row
+        nodes = invalidate(nodes, stale_of_move(nodes, new.unionByName(old)), unapprove)
+    to = F.when(F.col("__moves"), F.lit(node_id).cast("long")).otherwise(F.col("node_id"))
+    return tables.with_(nodes=nodes, assignments=marked.select(*(to.alias(c) if c == "node_id" else F.col(c) for c in assigned.columns)))
 
 
 def reject_objects(tables: Tables, node_id: int, object_ids: Iterable | DataFrame) -> Tables:
@@ -201,7 +225,7 @@ def drop_project(tables: Tables, project_id: int) -> Tables:
 
 
 def classify_members(tables: Tables, node_id: int, centroids: DataFrame, classify_nodes: bool = True, classify_objects: bool = False, safe: bool = True, subnode: bool = False) -> tuple[Tables, DataFrame]:
-    """Unstarred children (by centroids: node_id, vector) and direct objects of a node go to its starred children, the nearest by centroid, or to a new child `classified` of it.
+    """Unstarred children (by centroids: node_id, vector) and direct objects of a node go to its starred children, the nearest by centroid, or to a new child `classified` of it. The node and those that got members are unapproved, and stale.
 
     Also (kind, member_id, type_id) of all that were classified; -1 stays."""
     from .vector import classify
@@ -229,8 +253,12 @@ def classify_members(tables: Tables, node_id: int, centroids: DataFrame, classif
     of_nodes = target.filter("kind = 'node'").select(F.col("member_id").cast("long").alias("node_id"), F.col("target").cast("long"))
     nodes = nodes.join(of_nodes, "node_id", "left").withColumn("parent_id", F.coalesce("target", "parent_id")).drop("target").select(*nodes.columns)
     of_objects = target.filter("kind = 'object'").select(F.col("member_id").alias("object_id"), F.col("target").cast("long"))
-    assigned = tables.assignments.join(of_objects, "object_id", "left").withColumn("node_id", F.coalesce("target", "node_id")).select(*tables.assignments.columns)
-    nodes = _where_in(nodes, target.select(F.col("target").cast("long").alias("node_id")).distinct(), "node_id", {"approved": F.lit(False)})
+    # Only what stands in the node itself moves; other projects can hold the same objects.
+    here = F.when(F.col("node_id") == node_id, F.col("target"))
+    assigned = tables.assignments.join(of_objects, "object_id", "left").withColumn("node_id", F.coalesce(here, "node_id")).select(*tables.assignments.columns)
+    # The node is the common ancestor of all these moves.
+    touched = moved.select(F.explode(F.array(F.lit(node_id).cast("long"), F.col("type_id").cast("long"))).alias("node_id")).unionByName(target.select(F.col("target").cast("long").alias("node_id")))
+    nodes = invalidate(nodes, touched.distinct(), True) if "cache_valid" in nodes.columns else _where_in(nodes, touched.distinct(), "node_id", {"approved": F.lit(False)})
     return out.with_(nodes=nodes, assignments=assigned), every
 
 

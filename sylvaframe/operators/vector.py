@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS, euclidean, mean_vectors
-from ..plans.shared import small
+from ..plans.shared import small, written
 
 PROTOTYPES = "array<struct<vector: array<double>, support: double>>"
 
@@ -176,16 +176,76 @@ def nearest_distance(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return classify(centroids, points, safe=False)
 
 
-def pca(df: DataFrame, k: int, vector: str = "vector", out: str = "projected") -> tuple[DataFrame, float]:
-    """Df with the projection of the centred vectors on k components, and the share of variance that these explain."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+#: Dimensions that a projection's covariance has at most; it is decomposed on the driver.
+MOST_DIMENSIONS = 1024
+#: Rows whose mean is taken off all vectors before their products are summed; any vector gives the same covariance, a near one the best digits.
+SHIFT_ROWS = 1000
+
+
+def covariance(vectors: DataFrame, vector: str = "vector") -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, sum of centred cross products) of the vectors that aren't null and have no null, in one pass: tasks sum up products of the vectors without a common shift, which add up."""
+    held = vectors.select(F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).filter("v is not null and not exists(v, x -> x is null)")
+    few = np.array([r.v for r in held.limit(SHIFT_ROWS).collect()])
+    if not few.size:
+        return 0, np.empty(0), np.empty((0, 0))
+    shift, d = few.mean(axis=0), few.shape[1]
+    if d > MOST_DIMENSIONS:
+        raise ValueError(f"vectors have {d} dimensions; {MOST_DIMENSIONS} are allowed")
+    sent = vectors.sparkSession.sparkContext.broadcast(shift)
+
+    def products(frames):
+        total, n = np.zeros((d + 1, d)), 0
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["v"].to_numpy()) - sent.value
+                total[:d] += x.T @ x
+                total[d] += x.sum(axis=0)
+                n += len(x)
+        if n:
+            yield pd.DataFrame({"i": np.repeat(np.arange(d + 1), d), "j": np.tile(np.arange(d), d + 1), "x": total.ravel(), "n": n})
+
+    # (d + 1) * d rows, whatever the number of vectors.
+    rows = held.mapInPandas(products, "i int, j int, x double, n long").groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+    total = np.zeros((d + 1, d))
+    for r in rows:
+        total[r.i, r.j] = r.x
+    n, first = rows[0].n, total[d]
+    return n, shift + first / n, total[:d] - np.outer(first, first) / n
+
+
+def principal_components(centred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k components as rows, variances of all) of a sum of centred cross products, largest variance first; the entry of largest size of a component is positive."""
+    values, found = np.linalg.eigh((centred + centred.T) / 2)
+    values, found = np.maximum(values[::-1], 0.0), found[:, ::-1][:, :k].T
+    signs = np.sign(found[np.arange(len(found)), np.abs(found).argmax(axis=1)])
+    return found * np.where(signs == 0, 1.0, signs)[:, None], values
+
 
-    raw, centred, found = (f"{x}_{uuid.uuid4().hex}" for x in ("raw", "centred", "found"))
-    held = df.withColumn(raw, array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    moved = StandardScaler(withMean=True, withStd=False, inputCol=raw, outputCol=centred).fit(held).transform(held)
-    model = PCA(k=k, inputCol=centred, outputCol=found).fit(moved)
-    return model.transform(moved).withColumn(out, vector_to_array(found)).drop(raw, centred, found), float(model.explainedVariance.toArray().sum())
+def pca(df: DataFrame, k: int, vector: str = "vector", out: str = "projected") -> tuple[DataFrame, float]:
+    """Df with the projection of the centred vectors on k components, and the share of variance that these explain.
+
+    A vector that is null or has a null isn't fitted and has a null projection. Without any vectors all projections are null and the share is 0. A
+    component's sign is such that its largest entry is positive."""
+    n, mean, centred = covariance(df, vector)
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("array<double>")), 0.0
+    if k > len(mean):
+        raise ValueError(f"{k} components of {len(mean)} dimensions")
+    axes, values = principal_components(centred, k)
+    sent = df.sparkSession.sparkContext.broadcast((axes.T, mean @ axes.T))
+
+    @F.pandas_udf("array<double>")
+    def project(column: pd.Series) -> pd.Series:
+        turn, middle = sent.value
+        found, whole = [None] * len(column), [i for i, v in enumerate(column) if v is not None and not np.isnan(v).any()]
+        if whole:
+            for i, row in zip(whole, np.stack([column.iloc[i] for i in whole]) @ turn - middle):
+                found[i] = row
+        return pd.Series(found, dtype=object)
+
+    given = F.transform(F.col(vector), lambda x: x.cast("double"))
+    share = float(values[:k].sum() / values.sum()) if values.sum() > 0 else 0.0
+    return df.withColumn(out, project(given)), share
 
 
 def combine_covariances(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
@@ -197,11 +257,56 @@ def combine_covariances(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame
     return u.crossJoin(v).select(n.alias("n"), mean(x).alias(x), mean(y).alias(y), ((F.col("a_n") * F.col("a_cov") + F.col("b_n") * F.col("b_cov")) / n + cross).alias("cov"))  # one row each
 
 
+def forest_nodes(model) -> list[tuple[list[int], list[float], list[int], list[int], list[float]]]:
+    """(feature, threshold, left, right, share of label 1) of the nodes of each tree of a fitted forest; a leaf has feature -1. At most 2^(depth + 1) nodes a tree."""
+    out = []
+    for tree in model.trees:
+        feature, threshold, left, right, share = [], [], [], [], []
+
+        def add(node) -> int:
+            at = len(feature)
+            counts = list(node.impurityStats().stats())
+            inner = node.subtreeDepth() > 0
+            feature.append(node.split().featureIndex() if inner else -1)
+            threshold.append(node.split().threshold() if inner else 0.0)
+            share.append(counts[1] / sum(counts) if len(counts) > 1 and sum(counts) else 0.0)
+            left.append(0), right.append(0)
+            if inner:
+                left[at], right[at] = add(node.leftChild()), add(node.rightChild())
+            return at
+
+        add(tree._call_java("rootNode"))
+        out.append((feature, threshold, left, right, share))
+    return out
+
+
 def rf_rank(candidates: DataFrame, valid: DataFrame, rejected: DataFrame, seed: int = 0, **forest) -> DataFrame:
-    """Candidates (object_id, vector) with `score`: a random forest's probability of being valid rather than rejected."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Candidates (object_id, vector) with `score`: a random forest's probability of being valid rather than rejected; a null vector has none.
 
-    known = valid.select("vector", F.lit(1.0).alias("label")).unionByName(rejected.select("vector", F.lit(0.0).alias("label")))
-    model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **forest).fit(known.select("label", array_to_vector("vector").alias("f")))
-    return model.transform(candidates.withColumn("f", array_to_vector("vector"))).select("object_id", vector_to_array("probability")[1].alias("score"))
+    The trees are read from the fitted model once and sent to the tasks as arrays, so the plan holds no model."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    known = valid.select("vector", F.lit(1.0).alias("label")).unionByName(rejected.select("vector", F.lit(0.0).alias("label"))).filter("vector is not null")
+    rows = written(known.select("label", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "known")
+    model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **forest).fit(rows.select("label", array_to_vector("vector").alias("f")))
+    sent = candidates.sparkSession.sparkContext.broadcast([tuple(map(np.array, tree)) for tree in forest_nodes(model)])
+
+    @F.pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        whole = column.notna().to_numpy()
+        total = np.full(len(column), np.nan)
+        if whole.any():
+            x = np.stack(column[whole].to_numpy())
+            votes = np.zeros(len(x))
+            for feature, threshold, left, right, share in sent.value:
+                at = np.zeros(len(x), np.int64)
+                while (inner := feature[at] >= 0).any():
+                    here = at[inner]
+                    low = x[np.flatnonzero(inner), feature[here]] <= threshold[here]
+                    at[inner] = np.where(low, left[here], right[here])
+                votes += share[at]
+            total[whole] = votes / len(sent.value)
+        return pd.Series(total).where(whole, None)
+
+    return candidates.select("object_id", score(F.transform("vector", lambda x: x.cast("double"))).alias("score"))

@@ -470,6 +470,30 @@ def _(s, d):
     return found.select("object_id", F.round(F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x), 5).alias("length"))
 
 
+def _covariances(found: DataFrame, k: int) -> DataFrame:
+    """(i, j, cov): covariances of the first k components, rounded; of two different ones they are zero."""
+    at = lambda n: F.col("projected")[n]
+    pairs = found.agg(*(F.covar_pop(at(i), at(j)).alias(f"c_{i}_{j}") for i in range(k) for j in range(i + 1, k)))
+    return pairs.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), (F.round(F.col(f"c_{i}_{j}"), 6) + 0.0).alias("cov")) for i in range(k) for j in range(i + 1, k)))).alias("e")).select("e.*")
+
+
+@query_of("v14_pca_8", "SELECT i, j, CAST(0 AS DOUBLE) AS cov FROM range(8) a(i), range(8) b(j) WHERE i < j")
+def _(s, d):
+    return _covariances(vector.pca(fx.vectors(s, d).objects.select("object_id", "vector"), 8)[0], 8)
+
+
+# No direction has more variance than the first component; the plane of the first two has at least that of any two dimensions.
+@query_of("v14_pca_2", VEC + ", f AS (SELECT unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM objects), v AS (SELECT pos, var_pop(x) AS v FROM f GROUP BY pos) SELECT true AS first_is_largest, true AS plane_is_largest, true AS in_order, round(sum(v), 6) AS total FROM v")
+def _(s, d):
+    o = fx.vectors(s, d).objects.select("object_id", "vector")
+    found, share = vector.pca(o, 2)
+    variances = o.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("v"))
+    most = variances.agg(F.sum("v").alias("total"), F.slice(F.sort_array(F.collect_list("v"), asc=False), 1, 2).alias("top"))  # one entry a dimension
+    both = found.agg(*(F.var_pop(F.col("projected")[k]).alias(f"p{k}") for k in range(2))).crossJoin(most)  # one row each
+    explained = F.abs((F.col("p0") + F.col("p1")) / F.col("total") - share) < 1e-9
+    return both.select((F.col("p0") >= F.col("top")[0]).alias("first_is_largest"), ((F.col("p0") + F.col("p1") >= F.col("top")[0] + F.col("top")[1]) & explained).alias("plane_is_largest"), (F.col("p0") >= F.col("p1")).alias("in_order"), F.round("total", 6).alias("total"))
+
+
 @query_of("v16_nearest_centroids", VEC + MEANS + ", m AS (SELECT node_id AS type_id, pos, avg(x) AS x FROM flat JOIN nodes USING (node_id) WHERE approved GROUP BY 1, 2) SELECT type_id, pos, round(x, 6) + 0.0 AS x FROM m")
 def _(s, d):
     t = fx.vectors(s, d)
@@ -498,14 +522,17 @@ def _(s, d):
     return rank.recommend_children(t, 12, stats.centroids(t), 64).select("node_id", F.round("distance", 6).alias("distance"))
 
 
-@query_of("v20_rf_rank")
+@query_of("v20_rf_rank", VEC + ", known AS (SELECT object_id FROM assignments JOIN nodes USING (node_id) WHERE approved), refused AS (SELECT DISTINCT object_id FROM rejected WHERE object_id NOT IN (FROM known)) SELECT count(*) AS n, true AS in_range, true AS apart FROM objects")
 def _(s, d):
-    # All objects are ranked: what approved nodes hold against what any node rejected.
+    # All objects are ranked: what approved nodes hold against what any node rejected. The known ones stand well above the rejected ones.
     t = fx.vectors(s, d)
     known = t.assignments.join(t.nodes.filter("approved").select("node_id"), "node_id", "left_semi").select("object_id")
     refused = t.rejected.select("object_id").distinct().join(known, "object_id", "left_anti")
     o = t.objects.select("object_id", "vector")
-    return vector.rf_rank(o, o.join(known, "object_id", "left_semi"), o.join(refused, "object_id", "left_semi"), seed=1, numTrees=10)
+    found = vector.rf_rank(o, o.join(known, "object_id", "left_semi"), o.join(refused, "object_id", "left_semi"), seed=1, numTrees=10)
+    marked = found.join(known.withColumn("known", F.lit(True)), "object_id", "left").join(refused.withColumn("refused", F.lit(True)), "object_id", "left")
+    apart = F.avg(F.when(F.col("known"), F.col("score"))) > F.avg(F.when(F.col("refused"), F.col("score"))) + 0.3
+    return marked.agg(F.count("score").alias("n"), F.min(F.col("score").between(0, 1)).alias("in_range"), F.coalesce(apart, F.lit(False)).alias("apart"))
 
 
 # --- order -----------------------------------------------------------------------------------------------------------
@@ -609,6 +636,49 @@ def _(s, d):
     return edit.relocate_objects(t, t.objects.filter("cast(object_id as bigint) % 2 = 0"), 101, src_node_id=0).assignments.select("object_id", "node_id")
 
 
+@query_of("m03_relocate_unapprove", GEO + CLOSURE + ", ends AS (SELECT CAST(101 AS BIGINT) AS e UNION SELECT parent_id FROM nodes WHERE parent_id = 102 AND node_id % 2 = 0), through AS (SELECT ancestor_id AS node_id, count(*) AS n FROM cl JOIN ends ON e = cl.node_id GROUP BY 1), stale AS (SELECT node_id FROM through WHERE node_id NOT IN (SELECT parent_id FROM nodes JOIN through USING (node_id) WHERE n = (SELECT count(*) FROM ends) AND parent_id IS NOT NULL)) SELECT node_id, CASE WHEN parent_id = 102 AND node_id % 2 = 0 THEN 101 ELSE parent_id END AS parent_id, node_id NOT IN (FROM stale) AS approved, node_id NOT IN (FROM stale) AS cache_valid FROM nodes")
+def _(s, d):
+    # Nations 101 and 102 have a region in common, so nothing above it changes.
+    t = fx.geo(s, d)
+    t = t.with_(nodes=t.nodes.withColumns({"approved": F.lit(True), "cache_valid": F.lit(True)}))
+    return edit.relocate_nodes(t, t.nodes.filter("parent_id = 102 and node_id % 2 = 0").select("node_id"), 101, unapprove=True).nodes.select("node_id", "parent_id", "approved", "cache_valid")
+
+
+_SHARED = """WITH pn AS (SELECT 1 + r_regionkey AS node_id, 1 + r_regionkey AS project_id FROM region UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey FROM nation),
+pa AS (SELECT CAST(c_custkey AS VARCHAR) AS object_id, 100 + c_nationkey AS node_id FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1 + (n_regionkey + 1) % 5 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0),
+home AS (SELECT node_id FROM pn WHERE project_id = (SELECT project_id FROM pn WHERE node_id = 101))"""
+
+
+def _both(t: Tables, flag: str = "approved") -> DataFrame:
+    """(kind, id, at): nodes with a flag, and where objects are."""
+    return t.nodes.select(F.lit("n").alias("kind"), F.col("node_id").cast("string").alias("id"), F.col(flag).cast("long").alias("at")).unionByName(t.assignments.select(F.lit("o").alias("kind"), F.col("object_id").alias("id"), F.col("node_id").alias("at")))
+
+
+@query_of("m04_shared_objects", _SHARED + ", moved AS (SELECT * FROM pa WHERE CAST(object_id AS BIGINT) % 2 = 0 AND node_id IN (FROM home)), touched AS (SELECT node_id FROM moved UNION SELECT 101 UNION SELECT project_id FROM pn WHERE node_id = 101) SELECT 'n' AS kind, CAST(node_id AS VARCHAR) AS id, CAST(node_id NOT IN (FROM touched) AS BIGINT) AS at FROM pn UNION ALL SELECT 'o', object_id, CASE WHEN CAST(object_id AS BIGINT) % 2 = 0 AND node_id IN (FROM home) THEN 101 ELSE node_id END FROM pa")
+def _(s, d):
+    t = fx.shared_projects(s, d)
+    return _both(edit.relocate_objects(t, t.assignments.filter("cast(object_id as bigint) % 2 = 0").select("object_id"), 101, unapprove=True))
+
+
+_AT_ROOT = ", r AS (SELECT object_id, row_number() OVER (ORDER BY CAST(object_id AS BIGINT)) - 1 AS rank FROM pa WHERE node_id = (SELECT project_id FROM pn WHERE node_id = 101)), yes AS (SELECT object_id FROM r WHERE rank < 20 AND rank % 3 <> 0)"
+
+
+@query_of("m12_shared_objects", _SHARED + _AT_ROOT + " SELECT object_id, CASE WHEN object_id IN (FROM yes) AND node_id IN (FROM home) THEN 101 ELSE node_id END AS node_id, CAST(0 AS BIGINT) AS rejected_by FROM pa UNION ALL SELECT object_id, 0, 101 FROM r WHERE rank < 20 AND rank % 3 = 0")
+def _(s, d):
+    t = fx.shared_projects(s, d)
+    root = t.nodes.filter("node_id = 101").select(F.col("project_id").cast("long").alias("node_id"))  # a project's root has its number
+    paged = rank.paginate(t.assignments.join(root, "node_id", "left_semi").select("object_id", F.col("object_id").cast("long").alias("n")), "n", page_size=10)
+    out = edit.accept_recommended(t, 101, paged, 1, paged.filter("rank % 3 = 0").select("object_id"))[0]
+    return out.assignments.select("object_id", "node_id", F.lit(0).cast("long").alias("rejected_by")).unionByName(out.rejected.select("object_id", F.lit(0).cast("long").alias("node_id"), F.col("node_id").alias("rejected_by")))
+
+
+@query_of("m13_shared_objects", _SHARED + ", n2 AS (SELECT n_nationkey + 100 AS k FROM nation WHERE n_regionkey = 1 AND n_nationkey > 1) SELECT 'n' AS kind, CAST(node_id AS VARCHAR) AS id, CASE WHEN node_id IN (FROM n2) THEN 101 WHEN node_id >= 100 THEN project_id END AS at FROM pn UNION ALL SELECT 'o', object_id, CASE WHEN CAST(object_id AS BIGINT) % 5 = 0 AND node_id IN (FROM home) THEN 101 ELSE node_id END FROM pa")
+def _(s, d):
+    t = fx.shared_projects(s, d)
+    out = edit.adopt(t, 101, t.nodes.filter("project_id = 2 and node_id > 101").select("node_id"), t.assignments.filter("cast(object_id as bigint) % 5 = 0").select("object_id"))
+    return _both(out, "parent_id")
+
+
 @query_of("m05_reject_objects", GEO + " SELECT node_id, object_id FROM rejected UNION ALL SELECT 7, object_id FROM assignments WHERE node_id = 0")
 def _(s, d):
     t = fx.geo(s, d)
@@ -761,6 +831,15 @@ def _(s, d):
     return io.read_features(s, paths).select("object_id", F.round(F.col("features")[1], 6).alias("second"))
 
 
+@query_of("s03_last_features", "SELECT CAST(vec_id AS VARCHAR) AS object_id, CASE WHEN vec_id % 3 = 0 THEN round(2 * embedding[1], 5) ELSE round(embedding[1], 5) END AS first FROM embeddings")
+def _(s, d):
+    # Every third object is in both datasets; the later one stands.
+    o = fx.vectors(s, d).objects
+    early = o.select("object_id", F.col("vector").alias("features"))
+    late = o.filter("cast(object_id as bigint) % 3 = 0").select("object_id", F.transform("vector", lambda x: 2 * x).alias("features"))
+    return io.set_features(o, early, late).select("object_id", F.round(F.col("vector")[0], 5).alias("first"))
+
+
 @query_of("s03_pca_features", VEC + ", f AS (SELECT object_id, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM objects), m AS (SELECT pos, avg(x) AS m FROM f GROUP BY 1) SELECT object_id, round(sum((x - m) * (x - m)), 5) AS length FROM f JOIN m USING (pos) GROUP BY 1")
 def _(s, d):
     o = fx.vectors(s, d).objects
@@ -891,12 +970,12 @@ def _(s, d):
 
 @query_of("r04_density_cluster")
 def _(s, d):
-    return recluster.density_cluster(fx.features(s, d), 8, levels=4)
+    return recluster.density_cluster(fx.features(s, d), 8)
 
 
 @query_of("r05_cluster_tree", VEC + _FEATURES + " SELECT object_id FROM f WHERE object_id NOT IN (SELECT object_id FROM appr)")
 def _(s, d):
-    return recluster.cluster(fx.features(s, d), [fx.vector_tree(s, d)], n_pca=8, min_cluster_size=8, levels=4).objects.select("object_id")
+    return recluster.cluster(fx.features(s, d), [fx.vector_tree(s, d)], n_pca=8, min_cluster_size=8).objects.select("object_id")
 
 
 @query_of("r09_saved_merge", VEC + _FEATURES + " SELECT object_id, node_id FROM assignments WHERE object_id NOT IN (SELECT object_id FROM f) UNION ALL SELECT object_id, CAST(0 AS BIGINT) FROM f")
@@ -910,7 +989,7 @@ def _(s, d):
 @query_of("r10_recluster_project", VEC + _FEATURES + " SELECT 'vectors-8' AS project, object_id FROM (SELECT object_id FROM assignments UNION SELECT object_id FROM f WHERE object_id NOT IN (SELECT object_id FROM appr))")
 def _(s, d):
     t = fx.vectors(s, d).with_(projects=s.range(1).select(F.lit(1).alias("project_id"), F.lit("vectors").alias("name"), F.lit(True).alias("visible")))
-    out, new = recluster.recluster_project(t, 1, fx.features(s, d), 8, sample_size=None, levels=4)
+    out, new = recluster.recluster_project(t, 1, fx.features(s, d), 8, sample_size=None)
     own = out.nodes.filter(F.col("project_id") == new).filter("cache_valid").select("node_id", "project_id")
     return out.assignments.join(own, "node_id").join(out.projects, "project_id").select(F.col("name").alias("project"), "object_id")
 

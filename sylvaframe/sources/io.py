@@ -47,10 +47,14 @@ def read_features(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 
 def set_features(objects: DataFrame, *features: DataFrame, truncate: int | None = None, pca: int | None = None, max_dim: int | None = None, clear: bool = False) -> DataFrame:
-    """S3: objects with vectors set from features (object_id, features); ids that objects lack are ignored. `clear` empties the others."""
-    rows = features[0].select("object_id", "features")
-    for f in features[1:]:
-        rows = rows.unionByName(f.select("object_id", "features"))
+    """S3: objects with vectors set from features (object_id, features); ids that objects lack are ignored. `clear` empties the others.
+
+    Of several rows of an id, the one of the last dataset that has it stands; of those within it, the one with the largest features."""
+    numbered = [f.select("object_id", "features", F.lit(k).alias("__file")) for k, f in enumerate(features)]
+    rows = numbered[0]
+    for f in numbered[1:]:
+        rows = rows.unionByName(f)
+    rows = rows.groupBy("object_id").agg(F.max(F.struct("__file", "features")).alias("__last")).select("object_id", "__last.features")
     if truncate:
         rows = rows.withColumn("features", first_dims(F.col("features"), truncate))
     if pca:
