@@ -101,6 +101,15 @@ def deep(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(nodes, _select(spark, sf_dir, DEEP_ASSIGNMENTS, ("orders", "customer")).withColumn("node_id", F.col("node_id").cast("long")))
 
 
+def deep_with_vectors(spark: SparkSession, sf_dir: str) -> Tables:
+    """The deep tree, with vectors of two numbers made of the orders' keys."""
+    t = deep(spark, sf_dir)
+    key = F.col("o_orderkey")
+    rand = F.pmod(key * F.lit(2654435761), F.lit(4294967296)) / F.lit(4294967296).cast("double")
+    vector = F.array((key % 97).cast("double"), (key % 31).cast("double"))
+    return t.with_(objects=load(spark, sf_dir, "orders").select(key.cast("string").alias("object_id"), vector.alias("vector"), rand.alias("rand")))
+
+
 def many_projects(spark: SparkSession, sf_dir: str) -> Tables:
     """Each region a project with nations below it and customers as objects."""
     region, nation = load(spark, sf_dir, "region"), load(spark, sf_dir, "nation")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import euclidean, zero_fill
-from ..plans.closure import ancestors, subtree_sums
-from ..plans.shared import small
+from ..plans.blocks import block_pairs
+from ..plans.closure import ancestors, subtree_sums, ways_up
+from ..plans.shared import small, written
 from ..schema import Tables
 from .vector import prototype_distance
 
@@ -42,12 +45,87 @@ def recommend_children(tables: Tables, node_id: int, centroids: DataFrame, dim:
     return near.select("node_id", euclidean(zero_fill(F.col("vector"), dim), F.col("v")).alias("distance")).orderBy("distance", "node_id").limit(max_n)
 
 
+#: What a target is compared with: rows of a block, and targets of one.
+MEMBER_ROWS, TARGET_ROWS = 4096, 512
+
+
+def _used(ways: DataFrame, counts: DataFrame, max_n: int, more_than: bool) -> DataFrame:
+    """Rows of ways (target_id, node_id, distance, n) that are used: those before whose nearer ones gave fewer than max_n, or with more_than at most that many."""
+    nearer = Window.partitionBy("target_id").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
+    before = ways.join(counts, ["target_id", "node_id"], "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(nearer), F.lit(0)))
+    return before.filter(F.col("before") <= max_n if more_than else F.col("before") < max_n).select("target_id", "node_id", "distance")
+
+
+def _nearest_members(members: DataFrame, asked: DataFrame, max_n: int, kind: str) -> DataFrame:
+    """(target_id, member, distance): of members (node_id, member, vector) under the node_ids of asked (target_id, node_id, vectors, spare), the max_n + spare nearest of each block to one of the target's vectors, ties by member. A member without a vector is infinitely far."""
+
+    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        given = x["vector"].notna().to_numpy()
+        points = np.stack(x["vector"][given].to_numpy()) if given.any() else np.empty((0, 0))
+        ids, rows, distances = x["member"].to_numpy(object), [], []
+        for target, vectors, spare in zip(y["target_id"].tolist(), y["vectors"], y["spare"].tolist()):
+            d = np.full(len(x), np.inf)
+            if len(points):
+                d[given] = np.sqrt(np.min([((points - v) ** 2).sum(axis=1) for v in vectors], axis=0))
+            k = min(max_n + int(spare), len(d))
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k else np.empty(0, int)
+            near = near[np.lexsort((ids[near], d[near]))][:k]
+            rows += [(target, member) for member in ids[near].tolist()]
+            distances.append(d[near])
+        found = pd.DataFrame(rows, columns=["target_id", "member"], dtype=object)
+        return found.assign(distance=np.concatenate(distances) if distances else np.empty(0))
+
+    return block_pairs(members, asked, ["node_id"], "member", "target_id", pair, f"target_id long, member {kind}, distance double", MEMBER_ROWS, TARGET_ROWS)
+
+
+def _top(found: DataFrame, refused: DataFrame, max_n: int, member: str) -> DataFrame:
+    """(target_id, member, distance, rank): the max_n nearest of each target, without refused (target_id, member)."""
+    left = found.join(refused, ["target_id", "member"], "left_anti").groupBy("target_id", "member").agg(F.min("distance").alias("distance"))
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("distance", "member")))
+    return ranked.filter(F.col("rank") <= max_n).select("target_id", F.col("member").alias(member), "distance", "rank")
+
+
+def recommend_objects_many(tables: Tables, targets: DataFrame, prototypes: DataFrame, max_n: int = 1000) -> DataFrame:
+    """V18 for many nodes: (target_id, object_id, distance, rank), as recommend_objects gives for each of targets (one column) with its prototypes (node_id, vector). Targets without prototypes have no rows.
+
+    Which ancestors are used follows from counts of objects and of refused ones, without any pair of target and object. An ancestor's objects are then held against the
+    prototypes of all targets that use it, block by block, and a block hands on a target's nearest only: as many as asked for, and as many more as the target refused there."""
+    ways = written(ways_up(tables.nodes, targets).filter("distance > 0"), "ways")
+    at = tables.assignments.select("object_id", "node_id")
+    asked = targets.select(F.col(targets.columns[0]).cast("long").alias("target_id")).distinct()
+    refused = tables.rejected.select(F.col("node_id").alias("target_id"), "object_id").distinct().join(asked, "target_id", "left_semi")
+    refused_at = refused.join(at, "object_id").join(ways.select("target_id", "node_id"), ["target_id", "node_id"], "left_semi").groupBy("target_id", "node_id").agg(F.count(F.lit(1)).alias("spare"))
+    direct = at.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = ways.select("target_id", "node_id").join(direct, "node_id").join(refused_at, ["target_id", "node_id"], "left").select("target_id", "node_id", (F.col("n") - F.coalesce("spare", F.lit(0))).alias("n"), F.coalesce("spare", F.lit(0)).alias("spare"))
+    counts = written(counts, "counts")
+    used = _used(ways, counts, max_n, False).join(counts.select("target_id", "node_id", "spare"), ["target_id", "node_id"])
+    vectors = prototypes.filter("vector is not null").groupBy(F.col("node_id").alias("target_id")).agg(F.collect_list(F.transform("vector", lambda x: x.cast("double"))).alias("vectors"))
+    members = at.join(tables.objects.select("object_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "object_id").select("node_id", F.col("object_id").alias("member"), "vector")
+    found = _nearest_members(members, used.join(vectors, "target_id").select("target_id", "node_id", "vectors", "spare"), max_n, "string")
+    return _top(found, refused.withColumnRenamed("object_id", "member"), max_n, "object_id")
+
+
+def recommend_children_many(tables: Tables, targets: DataFrame, centroids: DataFrame, dim: int, max_n: int = 1000) -> DataFrame:
+    """V19 for many nodes: (target_id, node_id, distance, rank), as recommend_children gives for each of targets (one column): one plan for all, as recommend_objects_many."""
+    all_ways = written(ways_up(tables.nodes, targets), "ways")
+    ways = all_ways.filter("distance > 0")
+    children_of = tables.nodes.filter("parent_id is not null").select(F.col("node_id").alias("member"), F.col("parent_id").alias("node_id"))
+    n_children = children_of.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    # One child of each ancestor is on the target's own path.
+    counts = ways.select("target_id", "node_id").join(n_children, "node_id").select("target_id", "node_id", (F.col("n") - 1).alias("n"))
+    given = centroids.select("node_id", zero_fill(F.transform("vector", lambda x: x.cast("double")), dim).alias("vector"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    members = children_of.join(given.withColumnRenamed("node_id", "member"), "member", "left").select("node_id", "member", F.coalesce("vector", zero).alias("vector"))
+    used = _used(ways, counts, max_n, True).join(given.withColumnRenamed("node_id", "target_id"), "target_id", "left")
+    asked = used.select("target_id", "node_id", F.array(F.coalesce("vector", zero)).alias("vectors"), F.lit(1).cast("long").alias("spare"))
+    found = _nearest_members(members, asked, max_n, "long")
+    return _top(found, all_ways.select("target_id", F.col("node_id").alias("member")), max_n, "node_id")
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its global rank, from 0: rows are sorted into ranges, numbered in each, and moved by the counts of the ranges before. No window over all rows."""
     spark = df.sparkSession
     dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    from ..plans.shared import written
-
     held = written(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "ranks")
     counts = held.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     # One row per partition.

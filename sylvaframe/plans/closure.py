@@ -97,15 +97,41 @@ def closure(nodes: DataFrame, descend: Descend | None = None, parent: str = "par
     return pairs
 
 
-def _way_up(nodes: DataFrame, node_id: int) -> DataFrame:
-    """(node_id, distance) of a node and its ancestors: those that are near, and of all of them the pointers to those twice as far."""
-    found = nodes.filter(F.col("node_id") == node_id).select("node_id", F.lit(0).alias("distance"))
+def subtree_fold(nodes: DataFrame, own: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """own (node_id, values) merged over each node's subtree, the node included. merge takes rows with several for a node and gives one for each; the order and grouping of its rows must not matter.
+
+    As subtree_sums, in log2(depth) rounds: what is held for a node covers the levels near below it, and a round adds those twice as far. Only nodes that get something are merged."""
+    total = written(merge(own), "folded")
     jump, more = _counted(edges_of(nodes).withColumnRenamed("parent_id", "up"), "jumps")
+    limit, passed = 2 * more + 2, 1
+    while more:
+        if passed > limit:
+            raise CycleError("the nodes have a cycle")
+        moved = written(total.join(jump, "node_id").select(F.col("up").alias("node_id"), *(c for c in total.columns if c != "node_id")), "moved")
+        takers = moved.select("node_id").distinct()
+        merged = merge(total.join(takers, "node_id", "left_semi").unionByName(moved))
+        total = written(total.join(takers, "node_id", "left_anti").unionByName(merged), "folded")
+        jump, more = _counted(jump.join(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far")), "up").select("node_id", F.col("far").alias("up")), "jumps")
+        passed *= 2
+    return total
+
+
+def _targets(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(target_id, node_id, distance 0) of the nodes among ids, a frame of one column."""
+    asked = ids.select(F.col(ids.columns[0]).cast("long").alias("node_id")).distinct()
+    return nodes.join(asked, "node_id", "left_semi").select(F.col("node_id").alias("target_id"), "node_id", F.lit(0).alias("distance"))
+
+
+def _spread(found: DataFrame, nodes: DataFrame, descend: Descend | None, up: bool) -> DataFrame:
+    """found (target_id, node_id, distance) with all nodes above, or below, in log2(depth) rounds that all targets share: each round steps from what is there over pointers of that length."""
+    jump, more = _counted(edges_of(nodes, descend).withColumnRenamed("parent_id", "up"), "jumps")
+    begin, end = ("node_id", "up") if up else ("up", "node_id")
     span, most = 1, more + 1
     while more:
         if span > most:
             raise CycleError("the nodes have a cycle")
-        farther, n = _counted(found.join(jump, "node_id").select(F.col("up").alias("node_id"), (F.col("distance") + span).cast("int").alias("distance")), "way")
+        steps = jump.select(F.col(begin).alias("node_id"), F.col(end).alias("end"))
+        farther, n = _counted(found.join(steps, "node_id").select("target_id", F.col("end").alias("node_id"), (F.col("distance") + span).cast("int").alias("distance")), "way")
         if not n:
             break
         found = written(found.unionByName(farther), "way")
@@ -114,16 +140,28 @@ def _way_up(nodes: DataFrame, node_id: int) -> DataFrame:
     return found
 
 
-def ancestors(nodes: DataFrame, node_id: int) -> DataFrame:
-    """The node at level 0 and its ancestors at levels -1, -2, ..., with all columns of nodes."""
-    return nodes.join(_way_up(nodes, node_id).select("node_id", (-F.col("distance")).alias("level")), "node_id")
+def ways_up(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(target_id, node_id, distance): each of ids (one column) that is a node, and all its ancestors."""
+    return _spread(_targets(nodes, ids), nodes, None, True)
+
+
+def _one(nodes: DataFrame, node_id: int) -> DataFrame:
+    return nodes.filter(F.col("node_id") == node_id).select("node_id")
+
+
+def ancestors(nodes: DataFrame, node_id: int | DataFrame) -> DataFrame:
+    """The node at level 0 and its ancestors at levels -1, -2, ..., with all columns of nodes; for a one-column DataFrame of ids, with target_id."""
+    many = isinstance(node_id, DataFrame)
+    way = ways_up(nodes, node_id if many else _one(nodes, node_id)).select(*(["target_id"] if many else []), "node_id", (-F.col("distance")).alias("level"))
+    return nodes.join(way, "node_id")
 
 
-def paths(nodes: DataFrame, node_id: int | None = None) -> DataFrame:
-    """(node_id, path): the ids from the root to each node, or to one."""
+def paths(nodes: DataFrame, node_id: int | DataFrame | None = None) -> DataFrame:
+    """(node_id, path): the ids from the root to each node, to one, or to those in a one-column DataFrame."""
     if node_id is not None:
-        rows = _way_up(nodes, node_id).groupBy(F.lit(node_id).cast("long").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("distance", "node_id")), asc=False).alias("p"))
-        return rows.select("node_id", F.col("p.node_id").alias("path"))
+        way = ways_up(nodes, node_id if isinstance(node_id, DataFrame) else _one(nodes, node_id))
+        rows = way.groupBy(F.col("target_id").alias("at")).agg(F.sort_array(F.collect_list(F.struct("distance", "node_id")), asc=False).alias("p"))
+        return rows.select(F.col("at").alias("node_id"), F.col("p.node_id").alias("path"))
     return path_fold(nodes, {"path": F.array("node_id")}, lambda near, far: {"path": F.concat(far("path"), near("path"))})
 
 
@@ -135,7 +173,10 @@ def nearest(nodes: DataFrame, marks: DataFrame, descend: Descend | None = None)
     return path_fold(marked, values, both, descend).filter("mark is not null").select("node_id", "mark", "distance")
 
 
-def subtree(nodes: DataFrame, node_id: int, descend: Descend | None = None) -> DataFrame:
-    """The node and its descendants with their level below it; `descend` decides which edges are followed."""
-    below = nearest(nodes, nodes.filter(F.col("node_id") == node_id), descend).select("node_id", F.col("distance").alias("level"))
+def subtree(nodes: DataFrame, node_id: int | DataFrame, descend: Descend | None = None) -> DataFrame:
+    """The node and its descendants with their level below it; `descend` decides which edges are followed. For a one-column DataFrame of ids, with target_id: each one's subtree, though they may lie in one another."""
+    if isinstance(node_id, DataFrame):
+        below = _spread(_targets(nodes, node_id), nodes, descend, False).select("target_id", "node_id", F.col("distance").alias("level"))
+    else:
+        below = nearest(nodes, _one(nodes, node_id), descend).select("node_id", F.col("distance").alias("level"))
     return nodes.join(below, "node_id")

@@ -270,6 +270,25 @@ def _(s, d):
     return labels.flat_labels(Tree(t.nodes, t.assignments))
 
 
+@query_of("t01_many", GEO + CLOSURE + " SELECT node_id AS target_id, ancestor_id AS node_id, -distance AS level FROM cl WHERE node_id >= 1000")
+def _(s, d):
+    nodes = fx.geo(s, d).nodes
+    return cl.ancestors(nodes, nodes.filter("node_id >= 1000").select("node_id")).select("target_id", "node_id", "level")
+
+
+@query_of("t02_many", GEO + CLOSURE + " SELECT node_id, list(ancestor_id ORDER BY distance DESC) AS path FROM cl WHERE node_id >= 1000 GROUP BY node_id")
+def _(s, d):
+    nodes = fx.geo(s, d).nodes
+    return cl.paths(nodes, nodes.filter("node_id >= 1000").select("node_id"))
+
+
+@query_of("t03_many", GEO + CLOSURE + " SELECT ancestor_id AS target_id, node_id, distance AS level FROM cl WHERE ancestor_id BETWEEN 1 AND 999")
+def _(s, d):
+    # Regions and nations: subtrees that lie in one another.
+    nodes = fx.geo(s, d).nodes
+    return cl.subtree(nodes, nodes.filter("node_id between 1 and 999").select("node_id")).select("target_id", "node_id", "level")
+
+
 @query_of("t25_node", GEO + DEEP + " SELECT node_id, name, n_objects_deep AS n FROM nodes JOIN deep USING (node_id) WHERE node_id = 102")
 def _(s, d):
     t = fx.geo(s, d)
@@ -327,6 +346,17 @@ def _(s, d):
     return _exploded(_mean_of(stats.prototypes(fx.vectors(s, d)), "node_id"), "node_id", digits=5)
 
 
+@query_of("a05_deep_type_objects")
+def _(s, d):
+    # SQL would fold level by level; the tests hold this against a plain walk.
+    return stats.type_objects(fx.deep_with_vectors(s, d))
+
+
+@query_of("a07_deep_prototypes", "WITH RECURSIVE nodes AS (" + _duck(fx.DEEP_NODES) + "), assignments AS (" + _duck(fx.DEEP_ASSIGNMENTS) + "), objects AS (SELECT CAST(o_orderkey AS VARCHAR) AS object_id, [CAST(o_orderkey % 97 AS DOUBLE), CAST(o_orderkey % 31 AS DOUBLE)] AS vector FROM orders)" + CENTROIDS + " SELECT node_id, pos, round(x, 5) + 0.0 AS x FROM dims")
+def _(s, d):
+    return _exploded(_mean_of(stats.prototypes(fx.deep_with_vectors(s, d)), "node_id"), "node_id", digits=5)
+
+
 _REFRESHED = "CASE WHEN n.node_id IN (SELECT node_id FROM cl WHERE ancestor_id = 1) AND n.node_id % 2 = 0 THEN {} END"
 
 
@@ -337,6 +367,19 @@ def _(s, d):
     return stats.consolidate(t, 1, "full").select("node_id", F.col("_n_children").alias("n_children"), F.col("_n_objects").alias("n_objects"), F.col("_n_objects_deep").alias("n"), F.round(F.col("_centroid")[0], 6).alias("first"), "cache_valid")
 
 
+_STALE = "n.node_id IN (0, 1, 11, 14)"
+
+
+@query_of("a08_stale_only", VEC + CLOSURE + MEANS + ", lent AS (SELECT node_id, 1000 + node_id AS n, 5.0 AS x FROM nodes n WHERE NOT (" + _STALE + ")), shown AS (SELECT ancestor_id AS node_id, a.node_id AS src FROM cl a JOIN nodes n ON n.node_id = ancestor_id WHERE " + _STALE + " AND a.node_id IN (0, 1, 11, 14) AND NOT EXISTS (SELECT 1 FROM cl b JOIN lent l ON l.node_id = b.ancestor_id JOIN cl c ON c.node_id = b.ancestor_id AND c.ancestor_id = a.ancestor_id WHERE b.node_id = a.node_id AND c.distance > 0)), parts AS (SELECT s.node_id, count(*) AS n, sum(f.x) AS x FROM shown s JOIN flat f ON f.node_id = s.src WHERE pos = 1 GROUP BY 1 UNION ALL SELECT s.node_id, l.n, l.n * l.x FROM shown s JOIN nodes k ON k.parent_id = s.src JOIN lent l ON l.node_id = k.node_id), total AS (SELECT node_id, sum(n) AS n, sum(x) AS x FROM parts GROUP BY 1) SELECT n.node_id, CAST(coalesce(t.n, l.n, 0) AS BIGINT) AS n, round(coalesce(t.x / t.n, l.x), 6) AS first, true AS cache_valid FROM nodes n LEFT JOIN total t USING (node_id) LEFT JOIN lent l USING (node_id)")
+def _(s, d):
+    # Valid nodes hold false numbers: they are handed up as they are, and nothing below them counts.
+    t = fx.vectors(s, d)
+    stale, wide = F.col("node_id").isin(0, 1, 11, 14), F.array_repeat(F.lit(5.0), 64)
+    number = lambda c: F.when(~stale, c).cast("long")
+    nodes = t.nodes.withColumns({"cache_valid": ~stale, "_n_objects": number(F.lit(1)), "_n_children": number(F.lit(1)), "_n_objects_deep": number(1000 + F.col("node_id")), "_centroid": F.when(~stale, wide), "_n_vectors": number(1000 + F.col("node_id")).cast("double")})
+    return stats.consolidate(t.with_(nodes=nodes), 0, "full").select("node_id", F.col("_n_objects_deep").alias("n"), F.round(F.col("_centroid")[0], 6).alias("first"), "cache_valid")
+
+
 @query_of("a09_returned_children", VEC + DEEP + " SELECT n.node_id, n_objects_deep AS n FROM nodes n JOIN deep USING (node_id) WHERE parent_id = 1")
 def _(s, d):
     return stats.consolidate(fx.vectors(s, d), 1, "children", return_="children").select("node_id", F.col("_n_objects_deep").alias("n"))
@@ -522,6 +565,31 @@ def _(s, d):
     return rank.recommend_children(t, 12, stats.centroids(t), 64).select("node_id", F.round("distance", 6).alias("distance"))
 
 
+_MANY = """, parents AS (SELECT DISTINCT parent_id AS node_id FROM nodes WHERE parent_id IS NOT NULL), leaves AS (SELECT node_id AS target_id FROM nodes WHERE node_id NOT IN (FROM parents)),
+ways AS (SELECT target_id, ancestor_id AS node_id, distance FROM leaves JOIN cl ON cl.node_id = target_id WHERE distance > 0)"""
+_MANY_OBJECTS = """, cand AS (SELECT target_id, object_id, distance FROM assignments JOIN ways USING (node_id) WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE r.node_id = target_id AND r.object_id = assignments.object_id)),
+n AS (SELECT target_id, distance, count(*) AS n FROM cand GROUP BY 1, 2), used AS (SELECT target_id, distance FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY target_id ORDER BY distance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n) WHERE b < 60),
+protos AS (SELECT a.node_id AS target_id, o.vector FROM assignments a JOIN objects o USING (object_id) WHERE CAST(object_id AS BIGINT) < 100),
+near AS (SELECT c.target_id, c.object_id, min(list_distance(o.vector, p.vector)) AS d FROM cand c JOIN used USING (target_id, distance) JOIN objects o USING (object_id) JOIN protos p ON p.target_id = c.target_id GROUP BY 1, 2)"""
+
+
+@query_of("v18_many", VEC + CLOSURE + _MANY + _MANY_OBJECTS + " SELECT target_id, object_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, object_id) AS r FROM near) WHERE r <= 60")
+def _(s, d):
+    t = fx.vectors(s, d)
+    inner = t.nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
+    leaves = t.nodes.join(inner, "node_id", "left_anti").select("node_id")
+    protos = t.assignments.filter("cast(object_id as bigint) < 100").join(t.objects, "object_id").select("node_id", "vector")
+    return rank.recommend_objects_many(t, leaves, protos, 60).select("target_id", "object_id", F.round("distance", 6).alias("distance"))
+
+
+@query_of("v19_many", VEC + CENTROIDS + _MANY + ", cand AS (SELECT w.target_id, n.node_id, w.distance FROM nodes n JOIN ways w ON n.parent_id = w.node_id WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.node_id = w.target_id AND cl.ancestor_id = n.node_id)), n AS (SELECT target_id, distance, count(*) AS n FROM cand GROUP BY 1, 2), used AS (SELECT target_id, distance FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY target_id ORDER BY distance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n) WHERE b <= 2) SELECT target_id, node_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, node_id) AS r FROM (SELECT c.target_id, c.node_id, list_distance(a.vector, b.vector) AS d FROM cand c JOIN used USING (target_id, distance) JOIN centroids a ON a.node_id = c.node_id JOIN centroids b ON b.node_id = c.target_id)) WHERE r <= 2")
+def _(s, d):
+    t = fx.vectors(s, d)
+    inner = t.nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
+    leaves = t.nodes.join(inner, "node_id", "left_anti").select("node_id")
+    return rank.recommend_children_many(t, leaves, stats.centroids(t), 64, 2).select("target_id", "node_id", F.round("distance", 6).alias("distance"))
+
+
 @query_of("v20_rf_rank", VEC + ", known AS (SELECT object_id FROM assignments JOIN nodes USING (node_id) WHERE approved), refused AS (SELECT DISTINCT object_id FROM rejected WHERE object_id NOT IN (FROM known)) SELECT count(*) AS n, true AS in_range, true AS apart FROM objects")
 def _(s, d):
     # All objects are ranked: what approved nodes hold against what any node rejected. The known ones stand well above the rejected ones.
