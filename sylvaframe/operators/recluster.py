@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from ..plans.shared import written
 from ..schema import Tables, Tree
 from ..sources.io import dump_tree, load_project, merge_trees, tree_from_labels, write_tree
 from .edit import create_project
+from .hierarchy import clusters_of
 from .query import root_id
 from .stats import consolidate
 from .vector import nearest_centroids, nearest_distance, pca
@@ -64,27 +67,122 @@ def subsample(df: DataFrame, n: int, seed: int = 0, key: str = "object_id") -> D
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
-def neighbours(points: DataFrame, k: int) -> DataFrame:
-    """(object_id, other_id, d, rank): the k nearest others of each point (object_id, vector), exactly: each block of points is held against every block, and the best are merged."""
-    from .rank import numbered
+#: Pivots of the metric index at most, points that a pivot has on average at least, and points that pivots are drawn from.
+PIVOTS, PER_PIVOT, PIVOT_SAMPLE = 1024, 128, 16_384
+
+
+@dataclass(frozen=True)
+class MetricIndex:
+    """Points dealt to the nearest of some pivots: blocks (object_id, cell, block) of at most about BLOCK points of one cell, the pivots, and each cell's radius."""
+
+    blocks: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
 
-    blocks = numbered(points.select("object_id", "vector"), "object_id").withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int"))
-    packed = written(blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("object_id", "vector"))).alias("rows")), "blocks")  # BLOCK rows each
-    pairs = packed.select("block", "rows").crossJoin(packed.select(F.col("block").alias("other"), F.col("rows").alias("others")))
 
-    def run(frames):
+def metric_index(points: DataFrame, n_pivots: int | None = None, seed: int = 0) -> MetricIndex:
+    """An index of points (object_id, vector). Pivots are fitted on a sample of at most PIVOT_SAMPLE points, chosen by a hash, the next one farthest from those before; every point is indexed. It only decides which blocks need not be compared, so results stay exact."""
+    sample = points.orderBy(F.xxhash64("object_id", F.lit(seed)), "object_id").limit(PIVOT_SAMPLE)
+    n, rows = points.count(), [r.vector for r in sample.select("vector").collect()]
+    if not rows:
+        return MetricIndex(points.select("object_id", F.lit(0).alias("cell"), F.lit(0).alias("block")), np.empty((0, 0)), np.empty(0))
+    x = np.array(rows, float)
+    k = min(n_pivots or max(1, min(PIVOTS, n // PER_PIVOT, int(4 * n**0.5))), len(x))
+    chosen, gap = [0], np.sqrt(((x - x[0]) ** 2).sum(1))
+    while len(chosen) < k and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
+    pivots = x[chosen]
+    sent = points.sparkSession.sparkContext.broadcast(pivots)
+
+    def deal(frames):
+        for f in frames:
+            if len(f):
+                d = _distances(np.stack(f["vector"].to_numpy()), sent.value)
+                yield pd.DataFrame({"object_id": _names(f["object_id"].tolist()), "cell": d.argmin(1), "d": d.min(1)})
+
+    dealt = written(points.select("object_id", "vector").mapInPandas(deal, "object_id string, cell int, d double"), "dealt")
+    facts = {r.cell: (r.n, r.d) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}  # one row a pivot
+    parts = [-(-facts.get(c, (0, 0.0))[0] // BLOCK) for c in range(len(pivots))]
+    first, many = (F.array(*(F.lit(v) for v in x)) for x in (np.cumsum([0, *parts[:-1]]).tolist(), [max(1, p) for p in parts]))
+    block = F.get(first, F.col("cell")) + F.pmod(F.xxhash64("object_id"), F.get(many, F.col("cell")))
+    return MetricIndex(dealt.select("object_id", "cell", block.cast("int").alias("block")), pivots, np.array([facts.get(c, (0, -1.0))[1] for c in range(len(pivots))]))
+
+
+def _names(ids: list) -> pd.Series:
+    return pd.Series(ids, dtype=object)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0))
+
+
+def _packed(index: MetricIndex, rows: DataFrame) -> DataFrame:
+    """(block, cell, rows): rows (object_id, ...) by block, in the order of ids; one row of about BLOCK points each."""
+    kept = [c for c in rows.columns if c != "object_id"]
+    return index.blocks.join(rows, "object_id").groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("object_id", *kept))).alias("rows"))
+
+
+def _needed_pairs(index: MetricIndex, packed: DataFrame, within: str, report: dict | None) -> DataFrame:
+    """(block, rows, other, others): pairs of different blocks that can hold points as near as a point's `within`: by the triangle inequality, no point of a cell is nearer than the pivot's distance less the cell's radius."""
+    sent = packed.sparkSession.sparkContext.broadcast((index.pivots, index.radius))
+
+    def need(frames):
+        pivots, radius = sent.value
+        for f in frames:
+            for block, rows in zip(f["block"].tolist(), f["rows"]):
+                gap = _distances(np.array([r["vector"] for r in rows], float), pivots) - np.array([r[within] for r in rows], float)[:, None]
+                # A little room for rounding.
+                cells = np.flatnonzero(gap.min(0) <= radius + 1e-6 * (1.0 + radius))
+                yield pd.DataFrame({"block": np.full(len(cells), block), "cell": cells})
+
+    wanted = packed.select("block", "rows").mapInPandas(need, "block int, cell int")
+    pairs = written(wanted.join(packed.select("cell", F.col("block").alias("other")), "cell").filter("block <> other").select("block", "other"), "pairs")
+    if report is not None:
+        n = packed.count()
+        report |= {"compared": pairs.count(), "all": n * (n - 1)}
+    return pairs.join(packed.select("block", "rows"), "block").join(packed.select(F.col("block").alias("other"), F.col("rows").alias("others")), "other")
+
+
+def _nearest_in(rows, others, k: int, same: bool) -> tuple[list, np.ndarray, np.ndarray]:
+    """(ids, ids of the k nearest others of each, their distances); of equal distances the smaller id."""
+    a, b = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
+    ids, jds = [r["object_id"] for r in rows], np.array([r["object_id"] for r in others], object)
+    d = _distances(a, b)
+    if same:
+        np.fill_diagonal(d, np.inf)
+    best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(jds) - same)]
+    return ids, jds[best], np.take_along_axis(d, best, 1)
+
+
+def neighbours(points: DataFrame, k: int, index: MetricIndex | None = None, report: dict | None = None) -> DataFrame:
+    """(object_id, other_id, d, rank): the k nearest others of each point (object_id, vector), exactly.
+
+    A point's own block gives k others, so none farther than the last of them can be among its nearest; only the blocks of cells that can be as near are
+    held against it. report gets the numbers of pairs of blocks that were compared and that there are."""
+    index = index or metric_index(points)
+    packed = written(_packed(index, points.select("object_id", "vector")), "blocks")
+
+    def inside(frames):
+        for f in frames:
+            for rows in f["rows"]:
+                ids, others, d = _nearest_in(rows, rows, k, True)
+                yield pd.DataFrame({"object_id": _names(ids), "others": list(others), "d": list(d), "within": d[:, -1] if d.shape[1] == k else np.full(len(ids), np.inf)})
+
+    own = written(packed.select("rows").mapInPandas(inside, "object_id string, others array<string>, d array<double>, within double"), "own")
+    bounded = written(_packed(index, points.select("object_id", "vector").join(own.select("object_id", "within"), "object_id")), "bounded")
+
+    def between(frames):
         for f in frames:
             for rows, others in zip(f["rows"], f["others"]):
-                a, b = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
-                ids, jds = [r["object_id"] for r in rows], np.array([r["object_id"] for r in others], object)
-                d = np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0))
-                if ids[0] == jds[0]:
-                    np.fill_diagonal(d, np.inf)
-                best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(jds) - (ids[0] == jds[0]))]
-                yield pd.DataFrame({"object_id": np.repeat(ids, best.shape[1]), "other_id": jds[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
-
-    found = pairs.mapInPandas(run, "object_id string, other_id string, d double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("object_id").orderBy("d", "other_id")))
+                ids, found, d = _nearest_in(rows, others, k, False)
+                keep = d <= np.array([r["within"] for r in rows], float)[:, None] * (1 + 1e-9)
+                at = np.nonzero(keep)
+                yield pd.DataFrame({"object_id": _names([ids[j] for j in at[0].tolist()]), "other_id": _names(found[keep].tolist()), "d": d[keep]})
+
+    pairs = _needed_pairs(index, bounded, "within", report).select("rows", "others").mapInPandas(between, "object_id string, other_id string, d double")
+    flat = own.select("object_id", F.explode(F.arrays_zip("others", "d")).alias("e")).select("object_id", F.col("e.others").alias("other_id"), "e.d")
+    ranked = flat.unionByName(pairs).withColumn("rank", F.row_number().over(Window.partitionBy("object_id").orderBy("d", "other_id")))
     return ranked.filter(F.col("rank") <= k)
 
 
@@ -110,124 +208,86 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         own = components(forest)
 
 
-def links_out(points: DataFrame) -> DataFrame:
-    """(a, b, w): for each component of points (object_id, vector, core, root) its least link to a point of another one, by mutual reachability: the largest of the distance and both cores. Blocks of points are held against each other, as in neighbours."""
-    from .rank import numbered
+def _least_links(rows, others) -> pd.DataFrame:
+    """(root, w, a, b): for each component among rows its least link to a point of others in another component, by mutual reachability: the largest of the distance and both cores. Of equal links the first by the names of both ends, the smaller one first, so that all components choose alike."""
+    ids, jds = [r["object_id"] for r in rows], [r["object_id"] for r in others]
+    x, y = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
+    cores = np.maximum(np.array([r["core"] for r in rows])[:, None], [r["core"] for r in others])
+    d = np.maximum(_distances(x, y), cores)
+    root = np.array([r["root"] for r in rows], object)
+    d[root[:, None] == np.array([r["root"] for r in others], object)] = np.inf
+    least = d.min(1)
+    at = np.flatnonzero(np.isfinite(least))
+    # A product's distance has errors that depend on the side; what is as near as them is measured again, alike from both sides.
+    room = 1e-6 * (1.0 + np.sqrt(max((x**2).sum(1).max(), (y**2).sum(1).max())))
+    best = []
+    for k in at.tolist():
+        near = np.flatnonzero(d[k] <= least[k] + room)
+        exact = np.maximum(np.sqrt(((x[k] - y[near]) ** 2).sum(1)), cores[k, near]).tolist()
+        best.append(min((w, min(ids[k], jds[j]), max(ids[k], jds[j])) for w, j in zip(exact, near.tolist())))
+    first: dict[str, tuple] = {}
+    for r, link in zip(root[at].tolist(), best):
+        first[r] = min(first.get(r, (np.inf,)), link)
+    links = list(first.values())
+    return pd.DataFrame({"root": _names(list(first)), "w": np.array([w for w, _, _ in links], float), "a": _names([x for _, x, _ in links]), "b": _names([y for _, _, y in links])})
+
+
+def links_out(points: DataFrame, index: MetricIndex, report: dict | None = None) -> DataFrame:
+    """(a, b, w): for each component of points (object_id, vector, core, root) its least link to a point of another one.
+
+    What a component finds inside its own blocks bounds its least link, and only blocks of cells that can hold a shorter one are compared; one that finds none there is
+    held against all."""
+    schema = "root string, w double, a string, b string"
+    least = lambda found: found.groupBy("root").agg(F.min(F.struct("w", "a", "b")).alias("e"))
+    packed = written(_packed(index, points.select("object_id", "vector", "core", "root")), "blocks")
+
+    def inside(frames):
+        for f in frames:
+            for rows in f["rows"]:
+                yield _least_links(rows, rows)
 
-    blocks = numbered(points.select("object_id", "vector", "core", "root"), "object_id").withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int"))
-    packed = written(blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("object_id", "vector", "core", "root"))).alias("rows")), "blocks")  # BLOCK rows each
-    pairs = packed.select("rows").crossJoin(packed.select(F.col("rows").alias("others")))
+    own = written(least(packed.select("rows").mapInPandas(inside, schema)), "inside")
+    bounds = points.join(own.select("root", F.col("e.w").alias("within")), "root", "left").select("object_id", "vector", "core", "root", F.coalesce("within", F.lit(float("inf"))).alias("within"))
+    bounded = written(_packed(index, bounds), "bounded")
 
-    def run(frames):
+    def between(frames):
         for f in frames:
             for rows, others in zip(f["rows"], f["others"]):
-                a, b = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
-                ids, jds = np.array([r["object_id"] for r in rows], object), np.array([r["object_id"] for r in others], object)
-                d = np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0))
-                d = np.maximum(d, np.maximum(np.array([r["core"] for r in rows])[:, None], [r["core"] for r in others]))
-                root = np.array([r["root"] for r in rows], object)
-                d[root[:, None] == np.array([r["root"] for r in others], object)] = np.inf
-                # Of equal links the first by the names of both ends, the smaller one first, so that all components choose alike.
-                low, high = np.minimum(ids[:, None], jds), np.maximum(ids[:, None], jds)
-                at = np.flatnonzero(np.isfinite(d.min(1)))
-                if not len(at):
-                    continue
-                best = [min((low[k, j], high[k, j]) for j in np.flatnonzero(d[k] == d[k].min()).tolist()) for k in at.tolist()]
-                yield pd.DataFrame({"root": root[at], "w": d[at].min(1), "a": [x for x, _ in best], "b": [y for _, y in best]})
-
-    found = pairs.mapInPandas(run, "root string, w double, a string, b string")
-    return found.groupBy("root").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w").distinct()
+                roots = {r["root"] for r in rows}
+                if len(roots) > 1 or roots != {r["root"] for r in others}:
+                    yield _least_links(rows, others)
+
+    pairs = _needed_pairs(index, bounded, "within", report).select("rows", "others").mapInPandas(between, schema)
+    flat = own.select("root", "e.w", "e.a", "e.b").unionByName(pairs)
+    return least(flat).select("e.a", "e.b", "e.w").distinct()
 
 
 def density_forest(points: DataFrame, min_samples: int = 1) -> DataFrame:
     """(a, b, w): the spanning tree of mutual reachability of points (object_id, vector): Boruvka rounds over all pairs of components, until one is left; each is written."""
-    near = neighbours(points, min_samples)
+    index = metric_index(points)
+    near = neighbours(points, min_samples, index)
     core = near.filter(F.col("rank") == min_samples).select("object_id", F.col("d").alias("core"))
     held = written(points.join(core, "object_id", "left").select("object_id", "vector", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
-    forest, roots = None, held.select("object_id", F.col("object_id").alias("root"))
-    while True:
-        found = written(links_out(held.join(roots, "object_id")), "links-out")
+    forest, roots, n = None, held.select("object_id", F.col("object_id").alias("root")), held.count()
+    while forest is None or forest.count() < n - 1:
+        found = written(links_out(held.join(roots, "object_id"), index), "links-out")
         if found.isEmpty():
             return found if forest is None else forest
         forest = written(found if forest is None else forest.unionByName(found), "forest")
         own = components(forest.select("a", "b"))
         roots = written(held.select("object_id").join(own.withColumnRenamed("node", "object_id"), "object_id", "left").select("object_id", F.coalesce("root", "object_id").alias("root")), "roots")
+    return forest
 
 
-def density_cluster(features: DataFrame, min_cluster_size: int, min_samples: int = 1, method: str = "leaf", levels: int = 24) -> DataFrame:
-    """(object_id, label) of rows (object_id, features): clusters of the density hierarchy, -1 for noise.
+def density_cluster(features: DataFrame, min_cluster_size: int, min_samples: int = 1, method: str = "leaf") -> DataFrame:
+    """(object_id, label) of rows (object_id, features): clusters of the density hierarchy of all points, -1 for noise and for rows without features.
 
-    The hierarchy is read at `levels` quantiles of the forest's weights: at each, components of min_cluster_size points or more are kept, and a
-    kept component's parent is the kept one that holds it at the next level. 'leaf' takes kept components in which no lower level has two or more
-    kept ones; 'eom' takes the components of most stability. All steps are joins and aggregations; levels bound the loop."""
-    if method not in ("leaf", "eom"):
-        raise ValueError(method)
-    points = features.select("object_id", F.transform("features", lambda x: x.cast("double")).alias("vector"))
-    forest = density_forest(points, min_samples)
-    cuts = forest.agg(F.percentile("w", F.array(*(F.lit(q / levels) for q in range(1, levels + 1)))).alias("q")).first()[0] or []
-    cuts = sorted(set(cuts))
-    kept = None  # (level, root, object_id)
-    for level, cut in enumerate(cuts):
-        comps = components(forest.filter(F.col("w") <= cut)).select(F.col("node").alias("object_id"), "root")
-        big = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_cluster_size)
-        here = comps.join(big, "root").select(F.lit(level).alias("level"), F.lit(1.0 / max(cut, 1e-12)).alias("lam"), "root", "size", "object_id")
-        kept = written(here if kept is None else kept.unionByName(here), "kept")
-    if kept is None:
-        return features.select("object_id", F.lit(-1).alias("label"))
-    # A component's parent: the component at the next level that holds it.
-    up = kept.select((F.col("level") - 1).alias("level"), F.col("root").alias("parent"), "object_id")
-    links = kept.join(up, ["level", "object_id"]).select("level", "root", "parent").distinct()
-    n_kids = links.groupBy((F.col("level") + 1).alias("level"), F.col("parent").alias("root")).agg(F.count(F.lit(1)).alias("kids"))
-    # A component that only goes on (one child) is the same cluster; a cluster begins where its parent has several children or there is none.
-    rows = written(kept.select("level", "root", "size", "lam").distinct().join(n_kids, ["level", "root"], "left"), "rows")
-    table = [(r.level, r.root, r.size, r.lam, r.kids or 0) for r in rows.collect()]  # at most levels * n / min_cluster_size rows, see below
-    parent_of = {(r.level, r.root): (r.level + 1, r.parent) for r in links.collect()}
-    chosen = _choose(table, parent_of, method)
-    if not chosen:
-        return features.select("object_id", F.lit(-1).alias("label"))
-    spark = features.sparkSession
-    picked = spark.createDataFrame([(lv, root, n) for n, (lv, root) in enumerate(sorted(chosen, key=lambda c: (c[1], c[0])))], "level int, root string, label int")
-    named = kept.join(picked, ["level", "root"]).select("object_id", "label")
+    'leaf' takes the clusters in which no smaller ones begin, 'eom' those of most stability."""
+    points = features.select("object_id", F.transform("features", lambda x: x.cast("double")).alias("vector")).filter("vector is not null")
+    named = clusters_of(points, density_forest(points, min_samples), min_cluster_size, method)
     return features.select("object_id").join(named, "object_id", "left").select("object_id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def _choose(table: list[tuple], parent_of: dict, method: str) -> list[tuple[int, str]]:
-    """The chosen components (level, root) of a hierarchy."""
-    size = {(lv, root): (n, lam) for lv, root, n, lam, _ in table}
-    kids: dict[tuple, list[tuple]] = {}
-    for c, p in parent_of.items():
-        kids.setdefault(p, []).append(c)
-    tops = [c for c in size if c not in parent_of]
-    out: list[tuple[int, str]] = []
-
-    def chain(c: tuple) -> tuple[float, tuple, list[tuple]]:
-        """(stability, widest component, clusters below) of the cluster that begins at c."""
-        birth = size[parent_of[c]][1] if c in parent_of else 0.0
-        top, stable = c, 0.0
-        while True:
-            n, lam = size[c]
-            stable += n * max(0.0, lam - birth)
-            birth = lam
-            below = kids.get(c, [])
-            if len(below) != 1:
-                return stable, top, below
-            c = below[0]
-
-    def best(c: tuple) -> tuple[float, list[tuple]]:
-        stable, top, below = chain(c)
-        if not below:
-            return stable, [top]
-        parts = [best(k) for k in below]
-        total = sum(s for s, _ in parts)
-        if method == "leaf" or total > stable:
-            return total, [x for _, xs in parts for x in xs]
-        return stable, [top]
-
-    for c in tops:
-        out += best(c)[1]
-    return out
-
-
 def init_tree(features: DataFrame) -> Tree:
     """All objects under one root that isn't approved."""
     tree = tree_from_labels(features.select("object_id", F.lit(-1).alias("label")))

@@ -178,7 +178,7 @@ def test_density_clusters(spark, method):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.05, (25, 2)) for c in ((0, 0), (3, 0), (0, 3))] + [rng.uniform(-6, 9, (6, 2)) + 20])
     rows = [(f"{k:03d}", v.tolist()) for k, v in enumerate(x)]
-    got = {r.object_id: r.label for r in recluster.density_cluster(spark.createDataFrame(rows, "object_id string, features array<double>"), 10, levels=6, method=method).collect()}
+    got = {r.object_id: r.label for r in recluster.density_cluster(spark.createDataFrame(rows, "object_id string, features array<double>"), 10, method=method).collect()}
     groups = [{got[f"{k:03d}"] for k in range(25 * g, 25 * g + 25) if got[f"{k:03d}"] >= 0} for g in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert all(got[f"{k:03d}"] == -1 for k in range(75, 81))
@@ -188,7 +188,7 @@ def test_cluster_pipeline(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 0.05, (20, 4)) for c in (0, 2)])
     features = spark.createDataFrame([(f"{k:03d}", v.tolist()) for k, v in enumerate(x)], "object_id string, features array<double>")
-    tree = recluster.cluster(features, [], min_cluster_size=8, levels=4, n_pca=2)
+    tree = recluster.cluster(features, [], min_cluster_size=8, n_pca=2)
     assert tree.objects.count() == 40 and query.unconnected(tree.nodes, tree.objects).count() == 0
     assert recluster.merge_all(features, [tree]).objects.select("object_id").distinct().count() == 40
 
