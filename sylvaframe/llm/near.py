@@ -172,12 +172,18 @@ def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIM
     # A group of three or more in several components may hold links beside its star; groups of the same members are one.
     named = members.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
     named = written(named, "labels")
-    buckets = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("first"), F.max("node").alias("last"), (F.min("label") != F.max("label")).alias("parted")
-    )
-    parted = buckets.filter("parted and n > 2").groupBy("n", "mix", "first", "last").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    labels = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("first"), F.max("node").alias("last"))
+    main = F.max(F.struct("n", "label"))
+    buckets = labels.groupBy("key").agg(F.sum("n").alias("n"), F.bit_xor("mix").alias("mix"), F.min("first").alias("first"), F.max("last").alias("last"), main.alias("main"), F.count(F.lit(1)).alias("parts"))
+    parted = buckets.filter("parts > 1 and n > 2").groupBy("n", "mix", "first", "last", "main").agg(F.min("key").alias("key"))
+    # The largest component of a group needs no comparison in itself: its blocks are held against those of the others only, and these against all.
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parted = parted.select("key", F.col("main.label").alias("main"), in_blocks(F.col("n") - F.col("main.n")).alias("few"), in_blocks(F.col("main.n")).alias("many"))
+    is_main, h = F.col("label") == F.col("main"), F.xxhash64("node")
+    own = F.when(is_main, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int")
+    others = F.when(is_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     dealt = (
-        named.join(parted, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        named.join(parted, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others)))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "label")
     )
     more = dealt.join(texts, "node").join(prints, "node").groupBy("key", "lo", "hi").applyInArrow(_block(n, similar, budget.bits), "a binary, b binary")
