@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import euclidean, zero_fill
 from ..plans.blocks import block_pairs
 from ..plans.closure import ancestors, subtree_sums, ways_up
-from ..plans.shared import small, written
+from ..plans.shared import is_small, small, written
 from ..schema import Tables
-from .vector import prototype_distance
+from .vector import _far_pairs, prototype_distance
 
 PAGE_SIZES = {"members": 100, "children": 20, "objects": 50}
 
@@ -28,7 +32,7 @@ def recommend_objects(tables: Tables, node_id: int, prototypes: DataFrame, max_n
     # One row per ancestor; an ancestor is used if those before it gave fewer than max_n.
     before = F.coalesce(F.sum("n").over(Window.orderBy("distance_up").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = counts.withColumn("before", before).filter(F.col("before") < max_n).select("distance_up")
-    points = found.join(F.broadcast(used), "distance_up").select("object_id").join(tables.objects.select("object_id", "vector"), "object_id")
+    points = found.join(F.broadcast(used), "distance_up").select("object_id").distinct().join(tables.objects.select("object_id", "vector"), "object_id")
     return prototype_distance(points, prototypes).orderBy("distance", "object_id").limit(max_n)
 
 
@@ -146,8 +150,42 @@ def page_info(paged: DataFrame, page: int, page_size: int = 100) -> DataFrame:
 
 
 def by_anchor_distance(members: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Members (member_id, vector) with `key`: their largest distance to the anchors (vector)."""
-    return members.join(small(anchors.select(F.col("vector").alias("a")))).groupBy("member_id").agg(F.max(euclidean(F.col("vector"), F.col("a"))).alias("key"))
+    """Members (member_id, vector) with `key`: their largest distance to the anchors (vector). Few anchors are sent as one list; else blocks of both are compared."""
+    known = anchors.filter("vector is not null").select("vector")
+    if is_small(known):
+        one = F.broadcast(known.agg(F.collect_list("vector").alias("all")))
+        return members.crossJoin(one).select("member_id", F.array_max(F.transform("all", lambda a: euclidean(F.col("vector"), a))).alias("key"))  # one row
+    far = _far_pairs(members.select(F.col("member_id").alias("object_id"), "vector"), known.select(F.xxhash64("vector").alias("other"), "vector"), "euclidean", "most")
+    return far.groupBy(F.col("object_id").alias("member_id")).agg(F.max("d").alias("key"))
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a column, linear between neighbours; None without values.
+
+    Equal values are counted first; the distinct ones are dealt into ranges, whose counts say in which range, and where in it, a rank lies. No task holds all values,
+    and at most two of them a share are collected."""
+    counted = df.select(F.col(column).cast("double").alias("x")).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    dealt = written(counted.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x").withColumn("part", F.spark_partition_id()), "values")
+    parts = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
+    starts, total = {}, 0
+    for part in sorted(parts):
+        starts[part], total = total, total + parts[part]
+    if not total:
+        return [None for _ in shares]
+    places = [(total - 1) * q for q in shares]
+    ranks = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
+    wanted = {part for part in parts for r in ranks if starts[part] <= r < starts[part] + parts[part]}
+    first = F.create_map(*(F.lit(x) for part in wanted for x in (part, starts[part])))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    rows = dealt.filter(F.col("part").isin(*wanted)).withColumn("end", within + first[F.col("part")]).filter(reduce(Column.__or__, ((F.lit(r) < F.col("end")) & (F.lit(r) >= F.col("end") - F.col("n")) for r in ranks))).collect()
+    at = lambda r: next(row.x for row in rows if row.end - row.n <= r < row.end)
+
+    def between(h: float) -> float:
+        low, high, t = at(math.floor(h)), at(math.ceil(h)), h - math.floor(h)
+        # From the nearer end, so that rounding is the same from both.
+        return low + (high - low) * t if t < 0.5 else high - (high - low) * (1 - t)
+
+    return [between(h) for h in places]
 
 
 def interleave(ranked: DataFrame, n: int) -> DataFrame:

@@ -16,6 +16,7 @@ from ..sources.io import dump_tree, load_project, merge_trees, tree_from_labels,
 from .edit import create_project
 from .hierarchy import clusters_of
 from .query import root_id
+from .rank import quantiles
 from .stats import consolidate
 from .vector import nearest_centroids, nearest_distance, pca
 
@@ -57,8 +58,9 @@ def keep_unexplored(features: DataFrame, trees: list[Tree], candidates: DataFram
     points = features.select("object_id", F.transform("features", lambda x: x.cast("double")).alias("vector"))
     train = points.join(merged.objects, "object_id").join(merged.nodes.filter("approved").select("node_id"), "node_id", "left_semi").select(F.col("node_id").alias("type_id"), "vector")
     near = nearest_distance(candidates.select("object_id", F.transform("features", lambda x: x.cast("double")).alias("vector")), nearest_centroids(train))
-    limit = near.agg(F.percentile("distance", F.lit(1 - keep_frac)).alias("q"))
-    kept = near.crossJoin(F.broadcast(limit)).filter("distance >= q").select("object_id")  # one row
+    near = written(near, "near")
+    limit = quantiles(near, "distance", [1 - keep_frac])[0]
+    kept = near.filter(F.lit(limit).isNull() | (F.col("distance") >= F.lit(limit))).select("object_id")
     return candidates.join(kept, "object_id", "left_semi")
 
 

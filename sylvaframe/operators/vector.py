@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,16 +10,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS, euclidean, mean_vectors
-from ..plans.shared import small, written
+from ..plans.blocks import block_pairs
+from ..plans.shared import is_small, small, written
 
 PROTOTYPES = "array<struct<vector: array<double>, support: double>>"
 
 
+def _in_numpy(metric: str, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The distance of each row of x to v."""
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - x @ v / (np.sqrt((x * x).sum(1)) * np.sqrt(v @ v))
+    gap = x - v
+    return np.abs(gap).sum(1) if metric == "cityblock" else (gap * gap).sum(1) if metric == "sqeuclidean" else np.sqrt((gap * gap).sum(1))
+
+
+def _doubles(vector: str = "vector"):
+    return F.transform(vector, lambda x: x.cast("double"))
+
+
+def _in_one_row(others: DataFrame, *columns: str) -> DataFrame | None:
+    """A broadcast row with the list `all` of others' rows, if these are few enough."""
+    if not is_small(others.select(*columns)):
+        return None
+    return F.broadcast(others.agg(F.collect_list(F.struct(*columns)).alias("all")))
+
+
+def _far_pairs(points: DataFrame, others: DataFrame, metric: str, keep: str) -> DataFrame:
+    """(object_id, other, d): distances of points (object_id, vector) and others (other, vector), block by block: 'least' and 'most' keep each point's nearest or farthest of a block, the smaller `other` of equal ones; 'all' keeps all. Null vectors have none."""
+    kinds = {c: (points if c == "object_id" else others).schema[c].dataType.simpleString() for c in ("object_id", "other")}
+    rows = lambda df, c: df.filter("vector is not null").select(F.lit(0).alias("key"), c, _doubles().alias("vector"))
+
+    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, ids, others_ = np.stack(x["vector"].to_numpy()), x["object_id"].tolist(), y.sort_values("other")
+        names = others_["other"].tolist()
+        d = np.stack([_in_numpy(metric, a, v) for v in others_["vector"]], 1)
+        if keep == "all":
+            at = (np.repeat(np.arange(len(ids)), len(names)), np.tile(np.arange(len(names)), len(ids)))
+        else:
+            at = (np.arange(len(ids)), d.argmin(1) if keep == "least" else d.argmax(1))
+        return pd.DataFrame({"object_id": pd.Series([ids[k] for k in at[0].tolist()], dtype=object), "other": pd.Series([names[k] for k in at[1].tolist()], dtype=object), "d": d[at]})
+
+    return block_pairs(rows(points, "object_id"), rows(others, "other"), ["key"], "object_id", "other", pair, f"object_id {kinds['object_id']}, other {kinds['other']}, d double")
+
+
 def prototype_distance(points: DataFrame, prototypes: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """V2: points (object_id, vector) with `distance`: the least to prototypes (vector); infinite without any. The prototypes of one node are few; their size is checked before they are broadcast."""
-    near = points.join(small(prototypes.select(F.col("vector").alias("p"))), how="left")
-    found = near.groupBy("object_id").agg(F.min(METRICS[metric](F.col("vector"), F.col("p"))).alias("distance"))
-    return found.select("object_id", F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
+    """V2: points (object_id, vector) with `distance`: the least to prototypes (vector); infinite without any, and for a null vector.
+
+    Few prototypes are sent as one list, and each row finds its least by itself; beyond the broadcast limit blocks of both are compared."""
+    known = prototypes.filter("vector is not null")
+    if one := _in_one_row(known, "vector"):
+        near = F.array_min(F.transform("all", lambda p: METRICS[metric](F.col("vector"), p["vector"])))
+        return points.crossJoin(one).select("object_id", F.coalesce(near, F.lit(float("inf"))).alias("distance"))  # one row
+    found = _far_pairs(points, known.select(F.xxhash64("vector").alias("other"), "vector"), metric, "least").groupBy("object_id").agg(F.min("d").alias("distance"))
+    return points.select("object_id").join(found, "object_id", "left").select("object_id", F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
 def _k_means(x: np.ndarray, k: int, seed: int, n_init: int = 2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +105,112 @@ def _as_rows(vectors: np.ndarray, support: np.ndarray) -> list[dict]:
     return [{"vector": v.tolist(), "support": float(s)} for v, s in zip(vectors, support)]
 
 
+#: Points of a group that one task fits; larger groups are fitted by rounds over blocks of so many points.
+MOST_IN_TASK, FIT_BLOCK = 20_000, 4096
+#: Rounds that gather candidates for centres, each of about twice k points, and Lloyd rounds at most.
+SEED_ROUNDS, LLOYD_ROUNDS = 5, 50
+
+
+def _by_blocks(points: DataFrame, centres: DataFrame, group: str, kind: str, run) -> DataFrame:
+    """Rows (group, run, at, pos, x): what run(points of a block, centres of its group and run) gives as a matrix, row by row. points: (group, block, rows); centres: (group, run, centres)."""
+
+    def each(frames):
+        for f in frames:
+            for key, init, rows, found in zip(f[group].tolist(), f["run"].tolist(), f["rows"], f["centres"]):
+                got = run(np.stack([r["vector"] for r in rows]), np.stack([np.array(c) for c in found]), [r["h"] for r in rows], init)
+                yield pd.DataFrame({group: pd.Series([key] * got.size, dtype=object), "run": init, "at": np.repeat(np.arange(len(got)), got.shape[1]), "pos": np.tile(np.arange(got.shape[1]), len(got)), "x": got.ravel()})
+
+    joined = points.join(small(centres), group).select(group, "run", "rows", "centres")
+    return joined.mapInPandas(each, f"{group} {kind}, run int, at int, pos int, x double")
+
+
+def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0)
+
+
+def _fit_large(points: DataFrame, group: str, kind: str, k: int, seed: int, n_init: int) -> DataFrame:
+    """(group, prototypes) of large groups of points (group, object_id, vector), all groups and starts at once: k-means|| candidates, weighted and cut to k, then Lloyd rounds of sums per group and centre. A group is never in one task."""
+    sized = points.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / FIT_BLOCK).cast("int").alias("blocks"))
+    row = F.struct(F.xxhash64("object_id", F.lit(seed)).alias("h"), _doubles().alias("vector"))
+    dealt = points.join(small(sized), group).withColumn("block", F.pmod(F.xxhash64("object_id"), F.col("blocks"))).groupBy(group, "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    held = written(dealt, "fit-blocks")
+    runs = F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("run")
+    first = held.select(group, runs, "rows").groupBy(group, "run").agg(F.min_by(F.col("rows")[0]["vector"], F.xxhash64(F.col("rows")[0]["h"], "run")).alias("v"))
+    centres = written(first.select(group, "run", F.array("v").alias("centres")), "centres")
+    as_lists = lambda rows: rows.groupBy(group, "run", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"))  # noqa: E731  # one entry a dimension
+
+    for turn in range(SEED_ROUNDS):
+        cost = _by_blocks(held, centres, group, kind, lambda x, c, h, init: _gaps(x, c).min(1).sum().reshape(1, 1)).groupBy(group, "run").agg(F.sum("x").alias("cost"))
+        priced = written(centres.join(cost, [group, "run"]), "priced")
+
+        def drawn(frames, turn=turn):
+            for f in frames:
+                for key, init, rows, found, total in zip(f[group].tolist(), f["run"].tolist(), f["rows"], f["centres"], f["cost"].tolist()):
+                    x = np.stack([r["vector"] for r in rows])
+                    chance = 2.0 * k * _gaps(x, np.stack([np.array(c) for c in found])).min(1) / total if total > 0 else np.zeros(len(x))
+                    mixed = np.array([r["h"] for r in rows], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(init * 64 + turn)
+                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                    lucky = np.flatnonzero((mixed >> np.uint64(11)) * 2.0**-53 < chance)
+                    yield pd.DataFrame({group: pd.Series([key] * len(lucky), dtype=object), "run": init, "v": pd.Series([x[j] for j in lucky.tolist()], dtype=object)})
+
+        more = held.join(small(priced), group).select(group, "run", "rows", "centres", "cost").mapInPandas(drawn, f"{group} {kind}, run int, v array<double>")
+        # About twice k vectors a group, run and round.
+        gathered = more.groupBy(group, "run").agg(F.sort_array(F.collect_list("v")).alias("more"))
+        centres = written(centres.join(gathered, [group, "run"], "left").select(group, "run", F.concat("centres", F.coalesce("more", F.array().cast("array<array<double>>"))).alias("centres")), "centres")
+
+    def sums(x, c, h, init):
+        own = _gaps(x, c).argmin(1)
+        out = np.zeros((len(c), x.shape[1] + 2))
+        np.add.at(out[:, :-2], own, x)
+        out[:, -2] = np.bincount(own, minlength=len(c))
+        out[:, -1] = np.bincount(own, ((x - c[own]) ** 2).sum(1), len(c))
+        return out
+
+    def per_centre(found: DataFrame) -> DataFrame:
+        """(group, run, at, v): per centre the sum of its points, their number and their cost."""
+        return as_lists(_by_blocks(held, found, group, kind, sums).groupBy(group, "run", "at", "pos").agg(F.sum("x").alias("x")))
+
+    weights = per_centre(centres).groupBy(group, "run").agg(F.sort_array(F.collect_list(F.struct("at", F.element_at("v", -2).alias("n")))).alias("weights"))
+
+    def cut(key, frame: pd.DataFrame) -> pd.DataFrame:
+        c, n = np.stack([np.array(v) for v in frame["centres"].iloc[0]]), np.array([w["n"] for w in frame["weights"].iloc[0]])
+        rng = np.random.default_rng(seed + int(key[1]))
+        chosen = [int(rng.choice(len(c), p=n / n.sum()))]
+        gap = ((c - c[chosen[0]]) ** 2).sum(1)
+        while len(chosen) < k and (gap * n).sum() > 0:
+            chosen.append(int(rng.choice(len(c), p=gap * n / (gap * n).sum())))
+            gap = np.minimum(gap, ((c - c[chosen[-1]]) ** 2).sum(1))
+        found = c[chosen]
+        for _ in range(LLOYD_ROUNDS):
+            own = _gaps(c, found).argmin(1)
+            total = np.bincount(own, n, len(found))
+            found = np.where(total[:, None] > 0, np.stack([np.bincount(own, c[:, j] * n, len(found)) for j in range(c.shape[1])], 1) / np.maximum(total, 1e-300)[:, None], found)
+        return pd.DataFrame({group: [key[0]], "run": [key[1]], "centres": [found.tolist()]})
+
+    centres = written(centres.join(weights, [group, "run"]).groupBy(group, "run").applyInPandas(cut, f"{group} {kind}, run int, centres array<array<double>>"), "centres")
+    listed = lambda v: F.sort_array(F.collect_list(F.struct("at", v.alias("v"))))  # noqa: E731  # k entries
+    for _ in range(LLOYD_ROUNDS):
+        found = written(per_centre(centres), "sums")
+        d = F.size("v") - 2
+        mean = F.transform(F.slice("v", F.lit(1), d), lambda x: x / F.greatest(F.element_at("v", -2), F.lit(1e-300)))
+        new = found.groupBy(group, "run").agg(listed(F.when(F.element_at("v", -2) > 0, mean)).alias("new"))
+        # A centre without points stays where it is.
+        moved = written(centres.join(new, [group, "run"]).select(group, "run", F.zip_with("centres", "new", lambda c, m: F.coalesce(m["v"], c)).alias("centres"), F.col("centres").alias("before")), "centres")
+        gap = F.array_max(F.transform(F.arrays_zip("centres", "before"), lambda z: euclidean(z["centres"], z["before"])))
+        farthest, centres = moved.agg(F.max(gap)).first()[0], moved.select(group, "run", "centres")
+        if not farthest or farthest < 1e-9:
+            break
+    found = written(per_centre(centres), "sums").groupBy(group, "run").agg(F.sum(F.element_at("v", -1)).alias("cost"), listed(F.element_at("v", -2)).alias("n"))
+    best = centres.join(found, [group, "run"]).groupBy(group).agg(F.min_by(F.struct("centres", "n"), F.struct("cost", "run")).alias("b"))
+    pairs = F.zip_with("b.centres", "b.n", lambda c, n: F.struct(c.alias("vector"), n["v"].alias("support")))
+    return best.select(group, F.filter(pairs, lambda p: p["support"] > 0).cast(PROTOTYPES).alias("prototypes"))
+
+
 def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init: int = 2, sample: int | None = None) -> DataFrame:
     """(group, prototypes) of rows (group, object_id, vector, and rand if there is one).
 
     All of a group's points are fitted. With `sample`, as in the definition of the node statistics, at most so many rows: those with the least rand.
-    For k = 1 the mean is a plain aggregation; a fit of more prototypes holds its group in one task."""
+    For k = 1 the mean is a plain aggregation. A group of at most MOST_IN_TASK points is fitted in one task; larger ones by rounds over blocks of their points."""
     kind = df.schema[group].dataType.simpleString()
     points = df.filter("vector is not null")
     if k == 1 and sample is None:
@@ -73,6 +218,12 @@ def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init
         found = at.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"), F.max("n").alias("n"))
         return found.select(group, F.array(F.struct(F.col("v").alias("vector"), F.col("n").alias("support"))).cast(PROTOTYPES).alias("prototypes"))
     order = ["rand", "object_id"] if "rand" in df.columns else [F.xxhash64("object_id", F.lit(seed)), "object_id"]
+    large = None
+    if sample is None or sample > MOST_IN_TASK:
+        counts = points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_IN_TASK).select(group)
+        if sample is None and not counts.isEmpty():
+            large = _fit_large(points.join(small(counts), group, "left_semi"), group, kind, k, seed, n_init)
+            points = points.join(small(counts), group, "left_anti")
     ranked = points.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     if sample is not None:
         ranked = ranked.filter(F.col("r") <= sample)
@@ -81,21 +232,22 @@ def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init
         frame = frame.sort_values("r")
         return pd.DataFrame({group: [key[0]], "prototypes": [_as_rows(*fit_prototypes_of(np.array(frame["vector"].tolist(), float), k, seed, n_init))]})
 
-    return ranked.select(group, "r", "vector").groupBy(group).applyInPandas(run, f"{group} {kind}, prototypes {PROTOTYPES}")
+    found = ranked.select(group, "r", "vector").groupBy(group).applyInPandas(run, f"{group} {kind}, prototypes {PROTOTYPES}")
+    return found if large is None else found.unionByName(large)
 
 
 def merge_prototypes_of(vectors: np.ndarray, support: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """V4: complete-linkage agglomeration down to k; a cluster becomes its support-weighted mean."""
-    groups = [[i] for i in range(len(vectors))]
+    groups: list[list[int] | None] = [[i] for i in range(len(vectors))]
     d = np.sqrt(np.maximum((vectors**2).sum(1)[:, None] - 2 * vectors @ vectors.T + (vectors**2).sum(1), 0))
     np.fill_diagonal(d, np.inf)
-    while len(groups) > k:
+    for _ in range(len(groups) - k):
         a, b = sorted(np.unravel_index(d.argmin(), d.shape))
-        groups[a] += groups.pop(b)
-        d[a] = np.maximum(d[a], d[b])
-        d[:, a] = d[a]
-        d[a, a] = np.inf
-        d = np.delete(np.delete(d, b, 0), b, 1)
+        groups[a] += groups[b]
+        groups[b] = None
+        d[a] = d[:, a] = np.maximum(d[a], d[b])
+        d[b] = d[:, b] = d[a, a] = np.inf
+    groups = [g for g in groups if g is not None]
     return np.array([np.average(vectors[g], axis=0, weights=support[g]) for g in groups]), np.array([support[g].sum() for g in groups])
 
 
@@ -122,19 +274,25 @@ def merge_prototypes(df: DataFrame, group: str, k: int = 16, fold: int = 64) ->
 
 def prototype_set_distance(a: DataFrame, b: DataFrame, metric: str = "euclidean") -> DataFrame:
     """V5: one row `distance`: the larger of the two mean least distances between prototypes (id, vector) of a and of b."""
-    pairs = a.select(F.col("id").alias("i"), F.col("vector").alias("u")).join(small(b.select(F.col("id").alias("j"), F.col("vector").alias("v")))).withColumn("d", METRICS[metric](F.col("u"), F.col("v")))
-    one = lambda c: pairs.groupBy(c).agg(F.min("d").alias("d")).agg(F.avg("d").alias(f"mean_{c}"))
-    return one("i").crossJoin(one("j")).select(F.greatest("mean_i", "mean_j").alias("distance"))  # one row each
+    one = lambda x, y: prototype_distance(x.select(F.col("id").alias("object_id"), "vector"), y.select("vector"), metric).agg(F.avg("distance").alias("mean"))
+    both = one(a, b).withColumnRenamed("mean", "mean_a").crossJoin(one(b, a).withColumnRenamed("mean", "mean_b"))  # one row each
+    return both.select(F.greatest("mean_a", "mean_b").alias("distance"))
 
 
 def predict_scores(points: DataFrame, classes: DataFrame, n_classes: int, metric: str = "euclidean", softmax: bool = False) -> DataFrame:
     """V7: (object_id, label, score) for labels 0..n_classes-1: minus the least distance to the label's prototypes (label, vector), minus infinity for a label without any; or its softmax over labels."""
-    spark = points.sparkSession
-    labels = spark.range(n_classes).select(F.col("id").cast("int").alias("label"))
-    protos = small(classes.select("label", F.col("vector").alias("p")))
-    near = points.select("object_id", "vector").join(protos).groupBy("object_id", "label").agg((-F.min(METRICS[metric](F.col("vector"), F.col("p")))).alias("score"))
-    every = points.select("object_id").crossJoin(F.broadcast(labels))  # a row per class
-    found = every.join(near, ["object_id", "label"], "left").select("object_id", "label", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
+    known, labels = classes.filter("vector is not null").select("label", "vector"), F.sequence(F.lit(0), F.lit(n_classes - 1))
+    if one := _in_one_row(known, "label", "vector"):
+        of_label = lambda label: F.array_min(F.transform(F.filter("all", lambda p: p["label"] == label), lambda p: METRICS[metric](F.col("vector"), p["vector"])))
+        scored = points.select("object_id", "vector").crossJoin(one).select("object_id", F.explode(F.transform(labels, lambda x: F.struct(x.cast("int").alias("label"), (-of_label(x)).alias("score")))).alias("e"))  # one row
+        found = scored.select("object_id", "e.label", F.coalesce("e.score", F.lit(float("-inf"))).alias("score"))
+    else:
+        named = known.select(F.struct("label", F.xxhash64("vector").alias("h")).alias("at"), "vector")
+        # A block keeps a point's least of all labels, so each label is compared on its own.
+        parts = [_far_pairs(points, named.filter(F.col("at.label") == k).select(F.col("at.h").alias("other"), "vector"), metric, "least").select("object_id", F.lit(k).alias("label"), "d") for k in range(n_classes)]
+        near = reduce(DataFrame.unionByName, parts).groupBy("object_id", "label").agg((-F.min("d")).alias("score"))
+        every = points.select("object_id", F.explode(labels).alias("label"))
+        found = every.join(near, ["object_id", "label"], "left").select("object_id", "label", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
     if softmax:
         w = Window.partitionBy("object_id")
         found = found.withColumn("e", F.exp(F.col("score") - F.max("score").over(w))).select("object_id", "label", (F.col("e") / F.sum("e").over(w)).alias("score"))
@@ -148,22 +306,35 @@ def predict(scores: DataFrame) -> DataFrame:
 
 def type_radius(types: DataFrame) -> DataFrame:
     """V9: (type_id, radius): each type's distance to the nearest other one; infinite for a single type."""
-    other = small(types.select(F.col("type_id").alias("other_id"), F.col("vector").alias("w")))
-    near = types.join(other, F.col("type_id") != F.col("other_id")).groupBy("type_id").agg(F.min(euclidean(F.col("vector"), F.col("w"))).alias("radius"))
+    if one := _in_one_row(types.filter("vector is not null"), "type_id", "vector"):
+        others = F.filter("all", lambda t: t["type_id"] != F.col("type_id"))
+        near = F.array_min(F.transform(others, lambda t: euclidean(F.col("vector"), t["vector"])))
+        return types.crossJoin(one).select("type_id", F.coalesce(near, F.lit(float("inf"))).alias("radius"))  # one row
+    pairs = _far_pairs(types.select(F.col("type_id").alias("object_id"), "vector"), types.select(F.col("type_id").alias("other"), "vector"), "euclidean", "all")
+    near = pairs.filter("object_id <> other").groupBy(F.col("object_id").alias("type_id")).agg(F.min("d").alias("radius"))
     return types.select("type_id").join(near, "type_id", "left").select("type_id", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
 
 
 def distances(types: DataFrame, points: DataFrame) -> DataFrame:
     """(object_id, type_id, distance) of all points and types."""
-    return points.select("object_id", F.col("vector").alias("v")).join(small(types.select("type_id", F.col("vector").alias("w")))).select("object_id", "type_id", euclidean(F.col("v"), F.col("w")).alias("distance"))
+    if one := _in_one_row(types, "type_id", "vector"):
+        rows = points.select("object_id", "vector").crossJoin(one).select("object_id", F.explode(F.transform("all", lambda t: F.struct(t["type_id"].alias("type_id"), euclidean(F.col("vector"), t["vector"]).alias("distance")))).alias("e"))  # one row
+        return rows.select("object_id", "e.*")
+    return _far_pairs(points, types.select(F.col("type_id").alias("other"), "vector"), "euclidean", "all").select("object_id", F.col("other").alias("type_id"), F.col("d").alias("distance"))
 
 
 def classify(types: DataFrame, points: DataFrame, safe: bool = True) -> DataFrame:
-    """(object_id, type_id, distance): the nearest type; with `safe` -1 unless the distance is below the type's radius."""
-    near = distances(types, points).groupBy("object_id").agg(F.min_by("type_id", F.struct("distance", "type_id")).alias("type_id"), F.min("distance").alias("distance"))
+    """(object_id, type_id, distance): the nearest type, the smallest of equal ones; with `safe` -1 unless the distance is below the type's radius. Points or types without a vector are left out."""
+    known = types.filter("vector is not null").select("type_id", "vector")
+    if one := _in_one_row(known, "type_id", "vector"):
+        best = F.array_min(F.transform("all", lambda t: F.struct(euclidean(F.col("vector"), t["vector"]).alias("distance"), t["type_id"].alias("type_id"))))
+        near = points.filter("vector is not null").crossJoin(one).select("object_id", best.alias("best")).filter("best is not null").select("object_id", "best.type_id", "best.distance")  # one row
+    else:
+        found = _far_pairs(points, known.select(F.col("type_id").alias("other"), "vector"), "euclidean", "least")
+        near = found.groupBy("object_id").agg(F.min(F.struct("d", "other")).alias("best")).select("object_id", F.col("best.other").alias("type_id"), F.col("best.d").alias("distance"))
     if not safe:
         return near
-    return near.join(small(type_radius(types)), "type_id").select("object_id", F.when(F.col("distance") < F.col("radius"), F.col("type_id")).otherwise(F.lit(-1)).alias("type_id"), "distance")
+    return near.join(small(type_radius(known)), "type_id").select("object_id", F.when(F.col("distance") < F.col("radius"), F.col("type_id")).otherwise(F.lit(-1)).alias("type_id"), "distance")
 
 
 def nearest_centroids(train: DataFrame) -> DataFrame:
@@ -280,17 +451,9 @@ def forest_nodes(model) -> list[tuple[list[int], list[float], list[int], list[in
     return out
 
 
-def rf_rank(candidates: DataFrame, valid: DataFrame, rejected: DataFrame, seed: int = 0, **forest) -> DataFrame:
-    """Candidates (object_id, vector) with `score`: a random forest's probability of being valid rather than rejected; a null vector has none.
-
-    The trees are read from the fitted model once and sent to the tasks as arrays, so the plan holds no model."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    known = valid.select("vector", F.lit(1.0).alias("label")).unionByName(rejected.select("vector", F.lit(0.0).alias("label"))).filter("vector is not null")
-    rows = written(known.select("label", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "known")
-    model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **forest).fit(rows.select("label", array_to_vector("vector").alias("f")))
-    sent = candidates.sparkSession.sparkContext.broadcast([tuple(map(np.array, tree)) for tree in forest_nodes(model)])
+def forest_scores(candidates: DataFrame, trees: list[tuple]) -> DataFrame:
+    """Candidates (object_id, vector) with `score`: the mean share of label 1 in the leaves that a vector comes to; a null vector has none. The trees go to the tasks as arrays."""
+    sent = candidates.sparkSession.sparkContext.broadcast([tuple(map(np.array, tree)) for tree in trees])
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
@@ -309,4 +472,17 @@ def rf_rank(candidates: DataFrame, valid: DataFrame, rejected: DataFrame, seed:
             total[whole] = votes / len(sent.value)
         return pd.Series(total).where(whole, None)
 
-    return candidates.select("object_id", score(F.transform("vector", lambda x: x.cast("double"))).alias("score"))
+    return candidates.select("object_id", score(_doubles()).alias("score"))
+
+
+def rf_rank(candidates: DataFrame, valid: DataFrame, rejected: DataFrame, seed: int = 0, **forest) -> DataFrame:
+    """Candidates (object_id, vector) with `score`: a random forest's probability of being valid rather than rejected; a null vector has none.
+
+    The trees are read from the fitted model once, so the plan holds no model."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    known = valid.select("vector", F.lit(1.0).alias("label")).unionByName(rejected.select("vector", F.lit(0.0).alias("label"))).filter("vector is not null")
+    rows = written(known.select("label", _doubles().alias("vector")), "known")
+    model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **forest).fit(rows.select("label", array_to_vector("vector").alias("f")))
+    return forest_scores(candidates, forest_nodes(model))

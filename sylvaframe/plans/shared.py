@@ -38,8 +38,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most `rows` rows and its values at most n_bytes; as it is otherwise, for a shuffled join."""
+def is_small(df: DataFrame, rows: int | None = None, n_bytes: int | None = None) -> bool:
+    """Whether df is counted to have at most `rows` rows and its values at most n_bytes; by default what may be broadcast."""
+    rows, n_bytes = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if n_bytes is None else n_bytes
     width = F.lit(0)
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), f.dataType
@@ -51,4 +52,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BY
             size = F.lit(8)
         width = width + F.greatest(F.coalesce(size, F.lit(0)), F.lit(8))
     n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= n_bytes else df
+    return n <= rows and total <= n_bytes
+
+
+def small(df: DataFrame, rows: int | None = None, n_bytes: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small enough; as it is otherwise, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows, n_bytes) else df

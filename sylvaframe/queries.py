@@ -674,6 +674,13 @@ def _(s, d):
     return rank.paginate(fx.load(s, d, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), F.col("o_orderkey"), page_size=100).select("o_orderkey", "rank", "page")
 
 
+@query_of("g08_quantiles", "WITH v AS (SELECT list_sort(list(CAST(o_totalprice AS DOUBLE))) AS v, count(*) - 1 AS n FROM orders), h AS (SELECT q, v, n * q AS h FROM v, (SELECT unnest([0, 0.1, 0.25, 0.333, 0.5, 0.875, 1]::DOUBLE[]) AS q)), e AS (SELECT q, v[CAST(floor(h) AS BIGINT) + 1] AS lo, v[CAST(ceil(h) AS BIGINT) + 1] AS hi, h - floor(h) AS t FROM h) SELECT q, CASE WHEN t < 0.5 THEN lo + (hi - lo) * t ELSE hi - (hi - lo) * (1 - t) END AS x FROM e")
+def _(s, d):
+    shares = [0.0, 0.1, 0.25, 0.333, 0.5, 0.875, 1.0]
+    found = rank.quantiles(fx.load(s, d, "orders"), "o_totalprice", shares)
+    return s.createDataFrame(list(zip(shares, found)), "q double, x double")
+
+
 @query_of("o12_round_robin", "SELECT CAST(pos AS INT) AS pos, list_no, item FROM (SELECT o_custkey AS list_no, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders) ORDER BY pos, list_no LIMIT 500")
 def _(s, d):
     lists = fx.load(s, d, "orders").groupBy(F.col("o_custkey").alias("list_no")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("items"))
