@@ -162,6 +162,20 @@ def connect_supertree(nodes: DataFrame) -> DataFrame:
     return kept.join(found, "parent_id", "left").select(*kept.columns, "superparent_id")
 
 
+def superchildren(nodes: DataFrame) -> DataFrame:
+    """(node_id, n_superchildren) of nodes with superparent_id: how many have a node as their superparent."""
+    n = nodes.filter("superparent_id is not null").groupBy(F.col("superparent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.select("node_id").join(n, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n_superchildren"))
+
+
+def unfilled(tables: Tables, with_prototypes: DataFrame, project_id: int | None = None) -> DataFrame:
+    """T17b as a table: (node_id, level, n_objects_deep) of all approved nodes that aren't filled and have prototypes (node_id), of one project or of all."""
+    found = tables.nodes.filter(F.coalesce("approved", F.lit(False)) & ~F.coalesce("filled", F.lit(False))).join(with_prototypes.select("node_id").distinct(), "node_id", "left_semi")
+    if project_id is not None:
+        found = found.filter(F.col("project_id") == project_id)
+    return found.select("node_id").join(levels(tables.nodes), "node_id").join(n_objects_deep(tables.nodes, tables.assignments), "node_id").select("node_id", "level", "n_objects_deep")
+
+
 def unconnected(nodes: DataFrame, objects: DataFrame) -> DataFrame:
     """(kind, id) of nodes that reach no root, those on cycles too, and objects whose node doesn't exist."""
     top = path_fold(nodes, {"rooted": F.col("parent_id").isNull()}, lambda near, far: {"rooted": far("rooted")}, cycles=True)
@@ -199,11 +213,14 @@ def progress(tables: Tables, descend_approved: bool = True, starts: DataFrame |
     own = written(own.join(n_objects_deep(nodes, tables.assignments), "node_id").join(inner, "node_id", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"), "progress")
     # What counts for a marked node: its objects without those of the next marked ones below it, so that sums over a subtree hold each top one once.
     edges = edges_of(nodes, descend)
-    parts = own
-    for c in ("approved", "named"):
-        above = nearest(nodes, own.filter(c), descend).select(F.col("node_id").alias("parent_id"), "mark")
-        nested = edges.join(own.filter(c).select("node_id", "n_objects_deep"), "node_id").join(above, "parent_id").groupBy(F.col("mark").alias("node_id")).agg(F.sum("n_objects_deep").alias(f"below_{c}"))
-        parts = parts.join(nested, "node_id", "left").withColumn(f"net_{c}", F.when(F.col(c), F.col("n_objects_deep") - F.coalesce(f"below_{c}", F.lit(0))).otherwise(0))
+    is_marked = {"approved": F.coalesce("approved", F.lit(False)), "named": F.col("name").isNotNull()}
+    marks = path_fold(nodes, {c: F.when(cond, F.col("node_id")) for c, cond in is_marked.items()}, lambda near, far: {c: F.coalesce(near(c), far(c)) for c in is_marked}, descend)
+    above = marks.select(F.col("node_id").alias("parent_id"), *(F.col(c).alias(f"above_{c}") for c in is_marked))
+    handed = F.array(*(F.struct(F.when(F.col(c), F.col(f"above_{c}")).alias("node_id"), *(F.when(F.lit(c == k), F.col("n_objects_deep")).alias(f"below_{k}") for k in is_marked)) for c in is_marked))
+    nested = edges.join(own.select("node_id", *is_marked, "n_objects_deep"), "node_id").join(above, "parent_id").select(F.explode(handed).alias("e")).select("e.*").filter("node_id is not null")
+    parts = own.join(nested.groupBy("node_id").agg(*(F.sum(f"below_{c}").alias(f"below_{c}") for c in is_marked)), "node_id", "left")
+    for c in is_marked:
+        parts = parts.withColumn(f"net_{c}", F.when(F.col(c), F.col("n_objects_deep") - F.coalesce(f"below_{c}", F.lit(0))).otherwise(0))
     n, one = F.col("n_objects_deep"), F.lit(1).cast("long")
     when = lambda cond, value: F.when(cond, value).otherwise(0).cast("long")
     summed = {"n_approved_objects": F.col("net_approved"), "n_named_objects": F.col("net_named"), "n_nodes": one, "leaves_n_nodes": when(F.col("leaf"), one), "leaves_n_objects": when(F.col("leaf"), n)}

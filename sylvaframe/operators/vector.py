@@ -92,10 +92,21 @@ def _k_means(x: np.ndarray, k: int, seed: int, n_init: int = 2, rounds: int = 50
     return best
 
 
-def fit_prototypes_of(x: np.ndarray, k: int, seed: int = 0, n_init: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """V3: (vectors, support) of a group: the mean for k = 1, the points if there are k or fewer, else k-means."""
+def check_clusterer(clusterer) -> None:
+    """TypeError for what lacks fit_predict or n_clusters."""
+    if not all(hasattr(clusterer, name) for name in ("fit_predict", "n_clusters")):
+        raise TypeError(f"{clusterer!r} has no fit_predict or no n_clusters")
+
+
+def fit_prototypes_of(x: np.ndarray, k: int, seed: int = 0, n_init: int = 2, clusterer=None) -> tuple[np.ndarray, np.ndarray]:
+    """V3: (vectors, support) of a group: the mean for k = 1, the points if there are k or fewer, else k-means; or the means of the clusters that a clusterer's fit_predict finds, where it has more points than n_clusters."""
     if not len(x):
         raise ValueError("prototypes need a point")
+    if clusterer is not None:
+        k = clusterer.n_clusters
+        if 1 < k < len(x):
+            labels, own = np.unique(np.asarray(clusterer.fit_predict(x)), return_inverse=True)
+            return np.array([x[own == j].mean(0) for j in range(len(labels))]), np.bincount(own).astype(float)
     if k == 1:
         return x.mean(0, keepdims=True), np.array([float(len(x))])
     return (x, np.ones(len(x))) if len(x) <= k else _k_means(x, k, seed, n_init)
@@ -206,12 +217,17 @@ def _fit_large(points: DataFrame, group: str, kind: str, k: int, seed: int, n_in
     return best.select(group, F.filter(pairs, lambda p: p["support"] > 0).cast(PROTOTYPES).alias("prototypes"))
 
 
-def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init: int = 2, sample: int | None = None) -> DataFrame:
+def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init: int = 2, sample: int | None = None, clusterer=None) -> DataFrame:
     """(group, prototypes) of rows (group, object_id, vector, and rand if there is one).
 
+    clusterer: an object with fit_predict and n_clusters, used instead of k-means with k; it is sent to the tasks, and each group is then fitted in one.
+
     All of a group's points are fitted. With `sample`, as in the definition of the node statistics, at most so many rows: those with the least rand.
     For k = 1 the mean is a plain aggregation. A group of at most MOST_IN_TASK points is fitted in one task; larger ones by rounds over blocks of their points."""
     kind = df.schema[group].dataType.simpleString()
+    if clusterer is not None:
+        check_clusterer(clusterer)
+        k = clusterer.n_clusters
     points = df.filter("vector is not null")
     if k == 1 and sample is None:
         at = points.select(group, F.posexplode("vector").alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
@@ -219,9 +235,9 @@ def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init
         return found.select(group, F.array(F.struct(F.col("v").alias("vector"), F.col("n").alias("support"))).cast(PROTOTYPES).alias("prototypes"))
     order = ["rand", "object_id"] if "rand" in df.columns else [F.xxhash64("object_id", F.lit(seed)), "object_id"]
     large = None
-    if sample is None or sample > MOST_IN_TASK:
+    if sample is None and clusterer is None:
         counts = points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_IN_TASK).select(group)
-        if sample is None and not counts.isEmpty():
+        if not counts.isEmpty():
             large = _fit_large(points.join(small(counts), group, "left_semi"), group, kind, k, seed, n_init)
             points = points.join(small(counts), group, "left_anti")
     ranked = points.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
@@ -230,7 +246,7 @@ def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("r")
-        return pd.DataFrame({group: [key[0]], "prototypes": [_as_rows(*fit_prototypes_of(np.array(frame["vector"].tolist(), float), k, seed, n_init))]})
+        return pd.DataFrame({group: [key[0]], "prototypes": [_as_rows(*fit_prototypes_of(np.array(frame["vector"].tolist(), float), k, seed, n_init, clusterer))]})
 
     found = ranked.select(group, "r", "vector").groupBy(group).applyInPandas(run, f"{group} {kind}, prototypes {PROTOTYPES}")
     return found if large is None else found.unionByName(large)

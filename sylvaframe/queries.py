@@ -172,6 +172,18 @@ def _(s, d):
     return query.connect_supertree(fx.geo(s, d).nodes).select("node_id", "superparent_id")
 
 
+@query_of("t18_superchildren", GEO + CLOSURE + ", sup AS (SELECT n.node_id, (SELECT cl.ancestor_id FROM cl JOIN nodes a ON a.node_id = cl.ancestor_id WHERE cl.node_id = n.node_id AND cl.distance > 0 AND (a.starred OR a.parent_id IS NULL) ORDER BY cl.distance LIMIT 1) AS s FROM nodes n) SELECT n.node_id, count(s.node_id) AS n_superchildren FROM nodes n LEFT JOIN sup s ON s.s = n.node_id GROUP BY 1")
+def _(s, d):
+    return query.superchildren(query.connect_supertree(fx.geo(s, d).nodes))
+
+
+@query_of("t17b_unfilled_table", GEO + DEEP + ", depth AS (SELECT node_id, max(distance) AS level FROM cl GROUP BY 1) SELECT n.node_id, level, n_objects_deep FROM nodes n JOIN depth USING (node_id) JOIN deep ON deep.node_id = n.node_id WHERE approved AND NOT filled AND n.node_id IN (SELECT node_id FROM assignments)")
+def _(s, d):
+    # Nodes with objects stand for those with prototypes.
+    t = fx.geo(s, d)
+    return query.unfilled(t, t.assignments.select("node_id"), 1)
+
+
 @query_of("t19_connectivity", GEO + ", kept AS (SELECT * FROM nodes WHERE node_id <> 103), down AS (SELECT node_id FROM kept WHERE parent_id IS NULL UNION ALL SELECT n.node_id FROM down JOIN kept n ON n.parent_id = down.node_id) SELECT 'node' AS kind, CAST(node_id AS VARCHAR) AS id FROM kept WHERE node_id NOT IN (SELECT node_id FROM down) UNION ALL SELECT 'object', object_id FROM assignments WHERE node_id NOT IN (SELECT node_id FROM kept)")
 def _(s, d):
     t = fx.geo(s, d)

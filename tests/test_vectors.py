@@ -126,3 +126,21 @@ def test_classify_moves_only_what_stands_in_the_node(spark):
     out, _ = edit.classify_members(t, 0, centroids, classify_nodes=False, classify_objects=True, safe=False)
     assert sorted(map(tuple, out.assignments.select("object_id", "node_id").collect())) == [("p0000", 1), ("p0000", 9), ("p0001", 2)]
     assert {r.node_id for r in out.nodes.filter("approved").collect()} == {9}
+
+
+class Halves:
+    """Splits points at zero."""
+
+    n_clusters = 2
+
+    def fit_predict(self, x):
+        return np.where(x[:, 0] < 0, 7, 3)
+
+
+def test_a_clusterer_of_ones_own(spark):
+    rows = [("g", f"o{k}", [float(v)]) for k, v in enumerate([-4, -2, 1, 2, 6])] + [("h", "x", [5.0])]
+    df = spark.createDataFrame(rows, "g string, object_id string, vector array<double>")
+    found = {r.g: sorted((p.vector[0], p.support) for p in r.prototypes) for r in vector.fit_prototypes(df, "g", clusterer=Halves()).collect()}
+    assert found == {"g": [(-3.0, 2.0), (3.0, 3.0)], "h": [(5.0, 1.0)]}
+    with pytest.raises(TypeError):
+        vector.fit_prototypes(df, "g", clusterer=object())
