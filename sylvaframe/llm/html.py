@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -46,6 +47,9 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: What only a form around a whole page holds: the page's structure, or most of its paragraphs.
+_FORM_END, _STRUCTURE, _PARAGRAPH = (re.compile(x, re.I) for x in (r"</form\b", r"<(?:article|main|nav|header|footer|aside|h1)\b", r"<p\b"))
+WRAPPED_PARAGRAPHS = 3
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # --- classifier ------------------------------------------------------------------------------------------------------
@@ -118,6 +122,20 @@ def _evidence(tag: str, attributes: str, around: float, within: bool) -> float:
     return around
 
 
+class Forms:
+    """Tells a form around a page from one in it, by what stands before its end; places are searched once for a page."""
+
+    def __init__(self, page: str):
+        self.ends, self.structure, self.paragraphs = ([m.start() for m in x.finditer(page)] for x in (_FORM_END, _STRUCTURE, _PARAGRAPH))
+
+    def is_wrapper(self, at: int) -> bool:
+        k = bisect_left(self.ends, at)
+        end = self.ends[k] if k < len(self.ends) else 1 << 62
+        held = lambda places: bisect_left(places, end) - bisect_left(places, at)
+        n = held(self.paragraphs)
+        return held(self.structure) > 0 or n >= WRAPPED_PARAGRAPHS and 2 * n > len(self.paragraphs)
+
+
 class Page:
     """The blocks of text of a page, in page order, and the tree of its elements: the parent and depth of each."""
 
@@ -133,6 +151,7 @@ class Page:
         parts: list[str] = []
         link_parts: list[str] = []
         links = 0
+        forms: Forms | None = None
 
         def flush() -> None:
             if parts:
@@ -192,7 +211,10 @@ class Page:
                 continue
             _, around, up, within, n_blocks = stack[-1]
             open_at.setdefault(tag, []).append(len(stack))
-            stack.append((tag, _evidence(tag, m[4], around, within), len(self.parent), within or tag in ("article", "main"), n_blocks + (tag in BLOCK)))
+            if tag == "form" and forms is None:
+                forms = Forms(page)
+            wraps = tag == "form" and forms.is_wrapper(at)
+            stack.append((tag, around if wraps else _evidence(tag, m[4], around, within), len(self.parent), within or tag in ("article", "main"), n_blocks + (tag in BLOCK)))
             self.parent.append(up)
             self.depth.append(len(stack) - 1)
             links += tag == "a"

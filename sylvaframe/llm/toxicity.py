@@ -3,8 +3,9 @@
 A word's input is the sum of a word embedding (hashed) and the mean embedding of its
 byte n-grams (hashed), so inflected and unseen forms share what their stems learned. A
 window of WINDOW words passes through a GRU in each direction, attention pools the
-states, and a logistic unit scores the pool. Windows overlap and cover a
-whole text; the text's score is that of its worst window.
+states, and a logistic unit scores the pool. A window begins every STRIDE words, so that
+successive ones overlap by a quarter and all words are scored, but not every run of WINDOW
+words is a window; the text's score is that of its worst window.
 
 The network is fitted on a bounded sample of labelled documents: at most PER_CLASS of
 the labels, from those of at most LONGEST windows, each with all its windows. Only

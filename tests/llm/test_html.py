@@ -48,6 +48,9 @@ CASES |= {
     "formula and noscript in the article": (f"<article><p>{SENTENCE}</p><p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p><noscript><p>{TWICE}</p></noscript></article>", [SENTENCE, "So a=b holds.", TWICE]),
     "content class in an aside": (f'<article><p>{TWICE}</p></article><aside><div class="content"><p>{SENTENCE}</p></div></aside>', [TWICE]),
     "reader comments that are articles": (f'<article><p>{TWICE}</p><article class="comment"><p>{SENTENCE}</p></article></article>', [TWICE]),
+    "form around a page": (f'<form id="aspnetForm" class="form"><div><ul>{LINKS}</ul></div><div><h1>Head</h1><p>{TWICE}</p></div></form>', ["Head", TWICE]),
+    "form around paragraphs": (f'<FORM name=f action="/x"><div><p>{TWICE}</p><p>{SENTENCE}</p><p>{TWICE}</p></div></FORM>', [TWICE, SENTENCE, TWICE]),
+    "form beside more paragraphs": (f'<div><p>{TWICE}</p><p>{TWICE}</p><p>{TWICE}</p></div><form><p>{SENTENCE}</p><p>{SENTENCE}</p><p>{SENTENCE}</p></form>', [TWICE, TWICE, TWICE]),
     "not shown": (f'<article><p>{TWICE}</p><p style="display: none">{TWICE}</p><p hidden>{TWICE}</p></article>', [TWICE]),
 }
 
