@@ -29,6 +29,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 #: Documents that one shard holds on average.
 PER_SHARD = 8_000
+#: Chunks whose ids a worker remembers: fewer than for the token files, as the last stage of a pipeline shares its executors with what earlier ones left.
+REMEMBERED = 200_000
 
 
 def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,7 +45,7 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = tokenizer_path or token_files.default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, _ = token_files.encoder(path)
+        memory, _ = token_files.encoder(path, REMEMBERED)
         for batch in batches:
             sizes = [n for _, _, each in token_files.encode_texts(as_bytes(batch.column(1)), memory) for n in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
@@ -144,7 +146,7 @@ def sequences(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_c
     path = tokenizer_path or token_files.default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, _ = token_files.encoder(path)
+        memory, _ = token_files.encoder(path, REMEMBERED)
         for batch in batches:
             flat, sizes = [np.empty(0, np.int32)], []
             for _, ids, each in token_files.encode_texts(as_bytes(batch.column(1)), memory):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, id_and_text, memory_of, partitions_for, scratch, trim, written
-from .words import WordMemory, flattened, slices
+from .words import MOST_WORDS, WordMemory, flattened, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -217,10 +217,10 @@ class ChunkEncoder:
 _END = b" "  # no chunk is white space, so this key stands for the end of a document
 
 
-def encoder(path: str) -> tuple[WordMemory, int]:
-    """The chunk memory over the tokenizer at path and its vocabulary's size, once per Python worker."""
+def encoder(path: str, most_words: int = MOST_WORDS) -> tuple[WordMemory, int]:
+    """The chunk memory over the tokenizer at path, of at most most_words chunks, and its vocabulary's size, once per Python worker."""
     loaded = memory_of("token_files")
-    if path not in loaded:
+    if (path, most_words) not in loaded:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -233,9 +233,9 @@ def encoder(path: str) -> tuple[WordMemory, int]:
             (x, n), (y, m) = own(todo[:at]), own(todo[at + 1 :])
             return np.concatenate((x, [END_ID], y)), np.concatenate((n, [1], m))
 
-        loaded[path] = WordMemory(encode), own.vocabulary_size
+        loaded[path, most_words] = WordMemory(encode, most_words=most_words), own.vocabulary_size
         trim()
-    return loaded[path]
+    return loaded[path, most_words]
 
 
 def default_tokenizer() -> str:
