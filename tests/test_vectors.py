@@ -40,7 +40,8 @@ def test_pca_of_null_short_and_no_vectors(spark):
 
 def test_forest_scores_are_the_models_own(spark):
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
 
     rng = np.random.default_rng(2)
     good, bad = frame_of(spark, rng.normal(1, 1, (80, 3))), frame_of(spark, rng.normal(-1, 1, (80, 3)), prefix="q")
@@ -49,13 +50,13 @@ def test_forest_scores_are_the_models_own(spark):
     known = shared.written(good.select(F.lit(1.0).alias("label"), "vector").unionByName(bad.select(F.lit(0.0).alias("label"), "vector")), "known")
     model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=3, numTrees=7).fit(known.select("label", array_to_vector("vector").alias("f")))
     trees = vector.forest_nodes(model)
-    own = model.transform(every.withColumn("f", array_to_vector("vector"))).select("object_id", vector_to_array("probability")[1].alias("score"))
+    own = {r.object_id: float(model.predictProbability(Vectors.dense(r.vector))[1]) for r in every.collect()}
     assert len(trees) == 7 and max(len(t[0]) for t in trees) > 3
     got = {r.object_id: r.score for r in vector.forest_scores(with_null, trees).collect()}
     assert got.pop("n0000") is None
     ranked = {r.object_id: r.score for r in vector.rf_rank(with_null, good, bad, seed=3, numTrees=7).collect()}
     assert all(ranked[f"p{k:04d}"] is not None for k in range(80)) and np.mean([v for k, v in ranked.items() if k[0] == "p"]) > 0.8
-    assert got == {r.object_id: pytest.approx(r.score, abs=1e-9) for r in own.collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in own.items()}
 
 
 def test_blocked_ways_give_the_same_rows(spark, monkeypatch):
