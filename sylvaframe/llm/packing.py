@@ -29,7 +29,7 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 #: Documents that one shard holds on average.
 PER_SHARD = 8_000
-#: Chunks whose ids a worker remembers: fewer than for the token files, as the last stage of a pipeline shares its executors with what earlier ones left.
+#: Chunks whose ids a worker remembers in a pipeline: fewer than by default, as the last stage of a pipeline shares its executors with what earlier ones left.
 REMEMBERED = 200_000
 
 
@@ -40,12 +40,12 @@ def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (n + 1).cast("long").alias("n_tokens"))
 
 
-def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens): the ids that op3's encoder gives the text and one that ends the document; null texts count as empty."""
+def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, remembered: int = token_files.MOST_WORDS) -> DataFrame:
+    """(doc_id, n_tokens): the ids that op3's encoder gives the text and one that ends the document; null texts count as empty. A worker remembers the ids of at most `remembered` chunks."""
     path = tokenizer_path or token_files.default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, _ = token_files.encoder(path, REMEMBERED)
+        memory, _ = token_files.encoder(path, remembered)
         for batch in batches:
             sizes = [n for _, _, each in token_files.encode_texts(as_bytes(batch.column(1)), memory) for n in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
@@ -146,7 +146,7 @@ def sequences(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_c
     path = tokenizer_path or token_files.default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, _ = token_files.encoder(path, REMEMBERED)
+        memory, _ = token_files.encoder(path)
         for batch in batches:
             flat, sizes = [np.empty(0, np.int32)], []
             for _, ids, each in token_files.encode_texts(as_bytes(batch.column(1)), memory):
