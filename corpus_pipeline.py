@@ -31,7 +31,7 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document's tokens in sequences of several lengths."""
-    return packing.best_fit(packing.token_lengths(docs))
+    return packing.best_fit(packing.token_lengths(docs, remembered=packing.REMEMBERED))
 
 
 STAGES = [
