@@ -3,8 +3,8 @@
 A text has two fingerprints over its n-word shingles, of independent hashes. Two texts
 are linked if one of their fingerprints differs in few bits and the sets of their
 shingles are similar enough. The trie self-join gives groups in which all such pairs
-meet. All members of a group are held against its smallest one; in a group that this
-leaves in several components, all members are, in blocks.
+meet. Groups with the same smallest member become one. All members of a group are held against
+that one; in a group that this leaves in several components, all members are, in blocks.
 """
 
 from __future__ import annotations
@@ -161,7 +161,8 @@ def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIM
         prints = written(rows.mapInArrow(_prints(n), PRINTS).distinct(), "prints")
     held = written(_groups(prints, budget), "groups")
     hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
-    members = written(held.join(hubs, "key").distinct(), "members")
+    # Most nodes meet in several tries, in groups that hardly differ: what has one smallest node is one group from here on.
+    members = written(held.join(hubs, "key").select("hub", "node").distinct(), "members")
     texts = written(rows.join(small(members.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "texts")
     of = lambda df, c: df.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "node"))
     close = reduce(Column.__or__, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) <= budget.bits for c in _FPS))
@@ -169,18 +170,15 @@ def near_links(rows: DataFrame, n: int = WORDS_PER_SHINGLE, similar: float = SIM
     stars = stars.join(of(prints, "a"), "a").join(of(prints, "b"), "b").filter(close).select("a", "b")
     with small_batches(spark):
         links = written(stars.join(of(texts, "a"), "a").join(of(texts, "b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(n, similar), "a binary, b binary"), "stars")
-    # A group of three or more in several components may hold links beside its star; groups of the same members are one.
-    named = members.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    named = written(named, "labels")
-    buckets = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("first"), F.max("node").alias("last"), (F.min("label") != F.max("label")).alias("parted")
-    )
-    parted = buckets.filter("parted and n > 2").groupBy("n", "mix", "first", "last").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # A group of three or more in several components may hold links beside its star.
+    named = written(members.join(components(links), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label")), "labels")
+    buckets = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("parted"))
+    parted = buckets.filter("parted and n > 2").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        named.join(parted, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "label")
+        named.join(parted, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "label")
     )
-    more = dealt.join(texts, "node").join(prints, "node").groupBy("key", "lo", "hi").applyInArrow(_block(n, similar, budget.bits), "a binary, b binary")
+    more = dealt.join(texts, "node").join(prints, "node").groupBy("hub", "lo", "hi").applyInArrow(_block(n, similar, budget.bits), "a binary, b binary")
     return links.unionByName(written(more.distinct(), "more-links"))
 
 
