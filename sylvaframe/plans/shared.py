@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +34,54 @@ def shared_root(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The paths that each passing() of this thread deletes, the innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+#: Spark's own setting by which an execution deletes its shuffle files when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_path(spark: SparkSession, label: str, stays: bool = False) -> str:
+    """A new path in the shared folder. Inside passing() it is deleted at the end unless it stays."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    scopes = _passing.get()[:-1] if stays else _passing.get()
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that were written to the shared folder inside, but for those that stay.
+
+    For work whose result is written inside (with stays=True) or reads only tables that stay: a DataFrame that still reads a deleted table fails.
+    Tables that stay belong to the passing() around this one, if there is one."""
+    paths: list[str] = []
+    token = _passing.set((*_passing.get(), paths))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
+    """df written to the shared folder and read again. The shuffle files of the write are deleted when it ends; stays: see passing()."""
+    spark = df.sparkSession
+    path = new_path(spark, label, stays)
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, rows: int | None = None, n_bytes: int | None = None) -> bool:
