@@ -5,21 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import shared_root, written  # noqa: F401
+from ..plans.shared import new_path as scratch, passing, written  # noqa: F401
 
 #: ASCII white space, as the contracts of the text operators define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
 
 @contextlib.contextmanager
 def _set(spark: SparkSession, name: str, value: str):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import small
-from .common import SPACE, id_and_text, written
+from .common import SPACE, id_and_text, passing, written
 
 #: Distinct digests that one shard of the index holds on average.
 PER_SHARD = 200_000
@@ -190,7 +190,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows without an id stay if no row with an id has their text, one for each text. Rows that repeat an id and its text are one document and stay.
     The rows that go are the fewer ones; they are sent to the texts by broadcast as long as they are few, so that texts don't move."""
-    found = written(dedup(docs, id_col, text_col), "decided")
+    with passing(docs.sparkSession):
+        found = written(dedup(docs, id_col, text_col), "decided", stays=True)
     id_, sha, own = F.col(f"`{id_col}`").cast("long"), *(f"{x}_{uuid.uuid4().hex}" for x in ("sha", "id"))
     gone = small(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct())
     text = F.sha2(_normalised(F.col(f"`{text_col}`").cast("string")), 256)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.shared import small
-from .common import as_bytes, memory_of, small_batches, written
+from .common import as_bytes, memory_of, passing, small_batches, written
 from .simhash import Budget, _merge, majority, trie_groups
 
 WORDS_PER_SHINGLE = 5
@@ -188,14 +188,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A group is connected by links of texts whose sets of n-word shingles have a Jaccard similarity of at least `similar` and one of whose fingerprints lies
     within the budget. Equal texts are one group. Null texts count as empty, and a row with a null id stays unless its group has an id, or another text of the
     group without ids is first by digest. The rows that go are sent to the texts by broadcast as long as they are few, so that texts don't move."""
+    spark = docs.sparkSession
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     node, own_node, own_id = F.unhex(F.md5(text)), *(f"{x}_{uuid.uuid4().hex}" for x in ("node", "id"))
-    ids = written(docs.select(node.alias("node"), id_.alias("id")).distinct(), "ids")
-    comps = components(near_links(docs.select(node.alias("node"), text.alias("text")), n, similar, budget))
-    rooted = written(ids.join(comps, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
-    kept = (F.col("node") == F.col("first.node")) & F.col("id").eqNullSafe(F.col("first.id"))
-    gone = written(rooted.join(first, "root").filter(~kept).select(F.col("node").alias(own_node), F.col("id").alias(own_id)), "gone")
+    with passing(spark):
+        ids = written(docs.select(node.alias("node"), id_.alias("id")).distinct(), "ids")
+        with passing(spark):
+            links = written(near_links(docs.select(node.alias("node"), text.alias("text")), n, similar, budget), "near-links", stays=True)
+        comps = components(links)
+        rooted = written(ids.join(comps, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
+        first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+        kept = (F.col("node") == F.col("first.node")) & F.col("id").eqNullSafe(F.col("first.id"))
+        gone = written(rooted.join(first, "root").filter(~kept).select(F.col("node").alias(own_node), F.col("id").alias(own_id)), "gone", stays=True)
     # Not an equality, so that only texts whose ids meet are hashed again.
     same = (node >= F.col(own_node)) & (node <= F.col(own_node))
     named = docs.filter(id_.isNotNull()).join(small(gone.filter(F.col(own_id).isNotNull())), (id_ == F.col(own_id)) & same, "left_anti")
