@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaframe.llm import exact, near, packing, quality, repeats
-from sylvaframe.llm.common import table, written
+from sylvaframe.llm.common import passing, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; each result is written to the shared folder and read again."""
+    """All stages over the table of documents; each result is written to the shared folder and read again, and what it was made from is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with passing(spark):
+        for name, stage in STAGES[:-1]:
+            with passing(spark):
+                docs = written(stage(spark, docs, sf_dir), name, stays=True)
+        return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0], stays=True)
