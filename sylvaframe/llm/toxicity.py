@@ -404,7 +404,7 @@ def remainder(id_col):
 
 
 def sample_windows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST) -> tuple[list[list[bytes]], list[int]]:
-    """All windows, and the labels, of at most per_class documents of label 0 and 1 that have 1 to `longest` windows; labels: rows (doc_id, label) that may be learned from."""
+    """All windows, and the labels, of at most per_class documents of label 0 and 1 that have 1 to `longest` windows, repeated rows once; labels: rows (doc_id, label) that may be learned from."""
     clean = labels.select("doc_id", "label").filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     n_words = F.size(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
     # Of longer texts it is enough to know that they are longer.
@@ -417,7 +417,9 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
     if not chosen:
         return [], []
     small = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int, h long")
-    texts = docs.join(F.broadcast(small), (docs["doc_id"] == small["doc_id"]) & (F.xxhash64("text") == F.col("h"))).select(docs["doc_id"], "text", "label")
+    # Rows that repeat an id and its text are one document; they meet where they are read before any is sent on.
+    texts = docs.join(F.broadcast(small), (docs["doc_id"] == small["doc_id"]) & (F.xxhash64("text") == F.col("h"))).select(docs["doc_id"], "text", "label", "h")
+    texts = texts.dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

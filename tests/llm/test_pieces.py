@@ -104,3 +104,12 @@ def test_dropout_varies():
     flat, sizes = turns.encode([" considerations"] * len(keys), keys)
     forms = {tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1])}
     assert len(forms) > 20 and {model.decode(np.array([0, *f])) for f in forms} == {model.decode(np.array([0, *model.encode_word(" considerations")]))}
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "many considerations of nations"), (1, "many considerations of nations"), (1, "another text"), (2, "many considerations of nations"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, -1, True) for r in rows], "doc_id long, text string, n_ids int, lossless boolean")
+    got = [tuple(r) for r in pieces.round_trip(docs, dropout=0.5).collect()]
+    assert len(got) == 6 and len({r for r in got if r[0] == 1}) == 2 and all(r[5] for r in got)
+    once = {tuple(r) for r in pieces.round_trip(docs.distinct(), dropout=0.5).collect()}
+    assert set(got) == once and len(once) == 4

@@ -79,3 +79,23 @@ def test_empty_null_ids_and_clashing_names(spark, tmp_path):
         spark.createDataFrame(data, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
         got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()]
         assert sorted(str(r[0]) for r in got) == (["1", "None"] if data else [])
+
+
+def test_very_long_text(spark, tmp_path):
+    rng = random.Random(21)
+    # Over so many words, few different ones would be too little entropy.
+    vocabulary = "the of and to in is that for with was by this from have they which one were all their has would what will about when who make can more if no out so said".split()
+    vocabulary += "time people year way day thing man world life hand part child eye woman place work week case point company number group problem fact water room mother area money story".split()
+    vocabulary += "month study book word business issue side kind head house service friend father power hour game line member law car city name team idea body face level office door health person".split()
+    prose = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", "s", "ing"]) for _ in range(n))
+    long, short = prose(100_000), prose(200)
+    rows = [(1, long), (2, short), (3, long), (4, long + " end"), (5, prose(100) + " " + long[1000:1400])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    check(got, packing.LENGTHS)
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
+    n = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    of = {i: sum(r[3] for r in got if r[0] == i) for i in {r[0] for r in got}}
+    # The exact copy and the near one go; of the last text, the passage that the first one has.
+    assert of == {1: n(long), 2: n(short), 5: n(dict(slow_cut([(1, long[900:1500]), rows[4]]))[5])}
+    assert sum(r[0] == 1 for r in got) == -(-n(long) // max(packing.LENGTHS))

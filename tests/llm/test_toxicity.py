@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -102,3 +103,64 @@ def test_one_label_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     assert [r.score for r in tx.fit_and_score(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")).collect()] == [0.0, 0.0]
     assert tx.fit_and_score(docs.filter("false"), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def slow_score(w, text):
+    """The score by the definition: one window, one word and one n-gram at a time, in doubles."""
+    w = {k: x.astype(np.float64) for k, x in w.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        own = re.sub(r"\W+", "", word.decode().lower()).encode()
+        marked, grams = b"\x02" + own + b"\x03", []
+        for n in (3, 4, 5):
+            for k in range(len(marked) - n + 1):
+                h = (int.from_bytes(marked[k : k + n], "little") * 0x9E3779B97F4A7C15 + n) % 2**64
+                grams.append(w["grams"][(h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64 >> 48])
+        return w["words"][zlib.crc32(own) % 2**16] + (np.mean(grams, axis=0) if grams else 0)
+
+    def states(vectors, way):
+        h, out = np.zeros(16), []
+        for x in vectors:
+            x, g = x @ w[f"x{way}"] + w[f"c{way}"], h @ w[f"u{way}"]
+            r, z = sigmoid(x[:16] + g[:16]), sigmoid(x[16:32] + g[16:32])
+            n = np.tanh(x[32:] + r * (g[32:] + w[f"n{way}"]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    words, found = text.split(), []
+    begins = {0} if len(words) <= 32 else {*range(0, len(words) - 32, 24), len(words) - 32}
+    for begin in begins if words else ():
+        vectors = [vector(x) for x in words[begin : begin + 32]]
+        both = [np.concatenate(x) for x in zip(states(vectors, "f"), states(vectors[::-1], "b")[::-1])]
+        weight = np.array([np.exp(np.tanh(x @ w["wa"] + w["ba"]) @ w["va"]) for x in both])
+        pooled = sum(a * x for a, x in zip(weight / weight.sum(), both))
+        found.append(sigmoid(pooled @ w["wo"] + w["bo"][0]))
+    return max(found, default=0.0)
+
+
+def test_scores_against_brute_force():
+    rng = random.Random(8)
+    alphabet = ["ta", "Re", "on", "é", "日本", "_x", "7", "-", "!", "krag", "ß"]
+    texts = ["", " \n\t", "one", "!!! ...", *(" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(n)) for n in (2, 31, 32, 33, 56, 57, 200, 200))]
+    texts += texts[-3:]
+    w = tx.new_weights(4)
+    w = {k: x if k in ("words", "grams") else 1.5 * x + 0.01 for k, x in w.items()}
+    got = tx.Scorer(w).scores([t.encode() for t in texts])
+    want = [slow_score(w, t.encode()) for t in texts]
+    assert got == pytest.approx(want, abs=1e-5) and len({round(x, 4) for x in want}) > 8
+
+
+def test_repeated_rows_and_clashing_columns(spark, corpus, monkeypatch):
+    monkeypatch.setattr(tx, "train", lambda *sample: sample)
+    rows, known = [(k, t) for k, t, _ in corpus[:40]], [(k, x) for k, _, x in corpus[:40]]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, toxic int")
+    extra = "score double, held_out int, predicted string, label int, h long, n int, toxic int"
+    wide = spark.createDataFrame([(*r, 0.5, 7, "x", 1, 1, 1, 1) for r in rows + rows[:9]], f"doc_id long, text string, {extra}")
+    wide_labels = spark.createDataFrame([(k, x, "not the text", 1 - x, 0.5, 3, 4) for k, x in known + known[:9]], "doc_id long, toxic int, text string, label int, score double, n int, h long")
+    assert tx.fit(wide, wide_labels) == tx.fit(docs, labels) and tx.fit(docs, labels)[0]
+    w = tx.new_weights(4)
+    rounded = lambda df: [(r[0], r[1], round(r[2], 6), r[3]) for r in map(tuple, df.collect())]
+    once = rounded(tx.score(docs, w))
+    assert sorted(rounded(tx.score(wide, w))) == sorted(once + [r for r in once if r[0] in {k for k, _ in rows[:9]}])
