@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.shared import shuffled
 from .schema import Tables, Tree
 
 
@@ -32,8 +33,9 @@ VEC_ASSIGNMENTS = "SELECT CAST(vec_id AS STRING) AS object_id, CASE WHEN vec_id
 VEC_REJECTED = "SELECT 10 + (label + 1) % 10 AS node_id, CAST(vec_id AS STRING) AS object_id FROM embeddings WHERE vec_id % 13 = 0"
 
 
-def _select(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) -> DataFrame:
-    views = {n: load(spark, sf_dir, n) for n in names}
+def _select(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...], joined: str = "") -> DataFrame:
+    """What sql selects; `joined` is a table that grows and that its joins must not broadcast."""
+    views = {n: shuffled(load(spark, sf_dir, n)) if n == joined else load(spark, sf_dir, n) for n in names}
     text = sql
     for n in names:
         text = text.replace(f" {n} ", f" {{{n}}} ").replace(f" {n}\n", f" {{{n}}}\n").replace(f" {n})", f" {{{n}}})")
@@ -43,7 +45,7 @@ def _select(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...])
 def geo(spark: SparkSession, sf_dir: str) -> Tables:
     """Regions, nations and customers as nodes, orders as objects."""
     nodes = _select(spark, sf_dir, GEO_NODES, ("region", "nation", "customer")).withColumn("project_id", F.lit(1)).withColumn("orig_id", F.col("node_id"))
-    at = lambda sql: _select(spark, sf_dir, sql + " ", ("orders", "customer")).withColumn("node_id", F.col("node_id").cast("long"))
+    at = lambda sql: _select(spark, sf_dir, sql + " ", ("orders", "customer"), "customer").withColumn("node_id", F.col("node_id").cast("long"))
     return Tables(nodes, at(GEO_ASSIGNMENTS), at(GEO_ASSIGNMENTS).select("object_id"), at(GEO_REJECTED))
 
 
@@ -98,7 +100,10 @@ DEEP_ASSIGNMENTS = "SELECT CAST(o_orderkey AS STRING) AS object_id, o_custkey AS
 def deep(spark: SparkSession, sf_dir: str) -> Tables:
     """A deep tree of customers, with orders as objects."""
     nodes = _select(spark, sf_dir, DEEP_NODES, ("customer",)).withColumns({"node_id": F.col("node_id").cast("long"), "parent_id": F.col("parent_id").cast("long"), "project_id": F.lit(1)})
-    return Tables(nodes, _select(spark, sf_dir, DEEP_ASSIGNMENTS, ("orders", "customer")).withColumn("node_id", F.col("node_id").cast("long")))
+    # The rows of DEEP_ASSIGNMENTS, with a join that doesn't broadcast the customers.
+    known = shuffled(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")))
+    rows = load(spark, sf_dir, "orders").join(known, "o_custkey", "left_semi")
+    return Tables(nodes, rows.select(F.col("o_orderkey").cast("string").alias("object_id"), F.col("o_custkey").cast("long").alias("node_id")))
 
 
 def deep_with_vectors(spark: SparkSession, sf_dir: str) -> Tables:

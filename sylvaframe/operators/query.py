@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.closure import Descend, ancestors, edges_of, nearest, path_fold, paths, subtree, subtree_sums
-from ..plans.shared import written
+from ..plans.shared import shuffled, small, written
 from ..schema import Tables
 
 
@@ -34,7 +34,7 @@ def n_objects_deep(nodes: DataFrame, assignments: DataFrame) -> DataFrame:
     """(node_id, n_objects_deep) for every node: the objects assigned in its subtree. Objects are counted per node first."""
     own = assignments.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
     deep = subtree_sums(nodes, own)
-    return nodes.select("node_id").join(deep, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_objects_deep"))
+    return nodes.select("node_id").join(shuffled(deep), "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_objects_deep"))
 
 
 def root_of(nodes: DataFrame, project_id: int) -> DataFrame:
@@ -83,14 +83,14 @@ def levels(nodes: DataFrame) -> DataFrame:
 
 def topological(nodes: DataFrame, order_by_name: bool = False) -> DataFrame:
     """Nodes with a level, parents before children."""
-    found = nodes.join(levels(nodes), "node_id")
+    found = nodes.join(shuffled(levels(nodes)), "node_id")
     return found.orderBy("level", *(["name"] if order_by_name else []), "node_id")
 
 
 def walk(nodes: DataFrame) -> DataFrame:
     """(node_id, path, children): each node's path and the ids of its children."""
     kids = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list("node_id")).alias("children"))
-    return paths(nodes).join(kids, "node_id", "left").select("node_id", "path", F.coalesce("children", F.array().cast("array<long>")).alias("children"))
+    return paths(nodes).join(shuffled(kids), "node_id", "left").select("node_id", "path", F.coalesce("children", F.array().cast("array<long>")).alias("children"))
 
 
 def proper_ancestors(nodes: DataFrame, node_id: int) -> DataFrame:
@@ -159,7 +159,7 @@ def connect_supertree(nodes: DataFrame) -> DataFrame:
     """Nodes with superparent_id: the nearest starred proper ancestor, else the root; null for roots."""
     found = nearest(nodes, nodes.filter("coalesce(starred, false) or parent_id is null")).select(F.col("node_id").alias("parent_id"), F.col("mark").alias("superparent_id"))
     kept = nodes.drop("superparent_id")
-    return kept.join(found, "parent_id", "left").select(*kept.columns, "superparent_id")
+    return kept.join(shuffled(found), "parent_id", "left").select(*kept.columns, "superparent_id")
 
 
 def superchildren(nodes: DataFrame) -> DataFrame:
@@ -210,15 +210,15 @@ def progress(tables: Tables, descend_approved: bool = True, starts: DataFrame |
         starts = nodes.filter("parent_id is null").select("node_id")
     inner = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
     own = nodes.select("node_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("approved", "filled")), F.col("name").isNotNull().alias("named"))
-    own = written(own.join(n_objects_deep(nodes, tables.assignments), "node_id").join(inner, "node_id", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"), "progress")
+    own = written(own.join(shuffled(n_objects_deep(nodes, tables.assignments)), "node_id").join(shuffled(inner), "node_id", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"), "progress")
     # What counts for a marked node: its objects without those of the next marked ones below it, so that sums over a subtree hold each top one once.
     edges = edges_of(nodes, descend)
     is_marked = {"approved": F.coalesce("approved", F.lit(False)), "named": F.col("name").isNotNull()}
     marks = path_fold(nodes, {c: F.when(cond, F.col("node_id")) for c, cond in is_marked.items()}, lambda near, far: {c: F.coalesce(near(c), far(c)) for c in is_marked}, descend)
     above = marks.select(F.col("node_id").alias("parent_id"), *(F.col(c).alias(f"above_{c}") for c in is_marked))
     handed = F.array(*(F.struct(F.when(F.col(c), F.col(f"above_{c}")).alias("node_id"), *(F.when(F.lit(c == k), F.col("n_objects_deep")).alias(f"below_{k}") for k in is_marked)) for c in is_marked))
-    nested = edges.join(own.select("node_id", *is_marked, "n_objects_deep"), "node_id").join(above, "parent_id").select(F.explode(handed).alias("e")).select("e.*").filter("node_id is not null")
-    parts = own.join(nested.groupBy("node_id").agg(*(F.sum(f"below_{c}").alias(f"below_{c}") for c in is_marked)), "node_id", "left")
+    nested = edges.join(shuffled(own.select("node_id", *is_marked, "n_objects_deep")), "node_id").join(shuffled(above), "parent_id").select(F.explode(handed).alias("e")).select("e.*").filter("node_id is not null")
+    parts = own.join(shuffled(nested.groupBy("node_id").agg(*(F.sum(f"below_{c}").alias(f"below_{c}") for c in is_marked))), "node_id", "left")
     for c in is_marked:
         parts = parts.withColumn(f"net_{c}", F.when(F.col(c), F.col("n_objects_deep") - F.coalesce(f"below_{c}", F.lit(0))).otherwise(0))
     n, one = F.col("n_objects_deep"), F.lit(1).cast("long")
@@ -231,7 +231,7 @@ def progress(tables: Tables, descend_approved: bool = True, starts: DataFrame |
     kinds = ("approved", "filled", "named")
     order = [f"n_{c}_objects" for c in ("approved", "named", "filled")] + [f"n_{c}_nodes" for c in kinds] + ["n_nodes", "n_objects"]
     order += [f"leaves_n_{c}_objects" for c in kinds] + [f"leaves_n_{c}_nodes" for c in kinds] + ["leaves_n_nodes", "leaves_n_objects"]
-    return starts.select("node_id").distinct().join(total, "node_id").join(at, "node_id").select("node_id", *order)
+    return small(starts.select("node_id").distinct()).join(shuffled(total), "node_id").join(shuffled(at), "node_id").select("node_id", *order)
 
 
 def node_view(tables: Tables) -> DataFrame:

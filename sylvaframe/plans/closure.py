@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shuffled, small, written
 
 #: A predicate over (column of the parent's row, column of the child's row), as functions from a column's name.
 Descend = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
@@ -32,7 +32,7 @@ def edges_of(nodes: DataFrame, descend: Descend | None = None, parent: str = "pa
     if descend is None:
         return nodes.filter(F.col(parent).isNotNull()).select("node_id", F.col(parent).alias("parent_id"))
     up = nodes.select(*(F.col(c).alias(f"up_{c}") for c in nodes.columns))
-    joined = nodes.join(up, F.col(parent) == F.col("up_node_id"))
+    joined = nodes.join(shuffled(up), F.col(parent) == F.col("up_node_id"))
     return joined.filter(descend(lambda c: F.col(f"up_{c}"), F.col)).select("node_id", F.col(parent).alias("parent_id"))
 
 
@@ -48,7 +48,7 @@ def path_fold(nodes: DataFrame, values: dict[str, Column], combine: Combine, des
 
     With `descend`, a way ends where an edge may not be followed. A cycle is an error, or with `cycles` its nodes come without values."""
     own = nodes.select("node_id", *(v.alias(k) for k, v in values.items()))
-    held, most = _counted(own.join(edges_of(nodes, descend).withColumnRenamed("parent_id", "up"), "node_id", "left").select("node_id", "up", *values), "fold")
+    held, most = _counted(own.join(shuffled(edges_of(nodes, descend).withColumnRenamed("parent_id", "up")), "node_id", "left").select("node_id", "up", *values), "fold")
     more, passed = most, 1
     while more:
         if passed > 2 * most:
@@ -57,7 +57,9 @@ def path_fold(nodes: DataFrame, values: dict[str, Column], combine: Combine, des
             raise CycleError("the nodes have a cycle")
         far = held.select(F.col("node_id").alias("up"), F.col("up").alias("far_up"), F.lit(True).alias("far"), *(F.col(k).alias(f"far_{k}") for k in values))
         both = combine(F.col, lambda k: F.col(f"far_{k}"))
-        step = held.join(far, "up", "left").select("node_id", F.col("far_up").alias("up"), *(F.when(F.col("far"), both[k]).otherwise(F.col(k)).alias(k) for k in values))
+        # What has reached its end stays where it is, so that the ends don't meet in one task.
+        step = held.filter("up is not null").join(shuffled(far), "up", "left").select("node_id", F.col("far_up").alias("up"), *(F.when(F.col("far"), both[k]).otherwise(F.col(k)).alias(k) for k in values))
+        step = step.unionByName(held.filter("up is null"))
         held, more = _counted(step, "fold", F.col("up").isNotNull())
         passed *= 2
     return held.select("node_id", *values)
@@ -72,9 +74,9 @@ def subtree_sums(nodes: DataFrame, own: DataFrame, by: Sequence[str] = (), desce
     while more:
         if passed > limit:
             raise CycleError("the nodes have a cycle")
-        moved = total.join(jump, "node_id").select(F.col("up").alias("node_id"), *by, *numbers)
+        moved = total.join(shuffled(jump), "node_id").select(F.col("up").alias("node_id"), *by, *numbers)
         total = written(total.unionByName(moved).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in numbers)), "sums")
-        jump, more = _counted(jump.join(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far")), "up").select("node_id", F.col("far").alias("up")), "jumps")
+        jump, more = _counted(jump.join(shuffled(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far"))), "up").select("node_id", F.col("far").alias("up")), "jumps")
         passed *= 2
     return total
 
@@ -87,10 +89,10 @@ def closure(nodes: DataFrame, descend: Descend | None = None, parent: str = "par
     while more:
         if span > most:
             raise CycleError("the nodes have a cycle")
-        longer = pairs.join(step.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id")
+        longer = pairs.join(shuffled(step.withColumnRenamed("node_id", "ancestor_id")), "ancestor_id")
         pairs = pairs.unionByName(longer.select(F.col("up").alias("ancestor_id"), "node_id", (F.col("distance") + span).alias("distance")))
         nearer = step.select("node_id", F.col("up").alias("mid"))
-        step, more = _counted(nearer.join(step.select(F.col("node_id").alias("mid"), "up"), "mid").select("node_id", "up"), "step")
+        step, more = _counted(nearer.join(shuffled(step.select(F.col("node_id").alias("mid"), "up")), "mid").select("node_id", "up"), "step")
         span *= 2
         if span >= 4:
             pairs = written(pairs, "closure")
@@ -107,11 +109,11 @@ def subtree_fold(nodes: DataFrame, own: DataFrame, merge: Callable[[DataFrame],
     while more:
         if passed > limit:
             raise CycleError("the nodes have a cycle")
-        moved = written(total.join(jump, "node_id").select(F.col("up").alias("node_id"), *(c for c in total.columns if c != "node_id")), "moved")
-        takers = moved.select("node_id").distinct()
+        moved = written(total.join(shuffled(jump), "node_id").select(F.col("up").alias("node_id"), *(c for c in total.columns if c != "node_id")), "moved")
+        takers = shuffled(moved.select("node_id").distinct())
         merged = merge(total.join(takers, "node_id", "left_semi").unionByName(moved))
         total = written(total.join(takers, "node_id", "left_anti").unionByName(merged), "folded")
-        jump, more = _counted(jump.join(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far")), "up").select("node_id", F.col("far").alias("up")), "jumps")
+        jump, more = _counted(jump.join(shuffled(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far"))), "up").select("node_id", F.col("far").alias("up")), "jumps")
         passed *= 2
     return total
 
@@ -119,7 +121,7 @@ def subtree_fold(nodes: DataFrame, own: DataFrame, merge: Callable[[DataFrame],
 def _targets(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(target_id, node_id, distance 0) of the nodes among ids, a frame of one column."""
     asked = ids.select(F.col(ids.columns[0]).cast("long").alias("node_id")).distinct()
-    return nodes.join(asked, "node_id", "left_semi").select(F.col("node_id").alias("target_id"), "node_id", F.lit(0).alias("distance"))
+    return nodes.join(small(asked), "node_id", "left_semi").select(F.col("node_id").alias("target_id"), "node_id", F.lit(0).alias("distance"))
 
 
 def _spread(found: DataFrame, nodes: DataFrame, descend: Descend | None, up: bool) -> DataFrame:
@@ -131,11 +133,11 @@ def _spread(found: DataFrame, nodes: DataFrame, descend: Descend | None, up: boo
         if span > most:
             raise CycleError("the nodes have a cycle")
         steps = jump.select(F.col(begin).alias("node_id"), F.col(end).alias("end"))
-        farther, n = _counted(found.join(steps, "node_id").select("target_id", F.col("end").alias("node_id"), (F.col("distance") + span).cast("int").alias("distance")), "way")
+        farther, n = _counted(found.join(shuffled(steps), "node_id").select("target_id", F.col("end").alias("node_id"), (F.col("distance") + span).cast("int").alias("distance")), "way")
         if not n:
             break
         found = written(found.unionByName(farther), "way")
-        jump, more = _counted(jump.join(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far")), "up").select("node_id", F.col("far").alias("up")), "jumps")
+        jump, more = _counted(jump.join(shuffled(jump.select(F.col("node_id").alias("up"), F.col("up").alias("far"))), "up").select("node_id", F.col("far").alias("up")), "jumps")
         span *= 2
     return found
 
@@ -153,7 +155,7 @@ def ancestors(nodes: DataFrame, node_id: int | DataFrame) -> DataFrame:
     """The node at level 0 and its ancestors at levels -1, -2, ..., with all columns of nodes; for a one-column DataFrame of ids, with target_id."""
     many = isinstance(node_id, DataFrame)
     way = ways_up(nodes, node_id if many else _one(nodes, node_id)).select(*(["target_id"] if many else []), "node_id", (-F.col("distance")).alias("level"))
-    return nodes.join(way, "node_id")
+    return nodes.join(small(way), "node_id")
 
 
 def paths(nodes: DataFrame, node_id: int | DataFrame | None = None) -> DataFrame:
@@ -167,7 +169,7 @@ def paths(nodes: DataFrame, node_id: int | DataFrame | None = None) -> DataFrame
 
 def nearest(nodes: DataFrame, marks: DataFrame, descend: Descend | None = None) -> DataFrame:
     """(node_id, mark, distance): the nearest of marks (node_id) on each node's way up, itself included, and how far it is; only nodes that have one."""
-    marked = nodes.join(marks.select("node_id", F.lit(True).alias("is_mark")).distinct(), "node_id", "left")
+    marked = nodes.join(small(marks.select("node_id", F.lit(True).alias("is_mark")).distinct()), "node_id", "left")
     values = {"mark": F.when(F.col("is_mark"), F.col("node_id")), "distance": F.when(F.col("is_mark"), F.lit(0)), "n": F.lit(1)}
     both = lambda near, far: {"mark": F.coalesce(near("mark"), far("mark")), "distance": F.coalesce(near("distance"), (near("n") + far("distance")).cast("int")), "n": (near("n") + far("n")).cast("int")}
     return path_fold(marked, values, both, descend).filter("mark is not null").select("node_id", "mark", "distance")
@@ -179,4 +181,4 @@ def subtree(nodes: DataFrame, node_id: int | DataFrame, descend: Descend | None
         below = _spread(_targets(nodes, node_id), nodes, descend, False).select("target_id", "node_id", F.col("distance").alias("level"))
     else:
         below = nearest(nodes, _one(nodes, node_id), descend).select("node_id", F.col("distance").alias("level"))
-    return nodes.join(below, "node_id")
+    return nodes.join(shuffled(below), "node_id")
