@@ -352,9 +352,12 @@ def _(s, d):
     return _exploded(stats.centroids(fx.vectors(s, d)), "node_id")
 
 
-@query_of("a07_prototypes", VEC + CENTROIDS + " SELECT node_id, pos, round(x, 5) + 0.0 AS x FROM dims")
+# Prototypes stand for a node's own sample: of its objects with a vector the 1000 with the least rand, then the smallest id.
+_SAMPLE_MEANS = ", flat AS (SELECT node_id, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM (SELECT node_id, vector, row_number() OVER (PARTITION BY node_id ORDER BY rand, object_id) AS r FROM assignments JOIN objects USING (object_id) WHERE vector IS NOT NULL) WHERE r <= 1000)"
+
+
+@query_of("a07_prototypes", VEC + CLOSURE + _SAMPLE_MEANS + " SELECT cl.ancestor_id AS node_id, pos, round(avg(x), 5) + 0.0 AS x FROM cl JOIN flat USING (node_id) GROUP BY 1, 2")
 def _(s, d):
-    # Nodes have fewer objects than a sample, so the mean that their prototypes stand for is that of all objects below them.
     return _exploded(_mean_of(stats.prototypes(fx.vectors(s, d)), "node_id"), "node_id", digits=5)
 
 

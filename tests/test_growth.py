@@ -79,3 +79,16 @@ def test_fixtures_do_not_broadcast_customers(spark):
 
     for t in (fixtures.geo(spark, "/root/testdata/sf0.001"), fixtures.deep(spark, "/root/testdata/sf0.001")):
         assert "SortMergeJoin" in _plan(t.assignments) and "Broadcast" not in _plan(t.assignments)
+
+
+def test_prototypes_stand_for_a_sample_of_large_nodes(spark, tmp_path):
+    # 1300 objects in a node: its sample of 1000 has another mean than all of them.
+    from sylvaframe import queries as library
+
+    from .compare import compare
+
+    rng = random.Random(3)
+    rows = [(5 * k, [rng.random(), float(k)], 0) for k in range(1300)] + [(5 * k + 2, [rng.random(), 1.0], k % 2) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "x", "{}")], "event_id long, ts string, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert compare(spark, "a07_prototypes", library.QUERIES["a07_prototypes"], library.ORACLES["a07_prototypes"], str(tmp_path)) == ""
