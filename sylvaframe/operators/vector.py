@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS, euclidean, mean_vectors
 from ..plans.blocks import block_pairs
-from ..plans.shared import is_small, small, written
+from ..plans.shared import is_small, shuffled, small, written
 
 PROTOTYPES = "array<struct<vector: array<double>, support: double>>"
 
@@ -29,13 +29,47 @@ def _doubles(vector: str = "vector"):
     return F.transform(vector, lambda x: x.cast("double"))
 
 
-def _in_one_row(others: DataFrame, *columns: str) -> DataFrame | None:
-    """A broadcast row with the list `all` of others' rows, if these are few enough."""
-    if not is_small(others.select(*columns)):
+#: Rows that a list has at most that each point goes through by itself; more are compared block by block.
+LIST_ROWS = 256
+#: Rows of a block where only the least or the most of it is kept, and rows of it whose products are made at once.
+NEAR_ROWS, PRODUCT_ROWS = 8192, 256
+#: Distances that are measured again at once, of those that are as near as a product's errors.
+AGAIN = 65_536
+
+
+def _in_one_row(others: DataFrame, *columns: str, rows: int | None = None) -> DataFrame | None:
+    """A broadcast row with the list `all` of others' rows, if these are few enough: at most `rows`, or what may be broadcast."""
+    if not is_small(others.select(*columns), rows):
         return None
     return F.broadcast(others.agg(F.collect_list(F.struct(*columns)).alias("all")))
 
 
+def _ends(a: np.ndarray, b: np.ndarray, metric: str, least: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the row of b that is nearest to each row of a, or the farthest, the first of equal ones; its distance)."""
+    if metric not in ("euclidean", "sqeuclidean") or not (np.isfinite(a).all() and np.isfinite(b).all()):
+        d = np.stack([_in_numpy(metric, a, v) for v in b], 1)
+        at = d.argmin(1) if least else d.argmax(1)
+        return at, d[np.arange(len(a)), at]
+    first: dict[bytes, int] = {}
+    for j, v in enumerate(b):
+        first.setdefault(v.tobytes(), j)
+    kinds = np.array(list(first.values()))
+    b = b[kinds]
+    size, at, best = (b * b).sum(1), np.empty(len(a), np.int64), np.empty(len(a))
+    for lo in range(0, len(a), PRODUCT_ROWS):
+        x = a[lo : lo + PRODUCT_ROWS]
+        gap = size - 2 * (x @ b.T)
+        gap = gap if least else -gap
+        # A product's distance has errors; what is as near as them is measured again.
+        room = 1e-12 * ((x * x).sum(1) + size.max()) + 1e-300
+        i, j = np.nonzero(gap <= (gap.min(1) + room)[:, None])
+        d = np.concatenate([_in_numpy("sqeuclidean", x[i[k : k + AGAIN]], b[j[k : k + AGAIN]]) for k in range(0, len(i), AGAIN)])
+        order = np.lexsort((kinds[j], d if least else -d, i))
+        _, begin = np.unique(i[order], return_index=True)
+        at[lo : lo + len(x)], best[lo : lo + len(x)] = kinds[j[order[begin]]], d[order[begin]]
+    return at, best if metric == "sqeuclidean" else np.sqrt(best)
+
+
 def _far_pairs(points: DataFrame, others: DataFrame, metric: str, keep: str) -> DataFrame:
     """(object_id, other, d): distances of points (object_id, vector) and others (other, vector), block by block: 'least' and 'most' keep each point's nearest or farthest of a block, the smaller `other` of equal ones; 'all' keeps all. Null vectors have none."""
     kinds = {c: (points if c == "object_id" else others).schema[c].dataType.simpleString() for c in ("object_id", "other")}
@@ -44,14 +78,18 @@ def _far_pairs(points: DataFrame, others: DataFrame, metric: str, keep: str) ->
     def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, ids, others_ = np.stack(x["vector"].to_numpy()), x["object_id"].tolist(), y.sort_values("other")
         names = others_["other"].tolist()
-        d = np.stack([_in_numpy(metric, a, v) for v in others_["vector"]], 1)
         if keep == "all":
+            d = np.stack([_in_numpy(metric, a, v) for v in others_["vector"]], 1)
             at = (np.repeat(np.arange(len(ids)), len(names)), np.tile(np.arange(len(names)), len(ids)))
+            d = d[at]
         else:
-            at = (np.arange(len(ids)), d.argmin(1) if keep == "least" else d.argmax(1))
-        return pd.DataFrame({"object_id": pd.Series([ids[k] for k in at[0].tolist()], dtype=object), "other": pd.Series([names[k] for k in at[1].tolist()], dtype=object), "d": d[at]})
+            found, d = _ends(a, np.stack(others_["vector"].to_numpy()), metric, keep == "least")
+            at = (np.arange(len(ids)), found)
+        return pd.DataFrame({"object_id": pd.Series([ids[k] for k in at[0].tolist()], dtype=object), "other": pd.Series([names[k] for k in at[1].tolist()], dtype=object), "d": d})
 
-    return block_pairs(rows(points, "object_id"), rows(others, "other"), ["key"], "object_id", "other", pair, f"object_id {kinds['object_id']}, other {kinds['other']}, d double")
+    # All pairs of a block become rows; of larger blocks only one row a point is kept.
+    sizes = {} if keep == "all" else {"left_rows": NEAR_ROWS, "right_rows": NEAR_ROWS}
+    return block_pairs(rows(points, "object_id"), rows(others, "other"), ["key"], "object_id", "other", pair, f"object_id {kinds['object_id']}, other {kinds['other']}, d double", **sizes)
 
 
 def prototype_distance(points: DataFrame, prototypes: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -59,11 +97,11 @@ def prototype_distance(points: DataFrame, prototypes: DataFrame, metric: str = "
 
     Few prototypes are sent as one list, and each row finds its least by itself; beyond the broadcast limit blocks of both are compared."""
     known = prototypes.filter("vector is not null")
-    if one := _in_one_row(known, "vector"):
+    if one := _in_one_row(known, "vector", rows=LIST_ROWS):
         near = F.array_min(F.transform("all", lambda p: METRICS[metric](F.col("vector"), p["vector"])))
         return points.crossJoin(one).select("object_id", F.coalesce(near, F.lit(float("inf"))).alias("distance"))  # one row
     found = _far_pairs(points, known.select(F.xxhash64("vector").alias("other"), "vector"), metric, "least").groupBy("object_id").agg(F.min("d").alias("distance"))
-    return points.select("object_id").join(found, "object_id", "left").select("object_id", F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
+    return points.select("object_id").join(shuffled(found), "object_id", "left").select("object_id", F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
 def _k_means(x: np.ndarray, k: int, seed: int, n_init: int = 2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +336,7 @@ def prototype_set_distance(a: DataFrame, b: DataFrame, metric: str = "euclidean"
 def predict_scores(points: DataFrame, classes: DataFrame, n_classes: int, metric: str = "euclidean", softmax: bool = False) -> DataFrame:
     """V7: (object_id, label, score) for labels 0..n_classes-1: minus the least distance to the label's prototypes (label, vector), minus infinity for a label without any; or its softmax over labels."""
     known, labels = classes.filter("vector is not null").select("label", "vector"), F.sequence(F.lit(0), F.lit(n_classes - 1))
-    if one := _in_one_row(known, "label", "vector"):
+    if one := _in_one_row(known, "label", "vector", rows=LIST_ROWS):
         of_label = lambda label: F.array_min(F.transform(F.filter("all", lambda p: p["label"] == label), lambda p: METRICS[metric](F.col("vector"), p["vector"])))
         scored = points.select("object_id", "vector").crossJoin(one).select("object_id", F.explode(F.transform(labels, lambda x: F.struct(x.cast("int").alias("label"), (-of_label(x)).alias("score")))).alias("e"))  # one row
         found = scored.select("object_id", "e.label", F.coalesce("e.score", F.lit(float("-inf"))).alias("score"))
@@ -308,7 +346,7 @@ def predict_scores(points: DataFrame, classes: DataFrame, n_classes: int, metric
         parts = [_far_pairs(points, named.filter(F.col("at.label") == k).select(F.col("at.h").alias("other"), "vector"), metric, "least").select("object_id", F.lit(k).alias("label"), "d") for k in range(n_classes)]
         near = reduce(DataFrame.unionByName, parts).groupBy("object_id", "label").agg((-F.min("d")).alias("score"))
         every = points.select("object_id", F.explode(labels).alias("label"))
-        found = every.join(near, ["object_id", "label"], "left").select("object_id", "label", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
+        found = every.join(shuffled(near), ["object_id", "label"], "left").select("object_id", "label", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
     if softmax:
         w = Window.partitionBy("object_id")
         found = found.withColumn("e", F.exp(F.col("score") - F.max("score").over(w))).select("object_id", "label", (F.col("e") / F.sum("e").over(w)).alias("score"))
@@ -342,7 +380,7 @@ def distances(types: DataFrame, points: DataFrame) -> DataFrame:
 def classify(types: DataFrame, points: DataFrame, safe: bool = True) -> DataFrame:
     """(object_id, type_id, distance): the nearest type, the smallest of equal ones; with `safe` -1 unless the distance is below the type's radius. Points or types without a vector are left out."""
     known = types.filter("vector is not null").select("type_id", "vector")
-    if one := _in_one_row(known, "type_id", "vector"):
+    if one := _in_one_row(known, "type_id", "vector", rows=LIST_ROWS):
         best = F.array_min(F.transform("all", lambda t: F.struct(euclidean(F.col("vector"), t["vector"]).alias("distance"), t["type_id"].alias("type_id"))))
         near = points.filter("vector is not null").crossJoin(one).select("object_id", best.alias("best")).filter("best is not null").select("object_id", "best.type_id", "best.distance")  # one row
     else:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaframe.operators import labels, query
+from sylvaframe.operators import labels, query, vector
 from sylvaframe.plans.closure import subtree
 from sylvaframe.schema import Tables
 
@@ -92,3 +93,31 @@ def test_prototypes_stand_for_a_sample_of_large_nodes(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "x", "{}")], "event_id long, ts string, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert compare(spark, "a07_prototypes", library.QUERIES["a07_prototypes"], library.ORACLES["a07_prototypes"], str(tmp_path)) == ""
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "cosine", "cityblock"])
+@pytest.mark.parametrize("least", [True, False])
+def test_ends_of_blocks(metric, least):
+    rng = np.random.default_rng(4)
+    b = np.concatenate([rng.normal(size=(300, 5)), np.ones((200, 5)), rng.normal(size=(100, 5)) * 1e-9 + 7])
+    a = np.concatenate([b[::3], rng.normal(size=(400, 5)), np.full((3, 5), 7.0)])
+    at, d = vector._ends(a, b, metric, least)
+    every = np.stack([vector._in_numpy(metric, a, v) for v in b], 1)
+    want = every.argmin(1) if least else every.argmax(1)
+    assert (at == want).all() and np.allclose(d, every[np.arange(len(a)), want], atol=0)
+
+
+def test_many_prototypes_are_compared_by_blocks(spark, monkeypatch):
+    # Lists of tens of thousands of prototypes, gone through row by row, took hours.
+    calls = []
+    real = vector._far_pairs
+    monkeypatch.setattr(vector, "_far_pairs", lambda *a: calls.append(1) or real(*a))
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 3)), rng.normal(size=(300, 3))
+    points = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "object_id int, vector array<double>")
+    known = spark.createDataFrame([(v, k % 2) for k, v in enumerate(y.tolist())], "vector array<double>, label int")
+    d = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+    assert {r.object_id: round(r.distance, 9) for r in vector.prototype_distance(points, known).collect()} == dict(enumerate(d.min(1).round(9).tolist()))
+    got = {(r.object_id, r.label): round(r.score, 9) for r in vector.predict_scores(points, known, 3).collect()}
+    assert got == {(i, k): round(-float(d[i, k::2].min()), 9) if k < 2 else float("-inf") for i in range(50) for k in range(3)}
+    assert len(calls) == 4
