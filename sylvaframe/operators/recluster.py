@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..plans.shared import written
+from ..plans.shared import passing, shuffled, small, small_batches, written
 from ..schema import Tables, Tree
 from ..sources.io import dump_tree, load_project, merge_trees, tree_from_labels, write_tree
 from .edit import create_project
@@ -120,41 +121,57 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _packed(index: MetricIndex, rows: DataFrame) -> DataFrame:
-    """(block, cell, rows): rows (object_id, ...) by block, in the order of ids; one row of about BLOCK points each."""
+    """(block, cell, object_id, vector, ...): rows (object_id, vector, ...) by block, in the order of ids: a list a column, the vectors one after the other; one row of about BLOCK points each."""
     kept = [c for c in rows.columns if c != "object_id"]
-    return index.blocks.join(rows, "object_id").groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("object_id", *kept))).alias("rows"))
+    held = index.blocks.join(shuffled(rows), "object_id").groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("object_id", *kept))).alias("rows"))
+    return held.select("block", "cell", *((F.flatten(F.col(f"rows.{c}")) if c == "vector" else F.col(f"rows.{c}")).alias(c) for c in ["object_id", *kept]))
+
+
+def _points(frame: pd.DataFrame, end: str = "") -> Iterator[dict[str, np.ndarray]]:
+    """The blocks of a frame, as arrays by the names of their columns, which end in `end`."""
+    names = [c for c in ("object_id", "vector", "core", "root", "within") if c + end in frame]
+    for values in zip(*(frame[c + end] for c in names)):
+        held = dict(zip(names, values))
+        yield held | {"vector": np.asarray(held["vector"], float).reshape(len(held["object_id"]), -1)}
 
 
 def _needed_pairs(index: MetricIndex, packed: DataFrame, within: str, report: dict | None) -> DataFrame:
-    """(block, rows, other, others): pairs of different blocks that can hold points as near as a point's `within`: by the triangle inequality, no point of a cell is nearer than the pivot's distance less the cell's radius."""
+    """Pairs of different blocks that can hold points as near as a point's `within`, the second one's columns with a 2 at their end: by the triangle inequality, no point of a cell is nearer than the pivot's distance less the cell's radius.
+
+    Tasks read both blocks where they lie and hand on pair after pair: no pair is shuffled or written, as each block meets many others."""
     sent = packed.sparkSession.sparkContext.broadcast((index.pivots, index.radius))
 
     def need(frames):
         pivots, radius = sent.value
         for f in frames:
-            for block, rows in zip(f["block"].tolist(), f["rows"]):
-                gap = _distances(np.array([r["vector"] for r in rows], float), pivots) - np.array([r[within] for r in rows], float)[:, None]
+            for block, rows in zip(f["block"].tolist(), _points(f)):
+                gap = _distances(rows["vector"], pivots) - rows[within][:, None]
                 # A little room for rounding.
-                cells = np.flatnonzero(gap.min(0) <= radius + 1e-6 * (1.0 + radius))
-                yield pd.DataFrame({"block": np.full(len(cells), block), "cell": cells})
+                yield pd.DataFrame({"block": [block], "cells": [np.flatnonzero(gap.min(0) <= radius + 1e-6 * (1.0 + radius))]})
 
-    wanted = packed.select("block", "rows").mapInPandas(need, "block int, cell int")
-    pairs = written(wanted.join(packed.select("cell", F.col("block").alias("other")), "cell").filter("block <> other").select("block", "other"), "pairs")
+    # A row a block, and at most PIVOTS cells in it.
+    wanted = written(packed.select("block", "vector", "object_id", within).mapInPandas(need, "block int, cells array<int>"), "wanted")
     if report is not None:
-        n = packed.count()
-        report |= {"compared": pairs.count(), "all": n * (n - 1)}
-    return pairs.join(packed.select("block", "rows"), "block").join(packed.select(F.col("block").alias("other"), F.col("rows").alias("others")), "other")
+        n, cells = packed.count(), wanted.select("block", F.explode("cells").alias("cell"))
+        report |= {"compared": cells.join(packed.select("cell", F.col("block").alias("other")), "cell").filter("block <> other").count(), "all": n * (n - 1)}
+    own = packed.join(small(wanted), "block").drop("cell")
+    others = packed.select(*(F.col(c).alias(f"{c}2") for c in packed.columns))
+    return own.hint("shuffle_replicate_nl").join(others, F.array_contains("cells", F.col("cell2")) & (F.col("block") != F.col("block2"))).drop("cells", "cell2", "block", "block2")
 
 
-def _nearest_in(rows, others, k: int, same: bool) -> tuple[list, np.ndarray, np.ndarray]:
-    """(ids, ids of the k nearest others of each, their distances); of equal distances the smaller id."""
-    a, b = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
-    ids, jds = [r["object_id"] for r in rows], np.array([r["object_id"] for r in others], object)
-    d = _distances(a, b)
+def _nearest_in(rows: dict, others: dict, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows' numbers, others' numbers, distances) of the k nearest others of each row, and what is as near as the last of them, by rows; with `same` a point isn't its own."""
+    d = _distances(rows["vector"], others["vector"])
     if same:
         np.fill_diagonal(d, np.inf)
-    best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(jds) - same)]
-    return ids, jds[best], np.take_along_axis(d, best, 1)
+    most = min(k, d.shape[1] - same)
+    if most < 1:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    limit = np.partition(d, most - 1, axis=1)[:, most - 1]
+    if "within" in rows:
+        limit = np.minimum(limit, rows["within"] * (1 + 1e-9))
+    at = np.nonzero(d <= limit[:, None])
+    return *at, d[at]
 
 
 def neighbours(points: DataFrame, k: int, index: MetricIndex | None = None, report: dict | None = None) -> DataFrame:
@@ -162,30 +179,35 @@ def neighbours(points: DataFrame, k: int, index: MetricIndex | None = None, repo
 
     A point's own block gives k others, so none farther than the last of them can be among its nearest; only the blocks of cells that can be as near are
     held against it. report gets the numbers of pairs of blocks that were compared and that there are."""
-    index = index or metric_index(points)
-    packed = written(_packed(index, points.select("object_id", "vector")), "blocks")
-
-    def inside(frames):
-        for f in frames:
-            for rows in f["rows"]:
-                ids, others, d = _nearest_in(rows, rows, k, True)
-                yield pd.DataFrame({"object_id": _names(ids), "others": list(others), "d": list(d), "within": d[:, -1] if d.shape[1] == k else np.full(len(ids), np.inf)})
-
-    own = written(packed.select("rows").mapInPandas(inside, "object_id string, others array<string>, d array<double>, within double"), "own")
-    bounded = written(_packed(index, points.select("object_id", "vector").join(own.select("object_id", "within"), "object_id")), "bounded")
-
-    def between(frames):
-        for f in frames:
-            for rows, others in zip(f["rows"], f["others"]):
-                ids, found, d = _nearest_in(rows, others, k, False)
-                keep = d <= np.array([r["within"] for r in rows], float)[:, None] * (1 + 1e-9)
-                at = np.nonzero(keep)
-                yield pd.DataFrame({"object_id": _names([ids[j] for j in at[0].tolist()]), "other_id": _names(found[keep].tolist()), "d": d[keep]})
-
-    pairs = _needed_pairs(index, bounded, "within", report).select("rows", "others").mapInPandas(between, "object_id string, other_id string, d double")
-    flat = own.select("object_id", F.explode(F.arrays_zip("others", "d")).alias("e")).select("object_id", F.col("e.others").alias("other_id"), "e.d")
-    ranked = flat.unionByName(pairs).withColumn("rank", F.row_number().over(Window.partitionBy("object_id").orderBy("d", "other_id")))
-    return ranked.filter(F.col("rank") <= k)
+    spark = points.sparkSession
+    with passing(spark), small_batches(spark):
+        index = index or metric_index(points)
+        packed = written(_packed(index, points.select("object_id", "vector")), "blocks")
+
+        def inside(frames):
+            for f in frames:
+                for rows in _points(f):
+                    i, j, d = _nearest_in(rows, rows, k, True)
+                    order = np.lexsort((j, d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    first = np.searchsorted(i, np.arange(len(rows["object_id"])))
+                    n = np.minimum(np.diff([*first, len(i)]), k)
+                    found = [(rows["object_id"][j[a : a + m]], d[a : a + m]) for a, m in zip(first.tolist(), n.tolist())]
+                    yield pd.DataFrame({"object_id": _names(list(rows["object_id"])), "others": [x for x, _ in found], "d": [x for _, x in found], "within": [x[-1] if len(x) == k else np.inf for _, x in found]})
+
+        own = written(packed.mapInPandas(inside, "object_id string, others array<string>, d array<double>, within double"), "own")
+        bounded = written(_packed(index, points.select("object_id", "vector").join(shuffled(own.select("object_id", "within")), "object_id")), "bounded")
+
+        def between(frames):
+            for f in frames:
+                for rows, others in zip(_points(f), _points(f, "2")):
+                    i, j, d = _nearest_in(rows, others, k, False)
+                    yield pd.DataFrame({"object_id": _names(rows["object_id"][i].tolist()), "other_id": _names(others["object_id"][j].tolist()), "d": d})
+
+        pairs = _needed_pairs(index, bounded, "within", report).mapInPandas(between, "object_id string, other_id string, d double")
+        flat = own.select("object_id", F.explode(F.arrays_zip("others", "d")).alias("e")).select("object_id", F.col("e.others").alias("other_id"), "e.d")
+        ranked = flat.unionByName(pairs).withColumn("rank", F.row_number().over(Window.partitionBy("object_id").orderBy("d", "other_id")))
+        return written(ranked.filter(F.col("rank") <= k), "neighbours", stays=True)
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -210,14 +232,14 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         own = components(forest)
 
 
-def _least_links(rows, others) -> pd.DataFrame:
+def _least_links(rows: dict, others: dict) -> pd.DataFrame:
     """(root, w, a, b): for each component among rows its least link to a point of others in another component, by mutual reachability: the largest of the distance and both cores. Of equal links the first by the names of both ends, the smaller one first, so that all components choose alike."""
-    ids, jds = [r["object_id"] for r in rows], [r["object_id"] for r in others]
-    x, y = np.array([r["vector"] for r in rows], float), np.array([r["vector"] for r in others], float)
-    cores = np.maximum(np.array([r["core"] for r in rows])[:, None], [r["core"] for r in others])
+    ids, jds, x, y = rows["object_id"].tolist(), others["object_id"].tolist(), rows["vector"], others["vector"]
+    cores = np.maximum(rows["core"][:, None], others["core"])
     d = np.maximum(_distances(x, y), cores)
-    root = np.array([r["root"] for r in rows], object)
-    d[root[:, None] == np.array([r["root"] for r in others], object)] = np.inf
+    root = rows["root"]
+    _, kinds = np.unique(np.concatenate((root, others["root"])).astype(str), return_inverse=True)
+    d[kinds[: len(root), None] == kinds[len(root) :]] = np.inf
     least = d.min(1)
     at = np.flatnonzero(np.isfinite(least))
     # A product's distance has errors that depend on the side; what is as near as them is measured again, alike from both sides.
@@ -245,39 +267,43 @@ def links_out(points: DataFrame, index: MetricIndex, report: dict | None = None)
 
     def inside(frames):
         for f in frames:
-            for rows in f["rows"]:
+            for rows in _points(f):
                 yield _least_links(rows, rows)
 
-    own = written(least(packed.select("rows").mapInPandas(inside, schema)), "inside")
+    own = written(least(packed.mapInPandas(inside, schema)), "inside")
     bounds = points.join(own.select("root", F.col("e.w").alias("within")), "root", "left").select("object_id", "vector", "core", "root", F.coalesce("within", F.lit(float("inf"))).alias("within"))
     bounded = written(_packed(index, bounds), "bounded")
 
     def between(frames):
         for f in frames:
-            for rows, others in zip(f["rows"], f["others"]):
-                roots = {r["root"] for r in rows}
-                if len(roots) > 1 or roots != {r["root"] for r in others}:
+            for rows, others in zip(_points(f), _points(f, "2")):
+                roots = set(rows["root"])
+                if len(roots) > 1 or roots != set(others["root"]):
                     yield _least_links(rows, others)
 
-    pairs = _needed_pairs(index, bounded, "within", report).select("rows", "others").mapInPandas(between, schema)
+    pairs = _needed_pairs(index, bounded, "within", report).mapInPandas(between, schema)
     flat = own.select("root", "e.w", "e.a", "e.b").unionByName(pairs)
     return least(flat).select("e.a", "e.b", "e.w").distinct()
 
 
 def density_forest(points: DataFrame, min_samples: int = 1) -> DataFrame:
     """(a, b, w): the spanning tree of mutual reachability of points (object_id, vector): Boruvka rounds over all pairs of components, until one is left; each is written."""
+    spark = points.sparkSession
     index = metric_index(points)
     near = neighbours(points, min_samples, index)
     core = near.filter(F.col("rank") == min_samples).select("object_id", F.col("d").alias("core"))
     held = written(points.join(core, "object_id", "left").select("object_id", "vector", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
     forest, roots, n = None, held.select("object_id", F.col("object_id").alias("root")), held.count()
     while forest is None or forest.count() < n - 1:
-        found = written(links_out(held.join(roots, "object_id"), index), "links-out")
+        # What a round writes goes when it ends, but for its links.
+        with passing(spark), small_batches(spark):
+            found = written(links_out(held.join(shuffled(roots), "object_id"), index), "links-out", stays=True)
         if found.isEmpty():
             return found if forest is None else forest
         forest = written(found if forest is None else forest.unionByName(found), "forest")
-        own = components(forest.select("a", "b"))
-        roots = written(held.select("object_id").join(own.withColumnRenamed("node", "object_id"), "object_id", "left").select("object_id", F.coalesce("root", "object_id").alias("root")), "roots")
+        with passing(spark):
+            own = components(forest.select("a", "b"))
+            roots = written(held.select("object_id").join(shuffled(own.withColumnRenamed("node", "object_id")), "object_id", "left").select("object_id", F.coalesce("root", "object_id").alias("root")), "roots", stays=True)
     return forest
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaframe.operators import labels, query, vector
+from sylvaframe.operators import labels, query, recluster, vector
 from sylvaframe.plans.closure import subtree
 from sylvaframe.schema import Tables
 
@@ -121,3 +121,20 @@ def test_many_prototypes_are_compared_by_blocks(spark, monkeypatch):
     got = {(r.object_id, r.label): round(r.score, 9) for r in vector.predict_scores(points, known, 3).collect()}
     assert got == {(i, k): round(-float(d[i, k::2].min()), 9) if k < 2 else float("-inf") for i in range(50) for k in range(3)}
     assert len(calls) == 4
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
+    # Each block went through a shuffle once for each block that it meets: quadratic on disk.
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(str(k), v) for k, v in enumerate(rng.normal(size=(400, 3)).tolist())], "object_id string, vector array<double>")
+    plans = []
+    real = recluster._needed_pairs
+    monkeypatch.setattr(recluster, "_needed_pairs", lambda *a: plans.append(real(*a)) or plans[-1])
+    got = recluster.neighbours(points, 3)
+    plan = _plan(plans[0])
+    assert "CartesianProduct" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    x = np.array([r.vector for r in points.collect()])
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(str(i), str(j), n + 1) for i in range(400) for n, j in enumerate(d[i].argsort()[:3])}
+    assert {(r.object_id, r.other_id, r["rank"]) for r in got.collect()} == want
