@@ -161,15 +161,15 @@ SEED_ROUNDS, LLOYD_ROUNDS = 5, 50
 
 
 def _by_blocks(points: DataFrame, centres: DataFrame, group: str, kind: str, run) -> DataFrame:
-    """Rows (group, run, at, pos, x): what run(points of a block, centres of its group and run) gives as a matrix, row by row. points: (group, block, rows); centres: (group, run, centres)."""
+    """Rows (group, run, at, pos, x): what run(points of a block, centres of its group and run) gives as a matrix, row by row. points: (group, block, h, vectors), the vectors one after the other; centres: (group, run, centres)."""
 
     def each(frames):
         for f in frames:
-            for key, init, rows, found in zip(f[group].tolist(), f["run"].tolist(), f["rows"], f["centres"]):
-                got = run(np.stack([r["vector"] for r in rows]), np.stack([np.array(c) for c in found]), [r["h"] for r in rows], init)
+            for key, init, h, x, found in zip(f[group].tolist(), f["run"].tolist(), f["h"], f["vectors"], f["centres"]):
+                got = run(x.reshape(len(h), -1), np.stack([np.array(c) for c in found]), h, init)
                 yield pd.DataFrame({group: pd.Series([key] * got.size, dtype=object), "run": init, "at": np.repeat(np.arange(len(got)), got.shape[1]), "pos": np.tile(np.arange(got.shape[1]), len(got)), "x": got.ravel()})
 
-    joined = points.join(small(centres), group).select(group, "run", "rows", "centres")
+    joined = points.join(small(centres), group).select(group, "run", "h", "vectors", "centres")
     return joined.mapInPandas(each, f"{group} {kind}, run int, at int, pos int, x double")
 
 
@@ -182,9 +182,10 @@ def _fit_large(points: DataFrame, group: str, kind: str, k: int, seed: int, n_in
     sized = points.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / FIT_BLOCK).cast("int").alias("blocks"))
     row = F.struct(F.xxhash64("object_id", F.lit(seed)).alias("h"), _doubles().alias("vector"))
     dealt = points.join(small(sized), group).withColumn("block", F.pmod(F.xxhash64("object_id"), F.col("blocks"))).groupBy(group, "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    held = written(dealt, "fit-blocks")
+    # Lists of numbers, not of rows: every round sends them to Python.
+    held = written(dealt.select(group, "block", F.col("rows.h").alias("h"), F.flatten("rows.vector").alias("vectors")), "fit-blocks")
     runs = F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("run")
-    first = held.select(group, runs, "rows").groupBy(group, "run").agg(F.min_by(F.col("rows")[0]["vector"], F.xxhash64(F.col("rows")[0]["h"], "run")).alias("v"))
+    first = held.select(group, runs, F.col("h")[0].alias("h"), F.slice("vectors", F.lit(1), (F.size("vectors") / F.size("h")).cast("int")).alias("v")).groupBy(group, "run").agg(F.min_by("v", F.xxhash64("h", "run")).alias("v"))
     centres = written(first.select(group, "run", F.array("v").alias("centres")), "centres")
     as_lists = lambda rows: rows.groupBy(group, "run", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"))  # noqa: E731  # one entry a dimension
 
@@ -194,15 +195,15 @@ def _fit_large(points: DataFrame, group: str, kind: str, k: int, seed: int, n_in
 
         def drawn(frames, turn=turn):
             for f in frames:
-                for key, init, rows, found, total in zip(f[group].tolist(), f["run"].tolist(), f["rows"], f["centres"], f["cost"].tolist()):
-                    x = np.stack([r["vector"] for r in rows])
+                for key, init, h, x, found, total in zip(f[group].tolist(), f["run"].tolist(), f["h"], f["vectors"], f["centres"], f["cost"].tolist()):
+                    x = x.reshape(len(h), -1)
                     chance = 2.0 * k * _gaps(x, np.stack([np.array(c) for c in found])).min(1) / total if total > 0 else np.zeros(len(x))
-                    mixed = np.array([r["h"] for r in rows], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(init * 64 + turn)
+                    mixed = np.array(h, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(init * 64 + turn)
                     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                     lucky = np.flatnonzero((mixed >> np.uint64(11)) * 2.0**-53 < chance)
                     yield pd.DataFrame({group: pd.Series([key] * len(lucky), dtype=object), "run": init, "v": pd.Series([x[j] for j in lucky.tolist()], dtype=object)})
 
-        more = held.join(small(priced), group).select(group, "run", "rows", "centres", "cost").mapInPandas(drawn, f"{group} {kind}, run int, v array<double>")
+        more = held.join(small(priced), group).select(group, "run", "h", "vectors", "centres", "cost").mapInPandas(drawn, f"{group} {kind}, run int, v array<double>")
         # About twice k vectors a group, run and round.
         gathered = more.groupBy(group, "run").agg(F.sort_array(F.collect_list("v")).alias("more"))
         centres = written(centres.join(gathered, [group, "run"], "left").select(group, "run", F.concat("centres", F.coalesce("more", F.array().cast("array<array<double>>"))).alias("centres")), "centres")
@@ -210,7 +211,7 @@ def _fit_large(points: DataFrame, group: str, kind: str, k: int, seed: int, n_in
     def sums(x, c, h, init):
         own = _gaps(x, c).argmin(1)
         out = np.zeros((len(c), x.shape[1] + 2))
-        np.add.at(out[:, :-2], own, x)
+        out[:, :-2] = (own == np.arange(len(c))[:, None]).astype(float) @ x
         out[:, -2] = np.bincount(own, minlength=len(c))
         out[:, -1] = np.bincount(own, ((x - c[own]) ** 2).sum(1), len(c))
         return out
