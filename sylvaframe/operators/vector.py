@@ -6,12 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS, euclidean, mean_vectors
 from ..plans.blocks import block_pairs
-from ..plans.shared import is_small, shuffled, small, written
+from ..plans.shared import is_small, new_path, shuffled, small, written
 
 PROTOTYPES = "array<struct<vector: array<double>, support: double>>"
 
@@ -484,25 +484,22 @@ def combine_covariances(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame
 
 
 def forest_nodes(model) -> list[tuple[list[int], list[float], list[int], list[int], list[float]]]:
-    """(feature, threshold, left, right, share of label 1) of the nodes of each tree of a fitted forest; a leaf has feature -1. At most 2^(depth + 1) nodes a tree."""
-    out = []
-    for tree in model.trees:
-        feature, threshold, left, right, share = [], [], [], [], []
-
-        def add(node) -> int:
-            at = len(feature)
-            counts = list(node.impurityStats().stats())
-            inner = node.subtreeDepth() > 0
-            feature.append(node.split().featureIndex() if inner else -1)
-            threshold.append(node.split().threshold() if inner else 0.0)
-            share.append(counts[1] / sum(counts) if len(counts) > 1 and sum(counts) else 0.0)
-            left.append(0), right.append(0)
-            if inner:
-                left[at], right[at] = add(node.leftChild()), add(node.rightChild())
-            return at
-
-        add(tree._call_java("rootNode"))
-        out.append((feature, threshold, left, right, share))
+    """(feature, threshold, left, right, share of label 1) of the nodes of each tree of a fitted forest; a leaf has feature -1.
+
+    The model is written to the shared folder and its nodes are read from there: a call to the driver's JVM for each of a grown tree's nodes would take minutes."""
+    spark = SparkSession.active()
+    path = new_path(spark, "forest")
+    model.write().save(path)
+    n = F.col("nodeData")
+    rows = spark.read.parquet(f"{path}/data").select("treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"), n["impurityStats"].alias("counts"))
+    out = [([], [], [], [], []) for _ in range(model.getNumTrees)]
+    for tree, at, left, right, feature, threshold, counts in rows.orderBy("treeID", "id").toLocalIterator():  # the model's nodes
+        if at != len(out[tree][0]):
+            raise RuntimeError("the model's nodes are not numbered from 0")
+        inner = left >= 0
+        share = counts[1] / sum(counts) if len(counts) > 1 and sum(counts) else 0.0
+        for held, x in zip(out[tree], (feature if inner else -1, threshold if inner else 0.0, max(left, 0), max(right, 0), share)):
+            held.append(x)
     return out
 
 
@@ -530,14 +527,19 @@ def forest_scores(candidates: DataFrame, trees: list[tuple]) -> DataFrame:
     return candidates.select("object_id", score(_doubles()).alias("score"))
 
 
+#: The largest depth of a tree that MLlib takes.
+MOST_DEPTH = 30
+
+
 def rf_rank(candidates: DataFrame, valid: DataFrame, rejected: DataFrame, seed: int = 0, **forest) -> DataFrame:
     """Candidates (object_id, vector) with `score`: a random forest's probability of being valid rather than rejected; a null vector has none.
 
-    The trees are read from the fitted model once, so the plan holds no model."""
+    As in the reference, trees grow until their leaves are pure (to MLlib's largest depth, unless `forest` has a maxDepth): trees of a fixed depth tell the known
+    objects apart the less, the more there are. The trees are read from the fitted model once, so the plan holds no model."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     known = valid.select("vector", F.lit(1.0).alias("label")).unionByName(rejected.select("vector", F.lit(0.0).alias("label"))).filter("vector is not null")
     rows = written(known.select("label", _doubles().alias("vector")), "known")
-    model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **forest).fit(rows.select("label", array_to_vector("vector").alias("f")))
+    model = RandomForestClassifier(featuresCol="f", labelCol="label", seed=seed, **({"maxDepth": MOST_DEPTH} | forest)).fit(rows.select("label", array_to_vector("vector").alias("f")))
     return forest_scores(candidates, forest_nodes(model))

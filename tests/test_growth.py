@@ -138,3 +138,12 @@ def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = {(str(i), str(j), n + 1) for i in range(400) for n, j in enumerate(d[i].argsort()[:3])}
     assert {(r.object_id, r.other_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_forests_tell_known_objects_apart_in_larger_tables(spark):
+    # Trees of five levels did in hundreds of vectors, not in thousands.
+    from sylvaframe import queries as library
+
+    from .compare import compare
+
+    assert compare(spark, "v20_rf_rank", library.QUERIES["v20_rf_rank"], library.ORACLES["v20_rf_rank"], "/root/testdata/sf0.1") == ""
