@@ -36,6 +36,8 @@ MAX_BITS = 2
 NODE_KEYS, SPLIT_BITS = 1 << 16, 4
 #: Node pairs that a task expands at once, and fingerprints that it holds at once if they are of several pairs of top nodes.
 FRONTIER, AT_ONCE = 1 << 18, 1 << 17
+#: Fingerprints of a node that one row has, on average, where nodes are dealt out to all the pairs that they are in.
+CHUNK = 128
 
 
 def shingle_hashes(text: bytes, n: int = WORDS_PER_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -214,16 +216,16 @@ def _prefix(key: str, depth: int) -> Column:
 def trie_pairs(keys: DataFrame, budget: Budget) -> tuple[DataFrame, DataFrame]:
     """(nodes, pairs) for keys (turn, key).
 
-    nodes: (turn, depth, node, key): each key with its top node, the nodes being split, SPLIT_BITS at a time, until they have at most NODE_KEYS keys.
+    nodes: (turn, depth, node, n, key): each key with its top node, which has n, the nodes being split, SPLIT_BITS at a time, until they have at most NODE_KEYS keys.
     pairs: (turn, da, a, db, b, err): the pairs of top nodes whose first bits are within the budget, a node with itself included."""
     limit = budget.upto()
     kind = "turn int, da int, a long, a_open boolean, db int, b long, b_open boolean, err int"
     open_keys, depth, nodes, done, pairs = keys, 0, [], [], None
     while True:
         named = open_keys.withColumn("node", _prefix("key", depth))
-        counted = named.groupBy("turn", "node").agg((F.count(F.lit(1)) > NODE_KEYS).alias("open")).select("turn", "node", F.when(F.lit(depth < 64), F.col("open")).otherwise(False).alias("open"))
+        counted = named.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > NODE_KEYS).alias("open")).select("turn", "node", "n", F.when(F.lit(depth < 64), F.col("open")).otherwise(False).alias("open"))
         counted = written(counted, "trie-nodes")  # a row for every NODE_KEYS / 2^SPLIT_BITS keys or so
-        nodes.append(named.join(counted.filter("not open"), ["turn", "node"]).select("turn", F.lit(depth).alias("depth"), "node", "key"))
+        nodes.append(named.join(counted.filter("not open"), ["turn", "node"]).select("turn", F.lit(depth).alias("depth"), "node", "n", "key"))
         if pairs is None:
             pairs = counted.select("turn", F.lit(0).alias("da"), F.col("node").alias("a"), F.col("open").alias("a_open"), F.lit(0).alias("db"), F.col("node").alias("b"), F.col("open").alias("b_open"), F.lit(0).alias("err"))
         else:
@@ -247,21 +249,23 @@ def trie_pairs(keys: DataFrame, budget: Budget) -> tuple[DataFrame, DataFrame]:
 
 
 def _walked(budget: Budget, grouped: bool):
-    """Rows (turn, da, a, db, b, err, side, key) in whole pairs, sorted by all but err; emits what trie_links or trie_groups gives."""
+    """Rows (turn, da, a, db, b, err, side, keys) in whole pairs, sorted by all but err and keys; emits what trie_links or trie_groups gives."""
     back = budget.turned()
 
-    def walk(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = np.ascontiguousarray(rows[:, 7]).view(np.uint64)
-        cut = np.concatenate(([0], np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1)) + 1, [len(rows)]))
-        start, end = cut[:-1], cut[1:]
-        head = rows[start]
+    def walk(rows: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """rows: the numbers of each row; sizes: how many of keys are its own."""
+        cut = np.concatenate(([0], np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1)) + 1))
+        head = rows[cut]
+        pair = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(rows))))
+        order = np.lexsort((keys, np.repeat(2 * pair + rows[:, 6], sizes)))
+        keys, pair = keys[order], np.repeat(pair, sizes)
         own = (head[:, 1] == head[:, 3]) & (head[:, 2] == head[:, 4])
-        second = np.concatenate(([0], np.cumsum(rows[:, 6])))
-        mid = end - (second[end] - second[start])  # where side 1 begins
+        start, end = np.searchsorted(pair, np.arange(len(cut))), np.searchsorted(pair, np.arange(len(cut)), "right")
+        mid = end - np.add.reduceat(sizes * rows[:, 6], cut)  # where side 1 begins
         first = np.stack((start, np.where(own, end, mid), np.where(own, start, mid), end, head[:, 5]), 1)
         ok = (first[:, 0] < first[:, 1]) & (first[:, 2] < first[:, 3]) & ((end - start) > 1)
         label = trie_forest(keys, first[ok], np.minimum(head[:, 1], head[:, 3])[ok], budget)
-        by = np.array(back, np.uint64)[rows[:, 0]]
+        by = np.array(back, np.uint64)[head[:, 0]][pair]
         whole = np.where(by > 0, (keys >> by) | (keys << ((np.uint64(64) - by) & np.uint64(63))), keys).view(np.int64)
         moved = np.flatnonzero(label != np.arange(len(label)))
         if not grouped:
@@ -272,28 +276,34 @@ def _walked(budget: Budget, grouped: bool):
         of = label[members]
         name = keys[of].copy()
         for k in range(5):
-            name = (name ^ rows[of, k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            name = (name ^ head[pair[of], k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             name ^= name >> np.uint64(29)
         yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole[members])], ["key", "fp"])
 
+    def joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*held))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
-        for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(8)], 1)
-            if n + len(rows) >= AT_ONCE and held:
-                # All pairs but the last, which may go on, are whole.
-                every = np.concatenate([*held, rows])
-                change = np.flatnonzero((every[1:, :5] != every[:-1, :5]).any(axis=1))
-                at = change[-1] + 1 if len(change) else 0
-                if at:
-                    yield from walk(every[:at])
-                held, n = [every[at:]], len(every) - at
-            else:
-                held.append(rows)
-                n += len(rows)
+        for whole in batches:
+            for batch in (whole.slice(k, AT_ONCE // CHUNK + 1) for k in range(0, whole.num_rows, AT_ONCE // CHUNK + 1)):
+                lists = batch.column(7)
+                now = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(7)], 1), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+                if n + len(now[2]) >= AT_ONCE and held:
+                    # All pairs but the last, which may go on, are whole.
+                    rows, sizes, keys = joined([*held, now])
+                    change = np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1))
+                    at = change[-1] + 1 if len(change) else 0
+                    m = int(sizes[:at].sum())
+                    if at:
+                        yield from walk(rows[:at], sizes[:at], keys[:m])
+                    held, n = [(rows[at:], sizes[at:], keys[m:])], len(keys) - m
+                else:
+                    held.append(now)
+                    n += len(now[2])
         if n:
-            yield from walk(np.concatenate(held))
+            yield from walk(*joined(held))
 
     return run
 
@@ -305,9 +315,11 @@ def _joined(fps: DataFrame, budget: Budget, grouped: bool, schema: str) -> DataF
     nodes, pairs = trie_pairs(written(fps.select(F.explode(F.array(*turned)).alias("r")).select("r.*"), "turned"), budget)
     ends = pairs.withColumn("ends", F.array(F.struct(F.lit(0).alias("side"), F.col("da").alias("depth"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("db").alias("depth"), F.col("b").alias("node"))))
     ends = ends.select(*PAIR, "err", F.explode("ends").alias("e")).select(*PAIR, "err", "e.*").filter("side = 0 or da <> db or a <> b")
-    dealt = nodes.join(ends, ["turn", "depth", "node"]).select(*PAIR, "err", "side", "key")
-    # Signed keys with the first bit turned over sort as unsigned ones.
-    dealt = dealt.repartition(partitions_for(spark), *PAIR).sortWithinPartitions(*PAIR, "side", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    # A node goes to each pair that it is in, as lists of keys, as a row for each key has nine numbers, and a split node is in several pairs.
+    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK))
+    lists = nodes.groupBy("turn", "depth", "node", chunk.alias("chunk")).agg(F.collect_list("key").alias("keys"))
+    dealt = lists.join(ends, ["turn", "depth", "node"]).select(*PAIR, "err", "side", "keys")
+    dealt = dealt.repartition(partitions_for(spark), *PAIR).sortWithinPartitions(*PAIR, "side")
     return dealt.mapInArrow(_walked(budget, grouped), schema)
 
 

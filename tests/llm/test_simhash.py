@@ -119,3 +119,12 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "zz")], "doc_id long, text string")
     got = sorted(map(tuple, simhash.near_duplicates(docs).select("doc_id", "component_id", "is_kept").collect()), key=str)
     assert got == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, False)], key=str)
+
+
+def test_nodes_are_dealt_as_lists(spark, monkeypatch):
+    # They were shuffled as a row for each fingerprint and pair.
+    monkeypatch.setattr(simhash, "_walked", lambda *_: lambda batches: (b.select(["keys"]) for b in batches))
+    fps = spark.range(1000).select(simhash.F.xxhash64("id").alias("fp"))
+    got = simhash._joined(fps, simhash.Budget(2), True, "keys array<long>")
+    sizes = [len(r.keys) for r in got.collect()]
+    assert sum(sizes) == 1000 and len(sizes) < 20
