@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -287,6 +288,13 @@ def fit_prototypes(df: DataFrame, group: str, k: int = 16, seed: int = 0, n_init
         frame = frame.sort_values("r")
         return pd.DataFrame({group: [key[0]], "prototypes": [_as_rows(*fit_prototypes_of(np.array(frame["vector"].tolist(), float), k, seed, n_init, clusterer))]})
 
+    if k > 1 and clusterer is None:
+        # Groups of k points or fewer are their points: no Python.
+        ranked = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+        few = ranked.filter(F.col("n") <= k).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("r", _doubles().alias("vector")))).alias("p"))
+        few = few.select(group, F.transform("p", lambda p: F.struct(p["vector"].alias("vector"), F.lit(1.0).alias("support"))).cast(PROTOTYPES).alias("prototypes"))
+        ranked = ranked.filter(F.col("n") > k)
+        large = few if large is None else few.unionByName(large)
     found = ranked.select(group, "r", "vector").groupBy(group).applyInPandas(run, f"{group} {kind}, prototypes {PROTOTYPES}")
     return found if large is None else found.unionByName(large)
 
@@ -306,25 +314,87 @@ def merge_prototypes_of(vectors: np.ndarray, support: np.ndarray, k: int) -> tup
     return np.array([np.average(vectors[g], axis=0, weights=support[g]) for g in groups]), np.array([support[g].sum() for g in groups])
 
 
+#: Entries of the distance matrices of groups that are merged at once, and points of a group up to which it is merged beside others.
+MERGED_AT_ONCE, MERGED_TOGETHER = 1 << 20, 128
+
+
+def merge_many(vectors: np.ndarray, support: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """merge_prototypes_of for many groups at once, whose points follow each other: (vectors, support, how many of them each group has)."""
+    begin, most = np.cumsum(sizes) - sizes, int(sizes.max())
+    n, rows, held = len(sizes), np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum()))
+    at = held - begin[rows]
+    x = np.zeros((n, most, vectors.shape[1]))
+    x[rows, at] = vectors
+    there = np.zeros((n, most), bool)
+    there[rows, at] = True
+    square = (x**2).sum(2)
+    d = np.sqrt(np.maximum(square[:, :, None] - 2 * x @ x.transpose(0, 2, 1) + square[:, None, :], 0))
+    d[~(there[:, :, None] & there[:, None, :])] = np.inf
+    d[:, np.arange(most), np.arange(most)] = np.inf
+    label = np.tile(np.arange(most), (n, 1))
+    for turn in range(most - k):
+        g = np.flatnonzero(sizes - k > turn)
+        a, b = np.divmod(d[g].reshape(len(g), -1).argmin(1), most)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        label[g] = np.where(label[g] == b[:, None], a[:, None], label[g])
+        far = np.maximum(d[g, a], d[g, b])
+        d[g, a] = far
+        d[g, :, a] = far
+        d[g, b] = np.inf
+        d[g, :, b] = np.inf
+        d[g, a, a] = np.inf
+    own, to = np.unique(rows * most + label[rows, at], return_inverse=True)
+    total = np.bincount(to, support)
+    means = np.stack([np.bincount(to, vectors[:, j] * support) for j in range(vectors.shape[1])], 1) / total[:, None]
+    return means, total, np.bincount(own // most, minlength=n)
+
+
+def _merged(k: int):
+    """Rows (group, prototypes as lists of numbers: the vectors, one after the other, and the supports), each of over k prototypes, merged down to k."""
+
+    def run(batches):
+        for batch in batches:
+            values, support = batch.column(1), batch.column(2)
+            sizes = support.value_lengths().to_numpy().astype(np.int64)
+            numbers = values.value_lengths().to_numpy().astype(np.int64)
+            width = numbers // np.maximum(sizes, 1)
+            v, s = values.flatten().to_numpy(), support.flatten().to_numpy()
+            v_at, s_at = np.cumsum(numbers) - numbers, np.cumsum(sizes) - sizes
+            # Groups of like sizes are merged together.
+            order = np.lexsort((sizes, width)).tolist()
+            while order:
+                w, first = int(width[order[-1]]), int(sizes[order[-1]])
+                most = max(1, MERGED_AT_ONCE // first**2) if first <= MERGED_TOGETHER else 1
+                taken = [g for g in order[-most:] if width[g] == w]
+                del order[len(order) - len(taken) :]
+                x, n = np.concatenate([v[v_at[g] : v_at[g] + numbers[g]] for g in taken]).reshape(-1, w), np.concatenate([s[s_at[g] : s_at[g] + sizes[g]] for g in taken])
+                found, total, many = merge_many(x, n, sizes[taken], k)
+                ends = np.concatenate(([0], np.cumsum(many)))
+                lists = lambda a, step: pa.ListArray.from_arrays(pa.array(ends * step, pa.int32()), pa.array(a))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken)), lists(found.ravel(), w), lists(total, 1)], batch.schema.names)
+
+    return run
+
+
 def merge_prototypes(df: DataFrame, group: str, k: int = 16, fold: int = 64) -> DataFrame:
-    """V4: (group, prototypes) of rows (group, prototypes): all of a group's merged down to k. Groups of many rows are merged in folds of `fold` rows first, so no task holds more than that."""
+    """V4: (group, prototypes) of rows (group, prototypes): all of a group's merged down to k. Groups of many rows are merged in folds of `fold` rows first, so no task holds more than that.
+
+    Groups with k prototypes or fewer never go to Python, the others many at a time."""
     kind = df.schema[group].dataType.simpleString()
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [p for ps in frame["prototypes"] for p in ps]
-        merged = merge_prototypes_of(np.array([r["vector"] for r in rows]), np.array([r["support"] for r in rows]), k) if rows else None
-        return pd.DataFrame({group: [key[0]], "prototypes": [_as_rows(*merged) if merged else []]})
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        every = rows.groupBy(*keys).agg(F.flatten(F.collect_list("prototypes")).alias("p")).select(group, F.col("p").cast(PROTOTYPES).alias("p"))
+        lists = every.filter(F.size("p") > k).select(group, F.flatten("p.vector").alias("v"), F.col("p.support").alias("s"))
+        found = lists.mapInArrow(_merged(k), f"{group} {kind}, v array<double>, s array<double>")
+        width = (F.size("v") / F.size("s")).cast("int")
+        fewer = F.transform("s", lambda s, i: F.struct(F.slice("v", i * width + 1, width).alias("vector"), s.alias("support"))).cast(PROTOTYPES)
+        return every.filter(F.size("p") <= k).select(group, F.col("p").alias("prototypes")).unionByName(found.select(group, fewer.alias("prototypes")))
 
     rows = df.select(group, "prototypes").filter("size(prototypes) > 0")
     while rows.groupBy(group).count().filter(F.col("count") > fold).limit(1).count():
         number = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("prototypes")))
-        split = rows.withColumn("part", F.floor((number - 1) / fold))
-
-        def run_part(key, frame: pd.DataFrame) -> pd.DataFrame:
-            return run(key, frame)
-
-        rows = split.groupBy(group, "part").applyInPandas(run_part, f"{group} {kind}, prototypes {PROTOTYPES}")
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, prototypes {PROTOTYPES}")
+        rows = merged(rows.withColumn("part", F.floor((number - 1) / fold)), group, "part")
+    return merged(rows, group)
 
 
 def prototype_set_distance(a: DataFrame, b: DataFrame, metric: str = "euclidean") -> DataFrame:

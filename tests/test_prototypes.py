@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from sylvaframe.operators import vector
@@ -12,3 +13,14 @@ def test_fit_takes_all_points(spark):
         assert sum(p.support * p.vector[0] for p in got[1]) / 1500 == pytest.approx(749.5)
         assert [(p.vector, p.support) for p in got[2]] == [([1.0, 3.0], 1.0)]
     assert sum(p.support for p in vector.fit_prototypes(df.filter("node_id = 1"), "node_id", 3, sample=1000).first().prototypes) == 1000
+
+
+def test_many_groups_are_merged_as_one_by_one():
+    # A Python call a node and round didn't end over hundreds of thousands of nodes.
+    rng = np.random.default_rng(6)
+    sizes = np.array([17, 32, 20, 5, 60])
+    x, s = rng.integers(0, 6, (int(sizes.sum()), 2)).astype(float), rng.integers(1, 9, int(sizes.sum())).astype(float)
+    found, total, many = vector.merge_many(x, s, sizes, 16)
+    want = [vector.merge_prototypes_of(a, b, 16) for a, b in zip(np.split(x, np.cumsum(sizes)[:-1]), np.split(s, np.cumsum(sizes)[:-1]))]
+    assert many.tolist() == [len(b) for _, b in want]
+    assert np.allclose(found, np.concatenate([a for a, _ in want])) and np.allclose(total, np.concatenate([b for _, b in want]))
