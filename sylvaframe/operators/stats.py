@@ -68,8 +68,8 @@ def type_objects(tables: Tables, k: int = TYPES, n: int = SAMPLE) -> DataFrame:
     return found.select(F.col("node_id.node").alias("node_id"), F.col("node_id.pos").alias("pos"), "object_id")
 
 
-def prototypes(tables: Tables, k: int = PROTOTYPES_PER_NODE, n_init: int = 2, seed: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """(node_id, prototypes): of a node's own sample, merged with those of all below it, down to k, in log2(depth) rounds: k prototypes a node are handed up twice as far in each.
+def prototypes(tables: Tables, k: int = PROTOTYPES_PER_NODE, n_init: int = 2, seed: int = 0, sample: int | None = None) -> DataFrame:
+    """(node_id, prototypes): of all of a node's own objects, or of a sample of them, merged with those of all below it, down to k, in log2(depth) rounds: k prototypes a node are handed up twice as far in each.
 
     Merging keeps supports and weighted means, so which levels are merged first changes the choice of prototypes, not what they stand for together."""
     own = tables.assignments.select("node_id", "object_id").join(tables.objects.select("object_id", "vector", "rand"), "object_id")
@@ -149,7 +149,7 @@ def consolidate(tables: Tables, node_id: int, depth: int | str | None = None, wi
         fresh = fresh.withColumns({c: F.lit(None).cast(CACHED[c]) for c in ("_centroid", "_n_vectors")})
     if with_prototypes:
         drawn = own.join(tables.objects.select("object_id", "vector", "rand"), "object_id")
-        fitted = fit_prototypes(drawn, "node_id", PROTOTYPES_PER_NODE, 0, 2, SAMPLE)
+        fitted = fit_prototypes(drawn, "node_id", PROTOTYPES_PER_NODE, 0, 2)
         rows = fitted.unionByName(lent.filter("_prototypes is not null").select(F.col("parent_id").alias("node_id"), F.col("_prototypes").alias("prototypes")))
         merged = subtree_fold(forest, rows, lambda several: merge_prototypes(several, "node_id", PROTOTYPES_PER_NODE))
         fresh = fresh.join(merged.withColumnRenamed("prototypes", "_prototypes"), "node_id", "left")

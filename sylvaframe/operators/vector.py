@@ -159,6 +159,8 @@ def _as_rows(vectors: np.ndarray, support: np.ndarray) -> list[dict]:
 MOST_IN_TASK, FIT_BLOCK = 20_000, 4096
 #: Rounds that gather candidates for centres, each of about twice k points, and Lloyd rounds at most.
 SEED_ROUNDS, LLOYD_ROUNDS = 5, 50
+#: Numbers of all centres up to which Lloyd rounds hold the centres on the driver; beyond that they are tables.
+ON_DRIVER = 1 << 20
 
 
 def _by_blocks(points: DataFrame, centres: DataFrame, group: str, kind: str, run) -> DataFrame:
@@ -174,6 +176,31 @@ def _by_blocks(points: DataFrame, centres: DataFrame, group: str, kind: str, run
     return joined.mapInPandas(each, f"{group} {kind}, run int, at int, pos int, x double")
 
 
+def _added_up(points: DataFrame, centres: dict[tuple, np.ndarray], group: str, kind: str, run) -> dict[tuple, np.ndarray]:
+    """By (group, run), as centres: the sum of what run gives for all blocks of points, see _by_blocks. Tasks add up theirs first, so only numbers of the centres come to the driver."""
+    sent = points.sparkSession.sparkContext.broadcast(centres)
+    runs: dict = {}
+    for key, init in centres:
+        runs.setdefault(key, []).append(init)
+
+    def each(frames):
+        total: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            for key, h, x in zip(f[group].tolist(), f["h"], f["vectors"]):
+                for init in runs[key]:
+                    got = run(x.reshape(len(h), -1), sent.value[key, init], h, init)
+                    total[key, init] = total[key, init] + got if (key, init) in total else got
+        for (key, init), got in total.items():
+            yield pd.DataFrame({group: pd.Series([key] * got.size, dtype=object), "run": init, "at": np.repeat(np.arange(len(got)), got.shape[1]), "pos": np.tile(np.arange(got.shape[1]), len(got)), "x": got.ravel()})
+
+    rows = points.select(group, "h", "vectors").mapInPandas(each, f"{group} {kind}, run int, at int, pos int, x double").groupBy(group, "run", "at", "pos").agg(F.sum("x").alias("x")).collect()  # ON_DRIVER, and two more for each centre
+    sent.unpersist()
+    found = {at: np.zeros((len(c), c.shape[1] + 2)) for at, c in centres.items()}
+    for key, init, at, pos, x in rows:
+        found[key, init][at, pos] = x
+    return found
+
+
 def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0)
 
@@ -239,6 +266,21 @@ def _fit_large(points: DataFrame, group: str, kind: str, k: int, seed: int, n_in
         return pd.DataFrame({group: [key[0]], "run": [key[1]], "centres": [found.tolist()]})
 
     centres = written(centres.join(weights, [group, "run"]).groupBy(group, "run").applyInPandas(cut, f"{group} {kind}, run int, centres array<array<double>>"), "centres")
+    if (centres.agg(F.sum(F.aggregate("centres", F.lit(0), lambda n, c: n + F.size(c)))).first()[0] or 0) <= ON_DRIVER:
+        now = {(r[0], r.run): np.array(r.centres) for r in centres.collect()}
+        for _ in range(LLOYD_ROUNDS):
+            found = _added_up(held, now, group, kind, sums)
+            # A centre without points stays where it is.
+            new = {at: np.where(v[:, -2:-1] > 0, v[:, :-2] / np.maximum(v[:, -2:-1], 1e-300), now[at]) for at, v in found.items()}
+            farthest, now = max((np.sqrt(((new[at] - now[at]) ** 2).sum(1)).max() for at in now), default=0.0), new
+            if farthest < 1e-9:
+                break
+        best: dict = {}
+        for (key, init), v in _added_up(held, now, group, kind, sums).items():
+            best[key] = min(best.get(key, (np.inf, 0)), (float(v[:, -1].sum()), init))
+            now[key, init] = (now[key, init], v[:, -2])
+        rows = [(key, [(c.tolist(), float(n)) for c, n in zip(*now[key, init]) if n > 0]) for key, (_, init) in best.items()]
+        return written(points.sparkSession.createDataFrame(rows, f"{group} {kind}, prototypes {PROTOTYPES}"), "fitted")
     listed = lambda v: F.sort_array(F.collect_list(F.struct("at", v.alias("v"))))  # noqa: E731  # k entries
     for _ in range(LLOYD_ROUNDS):
         found = written(per_centre(centres), "sums")

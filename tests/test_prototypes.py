@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sylvaframe.operators import vector
 
@@ -24,3 +25,32 @@ def test_many_groups_are_merged_as_one_by_one():
     want = [vector.merge_prototypes_of(a, b, 16) for a, b in zip(np.split(x, np.cumsum(sizes)[:-1]), np.split(s, np.cumsum(sizes)[:-1]))]
     assert many.tolist() == [len(b) for _, b in want]
     assert np.allclose(found, np.concatenate([a for a, _ in want])) and np.allclose(total, np.concatenate([b for _, b in want]))
+
+
+def test_prototypes_stand_for_all_objects(spark):
+    # A sample of 1000 stood for a node's objects.
+    from sylvaframe.operators import stats
+    from sylvaframe.schema import Tables
+
+    nodes = spark.createDataFrame([(0, None), (1, 0)], "node_id long, parent_id long")
+    rows = [(f"o{k}", k % 2, [float(k), 1.0], (k * 7919 % 2601) / 2601) for k in range(2601)]
+    held = spark.createDataFrame(rows, "object_id string, node_id long, vector array<double>, rand double").cache()
+    t = Tables(nodes, held.select("object_id", "node_id"), held.select("object_id", "vector", "rand"))
+    found = {r.node_id: r.prototypes for r in stats.prototypes(t).collect()}
+    assert {n: (len(p), sum(x.support for x in p)) for n, p in found.items()} == {0: (16, 2601.0), 1: (16, 1300.0)}
+    assert sum(p.support * p.vector[0] for p in found[0]) / 2601 == pytest.approx(1300.0)
+    kept = stats.consolidate(t.with_(nodes=nodes.withColumn("cache_valid", F.lit(False))), 0, with_prototypes=True, return_="node").first()
+    assert sum(p.support for p in kept._prototypes) == 2601.0
+
+
+def test_centres_of_large_groups_on_the_driver_and_in_tables(spark, monkeypatch):
+    # Each of up to 50 Lloyd rounds was several jobs, with tables written and read.
+    monkeypatch.setattr(vector, "MOST_IN_TASK", 100)
+    monkeypatch.setattr(vector, "FIT_BLOCK", 50)
+    rng = np.random.default_rng(2)
+    rows = [(f"g{g}", k, (rng.normal(size=2) + 9 * (k % 4)).tolist()) for g in range(2) for k in range(400)]
+    df = spark.createDataFrame(rows, "node_id string, object_id long, vector array<double>").cache()
+    fitted = lambda: {r.node_id: sorted((tuple(np.round(p.vector, 6)), p.support) for p in r.prototypes) for r in vector.fit_prototypes(df, "node_id", 4).collect()}
+    near = fitted()
+    monkeypatch.setattr(vector, "ON_DRIVER", 0)
+    assert near == fitted() and [s for _, s in near["g0"]] == [100.0] * 4
