@@ -73,7 +73,8 @@ def prototypes(tables: Tables, k: int = PROTOTYPES_PER_NODE, n_init: int = 2, se
 
     Merging keeps supports and weighted means, so which levels are merged first changes the choice of prototypes, not what they stand for together."""
     own = tables.assignments.select("node_id", "object_id").join(tables.objects.select("object_id", "vector", "rand"), "object_id")
-    return subtree_fold(tables.nodes, fit_prototypes(own, "node_id", k, seed, n_init, sample), lambda rows: merge_prototypes(rows, "node_id", k))
+    fitted = written(fit_prototypes(own, "node_id", k, seed, n_init, sample), "fitted")
+    return subtree_fold(tables.nodes, fitted, lambda rows: merge_prototypes(rows, "node_id", k))
 
 
 def _reached(nodes: DataFrame, node_id: int, depth: int | None, open_: Column) -> DataFrame:

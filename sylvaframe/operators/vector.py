@@ -356,8 +356,8 @@ def merge_prototypes_of(vectors: np.ndarray, support: np.ndarray, k: int) -> tup
     return np.array([np.average(vectors[g], axis=0, weights=support[g]) for g in groups]), np.array([support[g].sum() for g in groups])
 
 
-#: Entries of the distance matrices of groups that are merged at once, and points of a group up to which it is merged beside others.
-MERGED_AT_ONCE, MERGED_TOGETHER = 1 << 20, 128
+#: Entries of the distance matrices of groups that are merged at once; points of a group up to which it is merged as a whole, and of the pieces of larger ones.
+MERGED_AT_ONCE, MERGED_WHOLE, PIECE = 1 << 20, 128, 64
 
 
 def merge_many(vectors: np.ndarray, support: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,10 +374,12 @@ def merge_many(vectors: np.ndarray, support: np.ndarray, sizes: np.ndarray, k: i
     d[~(there[:, :, None] & there[:, None, :])] = np.inf
     d[:, np.arange(most), np.arange(most)] = np.inf
     label = np.tile(np.arange(most), (n, 1))
+    # The nearest of each point, the first of equal ones, and how far it is: a merge changes it only for those whose nearest was merged.
+    near, gap = d.argmin(2), d.min(2)
     for turn in range(most - k):
         g = np.flatnonzero(sizes - k > turn)
-        a, b = np.divmod(d[g].reshape(len(g), -1).argmin(1), most)
-        a, b = np.minimum(a, b), np.maximum(a, b)
+        a = gap[g].argmin(1)
+        b = near[g, a]
         label[g] = np.where(label[g] == b[:, None], a[:, None], label[g])
         far = np.maximum(d[g, a], d[g, b])
         d[g, a] = far
@@ -385,35 +387,59 @@ def merge_many(vectors: np.ndarray, support: np.ndarray, sizes: np.ndarray, k: i
         d[g, b] = np.inf
         d[g, :, b] = np.inf
         d[g, a, a] = np.inf
+        gap[g, b] = np.inf
+        lost = (near[g] == a[:, None]) | (near[g] == b[:, None])
+        lost[np.arange(len(g)), a] = True
+        i, j = np.nonzero(lost & ((gap[g] < np.inf) | (np.arange(most) == a[:, None])))
+        i = g[i]
+        near[i, j] = d[i, j].argmin(1)
+        gap[i, j] = d[i, j, near[i, j]]
     own, to = np.unique(rows * most + label[rows, at], return_inverse=True)
     total = np.bincount(to, support)
     means = np.stack([np.bincount(to, vectors[:, j] * support) for j in range(vectors.shape[1])], 1) / total[:, None]
     return means, total, np.bincount(own // most, minlength=n)
 
 
+def merge_lists(groups: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """merge_prototypes_of for each of groups (vectors, support) of over k points, many at a time.
+
+    Work for a group grows with the square of its points and more, so one of over MERGED_WHOLE is merged in pieces of neighbours along the first dimensions until it is small enough."""
+    held, piece = list(groups), max(PIECE, 2 * k)
+    while large := [g for g, (x, _) in enumerate(held) if len(x) > max(MERGED_WHOLE, 2 * piece)]:
+        cut: list[tuple[np.ndarray, np.ndarray]] = []
+        ends = [0]
+        for g in large:
+            x, n = held[g]
+            order = np.lexsort((n, *x.T[::-1]))
+            pieces = -(-len(x) // piece)
+            cut += zip(np.array_split(x[order], pieces), np.array_split(n[order], pieces))
+            ends.append(len(cut))
+        cut = merge_lists(cut, k)
+        for g, a, b in zip(large, ends, ends[1:]):
+            held[g] = tuple(np.concatenate(c) for c in zip(*cut[a:b]))
+    # Groups of like sizes are merged together.
+    sizes, width = np.array([len(x) for x, _ in held], np.int64), np.array([x.shape[1] for x, _ in held], np.int64)
+    order = np.lexsort((sizes, width)).tolist()
+    while order:
+        last = order[-1]
+        taken = [g for g in order[-max(1, MERGED_AT_ONCE // int(sizes[last]) ** 2) :] if width[g] == width[last]]
+        del order[len(order) - len(taken) :]
+        found, total, many = merge_many(*(np.concatenate(c) for c in zip(*(held[g] for g in taken))), sizes[taken], k)
+        for g, x, n in zip(taken, np.split(found, np.cumsum(many)[:-1]), np.split(total, np.cumsum(many)[:-1])):
+            held[g] = (x, n)
+    return held
+
+
 def _merged(k: int):
     """Rows (group, prototypes as lists of numbers: the vectors, one after the other, and the supports), each of over k prototypes, merged down to k."""
 
     def run(batches):
         for batch in batches:
             values, support = batch.column(1), batch.column(2)
-            sizes = support.value_lengths().to_numpy().astype(np.int64)
-            numbers = values.value_lengths().to_numpy().astype(np.int64)
-            width = numbers // np.maximum(sizes, 1)
-            v, s = values.flatten().to_numpy(), support.flatten().to_numpy()
-            v_at, s_at = np.cumsum(numbers) - numbers, np.cumsum(sizes) - sizes
-            # Groups of like sizes are merged together.
-            order = np.lexsort((sizes, width)).tolist()
-            while order:
-                w, first = int(width[order[-1]]), int(sizes[order[-1]])
-                most = max(1, MERGED_AT_ONCE // first**2) if first <= MERGED_TOGETHER else 1
-                taken = [g for g in order[-most:] if width[g] == w]
-                del order[len(order) - len(taken) :]
-                x, n = np.concatenate([v[v_at[g] : v_at[g] + numbers[g]] for g in taken]).reshape(-1, w), np.concatenate([s[s_at[g] : s_at[g] + sizes[g]] for g in taken])
-                found, total, many = merge_many(x, n, sizes[taken], k)
-                ends = np.concatenate(([0], np.cumsum(many)))
-                lists = lambda a, step: pa.ListArray.from_arrays(pa.array(ends * step, pa.int32()), pa.array(a))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken)), lists(found.ravel(), w), lists(total, 1)], batch.schema.names)
+            v, s = (np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) for c in (values, support))
+            found = merge_lists([(x.reshape(len(n), -1), n) for x, n in zip(v, s)], k) if batch.num_rows else []
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists([x.ravel() for x, _ in found]), lists([n for _, n in found])], batch.schema.names)
 
     return run
 
@@ -422,12 +448,13 @@ def merge_prototypes(df: DataFrame, group: str, k: int = 16, fold: int = 64) ->
     """V4: (group, prototypes) of rows (group, prototypes): all of a group's merged down to k. Groups of many rows are merged in folds of `fold` rows first, so no task holds more than that.
 
     Groups with k prototypes or fewer never go to Python, the others many at a time."""
-    kind = df.schema[group].dataType.simpleString()
+    kind, tasks = df.schema[group].dataType.simpleString(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def merged(rows: DataFrame, *keys: str) -> DataFrame:
         every = rows.groupBy(*keys).agg(F.flatten(F.collect_list("prototypes")).alias("p")).select(group, F.col("p").cast(PROTOTYPES).alias("p"))
         lists = every.filter(F.size("p") > k).select(group, F.flatten("p.vector").alias("v"), F.col("p.support").alias("s"))
-        found = lists.mapInArrow(_merged(k), f"{group} {kind}, v array<double>, s array<double>")
+        # Few bytes, but much work: dealt to all tasks, which Spark would join by their bytes.
+        found = lists.repartition(tasks, group).mapInArrow(_merged(k), f"{group} {kind}, v array<double>, s array<double>")
         width = (F.size("v") / F.size("s")).cast("int")
         fewer = F.transform("s", lambda s, i: F.struct(F.slice("v", i * width + 1, width).alias("vector"), s.alias("support"))).cast(PROTOTYPES)
         return every.filter(F.size("p") <= k).select(group, F.col("p").alias("prototypes")).unionByName(found.select(group, fewer.alias("prototypes")))

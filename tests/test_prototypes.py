@@ -54,3 +54,22 @@ def test_centres_of_large_groups_on_the_driver_and_in_tables(spark, monkeypatch)
     near = fitted()
     monkeypatch.setattr(vector, "ON_DRIVER", 0)
     assert near == fitted() and [s for _, s in near["g0"]] == [100.0] * 4
+
+
+def test_large_groups_are_merged_in_pieces(monkeypatch):
+    # A group of 416 prototypes took 400 turns over all its pairs; a deep tree has one for each of its upper nodes and rounds.
+    most = []
+    real = vector.merge_many
+    monkeypatch.setattr(vector, "merge_many", lambda x, s, sizes, k: most.append(int(sizes.max())) or real(x, s, sizes, k))
+    rng = np.random.default_rng(8)
+    groups = [(rng.normal(size=(n, 2)) + 50 * rng.integers(0, 4, (n, 1)), rng.integers(1, 9, n).astype(float)) for n in (416, 20, 3000, 90, 129)]
+    got = vector.merge_lists(groups, 16)
+    assert max(most) <= vector.MERGED_WHOLE
+    for (x, n), (v, s) in zip(groups, got):
+        assert len(s) == 16 and s.sum() == n.sum() and np.allclose(s @ v, n @ x)
+        # Far points are never merged.
+        assert sorted(set(np.round(v[:, 0] / 50))) == sorted(set(np.round(x[:, 0] / 50))) and np.allclose(((v / 50) - np.round(v / 50)), 0, atol=0.1)
+    for (x, n), (v, s) in zip(groups[1::2], got[1::2]):
+        a, b = vector.merge_prototypes_of(x, n, 16)
+        assert np.allclose(v, a) and np.allclose(s, b)
+    assert vector.merge_lists([], 16) == []
