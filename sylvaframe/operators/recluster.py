@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,7 +72,11 @@ def subsample(df: DataFrame, n: int, seed: int = 0, key: str = "object_id") -> D
 
 
 #: Pivots of the metric index at most, points that a pivot has on average at least, and points that pivots are drawn from.
-PIVOTS, PER_PIVOT, PIVOT_SAMPLE = 1024, 128, 16_384
+PIVOTS, PER_PIVOT, PIVOT_SAMPLE = 1024, 1024, 16_384
+#: Points that a task holds against each of its own blocks, about; pairs whose distance is measured again at once.
+OTHERS, AGAIN = 65_536, 65_536
+#: Neighbours that the spanning tree's links are looked for among first; links of components that are joined on the driver, at most.
+NEAR, JOINED_HERE = 16, 65_536
 
 
 @dataclass(frozen=True)
@@ -123,7 +128,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _packed(index: MetricIndex, rows: DataFrame) -> DataFrame:
     """(block, cell, object_id, vector, ...): rows (object_id, vector, ...) by block, in the order of ids: a list a column, the vectors one after the other; one row of about BLOCK points each."""
     kept = [c for c in rows.columns if c != "object_id"]
-    held = index.blocks.join(shuffled(rows), "object_id").groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("object_id", *kept))).alias("rows"))
+    context = rows.sparkSession.sparkContext
+    # Dealt to as many tasks as can run, which Spark would join by their bytes.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * context.defaultParallelism)
+    held = index.blocks.join(shuffled(rows), "object_id").repartition(tasks, "block").groupBy("block", "cell").agg(F.sort_array(F.collect_list(F.struct("object_id", *kept))).alias("rows"))
     return held.select("block", "cell", *((F.flatten(F.col(f"rows.{c}")) if c == "vector" else F.col(f"rows.{c}")).alias(c) for c in ["object_id", *kept]))
 
 
@@ -135,10 +143,11 @@ def _points(frame: pd.DataFrame, end: str = "") -> Iterator[dict[str, np.ndarray
         yield held | {"vector": np.asarray(held["vector"], float).reshape(len(held["object_id"]), -1)}
 
 
-def _needed_pairs(index: MetricIndex, packed: DataFrame, within: str, report: dict | None) -> DataFrame:
+def _needed_pairs(index: MetricIndex, packed: DataFrame, within: str, report: dict | None, every: DataFrame | None = None) -> DataFrame:
     """Pairs of different blocks that can hold points as near as a point's `within`, the second one's columns with a 2 at their end: by the triangle inequality, no point of a cell is nearer than the pivot's distance less the cell's radius.
 
-    Tasks read both blocks where they lie and hand on pair after pair: no pair is shuffled or written, as each block meets many others."""
+    The second ones are blocks of `every`, if that is given, and then also the same. Tasks read both blocks where they lie and hand on pair after pair, all of
+    one block's after each other: no pair is shuffled or written, as each block meets many others."""
     sent = packed.sparkSession.sparkContext.broadcast((index.pivots, index.radius))
 
     def need(frames):
@@ -155,23 +164,67 @@ def _needed_pairs(index: MetricIndex, packed: DataFrame, within: str, report: di
         n, cells = packed.count(), wanted.select("block", F.explode("cells").alias("cell"))
         report |= {"compared": cells.join(packed.select("cell", F.col("block").alias("other")), "cell").filter("block <> other").count(), "all": n * (n - 1)}
     own = packed.join(small(wanted), "block").drop("cell")
-    others = packed.select(*(F.col(c).alias(f"{c}2") for c in packed.columns))
-    return own.hint("shuffle_replicate_nl").join(others, F.array_contains("cells", F.col("cell2")) & (F.col("block") != F.col("block2"))).drop("cells", "cell2", "block", "block2")
+    n = -(-index.blocks.count() // OTHERS)
+    others = (packed if every is None else every).select(*(F.col(c).alias(f"{c}2") for c in (packed if every is None else every).columns)).coalesce(max(1, n))
+    meets = F.array_contains("cells", F.col("cell2"))
+    return own.hint("shuffle_replicate_nl").join(others, meets if every is not None else meets & (F.col("block") != F.col("block2"))).drop("cells", "cell2", "block2")
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """(squares of the distances, what they can be wrong by)."""
+    p, q = (a**2).sum(1), (b**2).sum(1)
+    d = a @ b.T
+    d *= -2
+    d += p[:, None]
+    d += q
+    return d, 1e-12 * (p.max(initial=0.0) + q.max(initial=0.0)) + 1e-300
+
+
+def _exactly(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of a's rows i and b's rows j, the same from both sides."""
+    found = [np.sqrt(((a[i[k : k + AGAIN]] - b[j[k : k + AGAIN]]) ** 2).sum(1)) for k in range(0, len(i), AGAIN)]
+    return np.concatenate(found) if found else np.empty(0)
+
+
+def _first_of_each(k: int, i: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Where the first k of each i are, by the order and by i."""
+    at = np.lexsort((*order[::-1], i))
+    own = i[at]
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(at) else at
+    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    return at[place < k]
+
+
+def _by_own_block(frames, start, meet, end):
+    """What end gives of each own block of pairs, after start and meet(state, rows, others) of all others that it meets here."""
+    held = None
+    for f in frames:
+        for block, rows, others in zip(f["block"].tolist(), _points(f), _points(f, "2")):
+            if held is None or held[0] != block:
+                if held is not None:
+                    yield end(held[1])
+                held = (block, start(rows))
+            meet(held[1], others)
+    if held is not None:
+        yield end(held[1])
 
 
 def _nearest_in(rows: dict, others: dict, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows' numbers, others' numbers, distances) of the k nearest others of each row, and what is as near as the last of them, by rows; with `same` a point isn't its own."""
-    d = _distances(rows["vector"], others["vector"])
+    """(rows' numbers, others' numbers, distances) of the k nearest others of each row, by rows, distances and names; with `same` a point isn't its own."""
+    d, room = _squares(rows["vector"], others["vector"])
     if same:
         np.fill_diagonal(d, np.inf)
     most = min(k, d.shape[1] - same)
     if most < 1:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
-    limit = np.partition(d, most - 1, axis=1)[:, most - 1]
-    if "within" in rows:
-        limit = np.minimum(limit, rows["within"] * (1 + 1e-9))
-    at = np.nonzero(d <= limit[:, None])
-    return *at, d[at]
+    limit = rows["within"] ** 2 * (1 + 1e-9) if "within" in rows else np.full(len(d), np.inf)
+    if np.isinf(limit).any():
+        limit = np.minimum(limit, np.partition(d, most - 1, axis=1)[:, most - 1])
+    # A product's distance has errors; what is as near as them is measured again.
+    i, j = np.nonzero(d <= (limit + room)[:, None])
+    d = _exactly(rows["vector"], others["vector"], i, j)
+    at = _first_of_each(k, i, d, j)  # a block's points lie in the order of their names
+    return i[at], j[at], d[at]
 
 
 def neighbours(points: DataFrame, k: int, index: MetricIndex | None = None, report: dict | None = None) -> DataFrame:
@@ -188,8 +241,6 @@ def neighbours(points: DataFrame, k: int, index: MetricIndex | None = None, repo
             for f in frames:
                 for rows in _points(f):
                     i, j, d = _nearest_in(rows, rows, k, True)
-                    order = np.lexsort((j, d, i))
-                    i, j, d = i[order], j[order], d[order]
                     first = np.searchsorted(i, np.arange(len(rows["object_id"])))
                     n = np.minimum(np.diff([*first, len(i)]), k)
                     found = [(rows["object_id"][j[a : a + m]], d[a : a + m]) for a, m in zip(first.tolist(), n.tolist())]
@@ -198,11 +249,25 @@ def neighbours(points: DataFrame, k: int, index: MetricIndex | None = None, repo
         own = written(packed.mapInPandas(inside, "object_id string, others array<string>, d array<double>, within double"), "own")
         bounded = written(_packed(index, points.select("object_id", "vector").join(shuffled(own.select("object_id", "within")), "object_id")), "bounded")
 
+        def start(rows):
+            return rows | {"within": np.array(rows["within"], float), "i": np.empty(0, int), "name": np.empty(0, str), "d": np.empty(0)}
+
+        def meet(rows, others):
+            i, j, d = _nearest_in(rows, others, k, False)
+            if len(i):
+                i, name, d = np.concatenate((rows["i"], i)), np.concatenate((rows["name"], others["object_id"][j].astype(str))), np.concatenate((rows["d"], d))
+                at = _first_of_each(k, i, d, name)
+                rows |= {"i": i[at], "name": name[at], "d": d[at]}
+                full = np.flatnonzero(np.bincount(rows["i"], minlength=len(rows["within"])) == k)
+                farthest = np.zeros(len(rows["within"]))
+                np.maximum.at(farthest, rows["i"], rows["d"])
+                rows["within"][full] = np.minimum(rows["within"][full], farthest[full])
+
+        def end(rows):
+            return pd.DataFrame({"object_id": _names(rows["object_id"][rows["i"]].tolist()), "other_id": _names(rows["name"].tolist()), "d": rows["d"]})
+
         def between(frames):
-            for f in frames:
-                for rows, others in zip(_points(f), _points(f, "2")):
-                    i, j, d = _nearest_in(rows, others, k, False)
-                    yield pd.DataFrame({"object_id": _names(rows["object_id"][i].tolist()), "other_id": _names(others["object_id"][j].tolist()), "d": d})
+            return _by_own_block(frames, start, meet, end)
 
         pairs = _needed_pairs(index, bounded, "within", report).mapInPandas(between, "object_id string, other_id string, d double")
         flat = own.select("object_id", F.explode(F.arrays_zip("others", "d")).alias("e")).select("object_id", F.col("e.others").alias("other_id"), "e.d")
@@ -232,79 +297,132 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         own = components(forest)
 
 
-def _least_links(rows: dict, others: dict) -> pd.DataFrame:
-    """(root, w, a, b): for each component among rows its least link to a point of others in another component, by mutual reachability: the largest of the distance and both cores. Of equal links the first by the names of both ends, the smaller one first, so that all components choose alike."""
-    ids, jds, x, y = rows["object_id"].tolist(), others["object_id"].tolist(), rows["vector"], others["vector"]
-    cores = np.maximum(rows["core"][:, None], others["core"])
-    d = np.maximum(_distances(x, y), cores)
-    root = rows["root"]
-    _, kinds = np.unique(np.concatenate((root, others["root"])).astype(str), return_inverse=True)
-    d[kinds[: len(root), None] == kinds[len(root) :]] = np.inf
-    least = d.min(1)
-    at = np.flatnonzero(np.isfinite(least))
-    # A product's distance has errors that depend on the side; what is as near as them is measured again, alike from both sides.
-    room = 1e-6 * (1.0 + np.sqrt(max((x**2).sum(1).max(), (y**2).sum(1).max())))
-    best = []
-    for k in at.tolist():
-        near = np.flatnonzero(d[k] <= least[k] + room)
-        exact = np.maximum(np.sqrt(((x[k] - y[near]) ** 2).sum(1)), cores[k, near]).tolist()
-        best.append(min((w, min(ids[k], jds[j]), max(ids[k], jds[j])) for w, j in zip(exact, near.tolist())))
-    first: dict[str, tuple] = {}
-    for r, link in zip(root[at].tolist(), best):
-        first[r] = min(first.get(r, (np.inf,)), link)
-    links = list(first.values())
-    return pd.DataFrame({"root": _names(list(first)), "w": np.array([w for w, _, _ in links], float), "a": _names([x for _, x, _ in links]), "b": _names([y for _, _, y in links])})
-
-
-def links_out(points: DataFrame, index: MetricIndex, report: dict | None = None) -> DataFrame:
-    """(a, b, w): for each component of points (object_id, vector, core, root) its least link to a point of another one.
-
-    What a component finds inside its own blocks bounds its least link, and only blocks of cells that can hold a shorter one are compared; one that finds none there is
-    held against all."""
-    schema = "root string, w double, a string, b string"
-    least = lambda found: found.groupBy("root").agg(F.min(F.struct("w", "a", "b")).alias("e"))
-    packed = written(_packed(index, points.select("object_id", "vector", "core", "root")), "blocks")
-
-    def inside(frames):
-        for f in frames:
-            for rows in _points(f):
-                yield _least_links(rows, rows)
-
-    own = written(least(packed.mapInPandas(inside, schema)), "inside")
-    bounds = points.join(own.select("root", F.col("e.w").alias("within")), "root", "left").select("object_id", "vector", "core", "root", F.coalesce("within", F.lit(float("inf"))).alias("within"))
-    bounded = written(_packed(index, bounds), "bounded")
-
-    def between(frames):
-        for f in frames:
-            for rows, others in zip(_points(f), _points(f, "2")):
-                roots = set(rows["root"])
-                if len(roots) > 1 or roots != set(others["root"]):
-                    yield _least_links(rows, others)
-
-    pairs = _needed_pairs(index, bounded, "within", report).mapInPandas(between, schema)
-    flat = own.select("root", "e.w", "e.a", "e.b").unionByName(pairs)
-    return least(flat).select("e.a", "e.b", "e.w").distinct()
-
-
-def density_forest(points: DataFrame, min_samples: int = 1) -> DataFrame:
-    """(a, b, w): the spanning tree of mutual reachability of points (object_id, vector): Boruvka rounds over all pairs of components, until one is left; each is written."""
+def _least_link_of_each(rows: dict, others: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows' numbers, w, x, y): the least link of each row to a point of others in another component that is at most as long as its `within`, by mutual reachability: the largest of the distance and both cores; of equal ones the first by the names of both ends, the smaller one first."""
+    a, b = rows["vector"], others["vector"]
+    w, room = _squares(a, b)
+    np.maximum(w, rows["core"][:, None] ** 2, out=w)
+    np.maximum(w, others["core"] ** 2, out=w)
+    _, kinds = np.unique(np.concatenate((rows["root"], others["root"])).astype(str), return_inverse=True)
+    w[kinds[: len(a), None] == kinds[len(a) :]] = np.inf
+    least = w.min(1)
+    own = np.flatnonzero((least <= rows["within"] ** 2 * (1 + 1e-9) + room) & np.isfinite(least))
+    i, j = np.nonzero(w[own] <= (least[own] + 2 * room)[:, None])
+    i = own[i]
+    w = np.maximum(_exactly(a, b, i, j), np.maximum(rows["core"][i], others["core"][j]))
+    names, more = rows["object_id"][i].astype(str), others["object_id"][j].astype(str)
+    lower = names < more
+    x, y = np.where(lower, names, more), np.where(lower, more, names)
+    at = _first_of_each(1, i, w, x, y)
+    return i[at], w[at], x[at], y[at]
+
+
+def links_out(asked: DataFrame, points: DataFrame, index: MetricIndex, report: dict | None = None) -> DataFrame:
+    """(object_id, w, x, y): for each of asked (object_id, vector, core, root, within) its least link, as long as `within` at most, to one of points (object_id, vector, core, root) with another root. Only blocks of cells that can hold one are compared."""
+    spark = points.sparkSession
+    with passing(spark), small_batches(spark):
+        own, every = (written(_packed(index, df), "blocks") for df in (asked, points))
+
+        def start(rows):
+            n = len(rows["object_id"])
+            return rows | {"within": np.array(rows["within"], float), "w": np.full(n, np.inf), "x": np.full(n, None, object), "y": np.full(n, None, object)}
+
+        def meet(rows, others):
+            i, w, x, y = _least_link_of_each(rows, others)
+            better = w < rows["w"][i]
+            for k in np.flatnonzero(w == rows["w"][i]).tolist():
+                better[k] = (x[k], y[k]) < (rows["x"][i[k]], rows["y"][i[k]])
+            i = i[better]
+            rows["w"][i], rows["x"][i], rows["y"][i] = w[better], x[better], y[better]
+            rows["within"] = np.minimum(rows["within"], rows["w"])
+
+        def end(rows):
+            at = np.flatnonzero(np.isfinite(rows["w"]))
+            return pd.DataFrame({"object_id": _names(rows["object_id"][at].tolist()), "w": rows["w"][at], "x": _names([str(v) for v in rows["x"][at]]), "y": _names([str(v) for v in rows["y"][at]])})
+
+        found = _needed_pairs(index, own, "within", report, every).mapInPandas(lambda frames: _by_own_block(frames, start, meet, end), "object_id string, w double, x string, y string")
+        return written(found.groupBy("object_id").agg(F.min(F.struct("w", "x", "y")).alias("e")).select("object_id", "e.*"), "links-out", stays=True)
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """components() of links (a, b), on the driver if they are few."""
+    if links.count() > JOINED_HERE:
+        return components(links)
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links.collect():  # JOINED_HERE at most
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return links.sparkSession.createDataFrame([(x, top(x)) for x in list(up)], "node string, root string")
+
+
+def density_forest(points: DataFrame, min_samples: int = 1, report: dict | None = None) -> DataFrame:
+    """(a, b, w): the spanning tree of mutual reachability of points (object_id, vector), by Boruvka rounds.
+
+    Links are looked for among each point's NEAR nearest first: all others of a point are at least as long as the farthest of these, its bound. A component whose
+    least known link is at most as long as the bounds of all its points has its least one, and is joined by it. Only when no component has, all but the
+    largest look for a shorter link than the least they know, from those of their points whose bounds allow one; what each finds, or doesn't, is its new bound.
+    All choose by one order of the known links, so they make no cycle. report gets the number of such searches."""
     spark = points.sparkSession
     index = metric_index(points)
-    near = neighbours(points, min_samples, index)
-    core = near.filter(F.col("rank") == min_samples).select("object_id", F.col("d").alias("core"))
-    held = written(points.join(core, "object_id", "left").select("object_id", "vector", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
-    forest, roots, n = None, held.select("object_id", F.col("object_id").alias("root")), held.count()
-    while forest is None or forest.count() < n - 1:
-        # What a round writes goes when it ends, but for its links.
-        with passing(spark), small_batches(spark):
-            found = written(links_out(held.join(shuffled(roots), "object_id"), index), "links-out", stays=True)
-        if found.isEmpty():
-            return found if forest is None else forest
-        forest = written(found if forest is None else forest.unionByName(found), "forest")
-        with passing(spark):
-            own = components(forest.select("a", "b"))
-            roots = written(held.select("object_id").join(shuffled(own.withColumnRenamed("node", "object_id")), "object_id", "left").select("object_id", F.coalesce("root", "object_id").alias("root")), "roots", stays=True)
-    return forest
+    k = max(min_samples, NEAR)
+    searches = 0
+    with passing(spark):
+        near = neighbours(points, k, index)
+        core = near.filter(F.col("rank") == min_samples).select("object_id", F.col("d").alias("core"))
+        far = near.groupBy("object_id").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n"))
+        held = points.join(shuffled(core), "object_id", "left").join(shuffled(far), "object_id", "left")
+        bound = F.when(F.coalesce("n", F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.greatest("far", "core"))
+        held = written(held.select("object_id", "vector", F.coalesce("core", F.lit(0.0)).alias("core"), bound.alias("bound")), "cores")
+        roots = held.select("object_id", F.col("object_id").alias("root"), "bound")
+        cores = lambda c: held.select(F.col("object_id").alias(c), F.col("core").alias(f"core_{c}"))
+        linked = near.select(F.least("object_id", "other_id").alias("x"), F.greatest("object_id", "other_id").alias("y"), "d").dropDuplicates(["x", "y"])
+        linked = linked.join(shuffled(cores("x")), "x").join(shuffled(cores("y")), "y").select("x", "y", F.greatest("d", "core_x", "core_y").alias("w"))
+        links = written(linked.select("x", "y", "w", F.col("x").alias("cx"), F.col("y").alias("cy")), "links")
+        forest: list[DataFrame] = []
+        while True:
+            lows = roots.groupBy("root").agg(F.min("bound").alias("low"), F.count(F.lit(1)).alias("n"))
+            e = F.struct("w", "x", "y")
+            ends = links.select(F.col("cx").alias("root"), e.alias("e"), F.col("cy").alias("to")).unionByName(links.select(F.col("cy").alias("root"), e.alias("e"), F.col("cx").alias("to")))
+            least = ends.groupBy("root").agg(F.min(F.struct("e", "to")).alias("f")).select("root", "f.e.*", "f.to")
+            known = written(lows.join(shuffled(least), "root", "left"), "known")
+            if known.count() < 2:
+                break
+            # The bound is exact up to rounding.
+            chosen = known.filter("w <= low")
+            if chosen.isEmpty():
+                largest = known.orderBy(F.desc("n"), "root").first().root
+                limits = known.filter(F.col("root") != largest).select("root", F.coalesce("w", F.lit(float("inf"))).alias("within"))
+                open_ = roots.join(shuffled(limits), "root").filter("bound < within")
+                every = written(held.select("object_id", "vector", "core").join(shuffled(roots.select("object_id", "root")), "object_id"), "rooted")
+                asked = written(every.join(shuffled(open_.select("object_id", "within")), "object_id"), "asked")
+                found = links_out(asked, every, index)
+                searches += 1
+                if found.isEmpty() and known.filter("w is null").count() > 1:
+                    break
+                raised = asked.select("object_id", "within").join(shuffled(found.select("object_id", "w")), "object_id", "left").select("object_id", F.least("within", "w").alias("new"))
+                roots = written(roots.join(shuffled(raised), "object_id", "left").select("object_id", "root", F.greatest("bound", "new").alias("bound")), "roots")
+                own = lambda c, name: roots.select(F.col("object_id").alias(c), F.col("root").alias(name))
+                more = found.select("x", "y", "w").distinct().join(shuffled(own("x", "cx")), "x").join(shuffled(own("y", "cy")), "y")
+                links = written(links.unionByName(more.select(links.columns)).dropDuplicates(["x", "y"]), "links")
+                continue
+            forest.append(written(chosen.select(F.col("x").alias("a"), F.col("y").alias("b"), "w").distinct(), "forest", stays=True))
+            joined = _joined(chosen.select(F.col("root").alias("a"), F.col("to").alias("b")))
+            joined = small(joined.select(F.col("node").alias("old"), F.col("root").alias("new")))
+            moved = lambda df, c: df.join(joined.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: E731, B023
+            links = written(moved(moved(links, "cx"), "cy").filter("cx <> cy").select(links.columns), "links")
+            roots = written(moved(roots, "root").select("object_id", "root", "bound"), "roots")
+    if report is not None:
+        report["searches"] = searches
+    if not forest:
+        return spark.createDataFrame([], "a string, b string, w double")
+    return reduce(DataFrame.unionByName, forest)
 
 
 def density_cluster(features: DataFrame, min_cluster_size: int, min_samples: int = 1, method: str = "leaf") -> DataFrame:

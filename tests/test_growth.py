@@ -147,3 +147,29 @@ def test_forests_tell_known_objects_apart_in_larger_tables(spark):
     from .compare import compare
 
     assert compare(spark, "v20_rf_rank", library.QUERIES["v20_rf_rank"], library.ORACLES["v20_rf_rank"], "/root/testdata/sf0.1") == ""
+
+
+@pytest.mark.parametrize("near, joined", [(16, 65_536), (2, 0)])
+def test_spanning_tree_searches_all_pairs_seldom(spark, monkeypatch, near, joined):
+    # Each Boruvka round held all blocks against all, point by point in Python.
+    monkeypatch.setattr(recluster, "NEAR", near)
+    monkeypatch.setattr(recluster, "JOINED_HERE", joined)
+    monkeypatch.setattr(recluster, "BLOCK", 32)
+    monkeypatch.setattr(recluster, "OTHERS", 100)
+    rng = np.random.default_rng(11)
+    # Groups of 40 near points: a point's nearest all lie in its own group, so groups are joined by a search.
+    x = np.concatenate([c + rng.normal(size=(40, 3)) * 0.01 for c in rng.normal(size=(6, 3)) * 5] + [rng.normal(size=(30, 3)) * 5])
+    points, report = spark.createDataFrame([(f"p{k:03d}", v.tolist()) for k, v in enumerate(x)], "object_id string, vector array<double>"), {}
+    got = recluster.density_forest(points, 2, report).collect()
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    core = np.sort(d + np.diag(np.full(len(x), np.inf)), axis=1)[:, 1]
+    d = np.maximum(d, np.maximum(core[:, None], core))
+    inside, total, least = np.zeros(len(x), bool), [], d[0].copy()
+    inside[0] = True
+    for _ in range(len(x) - 1):
+        least[inside] = np.inf
+        k = int(least.argmin())
+        total.append(least[k])
+        inside[k], least = True, np.minimum(least, d[k])
+    assert np.allclose(sorted(r.w for r in got), sorted(total), atol=1e-9)
+    assert 1 <= report["searches"] <= 4
